@@ -8,19 +8,14 @@ from pyspark.sql import functions as F
 from harmattan.functions.nulls import stripped
 
 # Month names, French and English, with the month number.
-MONTHS = {
-    "janvier": 1, "january": 1, "jan": 1,
-    "fevrier": 2, "février": 2, "february": 2, "feb": 2,
-    "mars": 3, "march": 3, "mar": 3,
-    "avr": 4, "avril": 4, "april": 4, "apr": 4,
-    "mai": 5, "may": 5,
-    "juin": 6, "june": 6, "jun": 6,
-    "juillet": 7, "july": 7, "jul": 7,
-    "aout": 8, "août": 8, "august": 8, "aug": 8,
-    "septembre": 9, "september": 9, "sep": 9,
-    "octobre": 10, "october": 10, "oct": 10,
-    "novembre": 11, "november": 11, "nov": 11,
-    "decembre": 12, "décembre": 12, "december": 12, "dec": 12,
+ENGLISH_MONTHS = {
+    "january": 1, "jan": 1, "february": 2, "feb": 2, "march": 3, "mar": 3, "april": 4, "apr": 4, "may": 5, "june": 6,
+    "jun": 6, "july": 7, "jul": 7, "august": 8, "aug": 8, "september": 9, "sep": 9, "october": 10, "oct": 10,
+    "november": 11, "nov": 11, "december": 12, "dec": 12,
+}
+MONTHS = ENGLISH_MONTHS | {
+    "janvier": 1, "fevrier": 2, "février": 2, "mars": 3, "avr": 4, "avril": 4, "mai": 5, "juin": 6, "juillet": 7,
+    "aout": 8, "août": 8, "septembre": 9, "octobre": 10, "novembre": 11, "decembre": 12, "décembre": 12,
 }
 
 YMD = r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})([T ].*)?$"
@@ -39,15 +34,17 @@ def _full_year(year: Column) -> Column:
     return F.when(F.length(year) == 2, F.concat(F.when(year >= "50", "19").otherwise("20"), year)).otherwise(year)
 
 
-def parse_date(c: Column, dayfirst: bool = True) -> Column:
+def parse_date(c: Column, dayfirst: bool = True, local_forms: bool = True) -> Column:
     """Any of the supported spellings to DATE; impossible dates become null.
 
-    Spreadsheet serial numbers, compact yyyymmdd, year-first, day-first (month-first when
-    only that reading exists) and French or English month names are understood.
+    Compact yyyymmdd, year-first, day-first (the other order when only that reading exists)
+    and English month names are understood; ``local_forms`` adds spreadsheet serial numbers
+    and French month names.
     """
     text = F.regexp_replace(stripped(c), r"(?i)\b1er\b", "1")
     serial = text.try_cast("int")
-    months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    known = MONTHS if local_forms else ENGLISH_MONTHS
+    months = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
 
     def group(pattern: str, i: int) -> Column:
         return F.regexp_extract(text, pattern, i)
@@ -61,7 +58,10 @@ def parse_date(c: Column, dayfirst: bool = True) -> Column:
     a, b, year = group(DMY, 1), group(DMY, 2), _full_year(group(DMY, 3))
     first, second = (b, a) if dayfirst else (a, b)
     return (
-        F.when(text.rlike(r"^\d{4,6}$"), F.when(serial.between(1000, 100000), F.date_add(F.lit("1899-12-30").cast("date"), serial)))
+        F.when(
+            text.rlike(r"^\d{4,6}$"),
+            F.when(F.lit(local_forms) & serial.between(1000, 100000), F.date_add(F.lit("1899-12-30").cast("date"), serial)),
+        )
         .when(text.rlike(r"^\d{8}$"), _iso(F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)))
         .when(text.rlike(YMD), _iso(group(YMD, 1), group(YMD, 2), group(YMD, 3)))
         .when(text.rlike(DMY), F.coalesce(_iso(year, first, second), _iso(year, second, first)))

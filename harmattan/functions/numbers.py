@@ -118,7 +118,7 @@ def convert(c: Column, dtype: str, decimals: int = 4, dayfirst: bool = False) ->
     elif dtype == "date":
         from harmattan.functions.dates import parse_date
 
-        out = F.coalesce(parse_date(c, dayfirst).cast("string"), c.cast("string"))
+        out = F.coalesce(parse_date(c, dayfirst, local_forms=False).cast("string"), c.cast("string"))
     else:
         raise ValueError(f"unknown dtype {dtype!r}")
     return F.when(~blank, out)

@@ -50,7 +50,7 @@ def normalize(c: Column, mode: str = "upper", mapping: Mapping[str, str] | None
     elif mode == "lower":
         out = F.lower(c)
     elif mode == "date_iso":
-        out = F.coalesce(parse_date(c, dayfirst=False).cast("string"), c)
+        out = F.coalesce(parse_date(c, dayfirst=False, local_forms=False).cast("string"), c)
     elif mode == "currency_code":
         code = F.upper(stripped(c))
         out = map_values(code, mapping or {})
@@ -141,15 +141,15 @@ def extract_labeled_fields(c: Column, labels: Sequence[str]) -> dict[str, Column
     lowered = F.lower(text)
     starts = {label: F.locate(label.lower(), lowered) for label in labels}
     positions = F.array(*starts.values())
-    fields = {}
-    for label in labels:
-        start = starts[label]
-        later = F.array_min(F.filter(positions, lambda p, s=start: p > s))
+
+    def field(label: str, start: Column) -> Column:
+        later = F.array_min(F.filter(positions, lambda p: p > start))
         begin = start + len(label)
         end = F.coalesce(later, F.length(text) + 1)
         value = F.when(end > begin, text.substr(begin, end - begin)).otherwise("")
-        fields[label] = F.when(start > 0, stripped(value)).otherwise("")
-    return fields
+        return F.when(start > 0, stripped(value)).otherwise("")
+
+    return {label: field(label, start) for label, start in starts.items()}
 
 
 def fix_ambiguous(c: Column, substitutions: Mapping[str, str] | None = None, uncertain: Sequence[str] = ()) -> Column:

@@ -106,12 +106,12 @@ SELECT _row_number, id_commande, client, date_commande, montant, quantite, prix,
        ELSE CAST({{day_serial}} AS STRING) END AS date_commande,
   CASE WHEN copy = 3 THEN ' ' WHEN k % 17 = 0 THEN '' WHEN k % 31 = 0 THEN concat('(', CAST(units AS STRING), '.', cc, ')')
        WHEN k % 61 = 0 THEN 'a voir' WHEN k % 67 = 0 THEN '0'
-       WHEN k % 5 = 0 THEN concat(CAST(floor(units / 1000) AS STRING), ' ', lpad(CAST(units % 1000 AS STRING), 3, '0'), ',', cc, ' FCFA')
-       WHEN k % 5 = 1 THEN concat(CAST(floor(units / 1000) AS STRING), ',', lpad(CAST(units % 1000 AS STRING), 3, '0'), '.', cc, ' EUR')
-       WHEN k % 5 = 2 THEN concat('0,', lpad(CAST(floor(units / 10000) AS STRING), 2, '0'), 'M')
+       WHEN k % 5 = 0 THEN concat(CAST(CAST(floor(units / 1000) AS BIGINT) AS STRING), ' ', lpad(CAST(units % 1000 AS STRING), 3, '0'), ',', cc, ' FCFA')
+       WHEN k % 5 = 1 THEN concat(CAST(CAST(floor(units / 1000) AS BIGINT) AS STRING), ',', lpad(CAST(units % 1000 AS STRING), 3, '0'), '.', cc, ' EUR')
+       WHEN k % 5 = 2 THEN concat('0,', lpad(CAST(CAST(floor(units / 10000) AS BIGINT) AS STRING), 2, '0'), 'M')
        ELSE concat(CAST(units AS STRING), '.', cc) END AS montant,
   CASE WHEN copy = 3 THEN NULL WHEN k % 41 = 0 THEN '-3' WHEN k % 37 = 0 THEN NULL ELSE CAST(k % 20 AS STRING) END AS quantite,
-  CASE WHEN copy = 3 THEN NULL WHEN k % 23 = 0 THEN NULL WHEN k % 20 = 0 THEN '30' ELSE CAST(floor(units / (k % 20)) AS STRING) END AS prix,
+  CASE WHEN copy = 3 THEN NULL WHEN k % 23 = 0 THEN NULL WHEN k % 20 = 0 THEN '30' ELSE CAST(CAST(floor(units / (k % 20)) AS BIGINT) AS STRING) END AS prix,
   CASE WHEN copy = 3 THEN NULL WHEN copy = 2 THEN 'X' WHEN k % 3 = 0 THEN lower(s) ELSE s END AS statut,
   CASE WHEN copy = 3 OR k % 4 = 0 THEN NULL ELSE p END AS categorie,
   CASE WHEN copy = 3 THEN NULL WHEN k % 19 = 0 THEN concat('user', CAST(cust AS STRING), ' at example') ELSE concat('user', CAST(cust AS STRING), '@example.com') END AS email,
