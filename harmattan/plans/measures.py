@@ -362,11 +362,11 @@ def pivot_formatted(t: Tables):
 @query(
     "pivot_running_totals",
     f"""{ctes('sales')}, b AS (SELECT region, {YEAR} AS annee, SUM(montant_total) AS v FROM sales GROUP BY 1, 2)
-SELECT region, annee, CAST(v AS DOUBLE) AS value, ROUND(CAST(SUM(v) OVER (PARTITION BY region ORDER BY annee) AS DOUBLE), 2) AS running_total FROM b""",
+SELECT region, annee, CAST(v AS DOUBLE) AS value, ROUND(CAST(SUM(v) OVER (PARTITION BY region ORDER BY annee) AS DOUBLE), 4) AS running_total FROM b""",
 )
 def pivot_running_totals(t: Tables):
     long = pivot.pivot_long(t.sales("region", "date", "montant_total"), ["region"], ["annee"], "montant_total")
-    return pivot.running_totals(long, ["region"], ["annee"]).withColumn("running_total", F.round("running_total", 2))
+    return pivot.running_totals(long, ["region"], ["annee"]).withColumn("running_total", F.round("running_total", 4))
 
 
 @query(
