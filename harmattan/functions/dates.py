@@ -18,20 +18,28 @@ MONTHS = ENGLISH_MONTHS | {
     "aout": 8, "août": 8, "septembre": 9, "octobre": 10, "novembre": 11, "decembre": 12, "décembre": 12,
 }
 
-YMD = r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})([T ].*)?$"
-DMY = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})([T ].*)?$"
+# Spellings as (pattern, year-month-day replacement), tried in order.
+YEAR_FIRST = [(r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})([T ].*)?$", "$1-$2-$3"), (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")]
+SMALL_FIRST = [
+    (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})([T ].*)?$", ""),
+    (r"^(\d{1,2})[/.-](\d{1,2})[/.-]([5-9]\d)([T ].*)?$", "19"),
+    (r"^(\d{1,2})[/.-](\d{1,2})[/.-]([0-4]\d)([T ].*)?$", "20"),
+]
 DAY_NAME_YEAR = r"^(\d{1,2})\s+([A-Za-zÀ-ÿ]+)\.?\s+(\d{4}|\d{2})$"
 NAME_DAY_YEAR = r"^([A-Za-zÀ-ÿ]+)\.?\s+(\d{1,2}),?\s+(\d{4})$"
 TIME_BUCKETS = ("mois", "trimestre", "semestre", "annee", "semaine")
 
 
-def _iso(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", year, month, day).try_cast("date")
+def _reordered(text: Column, pattern: str, replacement: str) -> Column:
+    """The parts of a whole-text match in year-month-day order, null when impossible or unmatched."""
+    return F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, replacement).try_cast("date")
 
 
-def _full_year(year: Column) -> Column:
-    """Two-digit years of 50 and above lie in the 1900s."""
-    return F.when(F.length(year) == 2, F.concat(F.when(year >= "50", "19").otherwise("20"), year)).otherwise(year)
+def _named(text: Column, months: dict[str, int], pattern: str, day: int, name: int, year: int) -> Column:
+    table = F.create_map(*[F.lit(x) for k, v in months.items() for x in (k, f"-{v}-")])
+    month = F.try_element_at(table, F.lower(F.regexp_extract(text, pattern, name)))
+    full = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, pattern, year), r"^([5-9]\d)$", "19$1"), r"^([0-4]\d)$", "20$1")
+    return F.concat(full, month, F.regexp_extract(text, pattern, day)).try_cast("date")
 
 
 def parse_date(c: Column, dayfirst: bool = True, local_forms: bool = True) -> Column:
@@ -41,33 +49,18 @@ def parse_date(c: Column, dayfirst: bool = True, local_forms: bool = True) -> Co
     and English month names are understood; ``local_forms`` adds spreadsheet serial numbers
     and French month names.
     """
-    text = F.regexp_replace(stripped(c), r"(?i)\b1er\b", "1")
-    serial = text.try_cast("int")
-    known = MONTHS if local_forms else ENGLISH_MONTHS
-    months = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-
-    def group(pattern: str, i: int) -> Column:
-        return F.regexp_extract(text, pattern, i)
-
-    def named(pattern: str, day: int, name: int, year: int) -> Column:
-        month = F.try_element_at(months, F.lower(group(pattern, name)))
-        return F.when(
-            month.isNotNull(), _iso(_full_year(group(pattern, year)), month.cast("string"), group(pattern, day))
-        )
-
-    a, b, year = group(DMY, 1), group(DMY, 2), _full_year(group(DMY, 3))
-    first, second = (b, a) if dayfirst else (a, b)
-    return (
-        F.when(
-            text.rlike(r"^\d{4,6}$"),
-            F.when(F.lit(local_forms) & serial.between(1000, 100000), F.date_add(F.lit("1899-12-30").cast("date"), serial)),
-        )
-        .when(text.rlike(r"^\d{8}$"), _iso(F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)))
-        .when(text.rlike(YMD), _iso(group(YMD, 1), group(YMD, 2), group(YMD, 3)))
-        .when(text.rlike(DMY), F.coalesce(_iso(year, first, second), _iso(year, second, first)))
-        .when(text.rlike(DAY_NAME_YEAR), named(DAY_NAME_YEAR, 1, 2, 3))
-        .when(text.rlike(NAME_DAY_YEAR), named(NAME_DAY_YEAR, 2, 1, 3))
-    )
+    text = stripped(c)
+    if local_forms:
+        text = F.regexp_replace(text, r"(?i)\b1er\b", "1")
+    tries = [_reordered(text, p, r) for p, r in YEAR_FIRST]
+    orders = ("$3-$2-$1", "$3-$1-$2") if dayfirst else ("$3-$1-$2", "$3-$2-$1")
+    tries += [_reordered(text, p, century + order) for order in orders for p, century in SMALL_FIRST]
+    months = MONTHS if local_forms else ENGLISH_MONTHS
+    tries += [_named(text, months, DAY_NAME_YEAR, 1, 2, 3), _named(text, months, NAME_DAY_YEAR, 2, 1, 3)]
+    if local_forms:
+        serial = F.regexp_extract(text, r"^\d{4,6}$", 0).try_cast("int")
+        tries.append(F.date_add(F.lit("1899-12-30").cast("date"), F.when(serial.between(1000, 100000), serial)))
+    return F.coalesce(*tries)
 
 
 def parse_ranking_date(c: Column) -> Column:

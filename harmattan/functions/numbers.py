@@ -32,8 +32,7 @@ XOF_RATES = {
 
 def to_double(c: Column) -> Column:
     """Text to double, null when it is not a plain number (``12d`` and ``NaN`` are not)."""
-    text = stripped(c)
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.regexp_extract(stripped(c), NUMBER, 0).try_cast("double")
 
 
 def numeric(df: DataFrame, name: str) -> Column:
@@ -49,45 +48,30 @@ def numeric(df: DataFrame, name: str) -> Column:
 def parse_decimal(c: Column) -> Column:
     """Spaces dropped, comma as decimal point, DECIMAL(20,4) or null."""
     text = F.replace(F.regexp_replace(c.cast("string"), r"[\s\u00a0]", ""), F.lit(","), F.lit("."))
-    return F.when(text.rlike(NUMBER), text.try_cast("decimal(20,4)"))
+    return F.regexp_extract(text, NUMBER, 0).try_cast("decimal(20,4)")
 
 
 def parse_amount(c: Column) -> Column:
     """Text amount to ``struct(value, currency)``.
 
-    Brackets mean negative, M/Mds/B scale, and the last of comma and dot is the decimal
-    mark; a lone comma is a decimal mark too, repeated ones group thousands.
+    Brackets mean negative, M/Mds/B scale. A single comma after which no dot follows is the
+    decimal mark and dots before it group thousands; other commas, or several dots, group.
+    Each step names its input once or twice, which keeps the generated code small.
     """
     raw = stripped(c)
-    negative = raw.startswith("(") & raw.endswith(")")
-    inner = F.btrim(raw, F.lit("()"))
-    token = F.regexp_extract(inner, CURRENCY, 1)
-    currency = F.when(token == "", "XOF").otherwise(F.upper(F.replace(token, F.lit(" "), F.lit(""))))
-    compact = F.regexp_replace(F.regexp_replace(inner, CURRENCY, ""), r"[ \u00a0]", "")
-    suffix = F.lower(F.regexp_extract(compact, SUFFIX, 1))
-    scale = F.when(suffix.isin(MILLIONS), 1e6).when(suffix.isin(BILLIONS), 1e9).otherwise(1.0)
-    digits = F.regexp_replace(compact, SUFFIX, "")
-
-    def without(text: Column, mark: str) -> Column:
-        return F.replace(text, F.lit(mark), F.lit(""))
-
-    commas = F.length(digits) - F.length(without(digits, ","))
-    dots = F.length(digits) - F.length(without(digits, "."))
-    comma_last = F.instr(F.reverse(digits), ",") < F.instr(F.reverse(digits), ".")
-    comma_decimal = F.replace(without(digits, "."), F.lit(","), F.lit("."))
+    sign = F.when(raw.rlike(r"^\(.*\)$"), -1.0).otherwise(1.0)
+    token = F.upper(F.replace(F.regexp_extract(raw, CURRENCY, 1), F.lit(" "), F.lit("")))
+    compact = F.regexp_replace(F.regexp_replace(raw, CURRENCY, ""), r"[ \u00a0()]", "")
+    scales = F.create_map(F.lit(""), F.lit(1.0), *[F.lit(x) for w in MILLIONS for x in (w, 1e6)], *[F.lit(x) for w in BILLIONS for x in (w, 1e9)])
+    scale = F.try_element_at(scales, F.lower(F.regexp_extract(compact, SUFFIX, 1)))
+    marked = F.regexp_replace(F.regexp_replace(compact, SUFFIX, ""), r"^([^,]*),([^,.]*)$", "$1;$2")
     plain = (
-        F.when((commas > 0) & (dots > 0), F.when(comma_last, comma_decimal).otherwise(without(digits, ",")))
-        .when(commas > 1, without(digits, ","))
-        .when(commas == 1, comma_decimal)
-        .when(dots > 1, without(digits, "."))
-        .otherwise(digits)
-    )
-    value = F.when(plain.rlike(NUMBER), plain.try_cast("double") * scale)
-    value = F.when(negative, -value).otherwise(value)
-    return F.struct(
-        value.alias("value"),
-        F.when(value.isNotNull(), currency).alias("currency"),
+        F.when(marked.contains(";"), F.translate(marked, ";.", "."))
+        .when(marked.rlike(r"^[^,.]*\.[^,.]*\.[^,]*$"), F.translate(marked, ".", ""))
+        .otherwise(F.translate(marked, ",", ""))
     )
+    value = F.regexp_extract(plain, NUMBER, 0).try_cast("double") * scale * sign
+    return F.struct(value.alias("value"), F.when(value.isNotNull(), F.coalesce(F.nullif(token, F.lit("")), F.lit("XOF"))).alias("currency"))
 
 
 def to_xof(amount: Column, currency: Column, rates: dict[str, float] | None = None) -> Column:

@@ -98,7 +98,7 @@ def rewrite(df: DataFrame, new: Mapping[str, Column], action: str | Mapping[str,
         entry = F.struct(
             F.lit(c).alias("column"), label.alias("action"), old.cast("string").alias("from"), F.col(f"__new_{c}").cast("string").alias("to")
         )
-        entries.append(F.when(~old.eqNullSafe(F.col(f"__new_{c}")), entry))
+        entries.append(F.when(~old.cast("string").eqNullSafe(F.col(f"__new_{c}").cast("string")), entry))
     log = F.concat("_changes", F.array_compact(F.array(*entries)).cast(f"array<{CHANGE}>"))
     out = staged.withColumns({"_changes": log, **{c: F.col(f"__new_{c}") for c in new}})
     return out.drop(*[f"__new_{c}" for c in new])

@@ -1,8 +1,9 @@
-"""Session settings and the one lineage-cutting helper."""
+"""Session settings and the lineage-cutting helper."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,14 +30,22 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset (local tests)."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="harmattan-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
 
-    The files survive the loss of an executor. Only where neither the setting nor a
-    checkpoint folder exists (local tests) is a temporary one created.
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame once to the shared folder and read it back.
+
+    Cuts the lineage, survives the loss of executors, and lets every later reader prune
+    columns and push filters into the files.
     """
-    sc = df.sparkSession.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="harmattan-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
