@@ -77,11 +77,12 @@ def clean_structure(df: DataFrame, fields: Mapping[str, str], keep_duplicates: b
     quasi_empty = [c for c, r in rates.items() if r < 0.05]
     parasites = [c for c in quasi_empty if c.lower().startswith(PARASITE_NAMES)]
     columns = data_columns(df)
-    empty = missing_count(columns, is_structurally_empty)
-    df = add_alerts(df.where(empty < len(columns)), [alert("R02B", "MOYEN", None, "sparse_row", empty / len(columns) > 0.8)])
-    df = df.drop(*parasites)
+    df = df.where(missing_count(columns, is_structurally_empty) < len(columns)).drop(*parasites)
     if not keep_duplicates:
         df = keep_first(df, data_columns(df))
+    # Dropped columns were all but empty; they count as missing in the share of a row.
+    empty = missing_count(data_columns(df), is_structurally_empty) + len(parasites)
+    df = add_alerts(df, [alert("R02B", "MOYEN", None, "sparse_row", empty / len(columns) > 0.8)])
     return df, quasi_empty, parasites
 
 

@@ -30,8 +30,13 @@ def attach(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: str = "_row_number") -> DataFrame:
-    """First row of each key by ``order``; nulls are equal. One combining aggregate, no window."""
+    """First row of each key by ``order``; nulls are equal. One combining aggregate, no window.
+
+    When the keys are the whole row a plain minimum does, which stays a hash aggregate.
+    """
     rest = [c for c in df.columns if c not in keys and c != order]
+    if not rest:
+        return df.groupBy(*keys).agg(F.min(order).alias(order)).select(*df.columns)
     first = F.min_by(F.struct(order, *rest), F.col(order)).alias("__first")
     kept = df.groupBy(*keys).agg(first)
     return kept.select(*[F.col(c) if c in keys else F.col(f"__first.{c}").alias(c) for c in df.columns])

@@ -1,7 +1,7 @@
 """Column names and contents to business fields.
 
-Contents are profiled by one aggregate over the whole table; the scoring of names runs on
-the driver, over column names only.
+Contents are profiled over the distinct values of the whole table; the scoring of names
+runs on the driver, over column names only.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from harmattan.functions.dates import parse_date
 from harmattan.functions.nulls import data_columns, stripped
 from harmattan.functions.numbers import to_double
+from harmattan.operators.keyed import value_counts
 
 CONFIRMED, SUGGESTED, AMBIGUITY_GAP = 88, 72, 6
 
@@ -122,26 +123,28 @@ def _alike(left: str, right: str) -> int:
 
 
 def content_profiles(df: DataFrame) -> dict[str, str | None]:
-    """Dominant kind of content per column, from one aggregate row."""
-    shares = []
+    """Dominant kind of content per column.
+
+    Cells are counted by (column, value) first, so each distinct value is parsed once; one
+    row per column reaches the driver.
+    """
     columns = data_columns(df)
-    for c in columns:
-        text = F.when(stripped(F.col(c)) != "", F.lower(stripped(F.col(c))))
-        n = F.count(text)
-        number = to_double(F.replace(text, F.lit(" "), F.lit("")))
-        date_shape = text.rlike(r"[/.-]") | text.rlike(r"[a-zà-ÿ]{3,}") | text.rlike(r"^\d{8}$")
-        fields = {k: F.count_if(text.rlike(p)) / n for k, p in CONTENT_PATTERNS.items()}
-        fields["date"] = F.count_if(parse_date(text, local_forms=True).isNotNull() & date_shape) / n
-        fields["number"] = F.count(number) / n
-        fields["median"] = F.percentile_approx(number, 0.5)
-        shares.append(F.when(n > 0, F.struct(*[v.cast("double").alias(k) for k, v in fields.items()])).alias(c))
-    row = df.agg(*shares).first() if columns else {}
-    return {c: _profile(row[c]) for c in columns}
+    if not columns:
+        return {}
+    text = F.lower(stripped(F.col("value")))
+    cells = value_counts(df, columns).select("column", F.when(text != "", text).alias("text"), "n").where("text IS NOT NULL")
+    number = to_double(F.replace("text", F.lit(" "), F.lit("")))
+    date_shape = F.col("text").rlike(r"[/.-]|[a-zà-ÿ]{3,}|^\d{8}$")
+    tests = {k: F.col("text").rlike(p) for k, p in CONTENT_PATTERNS.items()}
+    tests |= {"date": date_shape & parse_date(F.col("text")).isNotNull(), "number": number.isNotNull()}
+    total = F.sum("n")
+    shares = [(F.sum(F.when(test, F.col("n")).otherwise(0)) / total).alias(k) for k, test in tests.items()]
+    rows = cells.groupBy("column").agg(*shares, F.percentile_approx(number, 0.5).alias("median")).collect()
+    found = {r["column"]: _profile(r) for r in rows}
+    return {c: found.get(c) for c in columns}
 
 
 def _profile(share) -> str | None:
-    if share is None:
-        return None
     for kind in ("email", "date", "phone", "gender", "title"):
         if share[kind] >= 0.7:
             return kind
