@@ -1,5 +1,5 @@
 """Imports every query module so that the registry is complete."""
 
-from harmattan.plans import cleaning, engine, kpis, landing, measures  # noqa: F401
+from harmattan.plans import cleaning, engine, kpis, landing, measures, vectors  # noqa: F401
 
 FLAGSHIP = "pivot_region_year"
