@@ -118,6 +118,22 @@ def exact_quantile(
     return picked.select(*keys, (low + (high - low) * part).alias(name))
 
 
+def running_count(df: DataFrame, keys: Sequence[str], position: str, flag: Column, name: str, chunk: int = 4096) -> DataFrame:
+    """Number of flagged rows up to and including each row, by an integer position.
+
+    Positions are cut into chunks: chunk totals are accumulated per key, rows only within
+    their chunk, so a key with very many rows is spread over many tasks.
+    """
+    keys = list(keys)
+    tagged = df.withColumns({"__flag": flag.cast("int"), "__chunk": F.floor(F.col(position) / chunk).cast("bigint")})
+    totals = tagged.groupBy(*keys, "__chunk").agg(F.sum("__flag").alias("__t"))
+    before = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    bases = totals.select(*keys, "__chunk", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
+    inside = W.partitionBy(*keys, "__chunk").orderBy(position).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = tagged.join(bases, [*keys, "__chunk"]).withColumn(name, F.col("__base") + F.sum("__flag").over(inside))
+    return out.drop("__flag", "__chunk", "__base")
+
+
 def most_frequent(df: DataFrame, value: Column, name: str = "value") -> DataFrame:
     """One row with the most frequent non-null value, the smallest on ties."""
     counted = df.select(value.alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("__n"))

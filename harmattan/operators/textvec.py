@@ -144,22 +144,23 @@ def nearest(
 
 def _local_best(queries: pd.DataFrame, examples: DataFrame, id_type: str, k: int, minimum: float) -> DataFrame:
     """Per task: the best ``k`` examples it holds for every query."""
-    def unit(vectors: pd.Series) -> np.ndarray:
+    def matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         x = np.stack([np.asarray(v, dtype=float) for v in vectors])
-        return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+        return x, np.linalg.norm(x, axis=1)
 
     if queries.empty:
         return examples.sparkSession.createDataFrame([], f"query_id {id_type}, example_id {id_type}, similarity double")
-    shipped = examples.sparkSession.sparkContext.broadcast((queries.iloc[:, 0].to_numpy(), unit(queries.iloc[:, 1])))
+    shipped = examples.sparkSession.sparkContext.broadcast((queries.iloc[:, 0].to_numpy(), *matrix(queries.iloc[:, 1])))
 
     def task(batches):
-        ids, q = shipped.value
+        ids, q, q_norm = shipped.value
         kept = None
         for batch in batches:
             if batch.empty:
                 continue
             names = batch.iloc[:, 0].to_numpy()
-            scores = unit(batch.iloc[:, 1]) @ q.T
+            x, x_norm = matrix(batch.iloc[:, 1])
+            scores = (x @ q.T) / (np.outer(x_norm, q_norm) + 1e-8)
             row, col = np.nonzero(scores >= minimum)
             found = pd.DataFrame({"query_id": ids[col], "example_id": names[row], "similarity": scores[row, col]})
             found = found[found["query_id"] != found["example_id"]]

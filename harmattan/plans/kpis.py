@@ -213,13 +213,12 @@ def kpi_context_signals(t: Tables):
 
 @query(
     "kpi_disparity",
-    f"""{ctes('sales')}, b AS (SELECT region, pays, segment, SUM(montant_total) AS v FROM sales WHERE quantite < 3 AND remise > 0.08 GROUP BY 1, 2, 3)
-SELECT region, CAST(MIN(v) AS DOUBLE) AS low, CAST(MAX(v) AS DOUBLE) AS high FROM b GROUP BY region HAVING COUNT(*) >= 2 AND MIN(v) / MAX(v) < 0.3""",
+    f"""{ctes('sales')}, b AS (SELECT region, pays, segment, SUM(montant_total) AS v FROM sales GROUP BY 1, 2, 3)
+SELECT region, CAST(MIN(v) AS DOUBLE) AS low, CAST(MAX(v) AS DOUBLE) AS high FROM b GROUP BY region HAVING COUNT(*) >= 2 AND CAST(MIN(v) AS DOUBLE) / CAST(MAX(v) AS DOUBLE) < 0.6""",
 )
 def kpi_disparity(t: Tables):
-    few = t.sales("region", "pays", "segment", "quantite", "remise", "montant_total").where("quantite < 3 AND remise > 0.08")
-    parts = metrics.grouped_metric(few, ["region", "pays", "segment"], "montant_total")
-    return kpi.disparity(parts, "region", ratio=0.3)
+    parts = metrics.grouped_metric(t.sales("region", "pays", "segment", "montant_total"), ["region", "pays", "segment"], "montant_total")
+    return kpi.disparity(parts, "region", ratio=0.6)
 
 
 # --- alerts ---------------------------------------------------------------------------------

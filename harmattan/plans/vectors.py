@@ -76,15 +76,14 @@ def vector_hash_embedding(t: Tables):
 
 @query(
     "vector_nearest",
-    """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE label = (SELECT MIN(label) FROM embeddings)),
+    """WITH q AS (SELECT vec_id, embedding FROM embeddings),
  s AS (SELECT q.vec_id AS query_id, e.vec_id AS example_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) + 1e-8) AS sim
   FROM q JOIN embeddings e ON q.vec_id <> e.vec_id)
 SELECT query_id, example_id, ROUND(sim, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, example_id) AS INT) AS rank FROM s WHERE sim >= 0.3 QUALIFY rank <= 5""",
 )
 def vector_nearest(t: Tables):
-    first = t.embeddings.agg(F.min("label")).scalar()
-    queries = t.embeddings.where(F.col("label") == first).select("vec_id", "embedding")
-    return textvec.nearest(queries, t.embeddings.select("vec_id", "embedding"), "embedding", "vec_id").withColumn("similarity", F.round("similarity", 6))
+    vectors = t.embeddings.select("vec_id", "embedding")
+    return textvec.nearest(vectors, vectors, "embedding", "vec_id").withColumn("similarity", F.round("similarity", 6))
 
 
 _SORTED = "array_to_string(list_sort(string_split(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), ' ')), ' ')"
@@ -95,11 +94,11 @@ _SORTED = "array_to_string(list_sort(string_split(trim(regexp_replace(lower({c})
     f"""{DIRTY}, v AS (SELECT client AS v, COUNT(*) AS n, {_SORTED.format(c='client')} AS s FROM dirty_orders WHERE client IS NOT NULL GROUP BY 1),
  p AS (SELECT a.v AS l, a.n AS nl, b.v AS r, b.n AS nr, CAST(floor(100 * (greatest(length(a.s), length(b.s)) - levenshtein(a.s, b.s)) / greatest(length(a.s), length(b.s))) AS INT) AS score
   FROM v a JOIN v b ON a.v < b.v AND lower(a.v) <> lower(b.v) AND abs(length(a.s) - length(b.s)) <= 5),
- o AS (SELECT *, nl > nr OR (nl = nr AND length(l) >= length(r)) AS f FROM p WHERE score >= 92)
+ o AS (SELECT *, nl > nr OR (nl = nr AND length(l) >= length(r)) AS f FROM p WHERE score >= 85)
 SELECT CASE WHEN f THEN l ELSE r END AS canonical, CASE WHEN f THEN r ELSE l END AS variant, score, CASE WHEN f THEN nl ELSE nr END AS n_canonical, CASE WHEN f THEN nr ELSE nl END AS n_variant FROM o""",
 )
 def text_close_variants(t: Tables):
-    return textvec.close_variants(t.dirty_orders, "client", 92)
+    return textvec.close_variants(t.dirty_orders, "client")
 
 
 @query(

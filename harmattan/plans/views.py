@@ -85,10 +85,12 @@ def sales(t: "Tables", columns: Sequence[str] = ()) -> DataFrame:
 _SPARK = {
     "day_serial": "datediff(d, DATE'1899-12-30')",
     "copied_orders": "{orders} LATERAL VIEW explode(array(0, 1, 2, 3)) copies AS copy",
+    "cell_orders": "{orders} LATERAL VIEW explode(sequence(0, 6)) copies AS copy",
 }
 _CHECK = {
     "day_serial": "date_diff('day', DATE '1899-12-30', d)",
     "copied_orders": "orders, unnest([0, 1, 2, 3]) AS copies(copy)",
+    "cell_orders": "orders, unnest([0, 1, 2, 3, 4, 5, 6]) AS copies(copy)",
 }
 
 _MONTH_NAMES = ["janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout", "septembre", "octobre", "novembre", "decembre"]
@@ -125,6 +127,21 @@ SELECT _row_number, id_commande, client, date_commande, montant, quantite, prix,
  ) base) filled
 """
 
+# Sheets of forty rows and seven columns: data tables with blank separators, sparse pivots, crosstabs.
+CELLS = """
+SELECT sheet_id, row_idx, col_idx, CASE
+  WHEN kind = 0 AND row_idx = 0 THEN CASE copy WHEN 0 THEN 'id' WHEN 1 THEN 'client' WHEN 2 THEN 'date' WHEN 3 THEN 'montant' WHEN 4 THEN 'quantite' WHEN 5 THEN 'vide' ELSE 'statut' END
+  WHEN kind = 0 AND row_idx % 13 = 12 THEN NULL
+  WHEN kind = 0 THEN CASE copy WHEN 0 THEN concat('CMD-', CAST(k AS STRING)) WHEN 1 THEN concat('client ', CAST(cust % 100 AS STRING)) WHEN 2 THEN day WHEN 3 THEN CASE WHEN k % 9 <> 0 THEN CAST(units AS STRING) END WHEN 4 THEN CAST(k % 20 AS STRING) WHEN 6 THEN s END
+  WHEN kind = 1 AND row_idx = 0 THEN CASE copy WHEN 0 THEN 'Produit' WHEN 1 THEN 'Janvier' WHEN 2 THEN 'Fevrier' WHEN 3 THEN 'Mars' WHEN 4 THEN 'Avril' WHEN 5 THEN 'Mai' ELSE 'Juin' END
+  WHEN kind = 2 AND row_idx = 0 THEN CASE copy WHEN 0 THEN 'Segment >>' WHEN 1 THEN 'Grand' WHEN 4 THEN 'Petit' WHEN 6 THEN 'Total' END
+  WHEN kind = 2 AND row_idx = 1 THEN CASE copy WHEN 0 THEN 'Region' WHEN 1 THEN 'Nord' WHEN 2 THEN 'Sud' WHEN 3 THEN 'Est' WHEN 4 THEN 'Nord' WHEN 5 THEN 'Sud' ELSE 'Ensemble' END
+  WHEN kind = 2 AND row_idx = 2 THEN CASE WHEN copy = 0 THEN 'Produit' END
+  WHEN copy = 0 THEN concat('Produit ', CAST(k % 50 AS STRING)) WHEN copy = k % 6 + 1 THEN CAST(units AS STRING) END AS value
+FROM (SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS sheet_id, CAST(floor(o_orderkey / 40) AS BIGINT) % 3 AS kind, o_orderkey % 40 AS row_idx, CAST(copies.copy AS BIGINT) AS col_idx, copies.copy AS copy, o_orderkey AS k, o_custkey AS cust,
+  CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, CAST(floor(o_totalprice) AS BIGINT) AS units, o_orderstatus AS s FROM {cell_orders}) g
+"""
+
 KPI_CALCULATIONS = """
 SELECT kpi, period_start, period_end, calculated_value FROM (
  SELECT region AS kpi, CAST(concat(mois, '-01') AS DATE) AS period_start, MAX(jour) AS period_end,
@@ -140,6 +157,7 @@ SNAPSHOT_B = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 14 = 5 THEN
 
 DERIVED = {
     "dirty_orders": (DIRTY_ORDERS, ("orders",)),
+    "cells": (CELLS, ("orders",)),
     "kpi_calculations": (KPI_CALCULATIONS, ("sales",)),
     "snapshot_a": (SNAPSHOT_A, ("orders",)),
     "snapshot_b": (SNAPSHOT_B, ("orders",)),
