@@ -17,21 +17,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harmattan.functions.numbers import numeric
-from harmattan.operators.keyed import exact_quantile
+from harmattan.operators.keyed import column_medians, exact_quantile
 
 SUBSAMPLE = 256
 NODE = "tree int, node int, feature int, cut double, left int, right int, size int, depth int"
 
 
 def feature_matrix(df: DataFrame, features: Sequence[str], key: str = "_row_number") -> DataFrame:
-    """Numeric features; rows without any value are left out, gaps take the column median."""
+    """Numeric features; rows without any value are left out, gaps take the column median.
+
+    Medians are only worked out for columns that have gaps.
+    """
     numbers = df.select(key, *[numeric(df, c).cast("double").alias(c) for c in features])
     some = F.lit(False)
     for c in features:
         some = some | F.col(c).isNotNull()
     numbers = numbers.where(some)
-    medians = {c: F.coalesce(exact_quantile(numbers, [], F.col(c)).scalar(), F.lit(0.0)) for c in features}
-    return numbers.select(key, *[F.coalesce(F.col(c), medians[c]).alias(c) for c in features])
+    gaps = numbers.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first()
+    medians = column_medians(numbers, [c for c in features if gaps[c]])
+    fill = {c: v or 0.0 for c, v in medians.items()}
+    return numbers.fillna(fill) if fill else numbers
 
 
 def tree_count(n: int) -> int:
@@ -105,33 +110,51 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, path))
 
 
+def _complete_trees(forest: pd.DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
+    """Trees laid out as complete binary trees, so a walk is arithmetic on positions.
+
+    A leaf above the last level passes its path length on to all positions below it.
+    """
+    depth = max(int(forest["depth"].max()), 1)
+    inner = (1 << depth) - 1
+    trees = []
+    for _, part in forest.groupby("tree"):
+        part = part.sort_values("node")
+        of, cuts, lefts, rights, sizes = (part[c].tolist() for c in ("feature", "cut", "left", "right", "size"))
+        feature, cut = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
+        length = np.zeros(inner + 1)
+        todo = [(0, 0, 0)]
+        while todo:
+            node, at, level = todo.pop()
+            if of[node] < 0:
+                first = ((at + 1) << (depth - level)) - 1 - inner
+                length[first : first + (1 << (depth - level))] = level + float(average_path(sizes[node]))
+            else:
+                feature[at], cut[at] = of[node], cuts[node]
+                todo += [(lefts[node], 2 * at + 1, level + 1), (rights[node], 2 * at + 2, level + 1)]
+        trees.append((feature, cut, length))
+    return trees, depth
+
+
 def score_rows(matrix: DataFrame, forest: pd.DataFrame, features: Sequence[str]) -> DataFrame:
     """Anomaly score in (0, 1] per row, by a vectorised walk through every tree."""
-    trees = []
-    for _, part in forest.sort_values(["tree", "node"]).groupby("tree"):
-        columns = [part[c].to_numpy() for c in ("feature", "cut", "left", "right")]
-        trees.append((*columns, part["depth"].to_numpy() + average_path(part["size"].to_numpy())))
+    trees, depth = _complete_trees(forest)
     sizes = forest.loc[forest["node"] == 0, "size"].to_numpy()
     expected = float(average_path(max(float(np.mean(sizes)), 2.0)))
-    shipped = matrix.sparkSession.sparkContext.broadcast((trees, expected))
+    shipped = matrix.sparkSession.sparkContext.broadcast((trees, depth, expected))
 
     @F.pandas_udf("double")
     def score(values: pd.DataFrame) -> pd.Series:
-        forest_trees, norm = shipped.value
-        x = values.to_numpy(dtype=float)
+        forest_trees, levels, norm = shipped.value
+        x = np.ascontiguousarray(values.to_numpy(dtype=float))
+        flat, base = x.ravel(), np.arange(len(x)) * x.shape[1]
         total = np.zeros(len(x))
-        for feature, cut, left, right, length in forest_trees:
+        for feature, cut, length in forest_trees:
             at = np.zeros(len(x), dtype=np.int64)
-            active = np.arange(len(x))
-            while len(active):
-                inner = feature[at[active]] >= 0
-                active = active[inner]
-                if not len(active):
-                    break
-                here = at[active]
-                go_left = x[active, feature[here]] <= cut[here]
-                at[active] = np.where(go_left, left[here], right[here])
-            total += length[at]
+            for _ in range(levels):
+                above = flat.take(base + feature.take(at)) > cut.take(at)
+                at = 2 * at + 1 + above
+            total += length.take(at - len(feature))
         return pd.Series(np.power(2.0, -total / len(forest_trees) / norm))
 
     return matrix.withColumn("score", score(F.struct(*features)))
@@ -162,10 +185,10 @@ def isolation_forest(
 
 def explain(scored: DataFrame, features: Sequence[str], key: str = "_row_number", n: int = 3) -> DataFrame:
     """Features of outlier rows far from the column median, the largest ratios first."""
+    medians = column_medians(scored, features)
     parts = []
     for c in features:
-        row = exact_quantile(scored, [], F.col(c)).first()
-        middle = F.lit(row[0] if row and row[0] else None).cast("double")
+        middle = F.lit(medians.get(c) or None).cast("double")
         ratio = F.col(c) / middle
         entry = F.struct(
             (-F.round(F.abs(ratio), 1)).alias("order"), F.lit(c).alias("column"), F.col(c).alias("value"), F.round(middle, 2).alias("median"),

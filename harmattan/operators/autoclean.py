@@ -19,7 +19,7 @@ from harmattan.functions.dates import parse_date
 from harmattan.functions.nulls import data_columns, is_missing, is_structurally_empty, missing_count
 from harmattan.functions.numbers import parse_amount, to_xof
 from harmattan.functions.text import normalize_text
-from harmattan.operators.keyed import attach, exact_quantile, keep_first
+from harmattan.operators.keyed import attach, column_medians, keep_first
 from harmattan.operators.rules import rewrite, tracked
 from harmattan.session import materialize
 
@@ -135,8 +135,8 @@ def date_alerts(column: str, field: str, today: Column) -> list[Column]:
     return out
 
 
-def amount_alerts(df: DataFrame, column: str, field: str) -> list[Column]:
-    """Unreadable, foreign, negative, zero and mis-scaled amounts. The median is a scalar subquery over one column."""
+def amount_alerts(column: str, field: str, middle: float | None) -> list[Column]:
+    """Unreadable, foreign, negative, zero and mis-scaled amounts (against the column median when there is one)."""
     v = F.col(f"__v_{column}")
     out = [
         alert("R10", "MOYEN", column, "not_a_number", v.isNull() & ~is_missing(F.col(column))),
@@ -146,13 +146,21 @@ def amount_alerts(df: DataFrame, column: str, field: str) -> list[Column]:
         out.append(alert("R12", "CRITIQUE", column, "negative", v < 0))
     if field == "montant_total":
         out.append(alert("R12", "MOYEN", column, "zero", v == 0))
-    middle = exact_quantile(df, [], v).scalar()
-    enough = df.agg(F.count(v)).scalar() >= 3
-    ratio = F.abs(v / middle)
-    out.append(alert("R13", "MOYEN", column, "scale", enough & (middle > 0) & ((ratio > 10) | ((ratio < 0.1) & (v > 0)))))
+    if middle is not None and middle > 0:
+        ratio = F.abs(v / middle)
+        out.append(alert("R13", "MOYEN", column, "scale", (ratio > 10) | ((ratio < 0.1) & (v > 0))))
     return out
 
 
+def scale_medians(df: DataFrame, amounts: Sequence[str]) -> dict[str, float | None]:
+    """Medians of the parsed amounts; none for a column with fewer than three values."""
+    if not amounts:
+        return {}
+    counts = df.agg(*[F.count(f"__v_{c}").alias(c) for c in amounts]).first()
+    medians = column_medians(df, [f"__v_{c}" for c in amounts])
+    return {c: medians.get(f"__v_{c}") if counts[c] >= 3 else None for c in amounts}
+
+
 def fill_total(df: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     """Missing totals from quantity × unit price."""
     by_field = {f: c for c, f in fields.items() if c in df.columns}
@@ -238,7 +246,8 @@ def auto_clean(
     staged = flag_shared_keys(staged, fields)
     dates, amounts, texts = _by_kind(staged, fields, keep)
     alerts = [a for c in dates for a in date_alerts(c, fields[c], today)]
-    alerts += [a for c in amounts for a in amount_alerts(staged, c, fields[c])]
+    medians = scale_medians(staged, amounts)
+    alerts += [a for c in amounts for a in amount_alerts(c, fields[c], medians.get(c))]
     out = add_alerts(staged, alerts)
     out = rewrite(out, {c: F.col(f"__d_{c}").cast("string") for c in dates}, "R06") if dates else out
     out = rewrite(out, {c: F.col(f"__v_{c}") for c in amounts}, "R10") if amounts else out

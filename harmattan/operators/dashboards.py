@@ -13,6 +13,7 @@ from harmattan.functions.dates import parse_date, parse_ranking_date
 from harmattan.functions.nulls import data_columns, stripped
 from harmattan.functions.numbers import NUMBER, parse_decimal, to_double
 from harmattan.operators import metrics, pivot
+from harmattan.session import materialize
 from harmattan.sources.landing import plain_name
 
 # Column names accepted for each ranking role, in order of preference.
@@ -87,24 +88,31 @@ def ranking_rows(df: DataFrame) -> DataFrame:
     else:
         date = parse_ranking_date(_first_value(df, DATE_KEYS))
     zero = F.lit(0).cast("decimal(20,4)")
+
+    def amount(names: Sequence[str]) -> Column:
+        present = [lowered[n] for n in names if n in lowered]
+        if len(present) == 1 and isinstance(df.schema[present[0]].dataType, T.NumericType):
+            return F.col(present[0]).cast("decimal(20,4)")
+        return parse_decimal(_first_value(df, names))
+
     return df.select(
         F.trim(_first_value(df, PRODUCT_KEYS)).alias("product"), F.trim(_first_value(df, CLIENT_KEYS)).alias("client"),
         F.trim(_first_value(df, TERRITORY_KEYS)).alias("territory"), date.alias("date"),
-        F.coalesce(parse_decimal(_first_value(df, AMOUNT_KEYS)), zero).alias("amount"),
-        F.coalesce(parse_decimal(_first_value(df, QUANTITY_KEYS)), zero).alias("quantity"),
+        F.coalesce(amount(AMOUNT_KEYS), zero).alias("amount"),
+        F.coalesce(amount(QUANTITY_KEYS), zero).alias("quantity"),
     )
 
 
 def ranking(df: DataFrame, role: str, n: int, with_share: bool = True) -> DataFrame:
     """Top members of a role by revenue, with their share of the total of all rows."""
-    rows = ranking_rows(df)
-    best = rows.where(F.col(role).isNotNull()).groupBy(F.col(role).alias("name")).agg(F.sum("amount").alias("__a"), F.sum("quantity").alias("__q"))
-    best = best.orderBy(F.desc("__a"), "name").limit(n)
+    # The total is summed over the same groups, so both readers share one shuffle.
+    groups = ranking_rows(df).groupBy(F.col(role).alias("name")).agg(F.sum("amount").alias("__a"), F.sum("quantity").alias("__q"))
+    best = groups.where(F.col("name").isNotNull()).orderBy(F.desc("__a"), "name").limit(n)
     out = [F.col("name"), F.col("__a").cast("double").alias("revenue")]
     if role == "product":
         out.append(F.col("__q").cast("double").alias("quantity"))
     if with_share and role != "product":
-        total = rows.agg(F.sum("amount").cast("double")).scalar()
+        total = groups.agg(F.sum("__a").cast("double")).scalar()
         out.append(F.coalesce(F.round(F.when(total != 0, F.col("__a").cast("double") / total * 100), 2), F.lit(0.0)).alias("share_percent"))
     return best.select(*out)
 
@@ -308,8 +316,12 @@ def evaluate_widgets(df: DataFrame, widgets: Sequence[Mapping[str, Any]], order:
 
 
 def auto_dashboard(df: DataFrame) -> tuple[list[dict[str, Any]], DataFrame]:
-    """Classify (one small result on the driver), choose widgets, evaluate them over one cached frame."""
-    prepared = prepare(df)
+    """Classify (one small result on the driver), choose widgets, evaluate them.
+
+    The prepared frame is written once: joins behind it run once, and each widget then reads
+    only its own two columns.
+    """
+    prepared = materialize(prepare(df))
     classes = {r["column"]: r["class"] for r in classify_columns(prepared).collect()}
     ordered = {c: classes[c] for c in data_columns(prepared)}
     widgets = auto_widgets(ordered)

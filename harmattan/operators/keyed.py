@@ -74,18 +74,19 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def exact_quantile(
     df: DataFrame, keys: Sequence[str], value: Column, p: float = 0.5, name: str = "value"
 ) -> DataFrame:
-    """Exact interpolated quantile per key (or overall when ``keys`` is empty).
+    """Exact interpolated quantile per key (or overall when ``keys`` is empty), null for a key without values.
 
     Distinct values are counted first, then located through a histogram whose bins follow
     from each value alone (sign and logarithm). Only the bin that holds the wanted rank is
     sorted, so no task ever sees a whole group and hot values cost one counter.
     """
     keys = list(keys)
+    x = value.cast("double")
+    # Null cells count zero, so a group without any value keeps its line and gets a null.
     counts = (
-        df.select(*keys, value.cast("double").alias("__x"))
-        .where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+        df.select(*keys, F.when(~F.isnan(x), x).alias("__x"))
         .groupBy(*keys, "__x")
-        .agg(F.count("*").alias("__c"))
+        .agg(F.count("__x").alias("__c"))
         .withColumn("__bin", (F.signum("__x") * F.floor(F.log1p(F.abs("__x")) * 4096)).cast("bigint"))
     )
     bins = counts.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__c"))
@@ -118,6 +119,14 @@ def exact_quantile(
     return picked.select(*keys, (low + (high - low) * part).alias(name))
 
 
+def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Exact medians of several numeric columns in one pass; one row per column reaches the driver."""
+    if not columns:
+        return {}
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "x")
+    return {r["column"]: r["value"] for r in exact_quantile(long, ["column"], F.col("x")).collect()}
+
+
 def running_count(df: DataFrame, keys: Sequence[str], position: str, flag: Column, name: str, chunk: int = 4096) -> DataFrame:
     """Number of flagged rows up to and including each row, by an integer position.
 

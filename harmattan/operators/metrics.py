@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from harmattan.functions.numbers import numeric, spaced
 from harmattan.operators.filters import apply_filters
-from harmattan.operators.keyed import exact_quantile, null_safe_join
+from harmattan.operators.keyed import exact_quantile
 
 AGGREGATIONS = ("sum", "avg", "mean", "count", "min", "max", "median", "std", "first", "last")
 
@@ -47,8 +47,7 @@ def grouped_metric(
     """Breakdown by the given columns; null keys are a group of their own."""
     x = numeric(df, measure)
     if how == "median":
-        groups = df.select(*by).distinct()
-        return null_safe_join(groups, exact_quantile(df, by, x), by, "left")
+        return exact_quantile(df, by, x)
     value = aggregate(x, how, True, order)
     value = value if how == "count" else value.cast("double")
     return df.groupBy(*by).agg(value.alias("value"))

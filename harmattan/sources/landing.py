@@ -28,7 +28,8 @@ def row_digest(columns: Sequence[str]) -> Column:
     for c in sorted(columns):
         text = F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK))
         cells += [F.length(text).cast("string"), text]
-    return F.unhex(F.md5(F.concat_ws("|", *cells)))
+    # Declared non-null, so joins on it add no filter that would compute it twice.
+    return F.coalesce(F.unhex(F.md5(F.concat_ws("|", *cells))), F.lit(b""))
 
 
 def land(df: DataFrame, business_rules: Sequence[Mapping[str, Any]] = (), required: Sequence[str] = ()) -> DataFrame:
