@@ -97,7 +97,7 @@ def exact_quantile(
         bins.withColumn("__n", F.sum("__c").over(everything))
         .withColumn("__before", F.sum("__c").over(running) - F.col("__c"))
         .withColumn("__pos", position)
-        .where((F.col("__before") <= F.ceil("__pos")) & (F.col("__before") + F.col("__c") > F.floor("__pos")))
+        .where(((F.col("__before") <= F.ceil("__pos")) & (F.col("__before") + F.col("__c") > F.floor("__pos"))) | (F.col("__n") == 0))
         .select(*keys, "__bin", "__before", "__pos")
     )
     inside = W.partitionBy(*keys, "__bin").orderBy("__x").rowsBetween(W.unboundedPreceding, W.currentRow)

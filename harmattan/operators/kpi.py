@@ -326,7 +326,7 @@ def cooldown(df: DataFrame, key: str, ts: str, minutes: float, chunk_hours: floa
         reach = min(int(np.searchsorted(t, start + gap, "left")) + 1, last)
         exits = t[out[:reach]]
         keep = np.append(exits[1:] != exits[:-1], True)
-        return pd.DataFrame({"k": [part["k"].iloc[0]], "c": [int(part["c"].iloc[0])], "entries": [t[:reach][keep].tolist()], "exits": [exits[keep].tolist()]})
+        return pd.DataFrame({"k": pd.Series([part["k"].iloc[0]], dtype=object), "c": [int(part["c"].iloc[0])], "entries": [t[:reach][keep].tolist()], "exits": [exits[keep].tolist()]})
 
     def chain(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("c")
@@ -336,7 +336,8 @@ def cooldown(df: DataFrame, key: str, ts: str, minutes: float, chunk_hours: floa
             i = 0 if state is None else int(np.searchsorted(np.asarray(entries), state + gap, "left"))
             if i < len(entries):
                 state = int(exits[i])
-        return pd.DataFrame({"k": part["k"].to_numpy(), "c": part["c"].to_numpy(), "state": pd.array(entering, dtype="Int64")})
+        names = pd.Series(part["k"].tolist(), dtype=object)
+        return pd.DataFrame({"k": names, "c": part["c"].to_numpy(), "state": pd.Series(entering, dtype=object)})
 
     def replay(part: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(part["t"].to_numpy())
@@ -346,7 +347,8 @@ def cooldown(df: DataFrame, key: str, ts: str, minutes: float, chunk_hours: floa
         while i < len(t):
             kept.append(int(t[i]))
             i = int(np.searchsorted(t, t[i] + gap, "left"))
-        return pd.DataFrame({"k": [part["k"].iloc[0]] * len(kept), "t": pd.array(kept, dtype="int64")})
+        names = pd.Series([part["k"].iloc[0]] * len(kept), dtype=object)
+        return pd.DataFrame({"k": names, "t": np.asarray(kept, dtype="int64")})
 
     functions = moments.groupBy("k", "c").applyInPandas(steps, "k string, c bigint, entries array<bigint>, exits array<bigint>")
     states = functions.groupBy("k").applyInPandas(chain, "k string, c bigint, state bigint")

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from harmattan.functions.numbers import NUMBER
 from harmattan.operators.keyed import number_rows
 
+_BYTES = [bytes([b]) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+LATIN_1_BLOCK = b"".join(_BYTES).decode("latin-1")
+WINDOWS_BLOCK = b"".join(_BYTES).decode("cp1252")
 DELIMITERS = [",", ";", "\t", "|"]
 
 
@@ -20,15 +23,21 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encod
     Delimiter and encoding are detected when not given. Typing is left to the metric layer.
     """
     encoding = encoding or detect_encodings(spark, path).agg(F.max_by("encoding", F.col("encoding") != "utf-8")).first()[0] or "utf-8"
+    # Spark reads Latin-1, which differs from windows-1252 in one block of characters only.
+    charset = "iso-8859-1" if encoding == "windows-1252" else encoding
     if delimiter is None:
-        lines = number_rows(spark.read.option("encoding", encoding).text(path), 0, "line_no").withColumn("file", F.lit(path))
+        lines = number_rows(spark.read.option("encoding", charset).text(path), 0, "line_no").withColumn("file", F.lit(path))
         best = detect_delimiters(lines.withColumnRenamed("value", "line")).first()
         delimiter = best["delimiter"] if best else ","
     df = spark.read.csv(
-        path, sep=delimiter, encoding=encoding, header=header, inferSchema=False, mode="PERMISSIVE", multiLine=False,
+        path, sep=delimiter, encoding=charset, header=header, inferSchema=False, mode="PERMISSIVE", multiLine=False,
         columnNameOfCorruptRecord="_corrupt",
     )
-    return number_rows(df, 2 if header else 1)
+    df = number_rows(df, 2 if header else 1)
+    if encoding == "windows-1252":
+        fix = str.maketrans(LATIN_1_BLOCK, WINDOWS_BLOCK)
+        df = df.select("_row_number", *[F.translate(F.col(f"`{c}`"), LATIN_1_BLOCK, WINDOWS_BLOCK).alias(c.translate(fix)) for c in df.columns[1:]])
+    return df
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False, schema: str | None = None) -> DataFrame:

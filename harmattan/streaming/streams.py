@@ -87,7 +87,7 @@ def alert_stream(events: DataFrame, key: str, event_time: str, minutes: float, l
             i = int(values.searchsorted(last + gap))
         if last is not None:
             state.update((int(last.value // 1000),))
-        yield pd.DataFrame({key: [str(names[0])] * len(kept), event_time: pd.Series(kept, dtype="datetime64[ns]")})
+        yield pd.DataFrame({key: pd.Series([str(names[0])] * len(kept), dtype=object), event_time: pd.Series(kept, dtype="datetime64[ns]")})
 
     watermarked = events.select(F.col(key).cast("string").alias(key), event_time).withWatermark(event_time, lateness)
     return watermarked.groupBy(key).applyInPandasWithState(
