@@ -52,15 +52,21 @@ def parse_date(c: Column, dayfirst: bool = True, local_forms: bool = True) -> Co
     text = stripped(c)
     if local_forms:
         text = F.regexp_replace(text, r"(?i)\b1er\b", "1")
-    tries = [_reordered(text, p, r) for p, r in YEAR_FIRST]
     orders = ("$3-$2-$1", "$3-$1-$2") if dayfirst else ("$3-$1-$2", "$3-$2-$1")
-    tries += [_reordered(text, p, century + order) for order in orders for p, century in SMALL_FIRST]
+    small_first = [_reordered(text, p, century + order) for order in orders for p, century in SMALL_FIRST]
     months = MONTHS if local_forms else ENGLISH_MONTHS
-    tries += [_named(text, months, DAY_NAME_YEAR, 1, 2, 3), _named(text, months, NAME_DAY_YEAR, 2, 1, 3)]
+    named = [_named(text, months, DAY_NAME_YEAR, 1, 2, 3), _named(text, months, NAME_DAY_YEAR, 2, 1, 3)]
+    digits = [_reordered(text, *YEAR_FIRST[1])]
     if local_forms:
         serial = F.regexp_extract(text, r"^\d{4,6}$", 0).try_cast("int")
-        tries.append(F.date_add(F.lit("1899-12-30").cast("date"), F.when(serial.between(1000, 100000), serial)))
-    return F.coalesce(*tries)
+        digits.append(F.date_add(F.lit("1899-12-30").cast("date"), F.when(serial.between(1000, 100000), serial)))
+    # The shape of the beginning picks the family, so a cell meets few patterns.
+    return (
+        F.when(text.rlike(r"^\d{4}[/.-]"), _reordered(text, *YEAR_FIRST[0]))
+        .when(text.rlike(r"^\d{1,2}[/.-]"), F.coalesce(*small_first))
+        .when(text.rlike(r"^\d+$"), F.coalesce(*digits))
+        .otherwise(F.coalesce(*named))
+    )
 
 
 def parse_ranking_date(c: Column) -> Column:
