@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmattan.llm import op2_langid, op4_quality
+from harmattan.llm import op2_langid, op4_quality, op5_packing, op7_bpe_reuse
 from harmattan.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = op4_quality.train(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
     return op4_quality.score(docs, model)
+
+
+@query("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_bpe_chunk_reuse")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_bpe_reuse.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
