@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmattan.llm import op2_langid, op4_quality, op5_packing, op7_bpe_reuse
+from harmattan.llm import op2_langid, op4_quality, op5_packing, op7_bpe_reuse, op8_toxicity
 from harmattan.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_bpe_chunk_reuse")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_bpe_reuse.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_toxicity_deobfuscated")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text; labels are learnt from the folds 1 to 4 of 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    labelled = docs.filter(~held_out).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    model = op8_toxicity.train(docs, labelled)
+    return op8_toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
