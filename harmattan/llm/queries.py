@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmattan.llm import op2_langid, op4_quality, op5_packing, op7_bpe_reuse, op8_toxicity
+from harmattan.llm import op1_surrogates, op2_langid, op4_quality, op5_packing, op7_bpe_reuse, op8_toxicity
 from harmattan.llm.common import fold, table
 
+#: Key of the surrogates of the registered queries; a production run brings its own secret.
+SURROGATE_KEY = "surrogates of the registered queries"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -59,3 +62,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = docs.filter(~held_out).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
     model = op8_toxicity.train(docs, labelled)
     return op8_toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op1_pii_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for the personal data and secrets in its text."""
+    return op1_surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key=SURROGATE_KEY)
