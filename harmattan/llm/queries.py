@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmattan.llm import op1_surrogates, op2_langid, op3_forest, op4_quality, op5_packing, op7_bpe_reuse, op8_toxicity
+from harmattan.llm import op1_surrogates, op2_langid, op3_forest, op4_quality, op5_packing, op7_bpe_reuse, op8_toxicity, op9_substrings
 from harmattan.llm.common import fold, table
 
 #: Key of the surrogates of the registered queries; a production run brings its own secret.
@@ -74,3 +74,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every row whose id is divisible by 20, among all other rows."""
     return op3_forest.search(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)))
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_substrings.report(table(spark, sf_dir, "documents"))
