@@ -2,43 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def shared_runs(rows: DataFrame, key: str, owner: str) -> DataFrame:
-    """The rows whose key occurs under two or more owners, each (key, owner) in a row at least once.
+def shared_runs(rows: DataFrame, key: str, owner: str, *extra: str) -> DataFrame:
+    """The rows whose key occurs under two or more owners; each (key, owner) at least once.
 
-    ``rows`` has the columns key and owner (long, not null). A run is passed on as soon as a second
-    owner shows, so that memory does not depend on its length.
+    All columns are numbers without nulls. A run is passed on as soon as a second owner shows, so
+    that memory does not depend on its length. ``extra`` columns must depend on key and owner alone.
     """
+    columns = [key, owner, *extra]
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int, bool] | None = None  # key, first owner, already passed on
+        held: list | None = None  # first row of the open run
+        passed = False  # whether that row went out already
         for b in batches:
-            keys, owners = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(keys):
+            if not b.num_rows:
                 continue
-            carried = held is not None and keys[0] == held[0]
+            data = [c.to_numpy() for c in b.columns]
+            carried = held is not None and data[0][0] == held[0]
             if carried:
-                keys, owners = np.concatenate([[held[0]], keys]), np.concatenate([[held[1]], owners])
+                data = [np.concatenate([np.array([h], d.dtype), d]) for h, d in zip(held, data)]
+            keys, owners = data[0], data[1]
             begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             size = np.diff(np.append(begin, len(keys)))
-            first = np.repeat(owners[begin], size)
-            several = np.maximum.reduceat(owners != first, begin)
-            open_before = carried and held[2]
-            if open_before:
-                several[0] = True
+            several = np.maximum.reduceat(owners != np.repeat(owners[begin], size), begin)
+            open_before = carried and passed
+            several[0] |= open_before
             keep = np.repeat(several, size)
-            held = (int(keys[-1]), int(first[-1]), bool(several[-1]))
+            held, passed = [d[begin[-1]] for d in data], bool(several[-1])
             if open_before:
-                keep[0] = False  # passed on with an earlier batch
-            yield pa.record_batch([pa.array(keys[keep]), pa.array(owners[keep])], [key, owner])
+                keep[0] = False
+            yield pa.record_batch([pa.array(d[keep]) for d in data], columns)
 
-    return rows.select(key, owner).repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{key} long, {owner} long")
+    return rows.select(*columns).repartition(key).sortWithinPartitions(key).mapInArrow(run, ", ".join(f"{c} {fields[c]}" for c in columns))
 
 
 def later_owners(rows: DataFrame, key: str, owner: str, *extra: str) -> DataFrame:
