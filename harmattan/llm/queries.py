@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmattan.llm import op1_surrogates, op2_langid, op3_forest, op4_quality, op5_packing, op7_bpe_reuse, op8_toxicity, op9_substrings, op10_jaccard
+from harmattan.llm import op1_surrogates, op2_langid, op3_forest, op4_quality, op5_packing, op6_columns, op7_bpe_reuse, op8_toxicity, op9_substrings, op10_jaccard
 from harmattan.llm.common import fold, table
 
 #: Key of the surrogates of the registered queries; a production run brings its own secret.
@@ -84,3 +84,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_jaccard")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_jaccard.join(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+@query("op6_suffix_columns_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_columns.report(table(spark, sf_dir, "documents"))
