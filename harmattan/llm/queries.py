@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,3 +90,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_suffix_columns_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_columns.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
