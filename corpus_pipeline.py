@@ -30,10 +30,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id stays."""
+    """Of every group of linked documents the one with the smallest id stays; rows with a null id stay."""
     groups = op10_jaccard.join(docs)
-    leaders = materialize(groups.filter("doc = component_id").select(F.col("doc").alias("doc_id")))
-    return docs.join(leaders, "doc_id", "left_semi").select(*docs.columns)
+    gone = materialize(groups.filter("doc <> component_id").select(F.col("doc").alias("doc_id")))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

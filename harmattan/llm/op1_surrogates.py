@@ -236,20 +236,23 @@ def exceptions(docs: DataFrame, key: str, text_col: str = "text", max_draws: int
 def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
     """``docs`` with surrogates in the text column, and the number of entities if a name for it is given."""
     other = exceptions(docs, key, text_col)
-    text = F.col(text_col)
+    rest = F.struct(*[docs[c] for c in docs.columns if c != text_col])
+    rows = docs.select(rest.alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     held = (
-        docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(entities(text))).alias("entity"))
+        rows.select("id", F.explode(F.array_distinct(entities(F.col("text")))).alias("entity"))
         .join(other, "entity")
-        .groupBy("_id")
-        .agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("entity", "surrogate")))).alias("_other"))
+        .groupBy("id")
+        .agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("entity", "surrogate")))).alias("other"))
     )
     held = materialize(held)
+    text = F.col("text")
     mark = F.concat(F.lit("\u0001"), F.hex(F.xxhash64(text)), F.lit("\u0001"))
     # One pass of the pattern: parts at odd places are entities.
     parts = F.split(F.regexp_replace(text, F.lit(f"({ENTITY})"), F.concat(mark, F.lit("$1"), mark)), mark, -1)
-    joined = docs.withColumn("_parts", parts).join(held, F.col(id_col) == F.col("_id"), "left")
-    new = F.transform("_parts", lambda p, i: F.when(i % 2 == 1, F.coalesce(F.element_at(F.col("_other"), p), surrogate(p, key))).otherwise(p))
-    columns = [F.when(F.size("_parts") > 1, F.array_join(new, "")).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    joined = rows.withColumn("parts", parts).join(held, "id", "left")
+    new = F.transform("parts", lambda p, i: F.when(i % 2 == 1, F.coalesce(F.element_at(F.col("other"), p), surrogate(p, key))).otherwise(p))
+    new = F.when(F.size("parts") > 1, F.array_join(new, "")).otherwise(text)
+    columns = [(new if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
     if count_col:
-        columns.append(F.coalesce(F.floor(F.size("_parts") / 2), F.lit(0)).cast("long").alias(count_col))
+        columns.append(F.coalesce(F.floor(F.size("parts") / 2), F.lit(0)).cast("long").alias(count_col))
     return joined.select(columns)

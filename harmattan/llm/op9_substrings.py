@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harmattan.llm.kernel import Slice, Words, mix, sliding_argmin, slices, windows, words_of
 from harmattan.llm.runs import later_owners, shared_runs
@@ -103,8 +104,11 @@ def _covered(s: Slice, w: Words, starts: pa.Array, length: int) -> np.ndarray:
 
 
 def _joined(docs: DataFrame, length: int, k: int, id_col: str, text_col: str) -> DataFrame:
-    found = materialize(repeats(docs, length, k, id_col, text_col)).withColumnRenamed("doc", "_doc").withColumnRenamed("starts", "_starts")
-    return docs.join(found, F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
+    """row (all columns but the text), text and the starts of its repeated windows."""
+    found = materialize(repeats(docs, length, k, id_col, text_col))
+    rest = F.struct(*[docs[c] for c in docs.columns if c != text_col])
+    rows = docs.select(rest.alias("row"), docs[text_col].alias("text"), docs[id_col].cast("long").alias("doc"))
+    return rows.join(found, "doc", "left").select("row", "text", "starts")
 
 
 def report(docs: DataFrame, length: int = 13, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,9 +129,9 @@ def report(docs: DataFrame, length: int = 13, k: int = 5, id_col: str = "doc_id"
                     removed.append(n[-1] - (left[i + 1] - left[i]))
                     digest.append(hashlib.sha256(b" ".join(spans[left[i] : left[i + 1]])).hexdigest())
             if n:
-                yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)], [id_col, "n_words", "n_removed", "kept_sha256"])
+                yield pa.record_batch([b.column(0).field(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)], [id_col, "n_words", "n_removed", "kept_sha256"])
 
-    rows = _joined(docs.select(id_col, text_col), length, k, id_col, text_col).select(id_col, text_col, "_starts")
+    rows = _joined(docs.select(docs[id_col], docs[text_col]), length, k, id_col, text_col)
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -136,11 +140,10 @@ def remove(docs: DataFrame, length: int = 13, k: int = 5, id_col: str = "doc_id"
 
     A null text and a text that loses nothing stay unchanged.
     """
-    place = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            texts, starts = b.column(place), b.column(b.num_columns - 1)
+            texts, starts = b.column(1), b.column(2)
             out: list[str | None] = []
             for s in slices(texts):
                 w = words_of(s)
@@ -156,7 +159,8 @@ def remove(docs: DataFrame, length: int = 13, k: int = 5, id_col: str = "doc_id"
                 for i, (a, z) in enumerate(zip(s.starts[:-1].tolist(), s.starts[1:].tolist())):
                     out.append(s.data[a:z][keep[a:z]].tobytes().decode() if touched[i] else raw[a:z].decode())
             if out:
-                new = pa.compute.if_else(pa.compute.is_valid(texts), pa.array(out, texts.type), texts)
-                yield pa.record_batch([new if i == place else b.column(i) for i in range(b.num_columns - 1)], b.schema.names[:-1])
+                yield pa.record_batch([b.column(0), pa.compute.if_else(pa.compute.is_valid(texts), pa.array(out, texts.type), texts)], ["row", "text"])
 
-    return _joined(docs, length, k, id_col, text_col).select(*docs.columns, "_starts").mapInArrow(run, docs.schema)
+    joined = _joined(docs, length, k, id_col, text_col)
+    done = joined.mapInArrow(run, T.StructType([joined.schema["row"], joined.schema["text"]]))
+    return done.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
