@@ -16,6 +16,17 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, key_col: str, text_col: str) -> DataFrame:
+    """k, t, y: texts of at most ``max_rows`` rows of ``labels`` with label 0 or 1, the first by a hash of the key.
+
+    The drawn labels are bounded, so they are broadcast and the texts are not shuffled.
+    """
+    drawn = labels.filter(F.col(label_col).isin(0, 1) & F.col(key_col).isNotNull()).select(F.col(key_col), F.col(label_col).cast("int").alias("y"))
+    drawn = drawn.orderBy(F.xxhash64(F.col(key_col).cast("string"), F.lit(label_col)), key_col, "y").limit(max_rows)
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(key_col), F.col(text_col).alias("t"))
+    return rows.join(F.broadcast(drawn), key_col).select(F.col(key_col).cast("string").alias("k"), "t", "y")
+
+
 def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
@@ -39,19 +50,28 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.n
 
 
 def fit_platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of Platt's calibration, by Newton steps on smoothed targets."""
+    """Slope and offset of Platt's calibration: damped Newton steps on smoothed targets."""
     pos, neg = y.sum(), len(y) - y.sum()
     if not pos or not neg:
         return 1.0, 0.0
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = sigmoid(a * z + b)
-        d, h = p - t, np.maximum(p * (1 - p), 1e-9)
-        grad = np.array([(d * z).sum() + 1e-3 * (a - 1), d.sum()])
-        hess = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-7:
+    scale = max(float(np.abs(z).max()), 1e-9)
+    x = np.stack([z / scale, np.ones(len(z))])
+    ridge = np.array([1e-3, 0.0])
+
+    def loss(v: np.ndarray) -> float:
+        f = v @ x
+        return float((np.logaddexp(0, f) - t * f).sum() + (ridge * v * v).sum() / 2)
+
+    v = np.array([0.0, np.log((pos + 1) / (neg + 1))])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(v @ x, -500, 500)))
+        gradient = x @ (p - t) + ridge * v
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-12)) @ x.T + np.diag(ridge + 1e-9), gradient)
+        size, now = 1.0, loss(v)
+        while size > 1e-8 and loss(v - size * step) > now - 1e-4 * size * (gradient @ step):
+            size /= 2
+        v = v - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return float(max(a, 1e-6)), float(b)
+    return float(max(v[0] / scale, 1e-9)), float(v[1])

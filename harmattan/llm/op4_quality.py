@@ -20,7 +20,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from harmattan.llm import common
 from harmattan.llm.kernel import BYTE_VALUES, Slice, Words, mix, prefix_hash, slices, span_hash, sums, windows, words_of
@@ -130,18 +129,13 @@ def totals(s: Slice, w: Words, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", key_col: str = "doc_id", max_rows: int = 3000, l2: float = 1e-4) -> Model:
-    """Fits and calibrates on at most about ``max_rows`` labelled rows, drawn by hash of the key.
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", key_col: str = "doc_id", max_rows: int = 3000, l2: float = 1e-4) -> Model:
+    """Fits and calibrates on at most ``max_rows`` labelled rows, drawn by hash of the key.
 
     Each sampled text is reduced to hashed counts in the tasks; the fit itself is over that
     bounded sample. One row in four is kept back for the calibration.
     """
-    rows = labelled.filter(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(
-        F.col(key_col).cast("string").alias("k"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")
-    )
-    n = rows.count()
-    share = min(1.0, max_rows / max(n, 1))
-    sample = rows.filter(F.abs(F.xxhash64("k", F.lit("quality"))) % 1_000_000 < int(share * 1_000_000))
+    sample = common.labelled_sample(docs, labels, label_col, max_rows, key_col, text_col)
 
     def counted(batches):
         for b in batches:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from harmattan.llm import common
 from harmattan.llm.kernel import Slice, slices, words_of
+from harmattan.session import materialize
 
 # Signs and the letters they may stand for.
 LEET = {
@@ -267,14 +268,12 @@ class Model:
         return common.sigmoid(self.slope * (np.bincount(doc, self.weights[gram], len(s)) + self.bias) + self.offset)
 
 
-def train(docs: DataFrame, labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_rows: int = 20_000, max_grams: int = 4096, min_z: float = 5.0) -> Model:
-    """Character model over all of ``docs``; classifier on at most about ``max_rows`` labelled rows, drawn by hash of the key."""
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_rows: int = 20_000, max_grams: int = 4096, min_z: float = 5.0) -> Model:
+    """Character model over all of ``docs``; classifier on at most ``max_rows`` labelled rows, drawn by hash of the key."""
     chars = char_model(docs, text_col)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(chars)
-    rows = labelled.filter(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(F.col(key_col).cast("string").alias("k"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
-    share = min(1.0, max_rows / max(rows.count(), 1))
-    sample = rows.filter(F.abs(F.xxhash64("k", F.lit("toxic"))) % 1_000_000 < int(share * 1_000_000))
+    sample = materialize(common.labelled_sample(docs, labels, label_col, max_rows, key_col, text_col))
 
     def count(batches):
         restorer, hits, n = Restorer(shared.value), np.zeros(1 << BITS, np.int64), 0

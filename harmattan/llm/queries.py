@@ -41,7 +41,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_quality_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = op4_quality.train(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    model = op4_quality.train(docs, table(spark, sf_dir, "labels"))
     return op4_quality.score(docs, model)
 
 
@@ -60,8 +60,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text; labels are learnt from the folds 1 to 4 of 5."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id"), 5) == 0
-    labelled = docs.filter(~held_out).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    model = op8_toxicity.train(docs, labelled)
+    model = op8_toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
     return op8_toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
