@@ -72,7 +72,8 @@ PATTERNS = {
     "phone": r"(?=[\d(+])(?:(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<!\d)\+\d{8,15}(?!\d))",
     "person": rf"(?=\p{{Lu}}[\p{{L}}-]+\.? \p{{Lu}})\b(?:(?:{_TITLE})\.? (?:{_NAME})(?: {_NAME}){{0,2}}|(?:{_FIRST}) {_NAME})",
 }
-ENTITY = "|".join(PATTERNS.values())
+#: No entity begins between two letters, which spares most places all alternatives.
+ENTITY = r"(?:(?<![a-z])|(?=[\d(+]))(?:" + "|".join(PATTERNS.values()) + ")"
 #: What every text with an entity holds; a quick test that spares most texts the whole pattern.
 HINT = r"[0-9@=:]|\p{Lu}[\p{L}-]+\.? \p{Lu}"
 
