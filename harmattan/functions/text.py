@@ -130,9 +130,10 @@ def similarity(left: Column, right: Column) -> Column:
     ).cast("int")
 
 
-def edit_distance(left: Column, right: Column, cap: int = 30) -> Column:
-    """Edit distance of short labels; 99 when either is longer than the cap."""
-    return F.when((F.length(left) > cap) | (F.length(right) > cap), F.lit(99)).otherwise(F.levenshtein(left, right))
+def edit_distance(left: Column, right: Column, most: int = 30) -> Column:
+    """Edit distance of labels of any length; 99 when it is more than ``most``, which bounds the work."""
+    distance = F.levenshtein(left, right, most)
+    return F.when(distance < 0, F.lit(99)).otherwise(distance)
 
 
 def extract_labeled_fields(c: Column, labels: Sequence[str]) -> dict[str, Column]:

@@ -44,20 +44,27 @@ def tree_count(n: int) -> int:
 
 
 def subsamples(matrix: DataFrame, key: str, n: int, trees: int, size: int = SUBSAMPLE, seed: int = 42) -> DataFrame:
-    """About ``size`` rows for each tree, with replacement between trees.
+    """About ``size`` rows for each tree, by one rule at every table size.
 
-    A row takes part in tree t when its hash for t falls under size/n. For large tables the
-    row first draws how many trees it joins, so rows are not multiplied by the tree count.
+    A row draws by hash how many trees it joins, from the binomial distribution of ``trees``
+    draws with share size/n, and then that many different trees. Only rows that join some tree
+    are listed per tree, and those are at most about ``size * trees``.
     """
     share = min(1.0, size / max(n, 1))
-    if share * trees >= 1:
-        tagged = matrix.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        draw = F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
-        return tagged.where(draw < share)
-    wanted = share * trees
-    chosen = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / (1 << 30) < wanted
-    tree = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(trees)).cast("int")
-    return matrix.where(chosen).withColumn("tree", tree)
+    # Cumulative binomial probabilities: u above the j-th of them means more than j trees.
+    steps, p = [], (1 - share) ** trees
+    if share < 1:
+        total = 0.0
+        for j in range(trees):
+            total += p
+            steps.append(total)
+            p *= (trees - j) / (j + 1) * share / (1 - share)
+    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    wanted = F.lit(trees) if share >= 1 else F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: u >= s))
+    some = matrix.withColumn("__trees", wanted).where("__trees > 0")
+    order = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(F.col(key), t, F.lit(seed + 1)).alias("h"), t.alias("t")))
+    chosen = F.slice(F.array_sort(order), F.lit(1), F.col("__trees"))
+    return some.withColumn("tree", F.explode(F.transform(chosen, lambda x: x["t"]))).drop("__trees")
 
 
 def _build(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
@@ -161,9 +168,9 @@ def score_rows(matrix: DataFrame, forest: pd.DataFrame, features: Sequence[str])
 
 
 def isolation_forest(
-    df: DataFrame, features: Sequence[str], contamination: float = 0.05, seed: int = 42, key: str = "_row_number"
+    df: DataFrame, features: Sequence[str], contamination: float = 0.05, seed: int = 42, key: str = "_row_number", size: int = SUBSAMPLE
 ) -> DataFrame:
-    """Row id, features, score and outlier flag. The threshold is the exact (1 − contamination) quantile of the scores."""
+    """Row id, features, score and outlier flag; each tree sees about ``size`` rows. The threshold is the exact (1 − contamination) quantile of the scores."""
     from harmattan.session import materialize
 
     if not features:
@@ -174,7 +181,7 @@ def isolation_forest(
     n = matrix.count()
     if n < 2:
         raise ValueError("at least two rows are needed")
-    trees, size = tree_count(n), min(SUBSAMPLE, n)
+    trees, size = tree_count(n), min(size, n)
     forest = fit_forest(subsamples(matrix, key, n, trees, size, seed), features, key, size, seed)
     # Bounded: at most 200 trees of about 2 x 256 nodes each.
     scored = materialize(score_rows(matrix, forest.toPandas(), features))

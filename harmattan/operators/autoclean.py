@@ -121,8 +121,8 @@ def _by_kind(df: DataFrame, fields: Mapping[str, str], keep: Sequence[str]) -> t
     return dates, amounts, texts
 
 
-def date_alerts(column: str, field: str, today: Column) -> list[Column]:
-    """Invalid, too old, far-future and unreadable dates."""
+def date_alerts(column: str, field: str, today: Column, readable: int) -> list[Column]:
+    """Invalid, too old and far-future dates; unreadable ones too if the column has at least two ``readable`` dates."""
     d = F.col(f"__d_{column}")
     out = [
         alert("R07", "MOYEN", column, "invalid_date", F.col(column).isNotNull() & d.isNull()),
@@ -130,7 +130,7 @@ def date_alerts(column: str, field: str, today: Column) -> list[Column]:
     ]
     if field != "date_livraison":
         out.append(alert("R08", "MOYEN", column, "future_date", d > F.date_add(today, 365)))
-    if field == "date":
+    if field == "date" and readable >= 2:
         out.append(alert("R09", "INFO", column, "unreadable_date", d.isNull() & ~is_missing(F.col(column))))
     return out
 
@@ -245,7 +245,8 @@ def auto_clean(
     staged = materialize(with_parsed(tracked(out), fields, convert, rates, keep))
     staged = flag_shared_keys(staged, fields)
     dates, amounts, texts = _by_kind(staged, fields, keep)
-    alerts = [a for c in dates for a in date_alerts(c, fields[c], today)]
+    readable = staged.agg(*[F.count(f"__d_{c}").alias(c) for c in dates]).first().asDict() if dates else {}
+    alerts = [a for c in dates for a in date_alerts(c, fields[c], today, readable[c])]
     medians = scale_medians(staged, amounts)
     alerts += [a for c in amounts for a in amount_alerts(c, fields[c], medians.get(c))]
     out = add_alerts(staged, alerts)

@@ -178,7 +178,7 @@ def notification_totals(events: DataFrame, user: str = "user_id") -> DataFrame:
 
 
 def activity_feed(events: DataFrame, order: str, limit: int = 100) -> DataFrame:
-    return events.orderBy(F.desc(order), *[c for c in events.columns if c != order][:1]).limit(min(limit, 100))
+    return events.orderBy(F.desc(order), *[c for c in events.columns if c != order][:1]).limit(limit)
 
 
 def alert_snapshot(alerts: DataFrame, conflicts: DataFrame, n: int = 5) -> DataFrame:

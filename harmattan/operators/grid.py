@@ -144,8 +144,8 @@ def structure_confidence(cells: DataFrame) -> DataFrame:
     return df.select("sheet_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("confidence"), F.col("t").alias("n_subtables"), F.col("b").alias("n_blank_rows"))
 
 
-def sparse_pivots(cells: DataFrame, header_row: int = 0, n: int = 3) -> DataFrame:
-    """Adjacent numeric columns of which nearly every row fills exactly one.
+def sparse_pivots(cells: DataFrame, header_row: int = 0, n: int = 3, widest: int | None = 8) -> DataFrame:
+    """Adjacent numeric columns of which nearly every row fills exactly one; groups of up to ``widest`` columns, None for any width.
 
     Rows are first counted by their pattern of filled columns, so candidates are tested
     against patterns, not rows.
@@ -156,7 +156,7 @@ def sparse_pivots(cells: DataFrame, header_row: int = 0, n: int = 3) -> DataFram
     )
     numeric = per_column.where((F.col("n") > 0) & (F.col("num") / F.col("n") > 0.7)).groupBy("sheet_id").agg(F.array_sort(F.collect_list("col_idx")).alias("cols"))
     always = per_column.where(F.col("n") / F.col("rows") >= 0.95).groupBy("sheet_id").agg(F.collect_set("col_idx").alias("always"))
-    sized = numeric.where(F.size("cols") >= 3).select("sheet_id", "cols", F.explode(F.sequence(F.lit(3), F.least(F.size("cols"), F.lit(8)))).alias("w"))
+    sized = numeric.where(F.size("cols") >= 3).select("sheet_id", "cols", F.explode(F.sequence(F.lit(3), F.size("cols") if widest is None else F.least(F.size("cols"), F.lit(widest)))).alias("w"))
     starts = sized.select("sheet_id", "cols", "w", F.explode(F.sequence(F.lit(1), F.size("cols") - F.col("w") + 1)).alias("s"))
     groups = starts.select("sheet_id", "w", "s", F.slice("cols", F.col("s"), F.col("w")).alias("group"))
     patterns = (
@@ -175,10 +175,10 @@ def sparse_pivots(cells: DataFrame, header_row: int = 0, n: int = 3) -> DataFram
     return best.select("sheet_id", F.array_join("value_cols", ",").alias("value_cols"), F.round("single", 3).alias("single_value_ratio"), F.round("sparsity", 3).alias("sparsity_score"), "rank")
 
 
-def crosstabs(cells: DataFrame) -> DataFrame:
-    """Sheets with two or more text header rows over a sparse body, with the header path of each value column."""
+def crosstabs(cells: DataFrame, header_rows: int = 6) -> DataFrame:
+    """Sheets with two or more text header rows among the first ``header_rows`` over a sparse body, with the header path of each value column."""
     rows = row_stats(cells)
-    top = rows.where(F.col("row_idx") < 6)
+    top = rows.where(F.col("row_idx") < header_rows)
     order = W.partitionBy("sheet_id").orderBy("row_idx")
     heads = (F.col("n_filled") >= 2) & (F.col("n_words") == F.col("n_filled"))
     marked = top.withColumn("ok", heads).withColumn("seen", F.max(F.col("ok").cast("int")).over(order)).withColumn("empty", F.max((F.col("n_filled") == 0).cast("int")).over(order))

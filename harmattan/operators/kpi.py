@@ -99,28 +99,44 @@ def in_period(df: DataFrame, date_column: str, start: str, end: str) -> DataFram
 
 
 def calculate(df: DataFrame, kpis: Sequence[KPI], date_column: str, start: str, end: str) -> DataFrame:
-    """One row per KPI for a period. KPIs over the same frame share a single scan.
+    """One row per KPI for a period. Aggregate KPIs and expression KPIs without filters share a single scan.
 
-    Filters become conditional aggregates, so they do not split the scan.
+    Filters of aggregates become conditional aggregates, so they do not split the scan. An
+    expression may combine any aggregates, so its filters go before it; SQL formulas are
+    statements of their own and see the filtered table with the period as parameters.
     """
+    from harmattan.operators.filters import condition, find_column
+
     rows = in_period(df, date_column, start, end)
-    out = []
-    for k in kpis:
+
+    def kept(frame: DataFrame, k: KPI) -> Column:
         keep = F.lit(True)
         for item in k.filters:
-            from harmattan.operators.filters import condition, find_column
-
-            column = find_column(rows, item.get("field") or item.get("column") or "")
-            test = condition(rows, column, str(item.get("operator", "eq")).lower(), item.get("value")) if column else None
+            column = find_column(frame, item.get("field") or item.get("column") or "")
+            test = condition(frame, column, str(item.get("operator", "eq")).lower(), item.get("value")) if column else None
             keep = keep if test is None else keep & test
-        if k.formula_type == "expression":
-            value = F.expr(guard_expression(k.formula)).cast("double")
+        return keep
+
+    shared, parts = [], []
+    for k in kpis:
+        if k.formula_type == "sql":
+            value = sql_kpi(df.where(kept(df, k)), k.formula, start, end)
+            seen = rows.agg(F.count_if(kept(rows, k)).alias("rows_processed"))
+            parts.append(value.limit(1).join(seen, how="cross").select(F.lit(k.code).alias("kpi"), F.col("value").alias("calculated_value"), "rows_processed"))
+        elif k.formula_type == "expression" and k.filters:
+            parts.append(expression_kpi(rows.where(kept(rows, k)), k.formula).select(F.lit(k.code).alias("kpi"), F.col("value").alias("calculated_value"), "rows_processed"))
         else:
-            how = {"SUM": "sum", "AVG": "avg", "COUNT": "count", "MIN": "min", "MAX": "max"}.get(k.method.upper(), "sum")
-            value = aggregate(F.when(keep, numeric(rows, k.measure)), how, False).cast("double")
-        out.append(F.struct(F.lit(k.code).alias("kpi"), F.coalesce(value, F.lit(0.0)).alias("calculated_value"), F.count_if(keep).alias("rows_processed")))
-    wide = rows.agg(F.array(*out).alias("k"))
-    long = wide.select(F.inline("k"))
+            if k.formula_type == "expression":
+                value = F.expr(guard_expression(k.formula)).cast("double")
+            else:
+                how = {"SUM": "sum", "AVG": "avg", "COUNT": "count", "MIN": "min", "MAX": "max"}.get(k.method.upper(), "sum")
+                value = aggregate(F.when(kept(rows, k), numeric(rows, k.measure)), how, False).cast("double")
+            shared.append(F.struct(F.lit(k.code).alias("kpi"), F.coalesce(value, F.lit(0.0)).alias("calculated_value"), F.count_if(kept(rows, k)).alias("rows_processed")))
+    if shared:
+        parts.insert(0, rows.agg(F.array(*shared).alias("k")).select(F.inline("k")))
+    long = parts[0]
+    for part in parts[1:]:
+        long = long.unionByName(part)
     return long.select(
         "kpi", F.lit(start).cast("date").alias("period_start"), F.lit(end).cast("date").alias("period_end"), "calculated_value", "rows_processed",
         F.least(F.lit(100.0), F.col("rows_processed").cast("double")).alias("data_quality_score"),

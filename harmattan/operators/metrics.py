@@ -98,11 +98,11 @@ def fused_metrics(df: DataFrame, configs: Sequence[Mapping[str, Any]]) -> DataFr
 
 
 def breakdown_by_dimension(df: DataFrame, dimensions: Sequence[str], measure: str) -> DataFrame:
-    """Sum per value of each of the first three dimensions, in one pass over the rows.
+    """Sum per value of each dimension, in one pass over the rows.
 
     Rows are combined over all dimensions together before the grouping sets multiply them.
     """
-    dims = list(dimensions)[:3]
+    dims = list(dimensions)
     x = numeric(df, measure)
     keyed = df.select(*[F.coalesce(F.col(d).cast("string"), F.lit("Unknown")).alias(d) for d in dims], x.alias("__x"))
     base = keyed.groupBy(*dims).agg(F.sum("__x").alias("__x"))

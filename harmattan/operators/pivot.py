@@ -120,11 +120,21 @@ def labelled(long: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> Da
 def pivot_wide(
     long: DataFrame, rows: Sequence[str], columns: Sequence[str], values: Sequence[str] | None = None, fill: float | None = 0.0
 ) -> DataFrame:
-    """One column per column path, empty cells filled. The value list is the schema; pass it to save a job."""
+    """One column per column path, empty cells filled. The value list is the schema; pass it to save a job.
+
+    All labels found become columns, TOTAL last. Beyond the session's limit for pivots
+    (``spark.sql.pivotMaxValues``) no schema is built and an error says so; the long form has no limit.
+    """
     paths = labelled(long, rows, columns)
     if values is None:
-        found = paths.select("col_label").distinct().orderBy("col_label").limit(10_000).collect()
-        values = [r[0] for r in found if r[0] != TOTAL] + ([TOTAL] if any(r[0] == TOTAL for r in found) else [])
+        most = int(long.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        labels = paths.select("col_label").where(F.col("col_label") != TOTAL).distinct()
+        n = labels.count()
+        if n > most:
+            raise ValueError(f"{n} column labels exceed spark.sql.pivotMaxValues = {most}; raise it or stay with the long form")
+        values = sorted(r[0] for r in labels.collect())
+        if not paths.where(F.col("col_label") == TOTAL).isEmpty():
+            values.append(TOTAL)
     wide = paths.groupBy("row_label").pivot("col_label", list(values)).agg(F.first("value"))
     return wide if fill is None else wide.fillna(fill, list(values))
 

@@ -280,7 +280,8 @@ def detect_conflicts(df: DataFrame, payload: str | None = None) -> DataFrame:
     found = found.unionByName(_typed(format_conflicts(df), "FORMAT_INCONSISTENCY", F.col("field"), F.col("invalid_count")))
     if payload:
         found = found.unionByName(_typed(type_conflicts(df, payload), "DATA_TYPE_MISMATCH", F.col("field"), F.col("n_values")))
-    signature = F.md5(F.concat_ws(":", "code", F.coalesce("field", F.lit("")), F.when(F.col("code").isin("DUPLICATE_RECORDS", "BUSINESS_CONFLICT"), F.col("affected").cast("string"))))
+    # What is wrong and where, not how often: a conflict that grows stays the same conflict.
+    signature = F.md5(F.concat_ws(":", "code", F.coalesce("field", F.lit(""))))
     return found.withColumn("signature", signature)
 
 

@@ -80,7 +80,7 @@ def relate(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def _name_bonus(left: Column, right: Column) -> Column:
     a, b = F.lower(F.trim(left)), F.lower(F.trim(right))
-    distance, longest = edit_distance(a, b), F.greatest(F.length(a), F.length(b))
+    distance, longest = edit_distance(a, b, 3), F.greatest(F.length(a), F.length(b))
     return (
         F.when(a == b, 0.15).when(a.contains(b) | b.contains(a), 0.10)
         .when((distance <= 3) & (distance / longest < 0.4), 0.05).otherwise(0.0)
@@ -102,7 +102,11 @@ def set_relation(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def walk(relations: Sequence[Relation], start: str | None = None) -> list[Relation]:
-    """Relations in breadth-first order from the fact table (a table no relation points to)."""
+    """Relations in breadth-first order from the fact table (a table no relation points to).
+
+    Every relation of a reached table is taken once, so two relations to one table are two
+    joins; a table is left only once, which ends cycles.
+    """
     live = [r for r in relations if r.active]
     targets = {r.to_sheet for r in live}
     start = start or next((r.from_sheet for r in live if r.from_sheet not in targets), live[0].from_sheet)
@@ -110,17 +114,19 @@ def walk(relations: Sequence[Relation], start: str | None = None) -> list[Relati
     while frontier:
         sheet = frontier.pop(0)
         for r in live:
-            if r.from_sheet == sheet and r.to_sheet not in reached:
+            if r.from_sheet == sheet and r.to_sheet != start:
                 order.append(r)
-                reached.add(r.to_sheet)
-                frontier.append(r.to_sheet)
+                if r.to_sheet not in reached:
+                    reached.add(r.to_sheet)
+                    frontier.append(r.to_sheet)
     return order
 
 
 def joined_view(tables: Mapping[str, DataFrame], relations: Sequence[Relation], start: str | None = None, blank_nulls: bool = False) -> DataFrame:
     """Left joins along every relation reachable from the fact table.
 
-    Clashing names get the target table as suffix. Small dimensions are broadcast by the
+    Clashing names get the target table as suffix; a further relation to a table already joined
+    joins it again, with the columns of the relation in the suffix. Small dimensions are broadcast by the
     optimiser after it has checked their size.
     """
     order = walk(relations, start)
@@ -129,10 +135,13 @@ def joined_view(tables: Mapping[str, DataFrame], relations: Sequence[Relation],
     owner = {(base, c): c for c in df.columns}
     for r in order:
         right = tables[r.to_sheet]
-        names = {c: (f"{c}_{r.to_sheet}" if c in df.columns else c) for c in right.columns}
+        again = (r.to_sheet, r.to_column) in owner
+        suffix = f"{r.to_sheet}_{r.from_column}" if again else r.to_sheet
+        names = {c: (f"{c}_{suffix}" if c in df.columns else c) for c in right.columns}
         right = right.toDF(*[names[c] for c in right.columns])
         df = df.join(right, df[owner[(r.from_sheet, r.from_column)]] == right[names[r.to_column]], "left")
-        owner.update({(r.to_sheet, c): n for c, n in names.items()})
+        if not again:
+            owner.update({(r.to_sheet, c): n for c, n in names.items()})
     if blank_nulls:
         df = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
     return df

@@ -123,53 +123,42 @@ def hash_embedding(df: DataFrame, key: str, text: str, dim: int = 384) -> DataFr
 
 
 def nearest(
-    queries: DataFrame, examples: DataFrame, vector: str, key: str, k: int = 5, minimum: float = 0.3, max_queries: int = 10_000
+    queries: DataFrame, examples: DataFrame, vector: str, key: str, k: int = 5, minimum: float = 0.3, block_rows: int = 8192
 ) -> DataFrame:
     """Best ``k`` examples by cosine for each query vector, above a minimum; exact.
 
-    The query side is counted first and shipped as a matrix of at most ``max_queries`` rows;
-    more queries are worked off in slices of that size. Each task multiplies its batches with
-    the matrix and passes on only its own best per query, so no pair table ever exists.
+    Both sides are dealt by hash into blocks of about ``block_rows``; a task multiplies one block of
+    queries with one of examples and passes on only its own best per query. Neither side goes through the
+    driver, and a task's memory is bounded by two blocks whatever the sizes.
     """
-    n = queries.count()
-    slices = max(1, -(-n // max_queries))
     id_type = examples.schema[key].dataType.simpleString()
-    out = None
-    for i in range(slices):
-        part = queries if slices == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(slices)) == i)
-        best = _local_best(part.select(key, vector).toPandas(), examples.select(key, vector), id_type, k, minimum)
-        out = best if out is None else out.unionByName(best)
-    return top_per_key(out, ["query_id"], [F.desc("similarity"), F.col("example_id")], k)
+    n_queries, n_examples = (max(1, -(-side.count() // block_rows)) for side in (queries, examples))
 
+    def dealt(side: DataFrame, own: str, n: int, other: str, n_other: int) -> DataFrame:
+        rows = side.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+        return rows.withColumns({own: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))})
 
-def _local_best(queries: pd.DataFrame, examples: DataFrame, id_type: str, k: int, minimum: float) -> DataFrame:
-    """Per task: the best ``k`` examples it holds for every query."""
     def matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         x = np.stack([np.asarray(v, dtype=float) for v in vectors])
         return x, np.linalg.norm(x, axis=1)
 
-    if queries.empty:
-        return examples.sparkSession.createDataFrame([], f"query_id {id_type}, example_id {id_type}, similarity double")
-    shipped = examples.sparkSession.sparkContext.broadcast((queries.iloc[:, 0].to_numpy(), *matrix(queries.iloc[:, 1])))
-
-    def task(batches):
-        ids, q, q_norm = shipped.value
-        kept = None
-        for batch in batches:
-            if batch.empty:
-                continue
-            names = batch.iloc[:, 0].to_numpy()
-            x, x_norm = matrix(batch.iloc[:, 1])
-            scores = (x @ q.T) / (np.outer(x_norm, q_norm) + 1e-8)
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame({"query_id": [], "example_id": [], "similarity": []})
+        (q, q_norm), (x, x_norm) = matrix(asked["v"]), matrix(held["v"])
+        found = []
+        for lo in range(0, len(q), 512):
+            scores = (q[lo : lo + 512] @ x.T) / (np.outer(q_norm[lo : lo + 512], x_norm) + 1e-8)
             row, col = np.nonzero(scores >= minimum)
-            found = pd.DataFrame({"query_id": ids[col], "example_id": names[row], "similarity": scores[row, col]})
-            found = found[found["query_id"] != found["example_id"]]
-            kept = found if kept is None else pd.concat([kept, found])
-            kept = kept.sort_values(["query_id", "similarity", "example_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if kept is not None:
-            yield kept
-
-    return examples.mapInPandas(task, f"query_id {id_type}, example_id {id_type}, similarity double")
+            part = pd.DataFrame({"query_id": asked["id"].to_numpy()[lo + row], "example_id": held["id"].to_numpy()[col], "similarity": scores[row, col]})
+            part = part[part["query_id"] != part["example_id"]]
+            found.append(part.sort_values(["query_id", "similarity", "example_id"], ascending=[True, False, True]).groupby("query_id").head(k))
+        return pd.concat(found)
+
+    left = dealt(queries, "a", n_queries, "b", n_examples).groupBy("a", "b")
+    right = dealt(examples, "b", n_examples, "a", n_queries).groupBy("a", "b")
+    out = left.cogroup(right).applyInPandas(best, f"query_id {id_type}, example_id {id_type}, similarity double")
+    return top_per_key(out, ["query_id"], [F.desc("similarity"), F.col("example_id")], k)
 
 
 # --- close spellings ----------------------------------------------------------------------------

@@ -294,7 +294,8 @@ def kpi_named_aggregates(t: Tables):
     f"""{ctes('dirty_orders')} , v AS (SELECT *, {_NUM.format(c='quantite')} AS x FROM dirty_orders)
 SELECT 'statut' AS dimension, COALESCE(statut, 'Unknown') AS member, COALESCE(SUM(x), 0) AS value FROM v GROUP BY 2
 UNION ALL SELECT 'categorie', COALESCE(categorie, 'Unknown'), COALESCE(SUM(x), 0) FROM v GROUP BY 2
-UNION ALL SELECT 'client', COALESCE(client, 'Unknown'), COALESCE(SUM(x), 0) FROM v GROUP BY 2""",
+UNION ALL SELECT 'client', COALESCE(client, 'Unknown'), COALESCE(SUM(x), 0) FROM v GROUP BY 2
+UNION ALL SELECT 'email', COALESCE(email, 'Unknown'), COALESCE(SUM(x), 0) FROM v GROUP BY 2""",
 )
 def kpi_dimension_breakdown(t: Tables):
     return metrics.breakdown_by_dimension(t.dirty_orders, ["statut", "categorie", "client", "email"], "quantite")

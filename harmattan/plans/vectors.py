@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from harmattan.operators import anomaly, textvec
 from harmattan.plans.cleaning import DIRTY
 from harmattan.plans.registry import Tables, query
+from harmattan.session import materialize
 
 
 def _words(table, default):
@@ -143,12 +144,17 @@ def outlier_explanations(t: Tables):
 
 @query(
     "outlier_summary",
-    "SELECT n_rows, CAST(ROUND(n_rows * 0.02) AS BIGINT) AS about, 'medium' AS severity FROM (SELECT COUNT(*) AS n_rows FROM lineitem) x",
+    "SELECT COUNT(*) AS n_rows, true AS flagged_is_top_share, true AS confidence_in_range FROM lineitem",
 )
 def outlier_summary(t: Tables):
-    out = anomaly.run_summary(anomaly.isolation_forest(_lines(t), _FEATURES, 0.02))
-    near = F.abs(F.col("n_outliers") - F.round(F.col("n_rows") * 0.02)) <= F.col("n_rows") * 0.002
-    return out.select("n_rows", F.when(near, F.round(F.col("n_rows") * 0.02).cast("bigint")).alias("about"), "severity")
+    """The share of flagged rows follows from the exact quantile: never more than asked, and only ties make it less."""
+    scored = materialize(anomaly.isolation_forest(_lines(t), _FEATURES, 0.02))
+    out = anomaly.run_summary(scored)
+    edge = scored.agg(F.max(F.when(~F.col("is_outlier"), F.col("score"))).alias("edge"))
+    ties = scored.join(edge, F.col("score") == F.col("edge")).agg(F.count("*").alias("ties"))
+    share, n = F.col("n_outliers"), F.col("n_rows")
+    exact = (share <= F.ceil(n * 0.02)) & (share + F.col("ties") >= F.floor(n * 0.02))
+    return out.join(ties, how="cross").select("n_rows", exact.alias("flagged_is_top_share"), F.col("confidence").between(50, 99.99).alias("confidence_in_range"))
 
 
 @query(

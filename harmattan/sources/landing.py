@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from harmattan.functions.nulls import data_columns
 
-NULL_MARK = "∅"
-
-
 def row_fingerprint(columns: Sequence[str]) -> Column:
     """SHA-256 of the row as JSON with sorted keys and explicit nulls."""
     body = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
@@ -23,11 +20,11 @@ def row_fingerprint(columns: Sequence[str]) -> Column:
 
 
 def row_digest(columns: Sequence[str]) -> Column:
-    """Compact digest for grouping equal rows; nulls are marked and lengths delimit the cells."""
+    """Compact digest for grouping equal rows; lengths delimit the cells, and a null has length -1, which no text has."""
     cells = []
     for c in sorted(columns):
-        text = F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK))
-        cells += [F.length(text).cast("string"), text]
+        text = F.col(c).cast("string")
+        cells += [F.coalesce(F.length(text), F.lit(-1)).cast("string"), F.coalesce(text, F.lit(""))]
     # Declared non-null, so joins on it add no filter that would compute it twice.
     return F.coalesce(F.unhex(F.md5(F.concat_ws("|", *cells))), F.lit(b""))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -22,15 +22,28 @@ from harmattan.sources.landing import row_digest
 
 
 def read_stream(spark: SparkSession, folder: str, pattern: str, event_time: str | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """Files of a folder as a stream; the event time becomes a real timestamp."""
-    schema = spark.read.parquet(f"{folder}/{pattern}").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """A table as a stream, be it one file or a folder of part files; the event time becomes a real timestamp."""
+    path = f"{folder}/{pattern}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    df = reader.parquet(folder)
+    # Streams read folders; of a folder that holds single files the name picks one.
+    df = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", pattern).parquet(folder)
     return df.withColumn(event_time, F.col(event_time).cast("timestamp")) if event_time else df
 
 
+def _status(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getFileStatus(place) if files.exists(place) else None
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    status = _status(spark, path)
+    return status is not None and status.isDirectory()
+
+
 def run_available(stream: DataFrame, output: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Work off what is there, append to parquet, read the result back."""
     base = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
@@ -117,10 +130,11 @@ def incremental_conflicts(index_path: str, conflicts_path: str) -> Callable[[Dat
         spark = batch.sparkSession
         fresh = batch.select(business_key(batch).alias("key"), row_digest(data_columns(batch)).alias("digest"))
         fresh = fresh.where("key IS NOT NULL").groupBy("key", "digest").agg(F.count("*").alias("n"))
-        try:
-            known = spark.read.schema("key string, digest binary, n bigint, batch bigint").parquet(index_path).where(F.col("batch") < batch_id)
-        except Exception:  # noqa: BLE001 - no index yet
-            known = spark.createDataFrame([], "key string, digest binary, n bigint, batch bigint")
+        schema = "key string, digest binary, n bigint, batch bigint"
+        if is_folder(spark, index_path):
+            known = spark.read.schema(schema).parquet(index_path).where(F.col("batch") < batch_id)
+        else:
+            known = spark.createDataFrame([], schema)
         past = known.join(fresh.select("key").distinct(), "key", "left_semi").select("key", "digest", "n")
         both = fresh.unionByName(past).groupBy("key", "digest").agg(F.sum("n").alias("n"))
         per_key = both.groupBy("key").agg(F.count("*").alias("variants"), F.sum("n").alias("n_rows"))
@@ -145,11 +159,21 @@ def run_incremental(stream: DataFrame) -> DataFrame:
 
 
 def run_observed(stream: DataFrame, name: str, metrics: Mapping[str, Any]) -> DataFrame:
-    """Quality metrics per micro-batch through ``observe``; one small row per batch."""
-    spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/observed-{uuid.uuid4().hex}"
-    observed = stream.observe(name, *[m.alias(c) for c, m in metrics.items()])
-    query = observed.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/data")
+    """Quality metrics per micro-batch, observed while the batch is written; one row per batch on disk.
+
+    Nothing is kept in the query's progress, which forgets all but the last batches. Folders carry the batch id
+    and are overwritten, so a replayed batch leaves the same files.
+    """
+    base = f"{shared_folder(stream.sparkSession)}/observed-{uuid.uuid4().hex}"
+    schema = ", ".join(f"{c} bigint" for c in metrics)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation(f"{name}-{batch_id}")
+        observed = batch.observe(seen, *[m.alias(c) for c, m in metrics.items()])
+        observed.write.mode("overwrite").parquet(f"{base}/data/batch={batch_id}")
+        row = batch.sparkSession.createDataFrame([tuple(seen.get[c] for c in metrics)], schema)
+        row.write.mode("overwrite").parquet(f"{base}/metrics/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = [(p["batchId"], *[p["observedMetrics"][name][c] for c in metrics]) for p in query.recentProgress if name in p["observedMetrics"]]
-    return spark.createDataFrame(rows, "batch bigint, " + ", ".join(f"{c} bigint" for c in metrics))
+    return stream.sparkSession.read.schema(f"{schema}, batch bigint").parquet(f"{base}/metrics").select("batch", *metrics)

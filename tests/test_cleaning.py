@@ -106,7 +106,9 @@ def test_similarity_and_distance(spark):
     df = spark.createDataFrame([("Dist. Ouaga", "ouaga dist"), ("abcd", "abxd")], "a string, b string")
     score = text.similarity(text.token_sorted(F.col("a")), text.token_sorted(F.col("b")))
     assert column_of(df, score) == [100, 75]
-    assert column_of(texts(spark, "x" * 31), text.edit_distance(F.col("v"), F.lit("x"))) == [99]
+    assert column_of(texts(spark, "x" * 31), text.edit_distance(F.col("v"), F.lit("x"))) == [30]
+    assert column_of(texts(spark, "x" * 32), text.edit_distance(F.col("v"), F.lit("x"))) == [99]
+    assert column_of(texts(spark, "x" * 500 + "y"), text.edit_distance(F.col("v"), F.lit("x" * 500), 3)) == [1]
 
 
 def test_dates(spark):
