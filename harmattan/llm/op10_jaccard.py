@@ -13,9 +13,10 @@ put into size bands; in the scheme of a band, a hash deals the shingles to m seg
 A set takes part in the scheme of its own band and in those of smaller sets it may be linked
 with. Keys held by one set only are streamed away; what is left makes candidates without listing the pairs
 of a group: all members of a key are paired with one pivot, verified on a histogram sketch
-(distance at most H) and then on the sets, and linked ones are merged; after some rounds with
-other pivots only pairs whose members are still apart are left, and these are all verified. So no
-link between components is lost, and a large group of copies costs a few pairs for each member.
+(distance at most H) and then on the sets, and linked ones are merged. Sets that have too few items in
+common with all others that are still apart leave; after some rounds with other pivots only pairs whose members are
+still apart are left, and these are all verified. So no link between components is lost, and a large group of copies costs
+a few pairs for each member.
 
 Equal sets count as one throughout, by 64-bit digest. Tokens are 64-bit hashes of word n-grams.
 
@@ -188,11 +189,13 @@ def _signature_rows(docs: DataFrame, n: int, scheme: Bands, id_col: str, text_co
 
 
 def candidate_keys(docs: DataFrame, n: int, scheme: Bands, id_col: str, text_col: str) -> DataFrame:
-    """key, set of the keys that two or more sets share after each has dropped its most frequent ones."""
+    """key, set of the keys that two or more sets share after each has dropped its most frequent ones;
+    weight is the number of keys that the set keeps in the scheme."""
     shared = materialize(shared_runs(_signature_rows(docs, n, scheme, id_col, text_col), "key", "set", "spare").distinct())
     often = shared.groupBy("key").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("set", F.col("key").bitwiseAND(F.lit(127))).orderBy(F.col("key").bitwiseAND(F.lit(EMPTY_BIT)).desc(), F.desc("often"), "key")
-    kept = shared.join(often, "key").withColumn("place", F.row_number().over(order)).filter("place > spare").select("key", "set")
+    own = Window.partitionBy("set", F.col("key").bitwiseAND(F.lit(127)))
+    order = own.orderBy(F.col("key").bitwiseAND(F.lit(EMPTY_BIT)).desc(), F.desc("often"), "key")
+    kept = shared.join(often, "key").withColumns({"place": F.row_number().over(order), "all": F.count("*").over(own)}).filter("place > spare").select("key", "set", (F.col("all") - F.col("spare")).alias("weight"))
     return materialize(kept)
 
 
@@ -209,6 +212,21 @@ def _set_rows(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc").select("set", "text").mapInArrow(run, "`set` long, items array<long>")
 
 
+def supported(sets: DataFrame, items: DataFrame, one_in: int, percent: int) -> DataFrame:
+    """Those of the sets that may have a link among them: a set that is linked shares all but
+    (100 - percent) % of its items, so no more of its items, in any part of the universe, may be without a second owner.
+
+    Only the items of one in ``one_in`` parts of the universe are listed.
+    """
+    part = F.filter("items", lambda i: F.pmod(F.xxhash64(i), F.lit(one_in)) == 0)
+    own = items.join(sets, "set").select("set", F.size("items").alias("n"), part.alias("part"))
+    listed = own.select("set", F.explode("part").alias("item"))
+    twice = listed.groupBy("item").agg(F.count("*").alias("owners")).filter("owners > 1")
+    shared = listed.join(twice, "item", "left_semi").groupBy("set").agg(F.count("*").alias("shared"))
+    alone = F.size("part") - F.coalesce("shared", F.lit(0))
+    return own.join(shared, "set", "left").filter(100 * alone <= (100 - percent) * F.col("n")).select("set")
+
+
 def _linked(common: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * common >= percent * (a + b - common)
 
@@ -225,29 +243,44 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, pivots: int = 3, id_col
     sketches = materialize(wanted.select("set", "n", "sketch"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """a, b of the pairs that are linked."""
-        left, right = (sketches.select(*[F.col(c).alias(c if c == side else f"{c}_{side}") for c in ("set", "n", "sketch")]).withColumnRenamed(f"set_{side}", side) for side in ("a", "b"))
+        """Components of the members of those pairs that are linked."""
+        left, right = (sketches.select(*[F.col(c).alias(side if c == "set" else f"{c}_{side}") for c in ("set", "n", "sketch")]) for side in ("a", "b"))
         most = F.floor((100 - percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
         apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-        near = pairs.join(left, "a").join(right, "b").filter(apart <= most).select("a", "b", "n_a", "n_b")
+        near = pairs.join(left, "a").join(right, "b").filter(apart <= most).drop("sketch_a", "sketch_b")
         full = near.join(items.select(F.col("set").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("set").alias("b"), F.col("items").alias("y")), "b")
-        return full.filter(_linked(F.size(F.array_intersect("x", "y")), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+        return full.filter(_linked(F.size(F.array_intersect("x", "y")), F.col("n_a"), F.col("n_b"), percent)).select("component_a", "component_b").distinct()
 
-    links, labelled = None, keys.withColumn("component", F.col("set"))
+    def ordered(set_a: str, component_a: str, set_b: str, component_b: str) -> list[Column]:
+        """a < b, so that a pair found under several keys is one row."""
+        swap = F.col(set_a) > F.col(set_b)
+        return [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for name, x, y in (("a", set_a, set_b), ("b", set_b, set_a), ("component_a", component_a, component_b), ("component_b", component_b, component_a))]
+
+    open_, merges = keys.withColumn("component", F.col("set")), []
     for turn in range(pivots + 1):
-        apart = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by(F.struct("set", "component"), F.xxhash64("set", F.lit(turn))).alias("pivot")).filter("least < most")
+        if turn in (1, 2):
+            # Sets without enough common items leave; first by a part of the universe, then by all of it.
+            still = materialize(supported(open_.select("set").distinct(), items, 4 if turn == 1 else 1, percent))
+            open_ = open_.join(still, "set", "left_semi")
+        # Keys whose members are still in different components, each with another pivot; first the set that shares most.
+        pivot = F.min_by(F.struct("set", "component"), F.struct(-F.col("weight"), "set") if turn == 0 else F.xxhash64("set", F.lit(turn)))
+        apart = open_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), pivot.alias("pivot")).filter("least < most")
+        open_ = materialize(open_.join(apart.select("key", F.col("pivot.set").alias("pivot"), F.col("pivot.component").alias("pivot_component")), "key"))
+        if open_.isEmpty():
+            break
         if turn < pivots:
-            # Every member against one pivot of its key.
-            pairs = labelled.join(apart.select("key", "pivot"), "key").filter(F.col("component") != F.col("pivot.component")).select(F.least("set", "pivot.set").alias("a"), F.greatest("set", "pivot.set").alias("b"))
+            pairs = open_.filter("component <> pivot_component").select(*ordered("set", "component", "pivot", "pivot_component"))
         else:
-            # What is still apart: all pairs of members in different components.
-            rest = materialize(labelled.join(apart.select("key"), "key", "left_semi"))
-            other = rest.select("key", F.col("set").alias("b"), F.col("component").alias("with"))
-            pairs = rest.withColumnRenamed("set", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("with"))).select("a", "b")
-        found = materialize(verified(pairs.distinct()))
-        links = found if links is None else links.union(found)
-        grouped = components(links)
-        labelled = materialize(keys.join(grouped.withColumnRenamed("node", "set"), "set", "left").select("key", "set", F.coalesce("component", "set").alias("component")))
-    label = info.join(grouped.select(F.col("node").alias("set"), "component"), "set", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "set")).alias("label"))
+            # All pairs of members that are still apart.
+            other = open_.select("key", F.col("set").alias("other"), F.col("component").alias("other_component"))
+            pairs = open_.join(other, "key").filter("`set` < other AND component <> other_component").select(*ordered("set", "component", "other", "other_component"))
+        merged = components(verified(pairs.distinct()), "component_a", "component_b")
+        merges.append(merged)
+        open_ = open_.select("key", "set", "weight", "component").join(merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
+        open_ = open_.select("key", "set", "weight", F.coalesce("new", "component").alias("component"))
+    label = info.select("doc", "n", F.when(F.col("n") > 0, F.col("set")).alias("label"))
+    for merged in merges:
+        label = label.join(merged.select(F.col("node").alias("label"), F.col("component").alias("new")), "label", "left").select("doc", "n", F.coalesce("new", "label").alias("label"))
+    label = materialize(label)
     least = label.filter("n > 0").groupBy("label").agg(F.min("doc").alias("component_id"))
     return label.join(least, "label", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
