@@ -76,17 +76,47 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_forest.search(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)))
 
 
-@query("op9_substring_dedup")
+@query(
+    "op9_substring_dedup",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d) x),
+ f AS (SELECT k, MIN(doc_id) AS m FROM g GROUP BY k),
+ r AS (SELECT DISTINCT doc_id, p FROM (SELECT g.doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (k) WHERE m < g.doc_id) x),
+ w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+ s AS (SELECT w.doc_id, COUNT(r.p) AS gone, string_agg(CASE WHEN r.p IS NULL THEN word END, ' ' ORDER BY w.p) AS kept FROM w LEFT JOIN r ON w.doc_id = r.doc_id AND w.p = r.p GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)""",
+)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_substrings.report(table(spark, sf_dir, "documents"))
 
 
-@query("op10_ngram_jaccard")
+@query(
+    "op10_ngram_jaccard",
+    r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ t AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 5 THEN array_to_string(ws[i:i + 4], ' ') ELSE array_to_string(ws, ' ') END AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws) + 1, 2)))) AS i FROM d) x),
+ n AS (SELECT doc_id, COUNT(*) AS n FROM t GROUP BY 1),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(ANY_VALUE(n), 0) AS n_shingles, MIN(r.b) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON d.doc_id = r.a GROUP BY 1""",
+)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_jaccard.join(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
-@query("op6_suffix_columns_dedup")
+@query(
+    "op6_suffix_columns_dedup",
+    """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ b AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+ g AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM b) x),
+ f AS (SELECT k FROM g GROUP BY k HAVING COUNT(*) > 1),
+ o AS (SELECT doc_id, i, i > 199 + coalesce(LAG(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 1 AS far FROM g SEMI JOIN f USING (k)),
+ q AS (SELECT doc_id, i, SUM(CAST(far AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+ r AS (SELECT doc_id, MIN(i) AS a, MAX(i) + 200 AS z FROM q GROUP BY doc_id, run),
+ e AS (SELECT *, coalesce(LAG(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS past, LEAD(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM r),
+ k AS (SELECT doc_id, SUM(z - a) AS gone, COUNT(*) AS spans, string_agg(substr(h, 2 * past + 1, 2 * (a - past)), '' ORDER BY a) || substr(ANY_VALUE(h), 2 * MAX(z) + 1) AS kept FROM e JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN k USING (doc_id)""",
+)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_columns.report(table(spark, sf_dir, "documents"))
 
