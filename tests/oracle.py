@@ -48,7 +48,9 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
     took = time.time() - started
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        return True, f"{len(mine)} rows, no SQL, {took:.1f}s"
+        return False, f"{len(mine)} rows, no SQL, {took:.1f}s"
+    if not mine:
+        return False, "no rows"
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     theirs = rows_of(names, result.fetchall())
@@ -58,7 +60,7 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
     if mine != theirs:
         a, b = set(mine), set(theirs)
         return False, f"{len(mine)} vs {len(theirs)} rows; only spark {sorted(a - b)[:3]}; only sql {sorted(b - a)[:3]}"
-    return True, f"{len(mine)} rows, {took:.1f}s" + (f" (has {kinds})" if kinds else "") + (" EMPTY" if not mine else "")
+    return True, f"{len(mine)} rows, {took:.1f}s" + (f" (has {kinds})" if kinds else "")
 
 
 if __name__ == "__main__":

@@ -95,3 +95,18 @@ def test_nearest_in_blocks(spark):
     parts = textvec.nearest(df, df, "v", "k", block_rows=64).toPandas()
     order = ["query_id", "rank"] if "rank" in whole else ["query_id", "example_id"]
     pd.testing.assert_frame_equal(whole.sort_values(order).reset_index(drop=True), parts.sort_values(order).reset_index(drop=True))
+
+
+def test_registered_forest(spark, tables):
+    """Every row once, the flagged share exact up to ties, every flagged score above every other; explanations hold."""
+    from harmattan.plans.registry import QUERIES
+
+    rows = tables.lineitem.distinct().count()
+    scored = QUERIES["outlier_forest"](tables).toPandas()
+    flagged = scored[scored["is_outlier"]]
+    assert scored["_row_number"].nunique() == rows and scored["score"].between(0, 1).all()
+    assert 0 < len(flagged) <= 0.02 * len(scored) + 1 and flagged["score"].min() >= scored[~scored["is_outlier"]]["score"].max()
+    told = QUERIES["outlier_explanations"](tables).toPandas()
+    assert set(told["_row_number"]) <= set(flagged["_row_number"])
+    ratio = told["value"] / told["median"]
+    assert ((ratio > 2.45) | (ratio < 0.45)).all() and (told["direction"].eq("above") == (ratio > 1)).all()
