@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harmattan.functions.numbers import NUMBER
 from harmattan.operators.keyed import number_rows
@@ -17,29 +18,48 @@ WINDOWS_BLOCK = b"".join(_BYTES).decode("cp1252")
 DELIMITERS = [",", ";", "\t", "|"]
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool = True) -> DataFrame:
-    """CSV as text columns with ``_row_number`` in file order; unparsable lines land in ``_corrupt``.
+def head_lines(spark: SparkSession, path: str, encoding: str = "utf-8", n: int = 50) -> DataFrame:
+    """file, line_no, line of the first ``n`` lines of each file, from its first block alone."""
+    lines = spark.read.option("encoding", encoding).text(path)
+    first = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).where("block = 0")
+    order = W.partitionBy("file").orderBy("__id")
+    ranked = first.withColumn("__id", F.monotonically_increasing_id()).withColumn("line_no", F.row_number().over(order) - 1)
+    return ranked.where(F.col("line_no") < n).select("file", "line_no", F.col("value").alias("line"))
 
-    Delimiter and encoding are detected when not given. Typing is left to the metric layer.
+
+def read_csv(
+    spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool = True, corrupt: str | None = None
+) -> DataFrame:
+    """CSV as text columns with ``_row_number`` in file order.
+
+    Delimiter and encoding are detected when not given, the delimiter from the head of the first file.
+    Typing is left to the metric layer. Spark drops the cells beyond the header's width and fills missing ones
+    with null; ``corrupt`` names a last column that holds the whole line of such rows (``"_corrupt"``), so that none
+    is lost unseen. :func:`corrupt_rows` lists them.
     """
     encoding = encoding or detect_encodings(spark, path).agg(F.max_by("encoding", F.col("encoding") != "utf-8")).first()[0] or "utf-8"
     # Spark reads Latin-1, which differs from windows-1252 in one block of characters only.
     charset = "iso-8859-1" if encoding == "windows-1252" else encoding
     if delimiter is None:
-        lines = number_rows(spark.read.option("encoding", charset).text(path), 0, "line_no").withColumn("file", F.lit(path))
-        best = detect_delimiters(lines.withColumnRenamed("value", "line")).first()
+        best = detect_delimiters(head_lines(spark, path, charset)).orderBy("file").first()
         delimiter = best["delimiter"] if best else ","
-    df = spark.read.csv(
-        path, sep=delimiter, encoding=charset, header=header, inferSchema=False, mode="PERMISSIVE", multiLine=False,
-        columnNameOfCorruptRecord="_corrupt",
-    )
+    options = dict(sep=delimiter, encoding=charset, header=header, mode="PERMISSIVE", multiLine=False)
+    df = spark.read.csv(path, inferSchema=False, **options)
+    if corrupt:
+        schema = T.StructType([*df.schema.fields, T.StructField(corrupt, T.StringType())])
+        df = spark.read.schema(schema).csv(path, columnNameOfCorruptRecord=corrupt, **options)
     df = number_rows(df, 2 if header else 1)
     if encoding == "windows-1252":
         fix = str.maketrans(LATIN_1_BLOCK, WINDOWS_BLOCK)
-        df = df.select("_row_number", *[F.translate(F.col(f"`{c}`"), LATIN_1_BLOCK, WINDOWS_BLOCK).alias(c.translate(fix)) for c in df.columns[1:]])
+        df = df.select("_row_number", *[F.translate(F.col(f"`{c}`"), LATIN_1_BLOCK, WINDOWS_BLOCK).alias(c.translate(fix)) for c in df.columns if c != "_row_number"])
     return df
 
 
+def corrupt_rows(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Rows whose cells do not fit the header, with the whole line in ``_corrupt``."""
+    return read_csv(spark, path, corrupt="_corrupt", **options).where("_corrupt IS NOT NULL")
+
+
 def read_json(spark: SparkSession, path: str, lines: bool = False, schema: str | None = None) -> DataFrame:
     """An array document, or JSON lines."""
     reader = spark.read if schema is None else spark.read.schema(schema)

@@ -35,6 +35,22 @@ def test_row_numbers_follow_the_file_over_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_csv_rows_that_do_not_fit(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("a;b\n1;2\n3;4;5\n6\n7;8\n")
+    df = readers.read_csv(spark, str(tmp_path / "c.csv"), corrupt="_corrupt")
+    rows = {r["_row_number"]: (r["a"], r["b"], r["_corrupt"]) for r in df.collect()}
+    assert rows == {2: ("1", "2", None), 3: ("3", "4", "3;4;5"), 4: ("6", None, "6"), 5: ("7", "8", None)}
+    assert sorted(r["_corrupt"] for r in readers.corrupt_rows(spark, str(tmp_path / "c.csv")).collect()) == ["3;4;5", "6"]
+
+
+def test_head_of_each_file(spark, tmp_path):
+    for name, mark in (("x", ";"), ("y", "|")):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{i}{mark}{i}\n" for i in range(200)))
+    head = readers.head_lines(spark, f"{tmp_path}/*.csv", n=5)
+    assert head.groupBy("file").agg(F.collect_list("line_no").alias("n")).select("n").distinct().collect()[0]["n"] == [0, 1, 2, 3, 4]
+    assert {r["delimiter"] for r in readers.detect_delimiters(head).collect()} == {";", "|"}
+
+
 def test_json_document_and_lines(spark, tmp_path):
     rows = [{"order_id": "ERP-1", "amount": 100.5, "currency": "USD"}, {"order_id": "ERP-2", "amount": 75.0, "currency": "EUR"}]
     (tmp_path / "a.json").write_text(json.dumps(rows))
