@@ -71,24 +71,27 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return texts.unpivot([], list(columns), "column", "value").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+#: Edges of the histogram that locates a quantile.
+EDGES = 63
+
+
 def exact_quantile(
     df: DataFrame, keys: Sequence[str], value: Column, p: float = 0.5, name: str = "value"
 ) -> DataFrame:
     """Exact interpolated quantile per key (or overall when ``keys`` is empty), null for a key without values.
 
-    Distinct values are counted first, then located through a histogram whose bins follow
-    from each value alone (sign and logarithm). Only the bin that holds the wanted rank is
-    sorted, so no task ever sees a whole group and hot values cost one counter.
+    Distinct values are counted first, so hot values cost one counter. Edges that part the
+    distinct values of each key into ``EDGES`` + 1 bins of about equal size place them in a histogram, and
+    only the bin that holds the wanted rank is sorted, however narrow or wide the values lie. The
+    source is read once; all further steps start from the counts.
     """
     keys = list(keys)
     x = value.cast("double")
     # Null cells count zero, so a group without any value keeps its line and gets a null.
-    counts = (
-        df.select(*keys, F.when(~F.isnan(x), x).alias("__x"))
-        .groupBy(*keys, "__x")
-        .agg(F.count("__x").alias("__c"))
-        .withColumn("__bin", (F.signum("__x") * F.floor(F.log1p(F.abs("__x")) * 4096)).cast("bigint"))
-    )
+    counted = df.select(*keys, F.when(~F.isnan(x), x).alias("__x")).groupBy(*keys, "__x").agg(F.count("__x").alias("__c")).withColumn("__all", F.lit(1))
+    shares = F.array(*[F.lit(i / (EDGES + 1)) for i in range(1, EDGES + 1)])
+    edges = counted.groupBy(*keys, "__all").agg(F.array_distinct(F.percentile_approx("__x", shares, 8 * EDGES)).alias("__edges"))
+    counts = null_safe_join(counted, edges, [*keys, "__all"]).withColumn("__bin", F.size(F.filter("__edges", lambda e: e <= F.col("__x")))).drop("__edges", "__all")
     bins = counts.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__c"))
     everything = W.partitionBy(*keys)
     running = everything.orderBy("__bin").rowsBetween(W.unboundedPreceding, W.currentRow)

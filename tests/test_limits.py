@@ -110,3 +110,20 @@ def test_registered_forest(spark, tables):
     assert set(told["_row_number"]) <= set(flagged["_row_number"])
     ratio = told["value"] / told["median"]
     assert ((ratio > 2.45) | (ratio < 0.45)).all() and (told["direction"].eq("above") == (ratio > 1)).all()
+
+
+def test_quantile_bins_are_even(spark):
+    """Values in a narrow band and tiny values spread over the bins, so that no task sorts a whole group."""
+    import numpy as np
+
+    from harmattan.operators import keyed
+
+    for scale, shift in ((1.0, 1.7e9), (1e-9, 0.0), (1e12, -5e13)):
+        df = spark.range(50_000).select((F.col("id") % 3).alias("k"), (F.pmod(F.xxhash64("id"), F.lit(20_000)) * scale + shift).alias("x"))
+        x = df.toPandas()
+        for p in (0.5, 0.98):
+            got = {r["k"]: r["value"] for r in keyed.exact_quantile(df, ["k"], F.col("x"), p).collect()}
+            assert got == {k: pytest.approx(np.quantile(g["x"], p), rel=1e-12, abs=1e-12 * scale) for k, g in x.groupby("k")}
+        edges = df.select(F.percentile_approx("x", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 504).alias("e"))
+        bins = df.distinct().join(edges, how="cross").groupBy(F.size(F.filter("e", lambda e: e <= F.col("x"))).alias("b")).count().toPandas()
+        assert len(bins) == 64 and bins["count"].max() < 4 * bins["count"].mean()
