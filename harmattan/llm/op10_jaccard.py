@@ -213,10 +213,9 @@ def _set_rows(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
 
 
 def supported(sets: DataFrame, items: DataFrame, one_in: int, percent: int) -> DataFrame:
-    """Those of the sets that may have a link among them: a set that is linked shares all but
-    (100 - percent) % of its items, so no more of its items, in any part of the universe, may be without a second owner.
-
-    Only the items of one in ``one_in`` parts of the universe are listed.
+    """set, n, alone of those of the sets that may have a link among them: a set that is linked shares
+    all but (100 - percent) % of its items, so no more of its items, in any part of the universe, may
+    be without a second owner. ``alone`` counts those, among the items of one in ``one_in`` parts of the universe.
     """
     part = F.filter("items", lambda i: F.pmod(F.xxhash64(i), F.lit(one_in)) == 0)
     own = items.join(sets, "set").select("set", F.size("items").alias("n"), part.alias("part"))
@@ -224,7 +223,12 @@ def supported(sets: DataFrame, items: DataFrame, one_in: int, percent: int) -> D
     twice = listed.groupBy("item").agg(F.count("*").alias("owners")).filter("owners > 1")
     shared = listed.join(twice, "item", "left_semi").groupBy("set").agg(F.count("*").alias("shared"))
     alone = F.size("part") - F.coalesce("shared", F.lit(0))
-    return own.join(shared, "set", "left").filter(100 * alone <= (100 - percent) * F.col("n")).select("set")
+    return own.join(shared, "set", "left").select("set", "n", alone.alias("alone")).filter(100 * F.col("alone") <= (100 - percent) * F.col("n"))
+
+
+def _may_link(n_a: Column, alone_a: Column, n_b: Column, alone_b: Column | int, percent: int) -> Column:
+    """Whether the items that are not alone suffice for a link of sets of these sizes."""
+    return (100 + percent) * F.least(n_a - alone_a, n_b - alone_b) >= percent * (n_a + n_b)
 
 
 def _linked(common: Column, a: Column, b: Column, percent: int) -> Column:
@@ -257,11 +261,17 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, pivots: int = 3, id_col
         return [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for name, x, y in (("a", set_a, set_b), ("b", set_b, set_a), ("component_a", component_a, component_b), ("component_b", component_b, component_a))]
 
     open_, merges = keys.withColumn("component", F.col("set")), []
+    columns = ["key", "set", "weight"]
     for turn in range(pivots + 1):
         if turn in (1, 2):
             # Sets without enough common items leave; first by a part of the universe, then by all of it.
             still = materialize(supported(open_.select("set").distinct(), items, 4 if turn == 1 else 1, percent))
-            open_ = open_.join(still, "set", "left_semi")
+            columns = ["key", "set", "weight", "n", "alone"]
+            open_ = open_.drop("n", "alone").join(still, "set")
+            # So do sets from keys whose smallest member is too large for what they have in common.
+            smallest = open_.groupBy("key").agg(F.min("n").alias("smallest"))
+            open_ = open_.join(smallest, "key").filter(_may_link(F.col("n"), F.col("alone"), F.greatest("smallest", F.ceil(F.col("n") * percent / 100)), F.lit(0), percent)).drop("smallest")
+            open_ = materialize(open_)
         # Keys whose members are still in different components, each with another pivot; first the set that shares most.
         pivot = F.min_by(F.struct("set", "component"), F.struct(-F.col("weight"), "set") if turn == 0 else F.xxhash64("set", F.lit(turn)))
         apart = open_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), pivot.alias("pivot")).filter("least < most")
@@ -272,12 +282,14 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, pivots: int = 3, id_col
             pairs = open_.filter("component <> pivot_component").select(*ordered("set", "component", "pivot", "pivot_component"))
         else:
             # All pairs of members that are still apart.
-            other = open_.select("key", F.col("set").alias("other"), F.col("component").alias("other_component"))
-            pairs = open_.join(other, "key").filter("`set` < other AND component <> other_component").select(*ordered("set", "component", "other", "other_component"))
+            extra = [c for c in ("n", "alone") if c in columns]
+            other = open_.select("key", F.col("set").alias("other"), F.col("component").alias("other_component"), *[F.col(c).alias(f"other_{c}") for c in extra])
+            may = _may_link(F.col("n"), F.col("alone"), F.col("other_n"), F.col("other_alone"), percent) if extra else F.lit(True)
+            pairs = open_.join(other, "key").filter(F.expr("`set` < other AND component <> other_component") & may).select(*ordered("set", "component", "other", "other_component"))
         merged = components(verified(pairs.distinct()), "component_a", "component_b")
         merges.append(merged)
-        open_ = open_.select("key", "set", "weight", "component").join(merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
-        open_ = open_.select("key", "set", "weight", F.coalesce("new", "component").alias("component"))
+        open_ = open_.select(*columns, "component").join(merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
+        open_ = open_.select(*columns, F.coalesce("new", "component").alias("component"))
     label = info.select("doc", "n", F.when(F.col("n") > 0, F.col("set")).alias("label"))
     for merged in merges:
         label = label.join(merged.select(F.col("node").alias("label"), F.col("component").alias("new")), "label", "left").select("doc", "n", F.coalesce("new", "label").alias("label"))
