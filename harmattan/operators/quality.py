@@ -207,10 +207,10 @@ def missing_value_conflicts(df: DataFrame, threshold: float = 0.2) -> DataFrame:
 
 
 def payload_types(df: DataFrame, payload: str) -> DataFrame:
-    """Value types met per field of a JSON payload; null is a type of its own."""
-    fields = df.select(F.explode(F.json_object_keys(payload)).alias("field"), F.parse_json(payload).alias("__v"))
-    value = F.expr("try_variant_get(__v, concat('$[\"', field, '\"]'), 'variant')")
-    return fields.select("field", F.schema_of_variant(value).alias("type")).groupBy("field", "type").agg(F.count("*").alias("n"))
+    """Value types met per field of a JSON payload; null is a type of its own. Each payload is parsed once and unfolded."""
+    parsed = df.select(F.parse_json(payload).alias("__v"))
+    fields = parsed.sparkSession.sql("SELECT key AS field, schema_of_variant(value) AS type FROM {parsed}, LATERAL variant_explode(__v) WHERE key IS NOT NULL", parsed=parsed)
+    return fields.groupBy("field", "type").agg(F.count("*").alias("n"))
 
 
 def type_conflicts(df: DataFrame, payload: str) -> DataFrame:
