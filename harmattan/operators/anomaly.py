@@ -57,10 +57,12 @@ def subsamples(matrix: DataFrame, key: str, n: int, trees: int, size: int = SUBS
         total = 0.0
         for j in range(trees):
             total += p
+            if total >= 1 - 2**-31:
+                break  # beyond the resolution of the draw
             steps.append(total)
             p *= (trees - j) / (j + 1) * share / (1 - share)
     u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
-    wanted = F.lit(trees) if share >= 1 else F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: u >= s))
+    wanted = F.lit(trees) if share >= 1 else sum((u >= s).cast("int") for s in steps)
     some = matrix.withColumn("__trees", wanted).where("__trees > 0")
     order = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(F.col(key), t, F.lit(seed + 1)).alias("h"), t.alias("t")))
     chosen = F.slice(F.array_sort(order), F.lit(1), F.col("__trees"))
