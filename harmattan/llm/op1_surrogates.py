@@ -15,7 +15,8 @@ are found by one pattern. Each is replaced by a surrogate of its own kind and fo
 The surrogate depends on key and entity alone: the same entity has the same surrogate
 everywhere (coreference), without a join. A check over the distinct entities of the corpus finds surrogates that two
 entities share or that are themselves entities of the corpus; those entities get the first later
-draw that is free, from a table of exceptions which is joined to the documents that hold them.
+draw that is free, or a longer surrogate where their format has none left, from a table of exceptions
+which is joined to the documents that hold them.
 
 Defined cases: a null text stays null with no entity; an empty text stays empty; texts without an
 entity pass unchanged; repeated rows give repeated results; further columns are kept. The only
@@ -24,6 +25,9 @@ driver traffic is the number of exceptions left in each round.
 
 from __future__ import annotations
 
+import itertools
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +61,23 @@ CLASSES = [
 ]
 HEX = ["0123456789abcdef"]
 
+
+def _other_cased() -> list[str]:
+    """Further classes: the other letters with case, by script, case and neighbourhood."""
+    groups = {"russian l": "ёйъь", "russian u": "ЁЙЪЬ"}
+    known = set("".join(CLASSES) + "".join(groups.values()))
+    for n in range(128, 0x10000):
+        c = chr(n)
+        if c not in known and unicodedata.category(c) in ("Lu", "Ll"):
+            at = f"{unicodedata.name(c).split()[0]} {unicodedata.category(c)} {n >> 7}"
+            groups[at] = groups.get(at, "") + c
+    alone = "".join(g for g in groups.values() if len(g) == 1)
+    return [g for g in groups.values() if len(g) > 1] + [alone] * (len(alone) > 1)
+
+
+OTHER_CASED = _other_cased()
+OUTSIDE = rf"[\p{{L}}\p{{N}}&&[^{''.join(CLASSES)}]]"
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _FIRST = "|".join(n for names in FIRST_NAMES.values() for n in names)
@@ -64,7 +85,7 @@ _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 # Each alternative begins with a test that fails at once nearly everywhere.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
-    "secret": r"(?<=[=:\s\"'])(?=[A-Za-z0-9+/_-]{8})(?<=\b(?:token|secret|password|passwd|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?<=[=:\s\"'])(?=[A-Za-z0-9+/_-]{8})(?=[+/_-]*[A-Za-z0-9])(?<=\b(?:token|secret|password|passwd|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}",
     "ipv4": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "national": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?=\d)(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\d)",
@@ -117,8 +138,34 @@ def _shift(half: Column, other: Column, turn: Column, key: str, classes: list[st
     return F.array_join(F.transform(_chars(half), move), "")
 
 
+def _outside(x: Column, key: str, draw: Column) -> Column:
+    """Letters outside the classes moved within their own neighbourhood, or else made Latin consonants."""
+
+    def move(i: Column) -> Column:
+        c, by = x.substr(i, F.lit(1)), _draw(key, draw, x, i)
+        found = F.instr(F.lit("\n".join(OTHER_CASED)), c)
+        before = F.substring_index(F.lit("\n".join(OTHER_CASED)).substr(F.lit(1), found - 1), "\n", -1)
+        after = F.substring_index(F.lit("\n".join(OTHER_CASED)).substr(found, F.lit(1 << 20)), "\n", 1)
+        own = F.concat(before, after).substr(F.pmod(F.length(before) + by, F.length(before) + F.length(after)).cast("int") + 1, F.lit(1))
+        other = F.lit(CLASSES[1]).substr(F.pmod(by, F.lit(len(CLASSES[1]))).cast("int") + 1, F.lit(1))
+        return F.when(i == 0, F.lit("")).when(~c.rlike(OUTSIDE), c).otherwise(F.when(found > 0, own).otherwise(other))
+
+    return F.when(x.rlike(OUTSIDE), F.array_join(F.transform(_chars(x), move), "")).otherwise(x)
+
+
 def feistel(x: Column, key: str, draw: Column, classes: list[str] = CLASSES) -> Column:
-    """A keyed one-to-one change of strings that keeps the class of every character."""
+    """A keyed one-to-one change of strings that keeps the class of every character.
+
+    Other letters with case are moved one by one beforehand. Letters without case (which only mail
+    addresses hold) and numerals other than ASCII digits become Latin consonants. Neither is
+    one-to-one; the check of ``exceptions`` keeps those surrogates distinct.
+    """
+    if classes is CLASSES:
+        return F.transform(F.array(_outside(x, key, draw)), lambda known: _rounds(known, key, draw, classes))[0]
+    return _rounds(x, key, draw, classes)
+
+
+def _rounds(x: Column, key: str, draw: Column, classes: list[str]) -> Column:
     cut = F.floor(F.length(x) / 2).cast("int")
     begin = F.struct(F.substr(x, F.lit(1), cut).alias("a"), F.substr(x, cut + 1, F.length(x)).alias("b"))
 
@@ -197,6 +244,19 @@ def surrogate(x: Column, key: str, draw: Column | None = None) -> Column:
     )
 
 
+def longer(x: Column, made: Column, key: str, draw: Column, extra: Column) -> Column:
+    """The surrogate ``made`` for ``x`` with ``extra`` more characters: before a mail address, at the end of all else."""
+    kind = kind_of(x)
+    pool = (
+        F.when(kind.isin("ipv4", "card") | ~x.rlike(r"\p{L}"), CLASSES[0])
+        .when(kind == "hex", HEX[0])
+        .when(x.rlike(r"\p{IsCyrillic}$"), CLASSES[7])
+        .otherwise(CLASSES[1])
+    )
+    more = F.array_join(F.transform(F.sequence(F.lit(1), extra), lambda i: pool.substr(F.pmod(_draw(key, draw, x, i), F.length(pool)).cast("int") + 1, F.lit(1))), "")
+    return F.when(kind == "email", F.concat(more, made)).otherwise(F.concat(made, more))
+
+
 def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1)))
 
@@ -204,36 +264,38 @@ def entities(text: Column) -> Column:
 def exceptions(docs: DataFrame, key: str, text_col: str = "text", max_draws: int = 64) -> DataFrame:
     """entity, surrogate of those entities whose first surrogate is another's too or itself occurs.
 
-    Among entities that share a surrogate the first by spelling keeps it. Draws are repeated for what is
-    left until nothing is; a corpus that exhausts a format after ``max_draws`` raises an error.
+    Among entities that share a surrogate the first by spelling keeps it. Each of the others takes the first of its
+    later draws that is free; a round tries twice as many draws as the one before. Where a format has no free value left in
+    ``max_draws`` draws, surrogates get longer by a character a round, so that free ones are always found.
     """
     found = docs.select(F.explode(entities(F.col(text_col))).alias("entity")).distinct()
     known = materialize(found.withColumn("surrogate", surrogate(F.col("entity"), key)))
+    real = known.select(F.col("entity").alias("surrogate"))
+
+    def shared(new: DataFrame) -> DataFrame:
+        """Entities of ``new`` whose surrogate goes to one before them."""
+        keepers = new.groupBy("surrogate").agg(F.min("entity").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
+        return new.join(keepers, "surrogate").filter(F.col("entity") != F.col("keeper")).select("entity")
 
-    def clashes(new: DataFrame, taken: DataFrame | None) -> DataFrame:
-        """Entities of ``new`` that cannot keep the surrogate drawn for them."""
-        shared = new.groupBy("surrogate").agg(F.min("entity").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
-        twice = new.join(shared, "surrogate").filter(F.col("entity") != F.col("keeper")).select("entity")
-        real = new.join(known.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("entity")
-        out = twice.union(real)
-        if taken is not None:
-            out = out.union(new.join(taken.select("surrogate"), "surrogate", "left_semi").select("entity"))
-        return out.distinct()
-
-    open_ = materialize(clashes(known, None))
+    open_ = materialize(shared(known).union(known.join(real, "surrogate", "left_semi").select("entity")).distinct())
     kept = known.join(open_, "entity", "left_anti").select("surrogate")
     settled = None
-    for draw in range(1, max_draws + 1):
-        if open_.isEmpty():
-            break
-        drawn = materialize(open_.withColumn("surrogate", surrogate(F.col("entity"), key, F.lit(draw))))
+    first, extra = 1, 0
+    later = surrogate(F.col("entity"), key, F.col("draw"))  # built once: it is a large expression
+    while not open_.isEmpty():
+        last = min(2 * first - 1, max_draws) if first <= max_draws else first
+        extra += first > max_draws
+        drawn = open_.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("surrogate", later)
+        if extra:
+            drawn = drawn.withColumn("surrogate", longer(F.col("entity"), F.col("surrogate"), key, F.col("draw"), F.lit(extra)))
+        first = last + 1
+        drawn = materialize(drawn)
         taken = kept if settled is None else kept.union(settled.select("surrogate"))
-        open_ = materialize(clashes(drawn, taken))
-        good = drawn.join(open_, "entity", "left_anti")
+        free = drawn.join(real, "surrogate", "left_anti").join(taken, "surrogate", "left_anti")
+        free = materialize(free.groupBy("entity").agg(F.min_by("surrogate", "draw").alias("surrogate")))
+        good = free.join(shared(free), "entity", "left_anti")
         settled = materialize(good if settled is None else settled.union(good))
-    else:
-        if not open_.isEmpty():
-            raise ValueError(f"no free surrogate after {max_draws} draws")
+        open_ = materialize(open_.join(settled, "entity", "left_anti"))
     return settled if settled is not None else known.limit(0)
 
 

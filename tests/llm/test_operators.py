@@ -454,6 +454,19 @@ def test_surrogate_collisions(spark):
     assert len(after) == len(set(after)) == len(before) and not before & set(after)
 
 
+def test_surrogates_of_exhausted_formats(spark):
+    """Formats without a free value, letters of other scripts, and runs of marks that are no secret."""
+    names = op1_surrogates.FIRST_NAMES["latin", "m"] + op1_surrogates.FIRST_NAMES["cyrillic", "m"]
+    rows = [f"{'Mr' if n < 'a' else 'Господин'} {n}" for n in names] + ["password: ________", "password:\n----------", "Dr Παπαδόπουλος", "Mr Ñçß", "用户@例子.com", "_@-.com"]
+    out = rows_of(op1_surrogates.replace(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "key"), "text", "n_entities")
+    assert [out[len(names) + i] for i in (0, 1)] == [(rows[len(names) + i], 0) for i in (0, 1)]
+    after = [out[i][0] for i in range(len(rows)) if i not in (len(names), len(names) + 1)]
+    assert len(set(after)) == len(after) and not set(after) & set(rows)
+    assert all(re.fullmatch(r"Mr [A-Z][a-z]+" if n < "a" else r"Господин [А-Я][а-яё]+", out[i][0]) for i, n in enumerate(names))
+    assert re.fullmatch(r"Dr [\u0370-\u03ff]{12}", out[len(names) + 2][0]) and re.fullmatch(r"Mr [À-ÞĀ-ž][ß-ž]{2}", out[len(names) + 3][0])
+    assert not set("用户例子") & set(out[len(names) + 4][0]) and out[len(names) + 4][0].endswith(".com")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tests.conftest import SF_DIR
