@@ -82,10 +82,13 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _FIRST = "|".join(n for names in FIRST_NAMES.values() for n in names)
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
+# Labels of secrets in any case, alone or after a prefix: access_token, DB-PASSWORD, clientSecret.
+_LABEL = r"(?:(?<![\p{L}\p{N}])|(?<=[a-z0-9])(?=[A-Z]))(?i:token|secret|password|passwd|api[_-]?key)"
 # Each alternative begins with a test that fails at once nearly everywhere.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
-    "secret": r"(?<=[=:\s\"'])(?=[A-Za-z0-9+/_-]{8})(?=[+/_-]*[A-Za-z0-9])(?<=\b(?:token|secret|password|passwd|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?<=[=:\s\"'])(?=[A-Za-z0-9+/_-]{8})(?=[+/_-]*[A-Za-z0-9])(?<=[=:]\s{0,2}\\?[\"']?)"
+    rf"(?<={_LABEL}\\?[\"']?\s{{0,2}}[=:]\s{{0,2}}\\?[\"']?)[A-Za-z0-9+/_-]{{8,}}",
     "ipv4": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "national": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?=\d)(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\d)",

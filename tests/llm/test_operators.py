@@ -454,6 +454,15 @@ def test_surrogate_collisions(spark):
     assert len(after) == len(set(after)) == len(before) and not before & set(after)
 
 
+def test_surrogates_of_labelled_secrets(spark):
+    secret = "b7b8aXy99Qq"
+    before = ["API_KEY=", "Password: ", "access_token=", "client_secret=", "db_password=", '"token": "', "DB-PASSWORD = '", "clientSecret:", 'x {\\"api-key\\": \\"', "apikey="]
+    rows = [b + secret for b in before]
+    out = rows_of(op1_surrogates.replace(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "key"), "text", "n_entities")
+    for i, b in enumerate(before):
+        assert out[i][1] == 1 and re.fullmatch(re.escape(b) + r"[a-z]\d[a-z]\d[a-z][A-Z][a-z]\d\d[A-Z][a-z]", out[i][0]) and secret not in out[i][0], out[i]
+
+
 def test_surrogates_of_exhausted_formats(spark):
     """Formats without a free value, letters of other scripts, and runs of marks that are no secret."""
     names = op1_surrogates.FIRST_NAMES["latin", "m"] + op1_surrogates.FIRST_NAMES["cyrillic", "m"]
