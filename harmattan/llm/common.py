@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +18,20 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, key_col: str, text_col: str) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, key_col: str, text_col: str, quotas: dict[int, int] | None = None) -> DataFrame:
     """k, t, y: texts of at most ``max_rows`` rows of ``labels`` with label 0 or 1, the first by a hash of the key.
 
+    With ``quotas`` so many rows of each class instead.
+
     The drawn labels are bounded, so they are broadcast and the texts are not shuffled.
     """
     drawn = labels.filter(F.col(label_col).isin(0, 1) & F.col(key_col).isNotNull()).select(F.col(key_col), F.col(label_col).cast("int").alias("y"))
-    drawn = drawn.orderBy(F.xxhash64(F.col(key_col).cast("string"), F.lit(label_col)), key_col, "y").limit(max_rows)
+    order = [F.xxhash64(F.col(key_col).cast("string"), F.lit(label_col)), F.col(key_col), F.col("y")]
+    if quotas is None:
+        drawn = drawn.orderBy(*order).limit(max_rows)
+    else:
+        by_class = [drawn.filter(F.col("y") == y).orderBy(*order).limit(n) for y, n in sorted(quotas.items())]
+        drawn = reduce(DataFrame.union, by_class)
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(key_col), F.col(text_col).alias("t"))
     return rows.join(F.broadcast(drawn), key_col).select(F.col(key_col).cast("string").alias("k"), "t", "y")
 

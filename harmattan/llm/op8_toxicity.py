@@ -7,8 +7,8 @@ model (four letters, counts over all texts, Witten-Bell smoothing) is the restor
 other words have a single path, themselves, and pass unchanged.
 
 The restored text is scored by a logistic regression on hashed character 3- to 5-grams. Of the
-grams in a bounded sample of labelled rows those that clearly go with the toxic label are taken; the
-fit is calibrated on rows kept back from it.
+grams in a bounded sample of labelled rows, drawn by class, all that clearly go with the toxic label
+(G test) are taken; the fit is calibrated on scores of rows kept back in turn.
 
 Counting and scoring run in Arrow batches; what reaches the driver is one count for each of 28**4
 letter groups and the sample's selected grams. Defined cases: a null or empty text has the score of a text
@@ -18,6 +18,7 @@ every score is 0; repeated rows give repeated results; an id that is null is in
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -268,12 +269,18 @@ class Model:
         return common.sigmoid(self.slope * (np.bincount(doc, self.weights[gram], len(s)) + self.bias) + self.offset)
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_rows: int = 20_000, max_grams: int = 4096, min_z: float = 5.0) -> Model:
-    """Character model over all of ``docs``; classifier on at most ``max_rows`` labelled rows, drawn by hash of the key."""
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_rows: int = 20_000, min_z: float = 5.0) -> Model:
+    """Character model over all of ``docs``; classifier on at most ``max_rows`` labelled rows, drawn by class and hash of the key.
+
+    The rarer class fills up to half of the sample; scores are set back to the share it has among all labels.
+    """
     chars = char_model(docs, text_col)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(chars)
-    sample = materialize(common.labelled_sample(docs, labels, label_col, max_rows, key_col, text_col))
+    usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(key_col).isNotNull())
+    totals = {0: 0, 1: 0} | {int(r["y"]): r["n"] for r in usable.groupBy(F.col(label_col).alias("y")).agg(F.count("*").alias("n")).collect()}
+    quotas = {y: min(totals[y], max(max_rows // 2, max_rows - totals[1 - y])) for y in (0, 1)}
+    sample = materialize(common.labelled_sample(docs, labels, label_col, max_rows, key_col, text_col, quotas))
 
     def count(batches):
         restorer, hits, n = Restorer(shared.value), np.zeros(1 << BITS, np.int64), 0
@@ -291,9 +298,13 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     if not n_pos or not n_neg:
         return Model(chars, np.zeros(1 << BITS, np.float32), 0.0, 1.0, 0.0, False)
     ratio = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
-    z = ratio / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    # The signed root of the G statistic, which does not punish a gram for never occurring in clean rows.
+    share = (pos + neg) / (n_pos + n_neg)
+    g = np.zeros(len(gram))
+    for seen, n, p in ((pos, n_pos, share), (neg, n_neg, share), (n_pos - pos, n_pos, 1 - share), (n_neg - neg, n_neg, 1 - share)):
+        g += 2 * seen * np.log(np.maximum(seen, 1) / np.maximum(n * p, 1e-300))
+    z = np.sign(ratio) * np.sqrt(np.maximum(g, 0))
     take = np.flatnonzero((gram >= 0) & (z > min_z) & (ratio > 1))
-    take = take[np.argsort(-z[take], kind="stable")][:max_grams]
     chosen = np.sort(gram[take])
     number = np.full(1 << BITS, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
@@ -303,23 +314,32 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
         restorer = Restorer(shared.value)
         for b in batches:
             y = b.column("y").to_numpy(zero_copy_only=False)
+            part = np.array([zlib.crc32(k.encode()) % 4 for k in b.column("k").to_pylist()], np.int32)
             for s in slices(b.column("t")):
                 doc, gram = present(s, restorer, picked.value >= 0)
                 lists = np.split(picked.value[gram], np.cumsum(np.bincount(doc, minlength=len(s)))[:-1])
-                yield pa.record_batch({"y": pa.array(y[s.lo : s.hi], pa.int32()), "f": pa.array([x.astype("<i4").tobytes() for x in lists], pa.binary())})
+                yield pa.record_batch({"y": pa.array(y[s.lo : s.hi], pa.int32()), "f": pa.array([x.astype("<i4").tobytes() for x in lists], pa.binary()), "part": pa.array(part[s.lo : s.hi])})
 
-    got = sample.mapInArrow(select, "y int, f binary").toArrow()
+    got = sample.mapInArrow(select, "y int, f binary, part int").toArrow()
     y = got["y"].to_numpy().astype(float)
     feats = [np.frombuffer(x, "<i4") for x in got["f"].to_pylist()]
-    held = np.arange(len(y)) % 4 == 3
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held[:] = False
-    fit = np.flatnonzero(~held)
-    at = np.repeat(np.arange(len(fit)), [len(feats[i]) for i in fit])
-    cols = np.concatenate([feats[i] for i in fit]) if len(fit) else np.zeros(0, np.int32)
-    w, bias = common.fit_logistic(at, cols, np.ones(len(cols)), y[fit], max(len(chosen), 1), 1e-4, steps=150, rate=0.1)
-    rest = np.flatnonzero(held) if held.any() else fit
-    slope, offset = common.fit_platt(np.array([w[feats[i]].sum() for i in rest]) + bias, y[rest])
+    part = got["part"].to_numpy()
+
+    def fit(rows: np.ndarray) -> tuple[np.ndarray, float]:
+        at = np.repeat(np.arange(len(rows)), [len(feats[i]) for i in rows])
+        cols = np.concatenate([feats[i] for i in rows]) if len(rows) else np.zeros(0, np.int32)
+        return common.fit_logistic(at, cols, np.ones(len(cols)), y[rows], max(len(chosen), 1), 1e-4, steps=150, rate=0.1)
+
+    # Weights from all rows; the calibration from scores that each part gets by a fit on the others.
+    w, bias = fit(np.arange(len(y)))
+    z = np.array([w[f].sum() for f in feats]) + bias
+    if all(len(set(y[part != p])) == 2 for p in range(4)):
+        for p in range(4):
+            own, at = fit(np.flatnonzero(part != p))
+            for i in np.flatnonzero(part == p):
+                z[i] = own[feats[i]].sum() + at
+    slope, offset = common.fit_platt(z, y)
+    offset += np.log(totals[1] / totals[0]) - np.log(quotas[1] / quotas[0])
     weights = np.zeros(1 << BITS, np.float32)
     weights[chosen] = w[: len(chosen)]
     return Model(chars, weights, bias, slope, offset, True)

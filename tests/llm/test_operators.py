@@ -308,6 +308,30 @@ def test_deobfuscation(spark, nothing):
     assert set(rows_of(op8_toxicity.score(df, silent), "score").values()) == {(0.0,)}
 
 
+def test_toxic_recall(spark):
+    """Insults that clean rows never hold, each in a few toxic rows, and the plain ones of the tables."""
+    from tests.conftest import SF_DIR
+
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("bdlmnrst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(400)]
+    insults = ["zwickfop", "quaxhyg", "jovvyk", "phwexx", "cygjuck", "vyxzogg", "gwuckz", "hjexxop"]
+
+    def prose(insult=""):
+        words = rng.choices(vocabulary, k=30)
+        return " ".join([*words[:15], insult, *words[15:]])
+
+    rows = [(i, prose(insults[i % 8] if i < 80 else ""), int(i < 80)) for i in range(880)]
+    held = [(10_000 + i, prose(insults[i % 8] if i < 40 else "")) for i in range(440)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = op8_toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    got = rows_of(op8_toxicity.score(spark.createDataFrame(held, "doc_id long, text string"), model), "predicted")
+    assert sum(got[10_000 + i][0] for i in range(40)) >= 38 and sum(got[10_000 + i][0] for i in range(40, 440)) <= 4
+    model = op8_toxicity.train(spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet"))
+    plain = spark.createDataFrame([(0, "s t u p i d m0r0n"), (1, "hean for an ertion 45 kg")], "doc_id long, text string")
+    got = rows_of(op8_toxicity.score(plain, model), "score")
+    assert got[0][0] > 0.5 > got[1][0]
+
+
 def test_held_out_accuracy(spark):
     from harmattan.llm.queries import QUERIES
     from tests.conftest import SF_DIR
