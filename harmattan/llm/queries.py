@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmattan.llm import op1_surrogates, op2_langid, op3_forest, op4_quality, op5_packing, op6_columns, op7_bpe_reuse, op8_toxicity, op9_substrings, op10_jaccard
+from harmattan.llm import op1_surrogates, op2_langid, op3_forest, op4_quality, op5_packing, op6_columns, op7_bpe_reuse, op8_toxicity, op9_substrings, op10_jaccard, op11_filter_audit
 from harmattan.llm.common import fold, table
 
 #: Key of the surrogates of the registered queries; a production run brings its own secret.
@@ -121,6 +121,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_columns.report(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op11_filter_interaction_audit",
+    r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, MIN(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+ l AS (SELECT doc_id, MAX(CAST(quality = 1 AS INT)) AS good, MAX(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY 1),
+ f AS (SELECT part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(least < doc_id, false)] AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM d LEFT JOIN l USING (doc_id)),
+ c AS (SELECT part, fails, COUNT(*) AS n, SUM(good) AS good, SUM(toxic) AS toxic FROM f GROUP BY 1, 2),
+ x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS y),
+ o AS (SELECT a.y || b.y || c.y || d.y || e.y AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.y, b.y, c.y, d.y, e.y])) = 5),
+ s AS (SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS y, [strpos('ABCDE', q) FOR q IN string_split(filter_order[:step - 1], '') IF q <> ''] AS earlier FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o) z),
+ h AS (SELECT part, filter_order, step, y, n, good, toxic, fails[strpos('ABCDE', y)] AS here, len([1 FOR i IN earlier IF fails[i]]) > 0 AS gone, len([1 FOR w IN fails IF w]) = 1 AS alone FROM c, s),
+ g AS (SELECT part, filter_order, step, y, SUM(CASE WHEN NOT here AND NOT gone THEN n ELSE 0 END) AS kept, SUM(CASE WHEN here AND NOT gone THEN n ELSE 0 END) AS removed, SUM(CASE WHEN here AND gone THEN n ELSE 0 END) AS redundant, SUM(CASE WHEN here AND alone THEN n ELSE 0 END) AS unique_fails, SUM(CASE WHEN here AND NOT gone THEN good ELSE 0 END) AS good_lost, SUM(CASE WHEN here AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM h GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(SUM(removed) OVER (PARTITION BY part, y) AS BIGINT) AS shapley FROM g""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters on all documents, by source, in all 120 orders."""
+    return op11_filter_audit.audit(op11_filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,0 +1,85 @@
+"""Filter audit, chat windows and phrase mining against brute force, with the awkward cases."""
+
+import itertools
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from harmattan.llm import op11_filter_audit
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def failing(text):
+    words = WORD.findall(text)
+    return {
+        "A": len(words) < 50,
+        "B": 100 * len(set(words)) < 65 * len(words),
+        "C": 100 * sum("A" <= c <= "Z" for c in text) > 5 * len(text),
+        "D": any(c in "#$%&*|" for c in text),
+    }
+
+
+def brute_audit(docs, labels):
+    """(part, order, step) to figures, document by document."""
+    least = {}
+    for i, text, _ in docs:
+        if i is not None:
+            least[text or ""] = min(i, least.get(text or "", i))
+    good = {i for i, q, _ in labels if q == 1}
+    toxic = {i for i, _, t in labels if t == 1}
+    out = {}
+    for i, text, part in docs:
+        fails = failing(text or "") | {"E": i is not None and least[text or ""] < i}
+        for order in itertools.permutations("ABCDE"):
+            for step, name in enumerate(order):
+                row = out.setdefault((part or "", "".join(order), step + 1), dict.fromkeys(("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"), 0))
+                gone = any(fails[x] for x in order[:step])
+                hit = fails[name] and not gone
+                row["kept"] += not gone and not fails[name]
+                row["removed"] += hit
+                row["redundant"] += fails[name] and gone
+                row["unique_fails"] += fails[name] and sum(fails.values()) == 1
+                row["good_lost"] += hit and i in good
+                row["toxic_lost"] += hit and i in toxic
+    shapley = {}
+    for (part, order, step), row in out.items():
+        key = part, order[step - 1]
+        shapley[key] = shapley.get(key, 0) + row["removed"]
+    return {k: row | {"shapley": shapley[k[0], k[1][k[2] - 1]]} for k, row in out.items()}
+
+
+@pytest.fixture(scope="module")
+def audited(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, long, "a"), (2, long, "a"), (2, long, "b"), (1, long, "a"), (3, None, None), (4, "", "a"), (5, "# " + long, "b"), (6, long.upper(), ""), (7, "same " * 80, "b"), (None, long, "a"), (8, "é漢 " * 60, "c"), (9, "\x1f" + long + " $", "c"), (10, "w " * 200_000, "c")]
+    labels = [(1, 1, 0), (2, 0, 1), (2, 1, None), (5, 1, 1), (None, 1, 1), (99, 1, 1), (7, 0, 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({"part": F.lit("x"), "mask": F.lit(3), "n": F.lit(9), "id": F.lit("y"), "digest": F.lit(0), "quality": F.lit(1), "first": F.lit(False)})
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumns({"id": F.lit(7), "n": F.lit(1)})
+    return docs, labels, df.repartition(4), marks
+
+
+def test_filter_audit(audited):
+    docs, labels, df, marks = audited
+    want = brute_audit(docs, labels)
+    got = {(r["part"], r["filter_order"], r["step"]): {c: r[c] for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")} for r in op11_filter_audit.audit(op11_filter_audit.cells(df, marks)).collect()}
+    assert len(got) == 4 * 600
+    assert got == want
+
+
+def test_filter_audit_without_rows(audited):
+    _, _, df, marks = audited
+    assert op11_filter_audit.audit(op11_filter_audit.cells(df.limit(0), marks)).isEmpty()
+    unlabelled = op11_filter_audit.audit(op11_filter_audit.cells(df, marks.limit(0)))
+    assert unlabelled.agg(F.sum("good_lost"), F.sum("toxic_lost")).first() == (0, 0)
+
+
+def test_filter_audit_of_other_filters(spark):
+    """Two filters and copies: three axes, six orders."""
+    df = spark.createDataFrame([(i, "ab" if i % 2 else "b" * (i + 1), "s") for i in range(8)], "doc_id long, text string, source string")
+    table = op11_filter_audit.cells(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"), lambda t: {"X": t.contains("a"), "Y": F.length(t) > 4})
+    rows = op11_filter_audit.audit(table, "XYE").collect()
+    assert len(rows) == 18
+    first = {r["filter_order"]: r["removed"] for r in rows if r["step"] == 1}
+    assert first == {"XYE": 4, "XEY": 4, "YXE": 2, "YEX": 2, "EXY": 3, "EYX": 3}
