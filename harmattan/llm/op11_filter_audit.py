@@ -5,7 +5,7 @@ bits are counted, which leaves at most 2**k cells a part. The cells of a part ar
 tensor of k axes of length 2, and every figure of every order and step is one contraction: along
 each axis a selector takes "passes" (1, 0), "fails" (0, 1) or "all" (1, 1).
 
-The documents are read once; only their digests, bits and ids are shuffled. The filter for repeated texts
+The documents are read twice, the second time for digests and ids alone; only digests, bits and ids are shuffled. The filter for repeated texts
 compares SHA-256 digests: the least id of each digest is a combining aggregate, and it is joined
 back on (digest, id), so that a large group of copies never meets in one task.
 

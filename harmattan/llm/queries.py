@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmattan.llm import op1_surrogates, op2_langid, op3_forest, op4_quality, op5_packing, op6_columns, op7_bpe_reuse, op8_toxicity, op9_substrings, op10_jaccard, op11_filter_audit
+from harmattan.llm import op1_surrogates, op2_langid, op3_forest, op4_quality, op5_packing, op6_columns, op7_bpe_reuse, op8_toxicity, op9_substrings, op10_jaccard, op11_filter_audit, op12_chat_windows
 from harmattan.llm.common import fold, table
 
 #: Key of the surrogates of the registered queries; a production run brings its own secret.
@@ -139,6 +139,37 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_filter_audit.audit(op11_filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+#: A planted conversation whose texts hold what common templates use as marks.
+PLANTED = (-7, "\\### Assistant: </turn> ok")
+
+
+@query(
+    "op12_chat_windows",
+    r"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+ f AS (SELECT *, '<|turn|>' || regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') || '<|text|>' || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS piece, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM c),
+ t AS (SELECT *, len(regexp_extract_all(piece, '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]')) AS n, i = 1 AND role = 'system' AS opens FROM f),
+ q AS (SELECT *, SUM(n) OVER (PARTITION BY conv_id ORDER BY i) AS z, z - n AS a, MAX(CASE WHEN opens THEN n ELSE 0 END) OVER (PARTITION BY conv_id) AS reserve, (z - n) // 16384 AS seg FROM t),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS j FROM q WHERE NOT opens),
+ r AS (SELECT conv_id, j, seg, a AS start, piece FROM o WHERE j = 1
+  UNION ALL SELECT o.conv_id, o.j, o.seg, CASE WHEN o.seg <> r.seg OR o.z - r.start > greatest(768 - o.reserve, 1) THEN o.a ELSE r.start END, o.piece FROM r JOIN o ON o.conv_id = r.conv_id AND o.j = r.j + 1),
+ w AS (SELECT DISTINCT conv_id, start FROM r),
+ s AS (SELECT conv_id, length(piece) AS chars FROM r
+  UNION ALL SELECT conv_id, length(piece) FROM w JOIN o USING (conv_id) WHERE a >= start - 256 AND z <= start
+  UNION ALL SELECT q.conv_id, length(piece) FROM q LEFT JOIN w USING (conv_id) WHERE opens),
+ k AS (SELECT conv_id, SUM(chars) AS formatted_chars FROM s GROUP BY 1)
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, CAST(SUM(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '')) AS loss_sha256, CAST(ANY_VALUE(formatted_chars) AS BIGINT) AS formatted_chars
+FROM t JOIN k USING (conv_id) GROUP BY conv_id""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the planted one in windows of 1024 tokens, read back and digested."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv, text = PLANTED
+    planted = spark.range(2).select(F.lit(conv).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    return op12_chat_windows.digests(op12_chat_windows.windows(given.unionByName(planted)))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

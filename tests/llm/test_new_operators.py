@@ -1,12 +1,14 @@
 """Filter audit, chat windows and phrase mining against brute force, with the awkward cases."""
 
+import hashlib
 import itertools
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from harmattan.llm import op11_filter_audit
+from harmattan.llm import op11_filter_audit, op12_chat_windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,3 +85,104 @@ def test_filter_audit_of_other_filters(spark):
     assert len(rows) == 18
     first = {r["filter_order"]: r["removed"] for r in rows if r["step"] == 1}
     assert first == {"XYE": 4, "XEY": 4, "YXE": 2, "YEX": 2, "EXY": 3, "EYX": 3}
+
+
+TOKEN = re.compile(r"[^\W_]+|[^\x20\x09-\x0D]")
+
+
+def formatted(role, text):
+    def escape(x):
+        return re.sub(r"<(\\*)\|", lambda m: "<\\" + m.group(1) + "|", x)
+
+    return f"<|turn|>{escape(role)}<|text|>{escape(text)}<|end|>\n"
+
+
+def brute_windows(turns, budget, history):
+    """[(start, [(role, text, repeated)])] of one conversation, turn by turn."""
+    ordered = sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1] or "", hashlib.md5((t[2] or "").encode()).hexdigest()))
+    spans, at = [], 0
+    for _, role, text in ordered:
+        n = len(TOKEN.findall(formatted(role or "", text or "")))
+        spans.append((at, at + n, role or "", text or ""))
+        at += n
+    opening = spans.pop(0) if spans[0][2] == "system" else None
+    reserve = opening[1] if opening else 0
+    capacity = max(budget - history - reserve, 1)
+    size = op12_chat_windows.SEGMENT_WINDOWS * budget
+    out = []
+    for span in spans:
+        if not out or span[0] // size != out[-1][0] // size or span[1] - out[-1][0] > capacity:
+            out.append((span[0], []))
+        out[-1][1].append(span)
+    if opening and not (out and out[0][0] // size == 0):
+        out.insert(0, (0, []))
+    result = []
+    for i, (start, own) in enumerate(out):
+        said = [(*opening[2:], i > 0)] if opening else []
+        said += [(*s[2:], True) for s in spans if s[0] >= start - history and s[1] <= start]
+        result.append((start, said + [(*s[2:], False) for s in own]))
+    return result
+
+
+@pytest.fixture(scope="module")
+def chats(spark):
+    rng = random.Random(5)
+    marks = ["<|end|>\n", "<|turn|>", "<\\|text|>", "<", "|", "\\", "<\\\\|", "### Assistant: ", "</turn>", "\n", "é漢", "word ", "some more words "]
+
+    def text():
+        return "".join(rng.choice(marks) for _ in range(rng.randint(0, 12)))
+
+    rows = []
+    for conv in range(12):
+        for turn in range(rng.randint(1, 9)):
+            rows.append((conv, turn, "system" if turn == 0 and conv % 2 else rng.choice(["user", "assistant", "tool <|end|>"]), text()))
+    rows += [(50, t, "assistant" if t % 2 else "user", text()) for t in range(1500)]  # much longer than a segment
+    rows += [(60, 0, "system", "only this")]
+    rows += [(61, 0, "system", "s " * 3000), (61, 1, "user", "hello"), (61, 2, "assistant", "a " * 2000)]  # nothing fits
+    rows += [(62, 3, "assistant", "twice"), (62, 3, "assistant", "twice"), (62, None, None, None), (62, 3, "system", "late")]
+    rows += [(None, 0, "user", "whose?"), (None, 1, "assistant", "mine"), (-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("conv", "run", "at", "begin", "end", "n", "tie", "turns", "system")})
+    return rows, df.repartition(5)
+
+
+@pytest.mark.parametrize("budget, history", [(200, 60), (90, 0), (64, 63)])
+def test_chat_windows(chats, budget, history):
+    rows, df = chats
+    held = {}
+    for conv, *turn in rows:
+        held.setdefault(conv, []).append(tuple(turn))
+    want = {conv: brute_windows(turns, budget, history) for conv, turns in held.items()}
+    made = op12_chat_windows.windows(df, budget, history).cache()
+    got = {}
+    for r in made.collect():
+        text = "".join(formatted(t[0], t[1]) for t in dict(want[r["conv_id"]])[r["window_start"]])
+        assert r["text"] == text
+        assert r["n_tokens"] == len(TOKEN.findall(text)) and r["over_budget"] == (r["n_tokens"] > budget)
+        for t, (role, own, repeated) in zip(r["turns"], dict(want[r["conv_id"]])[r["window_start"]], strict=True):
+            span = text[t["start"] : t["start"] + t["length"]]
+            assert re.sub(r"<\\(\\*)\|", r"<\1|", span) == own
+            assert (t["repeated"], t["target"]) == (repeated, role == "assistant" and not repeated)
+    for r in op12_chat_windows.read_back(made).collect():
+        got.setdefault(r["conv_id"], {})[r["window_start"]] = [tuple(t) for t in r["said"]]
+    assert got == {conv: dict(w) for conv, w in want.items()}
+    # Windows over the budget hold one new turn, or an opening that leaves no room.
+    assert made.filter("over_budget").filter(F.size(F.filter("turns", lambda t: ~t["repeated"])) > 2).isEmpty()
+
+
+def test_chat_digests(chats):
+    rows, df = chats
+    got = {r["conv_id"]: r for r in op12_chat_windows.digests(op12_chat_windows.windows(df, 120, 40)).collect()}
+    held = {}
+    for conv, *turn in rows:
+        held.setdefault(conv, []).append(tuple(turn))
+    assert set(got) == set(held)
+    for conv, turns in held.items():
+        ordered = sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1] or "", hashlib.md5((t[2] or "").encode()).hexdigest()))
+        said = "".join(f"{role or ''}\n{text or ''}\n" for _, role, text in ordered)
+        learnt = "".join(text or "" for _, role, text in ordered if role == "assistant")
+        r = got[conv]
+        assert r["n_turns"] == len(turns) and r["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert r["loss_chars"] == len(learnt) and r["loss_sha256"] == hashlib.sha256(learnt.encode()).hexdigest()
+    assert op12_chat_windows.digests(op12_chat_windows.windows(df.limit(0))).isEmpty()
+    with pytest.raises(ValueError):
+        op12_chat_windows.windows(df, 10, 10)
