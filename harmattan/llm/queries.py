@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harmattan.llm import op1_surrogates, op2_langid, op3_forest, op4_quality, op5_packing, op6_columns, op7_bpe_reuse, op8_toxicity, op9_substrings, op10_jaccard, op11_filter_audit, op12_chat_windows
+from harmattan.llm import op1_surrogates, op2_langid, op3_forest, op4_quality, op5_packing, op6_columns, op7_bpe_reuse, op8_toxicity, op9_substrings, op10_jaccard, op11_filter_audit, op12_chat_windows, op13_phrases
 from harmattan.llm.common import fold, table
 
 #: Key of the surrogates of the registered queries; a production run brings its own secret.
@@ -170,6 +170,25 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_chat_windows.digests(op12_chat_windows.windows(given.unionByName(planted)))
 
 
+@query(
+    "op13_phrase_collocations",
+    r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+ g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) z) x),
+ f AS (SELECT lang, k, phrase, COUNT(*) AS a FROM g GROUP BY 1, 2, 3),
+ n AS (SELECT lang, SUM(a) AS n FROM f WHERE k = 1 GROUP BY 1),
+ c AS (SELECT lang, k, phrase, a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+ s AS (SELECT c.lang, c.k, c.phrase, c.a, cut, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS score FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')),
+ b AS (SELECT lang, phrase, k, a, MIN({'score': score, 'cut': cut, 'l': l, 'r': r}) AS best FROM s GROUP BY 1, 2, 3, 4),
+ t AS (SELECT lang, phrase, MAX(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(ws[:2], ' '), array_to_string(ws[2:], ' ')]) AS phrase FROM c WHERE k = 3) y GROUP BY 1, 2),
+ k AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY best.score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN t USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(best.l AS BIGINT) AS l, CAST(best.r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(best.score AS BIGINT) AS score FROM k JOIN n USING (lang) WHERE rank <= 2000""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of every language."""
+    return op13_phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

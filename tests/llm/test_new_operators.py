@@ -1,5 +1,6 @@
 """Filter audit, chat windows and phrase mining against brute force, with the awkward cases."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -8,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from harmattan.llm import op11_filter_audit, op12_chat_windows
+from harmattan.llm import op11_filter_audit, op12_chat_windows, op13_phrases
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -186,3 +187,87 @@ def test_chat_digests(chats):
     assert op12_chat_windows.digests(op12_chat_windows.windows(df.limit(0))).isEmpty()
     with pytest.raises(ValueError):
         op12_chat_windows.windows(df, 10, 10)
+
+
+PIECE = re.compile(r"[.,;:!?\x0A-\x0D]")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_counts(docs, longest=3):
+    counts, totals = collections.Counter(), collections.Counter()
+    for _, text, lang in docs:
+        for piece in PIECE.split((text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang or "und"] += len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    counts[lang or "und", tuple(words[i : i + k])] += 1
+    return counts, totals
+
+
+def brute_collocations(docs, top, least, share=50):
+    counts, totals = brute_counts(docs)
+    by_lang = collections.defaultdict(list)
+    for (lang, words), a in counts.items():
+        if len(words) < 2 or a < least:
+            continue
+        held = [n for (other, longer), n in counts.items() if other == lang and n >= least and len(longer) > len(words) and any(longer[i : i + len(words)] == words for i in range(len(longer)))]
+        if any(100 * n >= share * a for n in held):
+            continue
+        cuts = []
+        for k in range(1, len(words)):
+            l, r = counts[lang, words[:k]], counts[lang, words[k:]]
+            cuts.append((1_000_000 * a * a // (l * r), k, l, r))
+        score, _, l, r = min(cuts)
+        by_lang[lang].append((-score, -a, " ".join(words).encode(), l, r))
+    out = set()
+    for lang, rows in by_lang.items():
+        for rank, (score, a, phrase, l, r) in enumerate(sorted(rows)[:top], 1):
+            out.add((lang, rank, phrase.decode(), -a, l, r, totals[lang], -score))
+    return out
+
+
+@pytest.fixture(scope="module")
+def prose(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(40)] + ["É", "漢字", "New", "york", "\x1f", "#"]
+    docs = []
+    for i in range(120):
+        words = rng.choices(vocabulary, [1 / (r + 1) for r in range(len(vocabulary))], k=rng.randint(0, 60))
+        docs.append((i, "".join(w + rng.choice([" ", " ", " ", "  ", "\t", ", ", "\n", "\u00a0"]) for w in words), rng.choice(["aa", "bb", None, "und"])))
+    docs += [(200, None, "aa"), (201, "", "zz"), (202, " .,\n", "zz"), (203, "solo", None), (204, "a b c", "aa"), (204, "a b c", "aa"), (None, "a b c " * 9, "aa"), (205, "x y z " * 30_000, "bb")]
+    # Phrases that only documents outside the sample hold.
+    docs += [(1000 + i, "rare Rare find here", "aa") for i in range(25)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("k", "phrase", "a", "rank", "n", "cut")})
+    return docs, df.repartition(6)
+
+
+def test_collocations(prose):
+    docs, df = prose
+    for least, top in ((4, 7), (10, 2000)):
+        job = op13_phrases.Mining(min_count=least, filter_bits=16)
+        got = {tuple(r) for r in op13_phrases.collocations(df, top, job=job).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()}
+        assert got == brute_collocations(docs, top, least)
+    assert op13_phrases.collocations(df.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("sample_of, sample_count, bits, passes", [(1, 1, 16, 1), (4, 3, 16, 3), (1 << 40, 1, 16, 4), (3, 2, 6, None)])
+def test_border_failures_are_expanded(prose, sample_of, sample_count, bits, passes):
+    """Any sample and any filter give the same counts; what a poor sample leaves out takes further passes."""
+    docs, df = prose
+    job = op13_phrases.Mining(max_words=4, min_count=6, sample_of=sample_of, sample_count=sample_count, filter_bits=bits)
+    found, took = op13_phrases.frequent(df, job)
+    rows = found.collect()
+    got = {(r["lang"], tuple(r["phrase"].split(" "))): r["a"] for r in rows if r["k"]}
+    assert len(got) == sum(1 for r in rows if r["k"])
+    counts, totals = brute_counts(docs, 4)
+    assert got == {k: n for k, n in counts.items() if n >= 6}
+    assert {r["lang"]: r["a"] for r in rows if not r["k"] and r["a"]} == {k: n for k, n in totals.items() if n}
+    assert passes is None or (took == passes if passes in (1, 4) else 1 < took <= 4)
+
+
+def test_scores_beyond_64_bits(spark):
+    big = 3_000_000_000_007
+    found = spark.createDataFrame([("en", 1, "a", big + 5), ("en", 1, "b", big + 9), ("en", 2, "a b", big)], "lang string, k int, phrase string, a long")
+    (r,) = op13_phrases.scored(found).collect()
+    assert (r["score"], r["l"], r["r"]) == (1_000_000 * big * big // ((big + 5) * (big + 9)), big + 5, big + 9)
