@@ -6,12 +6,14 @@ last words, one word left out, are both expected to be frequent:
 
 1. A sample of the documents proposes the frequent phrases, at a lowered threshold.
 2. One pass over all documents counts the proposed phrases and their negative border: every word, and
-   every longer phrase whose parts were proposed but which itself was not.
-3. A border phrase that proves frequent is a failure: phrases that hold it may not have been
-   counted. Each further pass counts just those, until a pass shows no failure. All counts are exact then.
-
-What was proposed is kept in one bit filter a phrase length, of fixed size. A false positive counts a phrase too many
-and loses none. Each task takes slices of whole documents, numbers their words by an exact dictionary
+   every longer phrase whose parts were proposed but which itself was not. Proposed phrases travel spelt out; the
+   border, which is large and mostly rare, travels as 64-bit hashes.
+3. A border hash that proves frequent is a failure. Each further pass spells the failures and counts
+   the phrases that hold one, which may not have been counted, until a pass shows no failure. All counts
+   are exact then: two border phrases that share a hash could only cause a needless failure.
+
+What was proposed is kept in one bit filter a phrase length, of fixed size. A false positive spells or counts a phrase
+too many and loses none. Each task takes slices of whole documents, numbers their words by an exact dictionary
 and sends one row for each different phrase of a slice, so that hot phrases are counted before the shuffle;
 what stays under the threshold ends in the aggregation.
 
@@ -43,7 +45,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Larger slices than elsewhere: more phrases meet before the shuffle.
-SLICE = 1 << 23
+SLICE = 1 << 22
 STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -55,7 +57,7 @@ class Mining:
     min_count: int = 10
     sample_of: int = 4  # one document in so many
     sample_count: int = 2  # occurrences in the sample that propose a phrase
-    filter_bits: int = 25  # two filters of 2**25 bits (4 MB each) are broadcast
+    filter_bits: int = 25  # a filter a length below the maximum, 4 MB each; three sets of them are broadcast
 
 
 def text_hash(column: pa.Array) -> np.ndarray:
@@ -66,14 +68,6 @@ def text_hash(column: pa.Array) -> np.ndarray:
     return span_hash(prefix_hash(BYTE_VALUES[s.data]), s.starts[:-1], s.starts[1:])
 
 
-def join_hash(words: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
-    """Hash of phrases from the hashes of their words and their language."""
-    out = mix(lang)
-    for w in words:
-        out = mix(out * STEP + w)
-    return out
-
-
 class Filters:
     """One bit filter for each phrase length; a missing one holds nothing."""
 
@@ -108,107 +102,118 @@ def words_in(s: Slice) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[solid]))
     doc = np.searchsorted(s.starts, start, side="right") - 1
-    piece = np.cumsum(BREAK[data])[start]
+    piece = np.cumsum(BREAK[data], dtype=np.int32)[start]
     follows = np.zeros(len(start), bool)
     follows[:-1] = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])
     return words, doc, follows
 
 
-def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of the first, number of each occurrence's value, and count of the different values."""
-    _, first, inverse, count = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
-    return first, inverse, count
+@dataclass(frozen=True)
+class Pass:
+    """What a pass over the documents has to count; all empty for the sample."""
+
+    wanted: Filters | None = None  # phrases expected to be frequent: proposed, or failures of the passes before
+    done: Filters | None = None  # ``wanted`` of the pass before
+    failed: Filters | None = None  # failures of the pass before, to be spelt
 
 
-def count_slice(s: Slice, langs: pa.Array, wanted: Filters | None, done: Filters | None, job: Mining):
-    """Yields (length, lang, phrase, count) columns for the phrases of a slice that a pass has to count.
+def count_slice(s: Slice, langs: pa.Array, job: Mining, todo: Pass):
+    """Yields (length, hashes, languages, phrases, counts) of a slice; languages and phrases are None for a border.
 
-    A phrase longer than a word is counted if both parts that leave out one word are in ``wanted``,
-    and not if both are in ``done``; without ``wanted`` all phrases shorter than the maximum are counted. Words
-    are counted by the first pass alone. Length 0 carries the number of words of a language.
+    Length 0 carries the number of words of a language. The sample (nothing wanted) sends hashes of all phrases
+    shorter than the maximum.
     """
     words, doc, follows = words_in(s)
-    if not len(words):
+    n = len(words)
+    if not n:
         return
-    names = langs.dictionary_encode()
-    lang_of = names.indices.to_numpy()[doc]
-    spelt = words.dictionary_encode()
-    first, unit, count = _distinct(lang_of.astype(np.int64) * len(spelt.dictionary) + spelt.indices.to_numpy())
-    lang_hash = text_hash(names.dictionary)[lang_of]
-    word_hash = text_hash(spelt.dictionary)[spelt.indices.to_numpy()]
-
-    def text(at: np.ndarray, k: int) -> pa.Array:
-        parts = [spelt.dictionary.take(spelt.indices.take(pa.array(at + i))) for i in range(k)]
+    wanted, done, failed = todo.wanted, todo.done, todo.failed
+    names, spelt = langs.dictionary_encode(), words.dictionary_encode()
+    kinds = len(spelt.dictionary)
+    lang, word = names.indices.to_numpy()[doc], spelt.indices.to_numpy()
+    unit = lang.astype(np.int64) * kinds + word
+    width = len(names.dictionary) * kinds
+    word_hash = text_hash(spelt.dictionary)
+    lang_hash = mix(text_hash(names.dictionary))
+    none = np.zeros(0, bool)
+
+    def spell(at: np.ndarray, k: int) -> pa.Array:
+        parts = [spelt.dictionary.take(pa.array(word[at + i])) for i in range(k)]
         return parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
 
-    def out(k: int, at: np.ndarray, n: np.ndarray):
-        yield k, names.dictionary.take(pa.array(lang_of[at])), text(at, k), n
-
-    if done is None:
-        yield from out(1, first, count)
-        if wanted is not None:
-            total = np.bincount(lang_of, minlength=len(names.dictionary))
-            yield 0, names.dictionary, pa.array([""] * len(total), pa.large_string()), total
-    n = len(words)
-    width = int(unit.max()) + 1
-    code, kept, old = unit, np.ones(n, bool), np.full(n, done is not None)
-
-    def parts_in(filters: Filters, k: int, at: np.ndarray) -> np.ndarray:
-        """Whether both parts of k - 1 words of the phrases of k words at some places are held."""
-        held = [filters.holds(k - 1, join_hash([word_hash[at + o + i] for i in range(k - 1)], lang_hash[at])) for o in (0, 1)]
-        return held[0] & held[1]
-
-    for k in range(2, (job.max_words if wanted is not None else job.max_words - 1) + 1):
-        # What was left out at one length is left out of all longer phrases, now and in the passes done.
-        at = np.flatnonzero(follows[:-1] & kept[:-1] & kept[1:])
-        if wanted is not None:
-            at = at[parts_in(wanted, k, at)]
-        if not len(at):
+    def rows(k: int, at: np.ndarray, code: np.ndarray, h: np.ndarray, as_text: np.ndarray, as_hash: np.ndarray):
+        """Counts of the phrases at some places, one row for each different code."""
+        for chosen, text in ((as_text, True), (as_hash, False)):
+            if chosen.any():
+                _, first, count = np.unique(code[chosen], return_index=True, return_counts=True)
+                first = np.flatnonzero(chosen)[first]
+                yield k, h[first], *((names.dictionary.take(pa.array(lang[at[first]])), spell(at[first], k)) if text else (None, None)), count
+
+    if wanted is not None and done is None:
+        total = np.bincount(lang, minlength=len(names.dictionary))
+        yield 0, lang_hash, names.dictionary, pa.array([""] * len(total), pa.large_string()), total
+    # Per place, for the phrase of k words that begins there: its code and hash; whether this pass and the one before
+    # counted it and hold it.
+    at, code = np.arange(n), unit
+    counted, past = np.ones(n, bool), np.full(n, done is not None)
+    h = mix(lang_hash[lang] * STEP + word_hash[word])
+    for k in range(1, job.max_words + (wanted is not None)):
+        if k > 1:
+            at = np.flatnonzero(follows[:-1] & open_[:-1] & open_[1:])
+            if not len(at):
+                return
+            if code.max() >= (1 << 62) // width:
+                code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+            code = code[at] * width + unit[at + k - 1]
+            h = mix(h[at] * STEP + word_hash[word[at + k - 1]])
+            counted, past = np.ones(len(at), bool), closed[at] & closed[at + 1]
+        new = counted & ~past
+        if wanted is None:
+            yield from rows(k, at, code, h, none, new)
+            held, had = counted, past
+        elif k == job.max_words:
+            yield from rows(k, at, code, h, new, none)
             return
-        first, number, count = _distinct(code[at].astype(np.int64) * width + unit[at + k - 1])
-        past = old[at] & old[at + 1] & parts_in(done, k, at) if done is not None else np.zeros(len(at), bool)
-        new = ~past[first]
-        yield from out(k, at[first[new]], count[new])
-        code, kept, old = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
-        code[at], kept[at], old[at] = number, True, past
+        else:
+            held = wanted.holds(k, h)
+            had = done.holds(k, h) if done is not None else np.zeros(len(at), bool)
+            again = past & ~had & failed.holds(k, h) if failed is not None else np.zeros(len(at), bool)
+            yield from rows(k, at, code, h, new & held | again, new & ~held)
+        # What was left out at one length is left out of all longer phrases, in this pass and the one before.
+        open_, closed = np.zeros(n, bool), np.zeros(n, bool)
+        open_[at], closed[at] = held, past & had
+        if k > 1:
+            wide, hashes = np.zeros(n, np.int64), np.zeros(n, np.uint64)
+            wide[at], hashes[at] = code, h
+            code, h = wide, hashes
 
 
-COUNTS = "lang string, k int, phrase string, a long"
+COUNTS = "k int, h long, lang string, phrase string, a long"
 
 
-def count_pass(docs: DataFrame, wanted: Filters | None, done: Filters | None, job: Mining) -> DataFrame:
-    """lang, k, phrase, a: exact counts of what :func:`count_slice` selects, over all rows of ``docs`` (lang, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast((wanted, done)) if wanted is not None else None
+def count_pass(docs: DataFrame, job: Mining, todo: Pass) -> DataFrame:
+    """k, h, lang, phrase, a: what :func:`count_slice` sends, summed over all rows of ``docs`` (lang, text)."""
+    sent = docs.sparkSession.sparkContext.broadcast(todo)  # fixed size
 
     def run(batches):
-        wants, has = sent.value if sent is not None else (None, None)
+        size = 1 << 16
         for b in batches:
             for s in slices(b.column(1), SLICE):
-                for k, lang, phrase, n in count_slice(s, b.column(0).slice(s.lo, len(s)), wants, has, job):
-                    size = 1 << 16
+                for k, h, lang, phrase, n in count_slice(s, b.column(0).slice(s.lo, len(s)), job, sent.value):
                     for lo in range(0, len(n), size):
                         part = n[lo : lo + size]
-                        yield pa.record_batch([lang.slice(lo, size).cast(pa.string()), pa.array(np.full(len(part), k, np.int32)), phrase.slice(lo, size).cast(pa.string()), pa.array(part, pa.int64())], ["lang", "k", "phrase", "a"])
-
-    return docs.mapInArrow(run, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
+                        text = [pa.nulls(len(part), pa.string()) if c is None else c.slice(lo, size).cast(pa.string()) for c in (lang, phrase)]
+                        yield pa.record_batch([pa.array(np.full(len(part), k, np.int32)), pa.array(h[lo : lo + size].view(np.int64)), *text, pa.array(part, pa.int64())], ["k", "h", "lang", "phrase", "a"])
 
+    # A slice sends a phrase once, so sums before the shuffle would find little to add.
+    return docs.mapInArrow(run, COUNTS).repartition("h").groupBy("k", "h", "lang", "phrase").agg(F.sum("a").alias("a"))
 
-def phrase_filters(phrases: DataFrame, job: Mining) -> Filters:
-    """The bit filters of phrases (lang, k, phrase) shorter than the maximum; their size is fixed, whatever the number of phrases."""
 
-    def run(batches):
-        for b in batches:
-            lang, k, phrase = b.column(0), b.column(1).to_numpy(), b.column(2)
-            for length in np.unique(k):
-                own = phrase.filter(pa.array(k == length))
-                parts = pc.split_pattern(own, " ")
-                words = [text_hash(pc.list_element(parts, i)) for i in range(length)]
-                h = join_hash(words, text_hash(lang.filter(pa.array(k == length)))) >> np.uint64(64 - job.filter_bits)
-                yield pa.record_batch([pa.array(np.full(len(h), length, np.int32)), pa.array((h >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (h & np.uint64(63))).view(np.int64))], ["k", "word", "bits"])
-
-    short = phrases.filter(F.col("k").between(1, job.max_words - 1)).select("lang", "k", "phrase")
-    rows = short.mapInArrow(run, "k int, word long, bits long").groupBy("k", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    k, word, bits = (c.to_numpy() for c in rows.columns)
+def hash_filters(hashes: DataFrame, job: Mining) -> Filters:
+    """Bit filters of phrases (k, h); their size is fixed, whatever the number of phrases."""
+    place = F.shiftrightunsigned("h", 64 - job.filter_bits)
+    rows = hashes.select("k", F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - job.filter_bits}) & 63 AS INT))").alias("bit"))
+    k, word, bits = (c.to_numpy() for c in rows.groupBy("k", "word").agg(F.bit_or("bit").alias("bits")).toArrow().columns)
     levels = {}
     for length in np.unique(k):
         bitmap = np.zeros(1 << (job.filter_bits - 6), np.uint64)
@@ -217,44 +222,27 @@ def phrase_filters(phrases: DataFrame, job: Mining) -> Filters:
     return Filters(job.filter_bits, levels)
 
 
-def missing(found: DataFrame, filters: Filters, job: Mining) -> DataFrame:
-    """Those of ``found`` (frequent, shorter than the maximum) that the filters do not hold: failures of the border."""
-    sent = found.sparkSession.sparkContext.broadcast(filters)
-
-    def run(batches):
-        for b in batches:
-            k = b.column(1).to_numpy()
-            lost = np.zeros(len(k), bool)
-            for length in np.unique(k):
-                at = np.flatnonzero(k == length)
-                parts = pc.split_pattern(b.column(2).take(pa.array(at)), " ")
-                h = join_hash([text_hash(pc.list_element(parts, i)) for i in range(length)], text_hash(b.column(0).take(pa.array(at))))
-                lost[at] = ~sent.value.holds(int(length), h)
-            yield b.filter(pa.array(lost))
-
-    return found.filter(F.col("k").between(1, job.max_words - 1)).select("lang", "k", "phrase", "a").mapInArrow(run, COUNTS)
-
-
 def frequent(docs: DataFrame, job: Mining = Mining(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, int]:
     """lang, k, phrase, a of all phrases with ``min_count`` or more occurrences, and the number of full passes.
 
     Rows with k = 0 carry the number of words of each language.
     """
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(job.sample_of)) == 0)
-    drawn = drawn.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    wanted = phrase_filters(count_pass(drawn, None, None, job).filter(F.col("a") >= job.sample_count), job)
+    language = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
+    rows = docs.select(language, F.col(text_col).alias("text"))
+    in_sample = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(job.sample_of)) == 0
+    drawn = docs.filter(in_sample).select(language, F.col(text_col).alias("text"))
+    wanted = hash_filters(count_pass(drawn, job, Pass()).filter(F.col("a") >= job.sample_count), job)
     enough = (F.col("a") >= job.min_count) | (F.col("k") == 0)
-    found, done, passes = None, None, 0
+    found, todo, passes = None, Pass(wanted), 0
     while True:
-        new = materialize(count_pass(rows, wanted, done, job).filter(enough))
+        new = materialize(count_pass(rows, job, todo).filter(enough))
         passes += 1
-        found = new if found is None else found.union(new)
-        done = wanted
-        failures = phrase_filters(missing(new, wanted, job), job)
-        if not failures.levels:
+        spelt = new.filter(F.col("phrase").isNotNull()).select("lang", "k", "phrase", "a")
+        found = spelt if found is None else found.union(spelt)
+        failed = hash_filters(new.filter(F.col("phrase").isNull()), job)
+        if not failed.levels:
             return found, passes
-        wanted = wanted.joined(failures)
+        todo = Pass(todo.wanted.joined(failed), todo.wanted, failed)
 
 
 def scored(found: DataFrame, min_count: int = 10) -> DataFrame:
