@@ -7,15 +7,15 @@ last words, one word left out, are both expected to be frequent:
 1. A sample of the documents proposes the frequent phrases, at a lowered threshold.
 2. One pass over all documents counts the proposed phrases and their negative border: every word, and
    every longer phrase whose parts were proposed but which itself was not. Proposed phrases travel spelt out; the
-   border, which is large and mostly rare, travels as 64-bit hashes.
+   border, which is large and mostly rare, travels as hashes of 48 bits packed with their counts into one number.
 3. A border hash that proves frequent is a failure. Each further pass spells the failures and counts
    the phrases that hold one, which may not have been counted, until a pass shows no failure. All counts
    are exact then: two border phrases that share a hash could only cause a needless failure.
 
-What was proposed is kept in one bit filter a phrase length, of fixed size. A false positive spells or counts a phrase
+What was proposed is kept in one bit filter of fixed size. A false positive spells or counts a phrase
 too many and loses none. Each task takes slices of whole documents, numbers their words by an exact dictionary
-and sends one row for each different phrase of a slice, so that hot phrases are counted before the shuffle;
-what stays under the threshold ends in the aggregation.
+and sends one row for each different phrase of a slice (for the border, of some slices), so that hot phrases are
+counted before the shuffle; what stays under the threshold ends in the aggregation.
 
 Defined cases: null texts count as empty, null languages as ``und``; repeated rows count each time;
 empty tables give no rows; further columns are ignored. A very long text is a slice of its own.
@@ -57,7 +57,7 @@ class Mining:
     min_count: int = 10
     sample_of: int = 4  # one document in so many
     sample_count: int = 2  # occurrences in the sample that propose a phrase
-    filter_bits: int = 25  # a filter a length below the maximum, 4 MB each; three sets of them are broadcast
+    filter_bits: int = 26  # 8 MB; three such filters are broadcast
 
 
 def text_hash(column: pa.Array) -> np.ndarray:
@@ -68,22 +68,18 @@ def text_hash(column: pa.Array) -> np.ndarray:
     return span_hash(prefix_hash(BYTE_VALUES[s.data]), s.starts[:-1], s.starts[1:])
 
 
-class Filters:
-    """One bit filter for each phrase length; a missing one holds nothing."""
+class Filter:
+    """A set of hashes as bits: holds all that were put in, and some more."""
 
-    def __init__(self, bits: int, levels: dict[int, np.ndarray]):
-        self.bits, self.levels = bits, levels
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
 
-    def holds(self, length: int, hashes: np.ndarray) -> np.ndarray:
-        bitmap = self.levels.get(length)
-        if bitmap is None:
-            return np.zeros(len(hashes), bool)
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes >> np.uint64(64 - self.bits)
-        return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
-    def joined(self, other: Filters) -> Filters:
-        keys = self.levels.keys() | other.levels.keys()
-        return Filters(self.bits, {k: reduce(np.bitwise_or, [f.levels[k] for f in (self, other) if k in f.levels]) for k in keys})
+    def joined(self, other: Filter) -> Filter:
+        return Filter(self.bits, self.words | other.words)
 
 
 def words_in(s: Slice) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -112,15 +108,15 @@ def words_in(s: Slice) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 class Pass:
     """What a pass over the documents has to count; all empty for the sample."""
 
-    wanted: Filters | None = None  # phrases expected to be frequent: proposed, or failures of the passes before
-    done: Filters | None = None  # ``wanted`` of the pass before
-    failed: Filters | None = None  # failures of the pass before, to be spelt
+    wanted: Filter | None = None  # phrases expected to be frequent: proposed, or failures of the passes before
+    done: Filter | None = None  # ``wanted`` of the pass before
+    failed: Filter | None = None  # failures of the pass before, to be spelt
 
 
 def count_slice(s: Slice, langs: pa.Array, job: Mining, todo: Pass):
-    """Yields (length, hashes, languages, phrases, counts) of a slice; languages and phrases are None for a border.
+    """Yields (hashes, texts, counts) of a slice; texts are phrase, tab and language, or None for the border.
 
-    Length 0 carries the number of words of a language. The sample (nothing wanted) sends hashes of all phrases
+    An empty phrase carries the number of words of a language. The sample (nothing wanted) sends hashes of all phrases
     shorter than the maximum.
     """
     words, doc, follows = words_in(s)
@@ -137,9 +133,12 @@ def count_slice(s: Slice, langs: pa.Array, job: Mining, todo: Pass):
     lang_hash = mix(text_hash(names.dictionary))
     none = np.zeros(0, bool)
 
+    labels = names.dictionary.cast(pa.large_string())
+
     def spell(at: np.ndarray, k: int) -> pa.Array:
         parts = [spelt.dictionary.take(pa.array(word[at + i])) for i in range(k)]
-        return parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
+        phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
+        return pc.binary_join_element_wise(phrase, labels.take(pa.array(lang[at])), pa.scalar("\t", pa.large_string()))
 
     def rows(k: int, at: np.ndarray, code: np.ndarray, h: np.ndarray, as_text: np.ndarray, as_hash: np.ndarray):
         """Counts of the phrases at some places, one row for each different code."""
@@ -147,11 +146,11 @@ def count_slice(s: Slice, langs: pa.Array, job: Mining, todo: Pass):
             if chosen.any():
                 _, first, count = np.unique(code[chosen], return_index=True, return_counts=True)
                 first = np.flatnonzero(chosen)[first]
-                yield k, h[first], *((names.dictionary.take(pa.array(lang[at[first]])), spell(at[first], k)) if text else (None, None)), count
+                yield h[first], spell(at[first], k) if text else None, count
 
     if wanted is not None and done is None:
         total = np.bincount(lang, minlength=len(names.dictionary))
-        yield 0, lang_hash, names.dictionary, pa.array([""] * len(total), pa.large_string()), total
+        yield lang_hash, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), labels, pa.scalar("\t", pa.large_string())), total
     # Per place, for the phrase of k words that begins there: its code and hash; whether this pass and the one before
     # counted it and hold it.
     at, code = np.arange(n), unit
@@ -175,9 +174,9 @@ def count_slice(s: Slice, langs: pa.Array, job: Mining, todo: Pass):
             yield from rows(k, at, code, h, new, none)
             return
         else:
-            held = wanted.holds(k, h)
-            had = done.holds(k, h) if done is not None else np.zeros(len(at), bool)
-            again = past & ~had & failed.holds(k, h) if failed is not None else np.zeros(len(at), bool)
+            held = wanted.holds(h)
+            had = done.holds(h) if done is not None else np.zeros(len(at), bool)
+            again = past & ~had & failed.holds(h) if failed is not None else np.zeros(len(at), bool)
             yield from rows(k, at, code, h, new & held | again, new & ~held)
         # What was left out at one length is left out of all longer phrases, in this pass and the one before.
         open_, closed = np.zeros(n, bool), np.zeros(n, bool)
@@ -188,38 +187,72 @@ def count_slice(s: Slice, langs: pa.Array, job: Mining, todo: Pass):
             code, h = wide, hashes
 
 
-COUNTS = "k int, h long, lang string, phrase string, a long"
+#: Bits of a row that count; the others are the hash.
+COUNT_BITS = 16
+#: Border rows that a task holds back to add up.
+HELD = 1 << 21
+
+
+def packed(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Upper bits of the hash over the count; a count too large for its bits becomes several rows."""
+    most = (1 << COUNT_BITS) - 1
+    h = h & ~np.uint64(most)
+    times = np.maximum(-(-n // most), 1)
+    if times.max(initial=1) == 1:
+        return (h | n.astype(np.uint64)).view(np.int64)
+    last = np.zeros(times.sum(), bool)
+    last[np.cumsum(times) - 1] = True
+    part = np.where(last, np.repeat(n - (times - 1) * most, times), most)
+    return (np.repeat(h, times) | part.astype(np.uint64)).view(np.int64)
 
 
 def count_pass(docs: DataFrame, job: Mining, todo: Pass) -> DataFrame:
-    """k, h, lang, phrase, a: what :func:`count_slice` sends, summed over all rows of ``docs`` (lang, text)."""
+    """h, text, a: what :func:`count_slice` sends, summed over all rows of ``docs`` (lang, text); h is the hash without its count bits."""
     sent = docs.sparkSession.sparkContext.broadcast(todo)  # fixed size
 
+    def batches_of(h: np.ndarray, text: pa.Array | None, n: np.ndarray):
+        rows, size = packed(h, n), 1 << 16
+        if text is not None and len(rows) != len(text):
+            text = text.take(pa.array(np.repeat(np.arange(len(n)), np.maximum(-(-n // ((1 << COUNT_BITS) - 1)), 1))))
+        for lo in range(0, len(rows), size):
+            part = rows[lo : lo + size]
+            yield pa.record_batch([pa.array(part), pa.nulls(len(part), pa.string()) if text is None else text.slice(lo, size).cast(pa.string())], ["row", "text"])
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]):
+        h, n = (np.concatenate(c) for c in zip(*held))
+        h, at = np.unique(h, return_inverse=True)
+        return h, None, np.bincount(at, n).astype(np.int64)
+
     def run(batches):
-        size = 1 << 16
+        held, size = [], 0
         for b in batches:
             for s in slices(b.column(1), SLICE):
-                for k, h, lang, phrase, n in count_slice(s, b.column(0).slice(s.lo, len(s)), job, sent.value):
-                    for lo in range(0, len(n), size):
-                        part = n[lo : lo + size]
-                        text = [pa.nulls(len(part), pa.string()) if c is None else c.slice(lo, size).cast(pa.string()) for c in (lang, phrase)]
-                        yield pa.record_batch([pa.array(np.full(len(part), k, np.int32)), pa.array(h[lo : lo + size].view(np.int64)), *text, pa.array(part, pa.int64())], ["k", "h", "lang", "phrase", "a"])
-
-    # A slice sends a phrase once, so sums before the shuffle would find little to add.
-    return docs.mapInArrow(run, COUNTS).repartition("h").groupBy("k", "h", "lang", "phrase").agg(F.sum("a").alias("a"))
-
-
-def hash_filters(hashes: DataFrame, job: Mining) -> Filters:
-    """Bit filters of phrases (k, h); their size is fixed, whatever the number of phrases."""
+                for h, text, n in count_slice(s, b.column(0).slice(s.lo, len(s)), job, sent.value):
+                    if text is not None:
+                        yield from batches_of(h, text, n)
+                        continue
+                    held.append((h, n))
+                    size += len(h)
+                    if size >= HELD:
+                        yield from batches_of(*added(held))
+                        held, size = [], 0
+        if held:
+            yield from batches_of(*added(held))
+
+    rows = docs.mapInArrow(run, "row long, text string")
+    h = F.shiftleft(F.shiftright("row", COUNT_BITS), COUNT_BITS).alias("h")
+    # The tasks have added up what they could, so sums before the shuffle would find little to add.
+    return rows.repartition(h).groupBy(h, "text").agg(F.sum(F.col("row").bitwiseAND((1 << COUNT_BITS) - 1)).alias("a"))
+
+
+def hash_filter(hashes: DataFrame, job: Mining) -> tuple[Filter, int]:
+    """Bit filter of a column h of hashes, and the number of bits set; its size is fixed, whatever the number of hashes."""
     place = F.shiftrightunsigned("h", 64 - job.filter_bits)
-    rows = hashes.select("k", F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - job.filter_bits}) & 63 AS INT))").alias("bit"))
-    k, word, bits = (c.to_numpy() for c in rows.groupBy("k", "word").agg(F.bit_or("bit").alias("bits")).toArrow().columns)
-    levels = {}
-    for length in np.unique(k):
-        bitmap = np.zeros(1 << (job.filter_bits - 6), np.uint64)
-        bitmap[word[k == length]] = bits[k == length].view(np.uint64)
-        levels[int(length)] = bitmap
-    return Filters(job.filter_bits, levels)
+    rows = hashes.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - job.filter_bits}) & 63 AS INT))").alias("bit"))
+    word, bits = (c.to_numpy() for c in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().columns)
+    words = np.zeros(1 << (job.filter_bits - 6), np.uint64)
+    words[word] = bits.view(np.uint64)
+    return Filter(job.filter_bits, words), len(bits)
 
 
 def frequent(docs: DataFrame, job: Mining = Mining(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, int]:
@@ -227,20 +260,24 @@ def frequent(docs: DataFrame, job: Mining = Mining(), id_col: str = "doc_id", te
 
     Rows with k = 0 carry the number of words of each language.
     """
-    language = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
-    rows = docs.select(language, F.col(text_col).alias("text"))
+    given = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
+    rows = docs.select(given, F.col(text_col).alias("text"))
     in_sample = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(job.sample_of)) == 0
-    drawn = docs.filter(in_sample).select(language, F.col(text_col).alias("text"))
-    wanted = hash_filters(count_pass(drawn, job, Pass()).filter(F.col("a") >= job.sample_count), job)
-    enough = (F.col("a") >= job.min_count) | (F.col("k") == 0)
+    drawn = docs.filter(in_sample).select(given, F.col(text_col).alias("text"))
+    wanted, _ = hash_filter(count_pass(drawn, job, Pass()).filter(F.col("a") >= job.sample_count), job)
+    phrase = F.substring_index("text", "\t", 1)
+    language = F.col("text").substr(F.length(phrase) + 2, F.length("text"))
+    # Words of a phrase are parted by one space each.
+    k = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
+    enough = (F.col("a") >= job.min_count) | F.col("text").startswith("\t")
     found, todo, passes = None, Pass(wanted), 0
     while True:
         new = materialize(count_pass(rows, job, todo).filter(enough))
         passes += 1
-        spelt = new.filter(F.col("phrase").isNotNull()).select("lang", "k", "phrase", "a")
+        spelt = new.filter(F.col("text").isNotNull()).select(language.alias("lang"), k.alias("k"), phrase.alias("phrase"), "a")
         found = spelt if found is None else found.union(spelt)
-        failed = hash_filters(new.filter(F.col("phrase").isNull()), job)
-        if not failed.levels:
+        failed, bits = hash_filter(new.filter(F.col("text").isNull()), job)
+        if not bits:
             return found, passes
         todo = Pass(todo.wanted.joined(failed), todo.wanted, failed)
 
