@@ -6,16 +6,16 @@ last words, one word left out, are both expected to be frequent:
 
 1. A sample of the documents proposes the frequent phrases, at a lowered threshold.
 2. One pass over all documents counts the proposed phrases and their negative border: every word, and
-   every longer phrase whose parts were proposed but which itself was not. Proposed phrases travel spelt out; the
-   border, which is large and mostly rare, travels as hashes of 48 bits packed with their counts into one number.
-3. A border hash that proves frequent is a failure. Each further pass spells the failures and counts
-   the phrases that hold one, which may not have been counted, until a pass shows no failure. All counts
-   are exact then: two border phrases that share a hash could only cause a needless failure.
+   every longer phrase whose parts were proposed but which itself was not. Phrases travel as hashes of 47 bits with
+   their counts, packed by ranges of the hash.
+3. A border phrase that proves frequent is a failure. Each further pass counts the phrases that hold one,
+   which may not have been counted, until a pass shows no failure.
+4. A last pass spells and counts whatever has a frequent hash. These counts are exact: a hash that two phrases share
+   could only let a phrase in that this pass then finds too rare.
 
-What was proposed is kept in one bit filter of fixed size. A false positive spells or counts a phrase
-too many and loses none. Each task takes slices of whole documents, numbers their words by an exact dictionary
-and sends one row for each different phrase of a slice (for the border, of some slices), so that hot phrases are
-counted before the shuffle; what stays under the threshold ends in the aggregation.
+What was proposed, and what is frequent, is kept in bit filters of fixed size, which is all that a pass leaves
+behind. A false positive counts a phrase too many and loses none. Each task takes slices of whole documents, numbers their
+words by an exact dictionary and adds up equal phrases before the shuffle; what stays under the threshold ends there.
 
 Defined cases: null texts count as empty, null languages as ``und``; repeated rows count each time;
 empty tables give no rows; further columns are ignored. A very long text is a slice of its own.
@@ -44,9 +44,13 @@ GAP[[0x20, 0x09]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Larger slices than elsewhere: more phrases meet before the shuffle.
 SLICE = 1 << 22
 STEP = np.uint64(0xD1342543DE82EF95)
+#: Rows that a task holds back to add them up.
+HELD = 1 << 21
+#: Lower bits of a hash that are dropped; the next one marks phrases of the greatest length.
+DROP = np.uint64(16)
+LONGEST = np.uint64(1) << DROP
 
 
 @dataclass(frozen=True)
@@ -57,7 +61,8 @@ class Mining:
     min_count: int = 10
     sample_of: int = 4  # one document in so many
     sample_count: int = 2  # occurrences in the sample that propose a phrase
-    filter_bits: int = 26  # 8 MB; three such filters are broadcast
+    filter_bits: int = 26  # 8 MB; two such filters are broadcast
+    rows_a_range: int = 256  # documents for each range of hashes, which one task adds up at a time
 
 
 def text_hash(column: pa.Array) -> np.ndarray:
@@ -78,7 +83,7 @@ class Filter:
         at = hashes >> np.uint64(64 - self.bits)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
-    def joined(self, other: Filter) -> Filter:
+    def __or__(self, other: Filter) -> Filter:
         return Filter(self.bits, self.words | other.words)
 
 
@@ -104,182 +109,206 @@ def words_in(s: Slice) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, doc, follows
 
 
-@dataclass(frozen=True)
-class Pass:
-    """What a pass over the documents has to count; all empty for the sample."""
-
-    wanted: Filter | None = None  # phrases expected to be frequent: proposed, or failures of the passes before
-    done: Filter | None = None  # ``wanted`` of the pass before
-    failed: Filter | None = None  # failures of the pass before, to be spelt
-
-
-def count_slice(s: Slice, langs: pa.Array, job: Mining, todo: Pass):
-    """Yields (hashes, texts, counts) of a slice; texts are phrase, tab and language, or None for the border.
+def count_slice(s: Slice, langs: pa.Array, job: Mining, wanted: Filter | None, done: Filter | None = None, spelt: bool = False):
+    """Yields (hashes, texts, counts) of the phrases of a slice that a pass has to count.
 
-    An empty phrase carries the number of words of a language. The sample (nothing wanted) sends hashes of all phrases
-    shorter than the maximum.
+    A phrase of several words is counted if all its parts are in ``wanted``, and not if all are in ``done``; words are
+    counted where there is no ``done``. Without ``wanted`` (the sample) all phrases shorter than the maximum are counted. With
+    ``spelt``, only phrases in ``wanted`` themselves are counted and texts are given: phrase, tab and language, an empty
+    phrase carrying the number of words of a language.
     """
     words, doc, follows = words_in(s)
     n = len(words)
     if not n:
         return
-    wanted, done, failed = todo.wanted, todo.done, todo.failed
-    names, spelt = langs.dictionary_encode(), words.dictionary_encode()
-    kinds = len(spelt.dictionary)
-    lang, word = names.indices.to_numpy()[doc], spelt.indices.to_numpy()
+    names, vocabulary = langs.dictionary_encode(), words.dictionary_encode()
+    kinds = len(vocabulary.dictionary)
+    lang, word = names.indices.to_numpy()[doc], vocabulary.indices.to_numpy()
     unit = lang.astype(np.int64) * kinds + word
     width = len(names.dictionary) * kinds
-    word_hash = text_hash(spelt.dictionary)
+    word_hash = text_hash(vocabulary.dictionary)
     lang_hash = mix(text_hash(names.dictionary))
-    none = np.zeros(0, bool)
-
     labels = names.dictionary.cast(pa.large_string())
 
-    def spell(at: np.ndarray, k: int) -> pa.Array:
-        parts = [spelt.dictionary.take(pa.array(word[at + i])) for i in range(k)]
+    def text(at: np.ndarray, k: int) -> pa.Array:
+        parts = [vocabulary.dictionary.take(pa.array(word[at + i])) for i in range(k)]
         phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
         return pc.binary_join_element_wise(phrase, labels.take(pa.array(lang[at])), pa.scalar("\t", pa.large_string()))
 
-    def rows(k: int, at: np.ndarray, code: np.ndarray, h: np.ndarray, as_text: np.ndarray, as_hash: np.ndarray):
-        """Counts of the phrases at some places, one row for each different code."""
-        for chosen, text in ((as_text, True), (as_hash, False)):
-            if chosen.any():
-                _, first, count = np.unique(code[chosen], return_index=True, return_counts=True)
-                first = np.flatnonzero(chosen)[first]
-                yield h[first], spell(at[first], k) if text else None, count
-
-    if wanted is not None and done is None:
-        total = np.bincount(lang, minlength=len(names.dictionary))
+    if spelt:
+        total = np.bincount(lang, minlength=len(labels))
         yield lang_hash, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), labels, pa.scalar("\t", pa.large_string())), total
-    # Per place, for the phrase of k words that begins there: its code and hash; whether this pass and the one before
-    # counted it and hold it.
+    # Per place, for the phrase of k words that begins there: its code and hash; whether the pass before counted it.
     at, code = np.arange(n), unit
-    counted, past = np.ones(n, bool), np.full(n, done is not None)
     h = mix(lang_hash[lang] * STEP + word_hash[word])
+    past = np.full(n, done is not None)
     for k in range(1, job.max_words + (wanted is not None)):
         if k > 1:
             at = np.flatnonzero(follows[:-1] & open_[:-1] & open_[1:])
-            if not len(at):
-                return
             if code.max() >= (1 << 62) // width:
                 code = np.unique(code, return_inverse=True)[1].astype(np.int64)
             code = code[at] * width + unit[at + k - 1]
             h = mix(h[at] * STEP + word_hash[word[at + k - 1]])
-            counted, past = np.ones(len(at), bool), closed[at] & closed[at + 1]
-        new = counted & ~past
-        if wanted is None:
-            yield from rows(k, at, code, h, none, new)
-            held, had = counted, past
-        elif k == job.max_words:
-            yield from rows(k, at, code, h, new, none)
+            past = closed[at] & closed[at + 1]
+        own = h | LONGEST if k == job.max_words else h & ~LONGEST
+        held = wanted.holds(own) if wanted is not None else np.ones(len(at), bool)
+        counted = held if spelt else ~past
+        if counted.any():
+            _, first, count = np.unique(code[counted], return_index=True, return_counts=True)
+            first = np.flatnonzero(counted)[first]
+            yield own[first], text(at[first], k) if spelt else None, count
+        if k == job.max_words or not held.any():
             return
-        else:
-            held = wanted.holds(h)
-            had = done.holds(h) if done is not None else np.zeros(len(at), bool)
-            again = past & ~had & failed.holds(h) if failed is not None else np.zeros(len(at), bool)
-            yield from rows(k, at, code, h, new & held | again, new & ~held)
         # What was left out at one length is left out of all longer phrases, in this pass and the one before.
         open_, closed = np.zeros(n, bool), np.zeros(n, bool)
-        open_[at], closed[at] = held, past & had
+        open_[at] = held
+        if done is not None:
+            closed[at] = past & done.holds(own)
         if k > 1:
             wide, hashes = np.zeros(n, np.int64), np.zeros(n, np.uint64)
             wide[at], hashes[at] = code, h
             code, h = wide, hashes
 
 
-#: Bits of a row that count; the others are the hash.
-COUNT_BITS = 16
-#: Border rows that a task holds back to add up.
-HELD = 1 << 21
+def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and the sums of their counts."""
+    h, at = np.unique(h, return_inverse=True)
+    return h, np.bincount(at, n, len(h)).astype(np.int64)
 
 
-def packed(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Upper bits of the hash over the count; a count too large for its bits becomes several rows."""
-    most = (1 << COUNT_BITS) - 1
-    h = h & ~np.uint64(most)
-    times = np.maximum(-(-n // most), 1)
-    if times.max(initial=1) == 1:
-        return (h | n.astype(np.uint64)).view(np.int64)
-    last = np.zeros(times.sum(), bool)
-    last[np.cumsum(times) - 1] = True
-    part = np.where(last, np.repeat(n - (times - 1) * most, times), most)
-    return (np.repeat(h, times) | part.astype(np.uint64)).view(np.int64)
-
-
-def count_pass(docs: DataFrame, job: Mining, todo: Pass) -> DataFrame:
-    """h, text, a: what :func:`count_slice` sends, summed over all rows of ``docs`` (lang, text); h is the hash without its count bits."""
-    sent = docs.sparkSession.sparkContext.broadcast(todo)  # fixed size
-
-    def batches_of(h: np.ndarray, text: pa.Array | None, n: np.ndarray):
-        rows, size = packed(h, n), 1 << 16
-        if text is not None and len(rows) != len(text):
-            text = text.take(pa.array(np.repeat(np.arange(len(n)), np.maximum(-(-n // ((1 << COUNT_BITS) - 1)), 1))))
-        for lo in range(0, len(rows), size):
-            part = rows[lo : lo + size]
-            yield pa.record_batch([pa.array(part), pa.nulls(len(part), pa.string()) if text is None else text.slice(lo, size).cast(pa.string())], ["row", "text"])
-
-    def added(held: list[tuple[np.ndarray, np.ndarray]]):
-        h, n = (np.concatenate(c) for c in zip(*held))
-        h, at = np.unique(h, return_inverse=True)
-        return h, None, np.bincount(at, n).astype(np.int64)
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The lower bytes of numbers, first all first bytes, then all second ones: what is alike lies together for the compression."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-    def run(batches):
-        held, size = [], 0
+
+def _numbers(raw: bytes, width: int, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, width * n).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def frequent_hashes(docs: DataFrame, job: Mining, ranges: int, least: int, wanted: Filter | None, done: Filter | None = None) -> DataFrame:
+    """Column h: hashes of phrases that a pass over ``docs`` (lang, text) counts ``least`` times or more.
+
+    ``ranges`` (a power of two) parts the hashes; a task adds up one range at a time, and every range
+    holds about as many, since equal phrases are one entry a task.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((wanted, done))  # fixed size
+    bits = ranges.bit_length() - 1
+
+    def count(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def packed():
+            h, n = summed(*(np.concatenate(c) for c in zip(*held)))
+            at = (h >> np.uint64(64 - bits)).astype(np.int64)
+            begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            end = np.append(begin[1:], len(h))
+            for lo in range(0, len(begin), 1024):
+                some = list(zip(begin[lo : lo + 1024], end[lo : lo + 1024]))
+                blobs = [_planes(h[a:b] >> DROP, 6) + _planes(n[a:b], 5) for a, b in some]
+                yield pa.record_batch([pa.array(at[begin[lo : lo + 1024]], pa.int32()), pa.array(blobs, pa.binary())], ["at", "entries"])
+
+        size = 0
         for b in batches:
             for s in slices(b.column(1), SLICE):
-                for h, text, n in count_slice(s, b.column(0).slice(s.lo, len(s)), job, sent.value):
-                    if text is not None:
-                        yield from batches_of(h, text, n)
-                        continue
-                    held.append((h, n))
+                for h, _, n in count_slice(s, b.column(0).slice(s.lo, len(s)), job, *sent.value):
+                    held.append((h >> DROP << DROP, n))
                     size += len(h)
                     if size >= HELD:
-                        yield from batches_of(*added(held))
+                        yield from packed()
                         held, size = [], 0
         if held:
-            yield from batches_of(*added(held))
+            yield from packed()
 
-    rows = docs.mapInArrow(run, "row long, text string")
-    h = F.shiftleft(F.shiftright("row", COUNT_BITS), COUNT_BITS).alias("h")
-    # The tasks have added up what they could, so sums before the shuffle would find little to add.
-    return rows.repartition(h).groupBy(h, "text").agg(F.sum(F.col("row").bitwiseAND((1 << COUNT_BITS) - 1)).alias("a"))
+    def add(batches):
+        at, held = None, []
 
+        def enough():
+            h, n = summed(*(np.concatenate(c) for c in zip(*held)))
+            return pa.record_batch([pa.array((h[n >= least] << DROP).view(np.int64))], ["h"])
 
-def hash_filter(hashes: DataFrame, job: Mining) -> tuple[Filter, int]:
-    """Bit filter of a column h of hashes, and the number of bits set; its size is fixed, whatever the number of hashes."""
+        for b in batches:
+            for own, entries in zip(b.column(0).to_pylist(), b.column(1)):
+                if own != at and held:
+                    yield enough()
+                    held = []
+                at, raw = own, entries.as_py()
+                n = len(raw) // 11
+                held.append((_numbers(raw, 6, n), _numbers(raw[6 * n :], 5, n).astype(np.int64)))
+        if held:
+            yield enough()
+
+    packs = docs.mapInArrow(count, "at int, entries binary")
+    return packs.repartition("at").sortWithinPartitions("at").mapInArrow(add, "h long")
+
+
+def hash_filter(hashes: DataFrame, job: Mining) -> tuple[Filter, Filter]:
+    """Bit filters of a column h of hashes: of all, and of those that are not of the greatest length; their size is fixed."""
     place = F.shiftrightunsigned("h", 64 - job.filter_bits)
-    rows = hashes.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - job.filter_bits}) & 63 AS INT))").alias("bit"))
-    word, bits = (c.to_numpy() for c in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().columns)
-    words = np.zeros(1 << (job.filter_bits - 6), np.uint64)
-    words[word] = bits.view(np.uint64)
-    return Filter(job.filter_bits, words), len(bits)
+    longest = F.col("h").bitwiseAND(int(LONGEST)) != 0
+    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - job.filter_bits}) & 63 AS INT))")
+    rows = hashes.select(F.shiftright(place, 6).alias("word"), bit.alias("bit"), F.when(longest, F.lit(0)).otherwise(bit).alias("short"))
+    word, *bits = (c.to_numpy() for c in rows.groupBy("word").agg(F.bit_or("bit").alias("bit"), F.bit_or("short").alias("short")).toArrow().columns)
+    out = []
+    for b in bits:
+        words = np.zeros(1 << (job.filter_bits - 6), np.uint64)
+        words[word] = b.view(np.uint64)
+        out.append(Filter(job.filter_bits, words))
+    return out[0], out[1]
+
+
+def spelt_counts(docs: DataFrame, job: Mining, wanted: Filter) -> DataFrame:
+    """text, a: exact counts of all phrases in ``wanted`` that have ``min_count`` or more, and the words of each language."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def added(held: list[tuple[pa.Array, np.ndarray]]):
+        texts = pa.chunked_array([t for t, _ in held]).dictionary_encode().combine_chunks()
+        n = np.bincount(texts.indices.to_numpy(), np.concatenate([n for _, n in held]), len(texts.dictionary)).astype(np.int64)
+        for lo in range(0, len(n), 1 << 16):
+            yield pa.record_batch([texts.dictionary.slice(lo, 1 << 16).cast(pa.string()), pa.array(n[lo : lo + (1 << 16)])], ["text", "n"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for s in slices(b.column(1), SLICE):
+                for _, text, n in count_slice(s, b.column(0).slice(s.lo, len(s)), job, sent.value, spelt=True):
+                    held.append((text, n))
+                    size += len(n)
+                    if size >= HELD:
+                        yield from added(held)
+                        held, size = [], 0
+        if held:
+            yield from added(held)
+
+    counts = docs.mapInArrow(run, "text string, n long").groupBy("text").agg(F.sum("n").alias("a"))
+    return counts.filter((F.col("a") >= job.min_count) | F.col("text").startswith("\t"))
 
 
 def frequent(docs: DataFrame, job: Mining = Mining(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, int]:
-    """lang, k, phrase, a of all phrases with ``min_count`` or more occurrences, and the number of full passes.
+    """lang, k, phrase, a of all phrases with ``min_count`` or more occurrences, and the number of counting passes over all rows.
 
     Rows with k = 0 carry the number of words of each language.
     """
     given = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
     rows = docs.select(given, F.col(text_col).alias("text"))
     in_sample = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(job.sample_of)) == 0
-    drawn = docs.filter(in_sample).select(given, F.col(text_col).alias("text"))
-    wanted, _ = hash_filter(count_pass(drawn, job, Pass()).filter(F.col("a") >= job.sample_count), job)
+    ranges = 1 << min(max((docs.count() // job.rows_a_range).bit_length(), 6), 24)
+    wanted, _ = hash_filter(frequent_hashes(docs.filter(in_sample).select(given, F.col(text_col).alias("text")), job, ranges, job.sample_count, None), job)
+    done, known, passes = None, None, 0
+    while True:
+        found, short = hash_filter(frequent_hashes(rows, job, ranges, job.min_count, wanted, done), job)
+        passes += 1
+        known = found if known is None else known | found
+        if not (short.words & ~wanted.words).any():
+            break
+        wanted, done = wanted | short, wanted
+    counts = materialize(spelt_counts(rows, job, known))
     phrase = F.substring_index("text", "\t", 1)
     language = F.col("text").substr(F.length(phrase) + 2, F.length("text"))
     # Words of a phrase are parted by one space each.
     k = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
-    enough = (F.col("a") >= job.min_count) | F.col("text").startswith("\t")
-    found, todo, passes = None, Pass(wanted), 0
-    while True:
-        new = materialize(count_pass(rows, job, todo).filter(enough))
-        passes += 1
-        spelt = new.filter(F.col("text").isNotNull()).select(language.alias("lang"), k.alias("k"), phrase.alias("phrase"), "a")
-        found = spelt if found is None else found.union(spelt)
-        failed, bits = hash_filter(new.filter(F.col("text").isNull()), job)
-        if not bits:
-            return found, passes
-        todo = Pass(todo.wanted.joined(failed), todo.wanted, failed)
+    return counts.select(language.alias("lang"), k.alias("k"), phrase.alias("phrase"), "a"), passes
 
 
 def scored(found: DataFrame, min_count: int = 10) -> DataFrame:
