@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,30 +22,39 @@ from harmattan.functions.numbers import parse_amount, to_xof
 from harmattan.functions.text import normalize_text
 from harmattan.operators.keyed import attach, column_medians, keep_first
 from harmattan.operators.rules import rewrite, tracked
+from harmattan.operators.textvec import canonical_pairs, close_pairs
 from harmattan.session import materialize
 
 ALERT = "struct<rule:string,severity:string,column:string,check:string>"
-# Fields treated as amounts, as names, and those that must not be negative.
+# Fields treated as amounts, as names, as names whose close spellings are looked for, and those that must not be negative.
 AMOUNT_FIELDS = ("montant_total", "prix_unitaire", "remise", "tva", "montant_ht", "montant_ttc", "quantite", "stock_initial", "stock_final")
 TEXT_FIELDS = (
     "client", "produit", "reference", "categorie", "vendeur", "canal", "region", "entrepot", "description", "prenom", "nom", "civilite",
 )
+VARIANT_FIELDS = ("client", "produit", "categorie", "region")
 NON_NEGATIVE = ("montant_total", "prix_unitaire", "quantite", "stock_initial", "stock_final")
 PARASITE_NAMES = ("unnamed", "column ", "col_")
 # Expected ranges in FCFA.
 FCFA_RANGES = {"prix_unitaire": (50, 5_000_000), "montant_total": (None, 500_000_000), "quantite": (None, 10_000)}
+VARIANT_THRESHOLD = 85
 SEVERITY_WEIGHT = {"CRITIQUE": 18.0, "MOYEN": 8.0, "INFO": 3.0}
 
 
 @dataclass
 class AutoClean:
-    """Result of the automatic pass; ``frame`` reads the written stage."""
+    """Result of the automatic pass; ``frame`` reads the written stage.
+
+    ``variants`` has the close spellings left after normalisation (column, canonical, variant, score, n_canonical,
+    n_variant, first_row); ``source_alerts`` the checks of the file as a whole.
+    """
 
     raw: DataFrame
     frame: DataFrame
     fields: dict[str, str]
     quasi_empty: list[str]
     dropped: list[str]
+    variants: DataFrame | None = None
+    source_alerts: tuple[str, ...] = ()
 
     def column(self, field: str) -> str | None:
         return next((c for c, f in self.fields.items() if f == field and c in self.frame.columns), None)
@@ -152,11 +162,10 @@ def amount_alerts(column: str, field: str, middle: float | None) -> list[Column]
     return out
 
 
-def scale_medians(df: DataFrame, amounts: Sequence[str]) -> dict[str, float | None]:
+def scale_medians(df: DataFrame, amounts: Sequence[str], counts: Mapping[str, int]) -> dict[str, float | None]:
     """Medians of the parsed amounts; none for a column with fewer than three values."""
     if not amounts:
         return {}
-    counts = df.agg(*[F.count(f"__v_{c}").alias(c) for c in amounts]).first()
     medians = column_medians(df, [f"__v_{c}" for c in amounts])
     return {c: medians.get(f"__v_{c}") if counts[c] >= 3 else None for c in amounts}
 
@@ -233,21 +242,23 @@ def flag_diverging_amounts(df: DataFrame, fields: Mapping[str, str]) -> DataFram
 # --- the pass --------------------------------------------------------------------------------
 def auto_clean(
     df: DataFrame, fields: Mapping[str, str], today: Column | None = None, convert: bool = False,
-    rates: Mapping[str, float] | None = None, keep: Sequence[str] = (),
+    rates: Mapping[str, float] | None = None, keep: Sequence[str] = (), source_alerts: Sequence[str] = (),
 ) -> AutoClean:
     """Profile-driven cleaning of a frame with ``_row_number``.
 
     ``keep`` names steps the user declined: exact_duplicates, normalize_dates,
-    normalize_amounts, normalize_text.
+    normalize_amounts, normalize_text. ``source_alerts`` are checks of the file it comes from that
+    failed (see :func:`harmattan.sources.lineage.source_alerts`).
     """
     today = F.current_date() if today is None else today
     out, quasi_empty, dropped = clean_structure(df, fields, "exact_duplicates" in keep)
     staged = materialize(with_parsed(tracked(out), fields, convert, rates, keep))
     staged = flag_shared_keys(staged, fields)
     dates, amounts, texts = _by_kind(staged, fields, keep)
-    readable = staged.agg(*[F.count(f"__d_{c}").alias(c) for c in dates]).first().asDict() if dates else {}
+    parsed = {c: F.count(f"__d_{c}") for c in dates} | {c: F.count(f"__v_{c}") for c in amounts}
+    readable = staged.agg(*[n.alias(c) for c, n in parsed.items()]).first().asDict() if parsed else {}
     alerts = [a for c in dates for a in date_alerts(c, fields[c], today, readable[c])]
-    medians = scale_medians(staged, amounts)
+    medians = scale_medians(staged, amounts, readable)
     alerts += [a for c in amounts for a in amount_alerts(c, fields[c], medians.get(c))]
     out = add_alerts(staged, alerts)
     out = rewrite(out, {c: F.col(f"__d_{c}").cast("string") for c in dates}, "R06") if dates else out
@@ -255,20 +266,43 @@ def auto_clean(
     out = fill_total(out, fields)
     out = rewrite(out, {c: F.col(f"__t_{c}") for c in texts}, "R14") if texts else out
     out = out.drop(*[c for c in out.columns if c.startswith("__")])
-    out = add_alerts(out, coherence_alerts(out, fields))
-    return AutoClean(df, flag_diverging_amounts(materialize(out), fields), dict(fields), quasi_empty, dropped)
+    out = materialize(add_alerts(out, coherence_alerts(out, fields)))
+    variants = spelling_variants(out, fields)
+    return AutoClean(df, flag_diverging_amounts(out, fields), dict(fields), quasi_empty, dropped, variants, tuple(source_alerts))
+
+
+def spelling_variants(df: DataFrame, fields: Mapping[str, str]) -> DataFrame | None:
+    """Close spellings of every name column, from its value counts; None without such a column."""
+    columns = [c for c, f in fields.items() if f in VARIANT_FIELDS and c in df.columns]
+    if not columns:
+        return None
+    texts = df.select("_row_number", *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(["_row_number"], columns, "column", "v")
+    counts = materialize(texts.where("v IS NOT NULL").groupBy("column", "v").agg(F.count("*").alias("n"), F.min("_row_number").alias("first_row")))
+    found = []
+    for c in columns:
+        values = counts.where(F.col("column") == c)
+        pairs = canonical_pairs(close_pairs(values, "v", "n", VARIANT_THRESHOLD))
+        rows = values.select(F.col("v").alias("variant"), "first_row")
+        found.append(pairs.join(rows, "variant").select(F.lit(c).alias("column"), "canonical", "variant", "score", "n_canonical", "n_variant", "first_row"))
+    return materialize(reduce(DataFrame.unionByName, found))
 
 
 # --- report ----------------------------------------------------------------------------------
 def alert_report(result: AutoClean) -> DataFrame:
-    """Rows behind each alert; quasi-empty columns are alerts without rows."""
+    """Rows behind each alert; quasi-empty columns and checks of the whole file are alerts without rows."""
     a = result.frame.select("_row_number", F.explode("_alerts").alias("a")).select("_row_number", "a.*")
-    counted = a.groupBy("rule", "severity", "column", "check").agg(F.count("*").alias("n_rows"), F.min("_row_number").alias("first_row"))
-    if not result.quasi_empty:
-        return counted
-    columns = [("R02", "MOYEN", c, "quasi_empty_column", 0, None) for c in result.quasi_empty]
+    out = a.groupBy("rule", "severity", "column", "check").agg(F.count("*").alias("n_rows"), F.min("_row_number").alias("first_row"))
+    if result.variants is not None:
+        # A value may be the variant of several; its rows count once.
+        each = result.variants.groupBy("column", "variant").agg(F.max("n_variant").alias("n"), F.min("first_row").alias("first_row"))
+        close = each.groupBy("column").agg(F.sum("n").alias("n_rows"), F.min("first_row").alias("first_row"))
+        out = out.unionByName(close.select(F.lit("R16").alias("rule"), F.lit("INFO").alias("severity"), "column", F.lit("close_variants").alias("check"), "n_rows", "first_row"))
+    whole = [("R02", "MOYEN", c, "quasi_empty_column", 0, None) for c in result.quasi_empty]
+    whole += [("R25", "INFO", None, check, 0, None) for check in result.source_alerts]
+    if not whole:
+        return out
     schema = "rule string, severity string, column string, check string, n_rows bigint, first_row bigint"
-    return counted.unionByName(result.raw.sparkSession.createDataFrame(columns, schema))
+    return out.unionByName(result.raw.sparkSession.createDataFrame(whole, schema))
 
 
 def alert_rows(result: AutoClean, n: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from harmattan.functions.text import similarity, token_sorted
+from harmattan.functions.text import token_sorted
 from harmattan.operators.keyed import top_per_key
 
 # Keyword lists of intents, query types and domains, tried in order.
@@ -167,53 +167,74 @@ def allowed_edits(length: Column, threshold: int) -> Column:
     return F.floor(length * (100 - threshold) / 100).cast("int")
 
 
-def close_pairs(values: DataFrame, value: str, n: str, threshold: int = 85) -> DataFrame:
-    """All pairs of distinct values at least ``threshold`` alike after token sorting.
+def gram_class(length: Column, threshold: int) -> Column:
+    """How texts with partners up to this length are compared: q of the q-grams and the edits that are allowed.
 
-    Two texts within e edits share one of the e + 1 segments of the shorter one at nearly
-    the same place, so equal segments are joined instead of texts, and the edit distance is
-    computed only there. Nothing is capped: every pair above the threshold has such a segment.
+    Two texts within e edits keep ``length + 1 - q * (e + 1)`` common q-grams of the longer one, so q is taken as
+    large as leaves at least one.
+    """
+    edits = allowed_edits(length, threshold)
+    q = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(length / (edits + 1)))).cast("int")
+    return F.struct(q.alias("q"), edits.alias("edits"))
+
+
+def rare_grams(texts: DataFrame, threshold: int) -> DataFrame:
+    """The inverted index of ``close_candidates``: texts ``s`` with ``class``, ``gram`` and its place ``at``.
+
+    The q-grams of all texts are ordered by their frequency. e edits destroy at most q * e of them, so of a text's rarest
+    q * e + 1 (and those as rare as the last) one must stand in any text within e edits. A text is indexed
+    for every class of the longer partners it can have; frequent q-grams hardly ever enter the index.
     """
-    texts = values.select(F.col(value).alias("v"), F.col(n).alias("n"), token_sorted(F.col(value)).alias("s")).where("s <> ''")
-    # The longer text of a pair is at most this much longer than the shorter one.
-    reach = F.floor(F.length("s") * 100 / threshold).cast("int")
     size = F.length("s")
-    edits = allowed_edits(reach, threshold)
-    parts = edits + 1
-    segments = F.transform(
-        F.sequence(F.lit(0), edits),
-        lambda i: F.struct(
-            i.alias("i"), F.floor(size * i / parts).cast("int").alias("at"), (F.floor(size * (i + 1) / parts) - F.floor(size * i / parts)).cast("int").alias("len")
-        ),
-    )
-    short = texts.select("v", "n", "s", size.alias("size"), F.explode(segments).alias("g"))
-    short = short.select("v", "n", "s", "size", F.col("g.i").alias("i"), F.col("g.at").alias("at"), F.expr("substring(s, g.at + 1, g.len)").alias("part"))
-    # Lengths of shorter partners a text can have, and the places each of their segments may sit at.
-    least = F.ceil(size * threshold / 100).cast("int")
-    long = texts.select("v", "n", "s", size.alias("size"), F.explode(F.sequence(least, size)).alias("other"))
-    other_edits = allowed_edits(F.floor(F.col("other") * 100 / threshold).cast("int"), threshold)
-    long = long.withColumn("e", other_edits).select("*", F.explode(F.sequence(F.lit(0), F.col("e"))).alias("i"))
-    at = F.floor(F.col("other") * F.col("i") / (F.col("e") + 1)).cast("int")
-    width = (F.floor(F.col("other") * (F.col("i") + 1) / (F.col("e") + 1)) - at).cast("int")
-    long = long.withColumns({"at": at, "len": width})
-    places = F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("e")), F.least(F.col("size") - F.col("len"), F.col("at") + F.col("e")))
-    long = long.where((F.col("len") > 0) & (F.col("size") >= F.col("len")) & (F.col("size") - F.col("len") >= F.greatest(F.lit(0), F.col("at") - F.col("e"))))
-    long = long.select("v", "n", "s", "size", "other", "i", F.explode(places).alias("p"), "len")
-    long = long.select("v", "n", "s", "size", "other", "i", F.expr("substring(s, p + 1, len)").alias("part")).distinct()
-    a, b = short.alias("a"), long.alias("b")
-    ordered = (F.col("a.size") < F.col("b.size")) | (F.col("a.v") < F.col("b.v"))
-    pairs = a.join(b, (F.col("a.size") == F.col("b.other")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.part") == F.col("b.part")) & ordered)
-    score = similarity(F.col("a.s"), F.col("b.s"))
-    found = pairs.where((score >= threshold) & (F.lower("a.v") != F.lower("b.v"))).select(
-        F.col("a.v").alias("left"), F.col("a.n").alias("n_left"), F.col("b.v").alias("right"), F.col("b.n").alias("n_right"), score.alias("score")
-    )
-    return found.distinct()
+    partners = F.sequence(size, F.greatest(size, F.floor(size * 100 / threshold).cast("int")))
+    held = texts.withColumn("classes", F.array_distinct(F.transform(partners, lambda n: gram_class(n, threshold))))
+    grams = held.select("s", F.explode(F.array_distinct(F.transform("classes", lambda c: c["q"]))).alias("q")).where(F.length("s") >= F.col("q"))
+    q = F.col("q")
+    grams = grams.select("s", "q", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s") - q + 1), lambda i: F.col("s").substr(i, q))).alias("at", "gram"))
+    seen = grams.groupBy("q", "gram").agg(F.count("*").alias("seen"))
+    ordered = grams.join(seen, ["q", "gram"]).groupBy("s", "q").agg(F.sort_array(F.collect_list(F.struct("seen", "gram", "at"))).alias("grams"))
+    indexed = held.select("*", F.explode("classes").alias("class")).withColumn("q", F.col("class.q")).join(ordered, ["s", "q"])
+    last = F.element_at("grams", F.least(F.size("grams"), F.col("class.q") * F.col("class.edits") + 1))
+    prefix = F.filter("grams", lambda g: (g["seen"] < last["seen"]) | ((g["seen"] == last["seen"]) & (g["gram"] <= last["gram"])))
+    return indexed.select("s", "class", F.explode(prefix).alias("g")).select("s", "class", F.col("g.gram").alias("gram"), F.col("g.at").alias("at"))
+
+
+def close_candidates(texts: DataFrame, threshold: int) -> DataFrame:
+    """Pairs a, b of distinct texts ``s`` that may be alike: a rare q-gram in common at nearly the same place, lengths within reach."""
+    index = rare_grams(texts, threshold)
+    longer = index.where(F.col("class") == gram_class(F.length("s"), threshold))
+    a, b = index.alias("a"), longer.alias("b")
+    size_a, size_b, edits = F.length("a.s"), F.length("b.s"), F.col("b.class.edits")
+    near = (F.abs(F.col("a.at") - F.col("b.at")) <= edits) & (size_b - size_a <= edits)
+    ordered = (size_a < size_b) | ((size_a == size_b) & (F.col("a.s") < F.col("b.s")))
+    met = a.join(b, (F.col("a.class") == F.col("b.class")) & (F.col("a.gram") == F.col("b.gram")) & near & ordered)
+    return met.select(F.col("a.s").alias("a"), F.col("b.s").alias("b")).distinct()
 
 
-def close_variants(df: DataFrame, column: str, threshold: int = 85) -> DataFrame:
-    """Close spellings of an entity column with the canonical one: more frequent, then longer, then first."""
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    pairs = close_pairs(values, "v", "n", threshold)
+def close_pairs(values: DataFrame, value: str, n: str, threshold: int = 85) -> DataFrame:
+    """All pairs of distinct values at least ``threshold`` alike (1 to 100) after token sorting.
+
+    Candidates come from an inverted index of rare q-grams; the edit distance, bounded by what the threshold allows,
+    is computed on them alone. Nothing is capped: every pair above the threshold is a candidate.
+    """
+    if not 1 <= threshold <= 100:
+        raise ValueError("the threshold is between 1 and 100")
+    texts = values.select(F.col(value).alias("v"), F.col(n).alias("n"), token_sorted(F.col(value)).alias("s")).where("s <> ''")
+    # Spellings with the same tokens are one text here and are paired at the end.
+    pairs = close_candidates(texts.select("s").distinct(), threshold)
+    longest = F.greatest(F.length("a"), F.length("b"))
+    distance = F.expr(f"levenshtein(a, b, CAST(floor(greatest(length(a), length(b)) * {100 - threshold} / 100) AS INT))")
+    score = F.floor(100 * (longest - F.col("distance")) / longest).cast("int")
+    alike = pairs.withColumn("distance", distance).where("distance >= 0").select("a", "b", score.alias("score"))
+    same = texts.select(F.col("s").alias("a"), F.col("s").alias("b"), F.lit(100).alias("score")).distinct()
+    left, right = (texts.select(F.col("v").alias(v), F.col("n").alias(f"n_{v}"), F.col("s").alias(s)) for v, s in (("left", "a"), ("right", "b")))
+    found = alike.where(F.col("score") >= threshold).unionByName(same).join(left, "a").join(right, "b")
+    once = (F.col("a") != F.col("b")) | (F.col("left") < F.col("right"))
+    return found.where(once & (F.lower("left") != F.lower("right"))).select("left", "n_left", "right", "n_right", "score")
+
+
+def canonical_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of :func:`close_pairs` as canonical and variant: the more frequent, then the longer, then the first one leads."""
     left = (
         (F.col("n_left") > F.col("n_right"))
         | ((F.col("n_left") == F.col("n_right")) & (F.length("left") > F.length("right")))
@@ -223,3 +244,9 @@ def close_variants(df: DataFrame, column: str, threshold: int = 85) -> DataFrame
         F.when(left, F.col("left")).otherwise(F.col("right")).alias("canonical"), F.when(left, F.col("right")).otherwise(F.col("left")).alias("variant"),
         "score", F.when(left, F.col("n_left")).otherwise(F.col("n_right")).alias("n_canonical"), F.when(left, F.col("n_right")).otherwise(F.col("n_left")).alias("n_variant"),
     )
+
+
+def close_variants(df: DataFrame, column: str, threshold: int = 85) -> DataFrame:
+    """Close spellings of an entity column with the canonical one."""
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    return canonical_pairs(close_pairs(values, "v", "n", threshold))

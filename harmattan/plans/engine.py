@@ -101,6 +101,18 @@ def _scale(v: str) -> str:
     return f"(abs({v} / m_{v}) > 10 OR (abs({v} / m_{v}) < 0.1 AND {v} > 0)) AND m_{v} > 0"
 
 
+_TOKENS = "array_to_string(list_sort(string_split(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), ' ')), ' ')"
+
+
+def _variants(v: str, column: str) -> str:
+    """Rows whose value is the rarer (then shorter, then later) of a pair at least 85 % alike."""
+    a, b = (_TOKENS.format(c=f"{x}.v") for x in "ab")
+    return f"""SELECT 'R16', 'INFO', '{column}', 'close_variants', SUM(n), MIN(first_row) FROM (SELECT DISTINCT b.v, b.n, b.first_row FROM (SELECT {v} AS v, COUNT(*) AS n, MIN(_row_number) AS first_row FROM clean WHERE {v} IS NOT NULL GROUP BY 1) a,
+ (SELECT {v} AS v, COUNT(*) AS n, MIN(_row_number) AS first_row FROM clean WHERE {v} IS NOT NULL GROUP BY 1) b
+ WHERE lower(a.v) <> lower(b.v) AND (a.n > b.n OR (a.n = b.n AND (length(a.v) > length(b.v) OR (length(a.v) = length(b.v) AND a.v < b.v))))
+ AND 100 * (greatest(length({a}), length({b})) - levenshtein({a}, {b})) >= 85 * greatest(length({a}), length({b}))) x HAVING COUNT(*) > 0"""
+
+
 _ALERTS = f"""{_EXPECTED}, alerts_in AS (SELECT *, COUNT(*) OVER (PARTITION BY id_commande) AS shared, (SELECT MEDIAN(v_amount) FROM kept) AS m_v_amount, (SELECT MEDIAN(v_qty) FROM kept) AS m_v_qty,
   (SELECT MEDIAN(v_price) FROM kept) AS m_v_price FROM clean), report AS (""" + " UNION ALL ".join(
     [
@@ -127,6 +139,7 @@ _ALERTS = f"""{_EXPECTED}, alerts_in AS (SELECT *, COUNT(*) OVER (PARTITION BY i
         _check("R23", "MOYEN", "montant", "above_range", "v_total > 500000000"),
         _check("R23", "MOYEN", "quantite", "above_range", "v_qty > 10000"),
         "SELECT 'R02', 'MOYEN', 'notes', 'quasi_empty_column', 0, NULL",
+        *[_variants(f"v_{c}", column) for c, column in (("client", "client"), ("cat", "categorie"))],
     ]
 ) + ")"
 

@@ -187,7 +187,7 @@ def test_close_pairs_find_all(spark):
                 rng.choice([lambda: letters.__setitem__(i, rng.choice("abcdef")), lambda: letters.insert(i, "x"), lambda: letters.pop(i) if len(letters) > 1 else None])()
             words.add("".join(letters).strip())
     df = spark.createDataFrame([(w, 1) for w in sorted(words) if w], "v string, n int")
-    for threshold in (60, 85):
+    for threshold in (50, 60, 85, 95, 100):
         scored = textvec.close_pairs(df, "v", "n", threshold).select("left", "right").collect()
         got = {frozenset(r) for r in scored}
         both = df.toDF("a", "m").crossJoin(df.toDF("b", "o")).where("a < b AND lower(a) <> lower(b)")
@@ -196,3 +196,35 @@ def test_close_pairs_find_all(spark):
         exact = both.where(similarity(token_sorted(F.col("a")), token_sorted(F.col("b"))) >= threshold).select("a", "b").collect()
         assert got == {frozenset(r) for r in exact}
         assert len(scored) == len(got)
+
+
+def test_rare_grams_spare_most_pairs(spark):
+    """Names of two random words: candidates stay far under all pairs, and no pair above the threshold is lost."""
+    import random
+
+    from harmattan.functions.text import similarity
+
+    rng = random.Random(4)
+    syllables = ["ka", "no", "di", "trao", "ou", "re", "sawa", "do", "go", "ben", "lo", "mi", "fa", "so", "tou", "ya"]
+    names = {" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))) for _ in range(2)) for _ in range(600)}
+    names |= {n[:-1] + "x" for n in sorted(names)[:60]}
+    df = spark.createDataFrame([(" ".join(sorted(n.split())),) for n in names], "s string").distinct()
+    n = df.count()
+    candidates = textvec.close_candidates(df, 85)
+    pairs = candidates.count()
+    assert pairs < n * (n - 1) / 2 * 0.05
+    exact = df.toDF("a").join(df.toDF("b")).where("length(a) < length(b) OR length(a) = length(b) AND a < b").where(similarity(F.col("a"), F.col("b")) >= 85)
+    assert exact.join(candidates, ["a", "b"], "left_anti").isEmpty() and exact.count() >= 60
+
+
+def test_automatic_pass_raises_close_variants(spark):
+    from harmattan.operators import autoclean
+
+    rows = [(i, "SONABEL Ouaga", "x") for i in range(5)] + [(5, "Sonabell Ouaga", "x"), (6, "ouaga sonabel", "y"), (7, "Faso Coton", "z")]
+    df = spark.createDataFrame(rows, "_row_number long, nom_client string, produit string")
+    result = autoclean.auto_clean(df, {"nom_client": "client", "produit": "produit"}, source_alerts=["identical_file"], keep=["exact_duplicates"])
+    report = {(r["rule"], r["column"]): r for r in autoclean.alert_report(result).collect()}
+    assert (report["R16", "nom_client"]["n_rows"], report["R16", "nom_client"]["first_row"], report["R16", "nom_client"]["severity"]) == (2, 5, "INFO")
+    assert ("R16", "produit") not in report and report["R25", None]["check"] == "identical_file"
+    pairs = {(r["canonical"].lower(), r["variant"].lower(), r["n_canonical"]) for r in result.variants.collect()}
+    assert pairs == {("sonabel ouaga", "sonabell ouaga", 5), ("sonabel ouaga", "ouaga sonabel", 5), ("sonabell ouaga", "ouaga sonabel", 1)}
