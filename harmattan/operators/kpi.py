@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 
 from harmattan.functions.dates import period_label
 from harmattan.operators.filters import apply_filters
-from harmattan.operators.keyed import latest_per_key, top_per_key
+from harmattan.operators.keyed import latest_per_key, null_safe_join, top_per_key
 from harmattan.operators.metrics import aggregate
 from harmattan.functions.numbers import numeric
+from harmattan.session import materialize
 
 # Words a read-only formula must not contain.
 FORBIDDEN_SQL = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "TRUNCATE", "CREATE", "GRANT", "REVOKE")
@@ -316,44 +318,77 @@ def _micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(`{ts}` AS TIMESTAMP_NTZ))")
 
 
-def cooldown(df: DataFrame, key: str, ts: str, minutes: float, chunk_hours: float = 24.0) -> DataFrame:
+class StepFunction:
+    """What a stretch of moments does to the last kept moment before it: the least entry at or after its cooldown leads to an exit.
+
+    ``entries`` are in order; a state whose cooldown ends after the last entry passes unchanged. No
+    state is kept later than ``start``, so entries more than one cooldown after it are left out but for the first.
+    """
+
+    def __init__(self, entries: np.ndarray, exits: np.ndarray, start: int, gap: int):
+        reach = int(np.searchsorted(entries, start + gap, "left")) + 1
+        entries, exits = entries[:reach], exits[:reach]
+        # Of entries with one exit the last one says all.
+        told = np.append(exits[1:] != exits[:-1], True)[: len(exits)]
+        self.entries, self.exits, self.start, self.gap = entries[told], exits[told], start, gap
+
+    def __call__(self, state: int | None) -> int | None:
+        i = 0 if state is None else int(np.searchsorted(self.entries, state + self.gap, "left"))
+        return int(self.exits[i]) if i < len(self.entries) else state
+
+    def then(self, later: StepFunction) -> StepFunction:
+        """Both stretches in a row; ``later`` starts where this one ends or after it."""
+        at = np.searchsorted(later.entries, self.exits + self.gap, "left")
+        exits = np.append(later.exits, 0)[at]
+        exits = np.where(at < len(later.entries), exits, self.exits)
+        passed = later.entries > self.entries[-1]
+        return StepFunction(np.append(self.entries, later.entries[passed]), np.append(exits, later.exits[passed]), self.start, self.gap)
+
+
+def cooldown(df: DataFrame, key: str, ts: str, minutes: float, chunk_hours: float | None = None, fan_in: int = 64) -> DataFrame:
     """Firing moments kept when repeats within the cooldown of the last kept one are dropped.
 
-    The greedy scan is cut into time chunks so that a busy key is worked on by many tasks.
-    Each chunk first reduces to a step function (last kept moment in, last kept moment out);
-    those are chained per key, and each chunk then replays from the state it is given.
+    The greedy scan is cut into chunks of time (of one cooldown at least, which is the default). Each chunk is reduced to a
+    step function; ``fan_in`` neighbouring functions are composed into one, level by level, until a key has
+    no more than ``fan_in`` of them. Going back down, every node hands each of its children the state it starts from, and
+    each chunk replays from there. So a key of any length costs a few rounds of many small groups, and no
+    task ever sees more of a key than a chunk or ``fan_in`` functions.
     """
     gap = int(minutes * 60_000_000)
-    width = int(max(chunk_hours * 3_600_000_000, gap))
+    width = max(int((chunk_hours or 0) * 3_600_000_000), gap, 1)
     moments = df.where(F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("k"), _micros(ts).alias("t")).distinct()
     moments = moments.withColumn("c", F.floor(F.col("t") / width).cast("bigint"))
 
+    def row(k: object, c: int, f: StepFunction) -> pd.DataFrame:
+        return pd.DataFrame({"k": pd.Series([k], dtype=object), "c": [c], "entries": [f.entries.tolist()], "exits": [f.exits.tolist()], "start": [f.start]})
+
     def steps(part: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(part["t"].to_numpy())
-        last = len(t)
         following = np.searchsorted(t, t + gap, "left")
-        out = np.where(following < last, following, np.arange(last))
+        out = np.where(following < len(t), following, np.arange(len(t)))
         while True:
             jumped = out[out]
             if np.array_equal(jumped, out):
                 break
             out = jumped
-        start = int(part["c"].iloc[0]) * width
-        reach = min(int(np.searchsorted(t, start + gap, "left")) + 1, last)
-        exits = t[out[:reach]]
-        keep = np.append(exits[1:] != exits[:-1], True)
-        return pd.DataFrame({"k": pd.Series([part["k"].iloc[0]], dtype=object), "c": [int(part["c"].iloc[0])], "entries": [t[:reach][keep].tolist()], "exits": [exits[keep].tolist()]})
+        c = int(part["c"].iloc[0])
+        return row(part["k"].iloc[0], c, StepFunction(t, t[out], c * width, gap))
+
+    def functions_of(part: pd.DataFrame) -> list[StepFunction]:
+        return [StepFunction(np.asarray(e, np.int64), np.asarray(x, np.int64), int(s), gap) for e, x, s in zip(part["entries"], part["exits"], part["start"])]
 
-    def chain(part: pd.DataFrame) -> pd.DataFrame:
+    def compose(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("c")
-        state, entering = None, []
-        for entries, exits in zip(part["entries"], part["exits"]):
+        return row(part["k"].iloc[0], int(part["c"].iloc[0]) // fan_in, reduce(StepFunction.then, functions_of(part)))
+
+    def hand_down(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("c")
+        state = part["state"].iloc[0]
+        state, entering = None if pd.isna(state) else int(state), []
+        for f in functions_of(part):
             entering.append(state)
-            i = 0 if state is None else int(np.searchsorted(np.asarray(entries), state + gap, "left"))
-            if i < len(entries):
-                state = int(exits[i])
-        names = pd.Series(part["k"].tolist(), dtype=object)
-        return pd.DataFrame({"k": names, "c": part["c"].to_numpy(), "state": pd.Series(entering, dtype=object)})
+            state = f(state)
+        return pd.DataFrame({"k": pd.Series(part["k"].tolist(), dtype=object), "c": part["c"].to_numpy(), "state": pd.Series(entering, dtype="Int64")})
 
     def replay(part: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(part["t"].to_numpy())
@@ -366,7 +401,17 @@ def cooldown(df: DataFrame, key: str, ts: str, minutes: float, chunk_hours: floa
         names = pd.Series([part["k"].iloc[0]] * len(kept), dtype=object)
         return pd.DataFrame({"k": names, "t": np.asarray(kept, dtype="int64")})
 
-    functions = moments.groupBy("k", "c").applyInPandas(steps, "k string, c bigint, entries array<bigint>, exits array<bigint>")
-    states = functions.groupBy("k").applyInPandas(chain, "k string, c bigint, state bigint")
-    fired = moments.join(states, ["k", "c"]).groupBy("k", "c").applyInPandas(replay, "k string, t bigint")
+    form = "k string, c bigint, entries array<bigint>, exits array<bigint>, start bigint"
+    levels = [materialize(moments.groupBy("k", "c").applyInPandas(steps, form))]
+    low, high = levels[0].agg(F.min("c"), F.max("c")).first()
+    parent = F.floor(F.col("c") / fan_in).cast("bigint").alias("parent")
+    while low is not None and high - low >= fan_in:
+        levels.append(materialize(levels[-1].groupBy("k", parent).applyInPandas(compose, form)))
+        low, high = low // fan_in, high // fan_in
+    states = levels.pop().withColumn("state", F.lit(None).cast("bigint")).groupBy("k").applyInPandas(hand_down, "k string, c bigint, state bigint")
+    while levels:
+        above = states.withColumnRenamed("c", "parent")
+        held = null_safe_join(levels.pop().withColumn("parent", parent), above, ["k", "parent"])
+        states = held.groupBy("k", "parent").applyInPandas(hand_down, "k string, c bigint, state bigint")
+    fired = null_safe_join(moments, states, ["k", "c"]).groupBy("k", "c").applyInPandas(replay, "k string, t bigint")
     return fired.select(F.col("k").alias(key), F.expr("CAST(timestamp_micros(t) AS TIMESTAMP)").alias(ts))

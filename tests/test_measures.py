@@ -120,23 +120,52 @@ def test_null_threshold_never_fires(spark):
     assert [r[0] for r in df.select(kpi.alert_condition()).collect()] == [False, True, True]
 
 
-@pytest.mark.parametrize("chunk", [0.5, 2.0, 24.0])
-def test_cooldown_matches_a_plain_scan(spark, chunk):
+def plain_cooldown(moments, gap):
+    kept, last = [], None
+    for t in sorted(moments):
+        if last is None or t - last >= gap:
+            kept.append(t)
+            last = t
+    return kept
+
+
+@pytest.mark.parametrize("chunk, fan_in", [(0.5, 64), (2.0, 2), (24.0, 64), (None, 3)])
+def test_cooldown_matches_a_plain_scan(spark, chunk, fan_in):
     import random
 
     rng = random.Random(5)
-    start = dt.datetime(2024, 1, 1)
-    moments = {"a": sorted(start + dt.timedelta(seconds=rng.randrange(0, 4 * 86400)) for _ in range(1500)), "b": [start, start + dt.timedelta(minutes=30), start + dt.timedelta(minutes=29)]}
-    expected = set()
-    for k, ts in moments.items():
-        last = None
-        for t in sorted(ts):
-            if last is None or t - last >= dt.timedelta(minutes=30):
-                expected.add((k, t))
-                last = t
-    df = spark.createDataFrame([(k, t) for k, ts in moments.items() for t in ts], "k string, t timestamp_ntz")
-    got = {(r["k"], r["t"]) for r in kpi.cooldown(df, "k", "t", 30, chunk).select("k", F.col("t").cast("timestamp_ntz").alias("t")).collect()}
-    assert got == expected
+    start = dt.datetime(1969, 12, 30)
+    moments = {"a": [start + dt.timedelta(seconds=rng.randrange(0, 4 * 86400)) for _ in range(1500)], "b": [start, start + dt.timedelta(minutes=30), start + dt.timedelta(minutes=29)], None: [start], "far": [start, start + dt.timedelta(days=9000)]}
+    expected = {(k, t) for k, ts in moments.items() for t in plain_cooldown(ts, dt.timedelta(minutes=30))}
+    df = spark.createDataFrame([(k, t) for k, ts in moments.items() for t in ts] + [("b", None)], "k string, t timestamp_ntz")
+    out = kpi.cooldown(df, "k", "t", 30, chunk, fan_in)
+    assert {(r["k"], r["t"]) for r in out.select("k", F.col("t").cast("timestamp_ntz").alias("t")).collect()} == expected
+    assert kpi.cooldown(df.limit(0), "k", "t", 30, chunk, fan_in).isEmpty()
+
+
+def test_step_functions_compose():
+    """Two stretches in a row do what one scan over both does, from every state."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    gap = 10
+    for _ in range(300):
+        parts = [sorted({rng.randrange(lo, lo + 25) for _ in range(rng.randint(1, 12))}) for lo in (0, 25, 50)]
+        functions = [kpi.StepFunction(np.array(p), np.array([plain_cooldown([t for t in p if t >= e], gap)[-1] for e in p]), lo, gap) for lo, p in zip((0, 25, 50), parts)]
+        whole = functions[0].then(functions[1]).then(functions[2])
+        other = functions[0].then(functions[1].then(functions[2]))
+        for state in [None, *range(-15, 0)]:
+            kept = plain_cooldown([t for p in parts for t in p if state is None or t >= state + gap], gap)
+            assert whole(state) == other(state) == (kept[-1] if kept else state)
+
+
+def test_one_hot_key_is_spread(spark):
+    """One key with all moments: no group of the cooldown holds more than a chunk or a fan of functions."""
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), F.timestamp_seconds(F.col("id") * 37).alias("t"))
+    got = [r[0] for r in kpi.cooldown(df, "k", "t", 10, fan_in=8).select(F.unix_seconds("t")).collect()]
+    assert sorted(got) == plain_cooldown([i * 37 for i in range(20_000)], 600)
 
 
 def test_batch_of_kpis_is_one_scan(tables):
