@@ -311,6 +311,8 @@ def exceptions(docs: DataFrame, key: str, text_col: str = "text", max_draws: int
     ``max_draws`` draws, surrogates get longer by a character a round, so that free ones are always found.
     """
     found = docs.select(F.explode(F.transform(entities(F.col(text_col)), core_of)).alias("entity")).distinct()
+    # Few bytes but much work: not to be merged into one task.
+    found = found.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity")
     known = materialize(found.withColumn("surrogate", surrogate(F.col("entity"), key)))
     real = known.select(F.col("entity").alias("surrogate"))
 
