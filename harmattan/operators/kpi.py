@@ -345,18 +345,23 @@ class StepFunction:
         return StepFunction(np.append(self.entries, later.entries[passed]), np.append(exits, later.exits[passed]), self.start, self.gap)
 
 
-def cooldown(df: DataFrame, key: str, ts: str, minutes: float, chunk_hours: float | None = None, fan_in: int = 64) -> DataFrame:
+def cooldown(df: DataFrame, key: str, ts: str, minutes: float, chunk_hours: float = 6.0, fan_in: int = 64, last: DataFrame | None = None) -> DataFrame:
     """Firing moments kept when repeats within the cooldown of the last kept one are dropped.
 
-    The greedy scan is cut into chunks of time (of one cooldown at least, which is the default). Each chunk is reduced to a
+    The greedy scan is cut into chunks of time (of one cooldown at least). Each chunk is reduced to a
     step function; ``fan_in`` neighbouring functions are composed into one, level by level, until a key has
     no more than ``fan_in`` of them. Going back down, every node hands each of its children the state it starts from, and
     each chunk replays from there. So a key of any length costs a few rounds of many small groups, and no
-    task ever sees more of a key than a chunk or ``fan_in`` functions.
+    task ever sees more of a key than a chunk or ``fan_in`` functions. ``last`` has the last kept moment of keys (key, ts) from an
+    earlier run; it must lie before all moments of its key.
     """
     gap = int(minutes * 60_000_000)
-    width = max(int((chunk_hours or 0) * 3_600_000_000), gap, 1)
+    width = max(int(chunk_hours * 3_600_000_000), gap, 1)
     moments = df.where(F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("k"), _micros(ts).alias("t")).distinct()
+    if last is not None:
+        # The scan of a key starts with its last kept moment, which is no new one.
+        past = last.select(F.col(key).cast("string").alias("k"), _micros(ts).alias("t"))
+        moments = moments.unionByName(past).distinct()
     moments = moments.withColumn("c", F.floor(F.col("t") / width).cast("bigint"))
 
     def row(k: object, c: int, f: StepFunction) -> pd.DataFrame:
@@ -408,10 +413,13 @@ def cooldown(df: DataFrame, key: str, ts: str, minutes: float, chunk_hours: floa
     while low is not None and high - low >= fan_in:
         levels.append(materialize(levels[-1].groupBy("k", parent).applyInPandas(compose, form)))
         low, high = low // fan_in, high // fan_in
-    states = levels.pop().withColumn("state", F.lit(None).cast("bigint")).groupBy("k").applyInPandas(hand_down, "k string, c bigint, state bigint")
+    begin = levels.pop().withColumn("state", F.lit(None).cast("bigint"))
+    states = begin.groupBy("k").applyInPandas(hand_down, "k string, c bigint, state bigint")
     while levels:
         above = states.withColumnRenamed("c", "parent")
         held = null_safe_join(levels.pop().withColumn("parent", parent), above, ["k", "parent"])
         states = held.groupBy("k", "parent").applyInPandas(hand_down, "k string, c bigint, state bigint")
     fired = null_safe_join(moments, states, ["k", "c"]).groupBy("k", "c").applyInPandas(replay, "k string, t bigint")
+    if last is not None:
+        fired = null_safe_join(fired, past, ["k", "t"], "left_anti")
     return fired.select(F.col("k").alias(key), F.expr("CAST(timestamp_micros(t) AS TIMESTAMP)").alias(ts))

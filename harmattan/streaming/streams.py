@@ -7,17 +7,16 @@ driver memory. Event time rules throughout.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from harmattan.functions.nulls import data_columns
+from harmattan.operators.kpi import cooldown
 from harmattan.operators.quality import business_key, validate_rows
-from harmattan.session import shared_folder
+from harmattan.session import materialize, shared_folder
 from harmattan.sources.landing import row_digest
 
 
@@ -39,6 +38,15 @@ def _status(spark: SparkSession, path: str):
     return files.getFileStatus(place) if files.exists(place) else None
 
 
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Folders named by a number."""
+    if not is_folder(spark, path):
+        return []
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [int(f.getPath().getName()) for f in files.listStatus(place) if f.getPath().getName().isdigit()]
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     status = _status(spark, path)
     return status is not None and status.isDirectory()
@@ -80,32 +88,54 @@ def online_users(events: DataFrame, event_time: str, user: str, now, seconds: in
     return seen.where(F.col("last_seen") >= now - F.make_interval(secs=F.lit(seconds)))
 
 
-def alert_stream(events: DataFrame, key: str, event_time: str, minutes: float, lateness: str = "1 hour", mute_until: pd.Timestamp | None = None) -> DataFrame:
-    """Firing moments per alert that respect the cooldown since the last kept one, and a mute."""
-    gap = pd.Timedelta(minutes=minutes)
-    muted = mute_until
-
-    def keep(names: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        moments = pd.concat([b[event_time] for b in batches]).drop_duplicates().sort_values()
-        kept = []
-        # Jumps from one kept moment to the first one past its cooldown.
-        values = moments.reset_index(drop=True)
-        i = 0 if last is None else int(values.searchsorted(last + gap))
-        if muted is not None:
-            i = max(i, int(values.searchsorted(muted)))
-        while i < len(values):
-            last = values.iloc[i]
-            kept.append(last)
-            i = int(values.searchsorted(last + gap))
-        if last is not None:
-            state.update((int(last.value // 1000),))
-        yield pd.DataFrame({key: pd.Series([str(names[0])] * len(kept), dtype=object), event_time: pd.Series(kept, dtype="datetime64[ns]")})
-
-    watermarked = events.select(F.col(key).cast("string").alias(key), event_time).withWatermark(event_time, lateness)
-    return watermarked.groupBy(key).applyInPandasWithState(
-        keep, f"{key} string, {event_time} timestamp", "last bigint", "append", GroupStateTimeout.NoTimeout
-    )
+def closed_moments(events: DataFrame, key: str, event_time: str, lateness: str = "1 hour", window: str = "1 minute") -> DataFrame:
+    """Distinct moments per key, of every short window of event time that the watermark has closed.
+
+    A window waits as one state row per key and window, so a busy key waits in many partitions. Windows come
+    out in the order of time, however the stream is cut into batches and whatever the order of rows within the lateness.
+    """
+    watermarked = events.where(F.col(event_time).isNotNull()).select(F.col(key).cast("string").alias(key), event_time).withWatermark(event_time, lateness)
+    closed = watermarked.groupBy(F.window(event_time, window), key).agg(F.collect_set(event_time).alias("moments"))
+    return closed.select(key, F.explode("moments").alias(event_time))
+
+
+def alert_batches(path: str, key: str, event_time: str, minutes: float, mute_until: object | None = None) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` over closed moments: what fires, given the last kept moment of each key in the batches before.
+
+    The cooldown is that of the batch form, so a busy key is worked on by many tasks. Output and state folders carry
+    the batch id and are overwritten, so a replayed batch leaves the same files.
+    """
+    schema = f"`{key}` string, `{event_time}` timestamp"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if mute_until is not None:
+            batch = batch.where(F.col(event_time) >= F.lit(mute_until))
+        batch = materialize(batch)
+        if batch.isEmpty():
+            return
+        past = [i for i in _numbers(spark, f"{path}/last") if i < batch_id]
+        last = spark.read.schema(schema).parquet(f"{path}/last/{max(past)}") if past else spark.createDataFrame([], schema)
+        cooldown(batch, key, event_time, minutes, last=last).write.mode("overwrite").parquet(f"{path}/fired/batch={batch_id}")
+        fired = spark.read.schema(schema).parquet(f"{path}/fired/batch={batch_id}")
+        last.unionByName(fired).groupBy(key).agg(F.max(event_time).alias(event_time)).write.mode("overwrite").parquet(f"{path}/last/{batch_id}")
+
+    return handle
+
+
+def run_alerts(events: DataFrame, key: str, event_time: str, minutes: float, lateness: str = "1 hour", mute_until: object | None = None) -> DataFrame:
+    """Firing moments per alert that respect the cooldown since the last kept one, and a mute; event time rules.
+
+    Moments that the watermark has not passed at the end stay in the state of the stream and do not fire yet.
+    """
+    spark = events.sparkSession
+    base = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    closed = closed_moments(events, key, event_time, lateness)
+    handler = alert_batches(base, key, event_time, minutes, mute_until)
+    query = closed.writeStream.foreachBatch(handler).outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = f"`{key}` string, `{event_time}` timestamp"
+    return spark.read.schema(schema).parquet(f"{base}/fired") if is_folder(spark, f"{base}/fired") else spark.createDataFrame([], schema)
 
 
 def validated_stream(rows: DataFrame, business_rules: Sequence[Mapping[str, Any]], required: Sequence[str] = ()) -> DataFrame:
@@ -118,35 +148,67 @@ def without_repeats(rows: DataFrame, event_time: str, columns: Sequence[str], la
     return rows.withColumn("_row_hash", row_digest(columns)).withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(["_row_hash"])
 
 
+#: Buckets of the conflict index, and batches after which its lines are put together.
+INDEX_BUCKETS = 64
+COMPACT_EVERY = 16
+INDEX_LINE = "key string, digest binary, n bigint"
+
+
+def index_lines(spark: SparkSession, index_path: str, batch_id: int, buckets: Sequence[int] | None = None) -> DataFrame:
+    """Lines of the conflict index before a batch: the last compaction and the batches since, of some buckets only.
+
+    Buckets are folders, so the others are not even listed in the plan's scan.
+    """
+    compacted = batch_id // COMPACT_EVERY * COMPACT_EVERY
+    parts = ([f"part=c{compacted}"] if compacted else []) + [f"part=b{i}" for i in range(compacted, batch_id)]
+    paths = [p for p in (f"{index_path}/{part}" for part in parts) if is_folder(spark, p)]
+    schema = f"{INDEX_LINE}, part string, bucket int"
+    if not paths:
+        return spark.createDataFrame([], schema)
+    lines = spark.read.schema(schema).option("basePath", index_path).parquet(*paths)
+    return lines if buckets is None else lines.where(F.col("bucket").isin(list(buckets)))
+
+
 def incremental_conflicts(index_path: str, conflicts_path: str) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: compare new rows with the index of keys met so far.
 
-    The index holds one line per business key and digest. A batch reads only the index lines
-    of its own keys. Output folders carry the batch id and are overwritten, so a replayed
-    batch leaves the same files.
+    The index holds one line per business key and digest, in hash buckets of the key; a batch reads only the
+    buckets of its own keys. Every ``COMPACT_EVERY`` batches the lines so far are put together, so that a bucket stays a
+    bounded number of files. All folders carry the batch id and are overwritten, so a replayed batch leaves the same files.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if batch_id and batch_id % COMPACT_EVERY == 0:
+            before = batch_id - COMPACT_EVERY
+            parts = ([f"part=c{before}"] if before else []) + [f"part=b{i}" for i in range(before, batch_id)]
+            paths = [p for p in (f"{index_path}/{part}" for part in parts) if is_folder(spark, p)]
+            if paths:
+                old = spark.read.schema(f"{INDEX_LINE}, part string, bucket int").option("basePath", index_path).parquet(*paths)
+                write_index(old.groupBy("key", "digest", "bucket").agg(F.sum("n").alias("n")), f"{index_path}/part=c{batch_id}")
         fresh = batch.select(business_key(batch).alias("key"), row_digest(data_columns(batch)).alias("digest"))
         fresh = fresh.where("key IS NOT NULL").groupBy("key", "digest").agg(F.count("*").alias("n"))
-        schema = "key string, digest binary, n bigint, batch bigint"
-        if is_folder(spark, index_path):
-            known = spark.read.schema(schema).parquet(index_path).where(F.col("batch") < batch_id)
-        else:
-            known = spark.createDataFrame([], schema)
+        own = f"{index_path}/part=b{batch_id}"
+        write_index(fresh.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(INDEX_BUCKETS)).cast("int")), own)
+        fresh = spark.read.schema(f"{INDEX_LINE}, bucket int").parquet(own)
+        buckets = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
+        known = index_lines(spark, index_path, batch_id, buckets)
         past = known.join(fresh.select("key").distinct(), "key", "left_semi").select("key", "digest", "n")
-        both = fresh.unionByName(past).groupBy("key", "digest").agg(F.sum("n").alias("n"))
+        both = fresh.select("key", "digest", "n").unionByName(past).groupBy("key", "digest").agg(F.sum("n").alias("n"))
         per_key = both.groupBy("key").agg(F.count("*").alias("variants"), F.sum("n").alias("n_rows"))
         found = per_key.where("n_rows > 1").select(
             "key", "n_rows", F.when(F.col("variants") > 1, "BUSINESS_CONFLICT").otherwise("DUPLICATE_RECORDS").alias("code")
         )
         found.write.mode("overwrite").parquet(f"{conflicts_path}/batch={batch_id}")
-        fresh.write.mode("overwrite").parquet(f"{index_path}/batch={batch_id}")
 
     return handle
 
 
+def write_index(lines: DataFrame, path: str) -> None:
+    """One file per bucket."""
+    lines.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def run_incremental(stream: DataFrame) -> DataFrame:
     """Run the incremental check over what is there; latest finding per key."""
     base = f"{shared_folder(stream.sparkSession)}/conflicts-{uuid.uuid4().hex}"

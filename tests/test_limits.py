@@ -127,3 +127,61 @@ def test_quantile_bins_are_even(spark):
         edges = df.select(F.percentile_approx("x", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 504).alias("e"))
         bins = df.distinct().join(edges, how="cross").groupBy(F.size(F.filter("e", lambda e: e <= F.col("x"))).alias("b")).count().toPandas()
         assert len(bins) == 64 and bins["count"].max() < 4 * bins["count"].mean()
+
+
+def test_stream_cooldown_does_not_depend_on_batches(spark, tmp_path):
+    """The same events in one file, in files by time, and shuffled within the lateness; one key has nearly all of them."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(6)
+    start = dt.datetime(2024, 5, 1)
+    rows = [("hot" if rng.random() < 0.95 else "cold", start + dt.timedelta(seconds=rng.randrange(20 * 3600))) for _ in range(4000)]
+    rows += [(None, start), ("hot", None)]
+    end = max(t for _, t in rows if t)
+
+    def kept(k):
+        out, last = [], None
+        for t in sorted({t for c, t in rows if c == k and t}):
+            closed = t.replace(second=0, microsecond=0) + dt.timedelta(minutes=1) <= end - dt.timedelta(hours=2)
+            if closed and (last is None or t - last >= dt.timedelta(minutes=25)):
+                out.append((k, t))
+                last = t
+        return out
+
+    want = sorted(kept("hot") + kept("cold")) + kept(None)
+    by_time = sorted((r for r in rows if r[1]), key=lambda r: r[1])
+    late = sorted(by_time, key=lambda r: r[1] + dt.timedelta(minutes=rng.randrange(110)))
+    for name, ordered, n in (("whole", rows, 1), ("cut", by_time, 7), ("late", late, 9)):
+        for i in range(n):
+            part = ordered[len(ordered) * i // n : len(ordered) * (i + 1) // n]
+            spark.createDataFrame(part, "k string, t timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/events.parquet/p{i}")
+        stream = spark.readStream.schema("k string, t timestamp_ntz").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/{name}/events.parquet")
+        out = streams.run_alerts(stream.withColumn("t", F.col("t").cast("timestamp")), "k", "t", 25, "2 hours")
+        got = [(r["k"], r["t"]) for r in out.select("k", F.col("t").cast("timestamp_ntz").alias("t")).collect()]
+        assert sorted(got, key=lambda r: (r[0] is None, r[0] or "", r[1])) == sorted(want, key=lambda r: (r[0] is None, r[0] or "", r[1])), name
+
+
+def test_conflict_index_is_bucketed_and_replayable(spark, tmp_path, monkeypatch):
+    """Batches across a compaction find what one comparison finds; a batch reads its buckets alone and may run twice."""
+    monkeypatch.setattr(streams, "COMPACT_EVERY", 3)
+    handle = streams.incremental_conflicts(f"{tmp_path}/index", f"{tmp_path}/found")
+    rows = [(f"k{i % 23}", "x" if i % 5 else "y") for i in range(80)]
+    batches = [spark.createDataFrame(rows[i * 10 : i * 10 + 10], "id_commande string, body string") for i in range(8)]
+    for i, batch in enumerate(batches):
+        handle(batch, i)
+        if i in (3, 5):
+            handle(batch, i)
+    found = spark.read.schema("key string, n_rows bigint, code string, batch int").parquet(f"{tmp_path}/found")
+    latest = {r["key"]: (r["n_rows"], r["code"]) for r in found.orderBy("batch").collect()}
+    want = {}
+    for k, _ in rows:
+        bodies = [b for o, b in rows if o == k]
+        if len(bodies) > 1:
+            want[f"o:{k}"] = (len(bodies), "BUSINESS_CONFLICT" if len(set(bodies)) > 1 else "DUPLICATE_RECORDS")
+    assert latest == want
+    lines = streams.index_lines(spark, f"{tmp_path}/index", 8, [1, 2])
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "part=c6" in " ".join(lines.inputFiles()) and "part=b5" not in " ".join(lines.inputFiles())
+    assert "PartitionFilters: [bucket" in plan
+    assert streams.index_lines(spark, f"{tmp_path}/index", 8).agg(F.sum("n")).first()[0] == 80
