@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from harmattan.functions.numbers import numeric
 from harmattan.operators.keyed import column_medians, exact_quantile
+from harmattan.session import materialize
 
 SUBSAMPLE = 256
 NODE = "tree int, node int, feature int, cut double, left int, right int, size int, depth int"
@@ -26,13 +27,13 @@ NODE = "tree int, node int, feature int, cut double, left int, right int, size i
 def feature_matrix(df: DataFrame, features: Sequence[str], key: str = "_row_number") -> DataFrame:
     """Numeric features; rows without any value are left out, gaps take the column median.
 
-    Medians are only worked out for columns that have gaps.
+    The numbers are written once; medians are only worked out for columns that have gaps.
     """
     numbers = df.select(key, *[numeric(df, c).cast("double").alias(c) for c in features])
     some = F.lit(False)
     for c in features:
         some = some | F.col(c).isNotNull()
-    numbers = numbers.where(some)
+    numbers = materialize(numbers.where(some))
     gaps = numbers.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first()
     medians = column_medians(numbers, [c for c in features if gaps[c]])
     fill = {c: v or 0.0 for c, v in medians.items()}
@@ -172,9 +173,7 @@ def score_rows(matrix: DataFrame, forest: pd.DataFrame, features: Sequence[str])
 def isolation_forest(
     df: DataFrame, features: Sequence[str], contamination: float = 0.05, seed: int = 42, key: str = "_row_number", size: int = SUBSAMPLE
 ) -> DataFrame:
-    """Row id, features, score and outlier flag; each tree sees about ``size`` rows. The threshold is the exact (1 − contamination) quantile of the scores."""
-    from harmattan.session import materialize
-
+    """Row id, features, score and outlier flag; each tree sees about ``size`` rows."""
     if not features:
         raise ValueError("features must not be empty")
     if not 0 < contamination <= 0.5:
@@ -186,8 +185,14 @@ def isolation_forest(
     trees, size = tree_count(n), min(size, n)
     forest = fit_forest(subsamples(matrix, key, n, trees, size, seed), features, key, size, seed)
     # Bounded: at most 200 trees of about 2 x 256 nodes each.
-    scored = materialize(score_rows(matrix, forest.toPandas(), features))
-    share = min(contamination, (n - 1) / n * 0.49)
+    return flagged(score_rows(matrix, forest.toPandas(), features), contamination)
+
+
+def flagged(scores: DataFrame, contamination: float) -> DataFrame:
+    """Scored rows with ``is_outlier``: above the exact (1 − contamination) quantile of the scores."""
+    scored = materialize(scores)
+    n = scored.count()
+    share = min(contamination, (n - 1) / n * 0.49) if n else contamination
     threshold = exact_quantile(scored, [], F.col("score"), 1 - share).scalar()
     return scored.withColumn("is_outlier", F.col("score") > threshold)
 

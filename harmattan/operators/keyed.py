@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harmattan.session import materialize
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match each other; the keys of ``left`` are kept."""
@@ -71,55 +73,72 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return texts.unpivot([], list(columns), "column", "value").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-#: Edges of the histogram that locates a quantile.
+#: Accuracy of the sketches that bracket a quantile, and the values that one task may sort at the end.
+ACCURACY = 10_000
+SORTED_AT_ONCE = 1 << 20
+#: Edges of the rounds after the first.
 EDGES = 63
 
 
 def exact_quantile(
-    df: DataFrame, keys: Sequence[str], value: Column, p: float = 0.5, name: str = "value"
+    df: DataFrame, keys: Sequence[str], value: Column, p: float = 0.5, name: str = "value", accuracy: int = ACCURACY, most: int = SORTED_AT_ONCE
 ) -> DataFrame:
     """Exact interpolated quantile per key (or overall when ``keys`` is empty), null for a key without values.
 
-    Distinct values are counted first, so hot values cost one counter. Edges that part the
-    distinct values of each key into ``EDGES`` + 1 bins of about equal size place them in a histogram, and
-    only the bin that holds the wanted rank is sorted, however narrow or wide the values lie. The
-    source is read once; all further steps start from the counts.
+    A selection in rounds. A sketch of bounded size puts a bracket around the wanted ranks; rows below, on and
+    between its edges are counted exactly, and what lies between is all that is looked at further. Rounds go on
+    until no key has more than ``most`` values left, which are then sorted. Nothing but counters is held for a
+    hot value, and nothing but a sketch for a hot key. The values are written once, without the columns around them.
     """
     keys = list(keys)
     x = value.cast("double")
-    # Null cells count zero, so a group without any value keeps its line and gets a null.
-    counted = df.select(*keys, F.when(~F.isnan(x), x).alias("__x")).groupBy(*keys, "__x").agg(F.count("__x").alias("__c")).withColumn("__all", F.lit(1))
-    shares = F.array(*[F.lit(i / (EDGES + 1)) for i in range(1, EDGES + 1)])
-    edges = counted.groupBy(*keys, "__all").agg(F.array_distinct(F.percentile_approx("__x", shares, 8 * EDGES)).alias("__edges"))
-    counts = null_safe_join(counted, edges, [*keys, "__all"]).withColumn("__bin", F.size(F.filter("__edges", lambda e: e <= F.col("__x")))).drop("__edges", "__all")
-    bins = counts.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__c"))
-    everything = W.partitionBy(*keys)
-    running = everything.orderBy("__bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = materialize(df.select(*keys, F.when(~F.isnan(x), x).alias("__x"), F.lit(1).alias("__all")))
+    by = [*keys, "__all"]
     position = (F.col("__n") - 1) * F.lit(float(p))
-    target = (
-        bins.withColumn("__n", F.sum("__c").over(everything))
-        .withColumn("__before", F.sum("__c").over(running) - F.col("__c"))
-        .withColumn("__pos", position)
-        .where(((F.col("__before") <= F.ceil("__pos")) & (F.col("__before") + F.col("__c") > F.floor("__pos"))) | (F.col("__n") == 0))
-        .select(*keys, "__bin", "__before", "__pos")
-    )
-    inside = W.partitionBy(*keys, "__bin").orderBy("__x").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = (
-        null_safe_join(counts, target, [*keys, "__bin"])
-        .withColumn("__end", F.col("__before") + F.sum("__c").over(inside))
-        .withColumn("__start", F.col("__end") - F.col("__c"))
-    )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("__start") <= rank) & (F.col("__end") > rank), F.col("__x")))
-
-    picked = ranked.groupBy(*keys).agg(
-        at(F.floor("__pos")).alias("__low"),
-        at(F.ceil("__pos")).alias("__high"),
-        F.max(F.col("__pos") - F.floor("__pos")).alias("__part"),
-    )
-    low, high, part = F.col("__low"), F.col("__high"), F.col("__part")
-    return picked.select(*keys, (low + (high - low) * part).alias(name))
+    begin = rows.groupBy(*by).agg(F.count("__x").alias("__n"))
+    begin = begin.withColumns({"__r0": F.floor(position), "__r1": F.ceil(position), "__part": position - F.floor(position)})
+    done = begin.where("__n = 0").select(*by, F.lit(None).cast("double").alias("__low"), F.lit(None).cast("double").alias("__high"), F.lit(0.0).alias("__part"))
+    open_ = begin.where("__n > 0").select(*by, "__r0", "__r1", "__part")
+    # Two ranks of the sketch on either side are more than it can err by.
+    margin = 2.5 / accuracy
+    shares = [max(0.0, p - margin), min(1.0, p + margin)]
+    inside = rows.where("__x IS NOT NULL")
+    while True:
+        sketch = F.array_sort(F.array_distinct(F.percentile_approx("__x", F.array(*[F.lit(q) for q in shares]), accuracy)))
+        edges = inside.groupBy(*by).agg(sketch.alias("__edges"))
+        # Even bins lie between edges, odd ones hold the rows on an edge.
+        place = 2 * F.size(F.filter("__edges", lambda e: e < F.col("__x"))) + F.array_contains("__edges", F.col("__x")).cast("int")
+        bins = null_safe_join(inside, edges, by).groupBy(*by, place.alias("__bin")).agg(F.count("*").alias("__c"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+        running = W.partitionBy(*by).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+        bins = null_safe_join(bins.withColumn("__before", F.coalesce(F.sum("__c").over(running), F.lit(0))), open_, by)
+
+        def holding(rank: str) -> Column:
+            mine = (F.col("__before") <= F.col(rank)) & (F.col("__before") + F.col("__c") > F.col(rank))
+            return F.max(F.when(mine, F.struct("__bin", "__before", "__c", "__lo", "__hi")))
+
+        found = bins.groupBy(*by).agg(holding("__r0").alias("a"), holding("__r1").alias("b"), *[F.first(c).alias(c) for c in ("__r0", "__r1", "__part")])
+        # Neighbouring ranks in two bins are the last value of one and the first of the next.
+        apart = F.col("a.__bin") != F.col("b.__bin")
+        low = F.when(apart, F.col("a.__hi")).when(F.col("a.__lo") == F.col("a.__hi"), F.col("a.__lo"))
+        high = F.when(apart, F.col("b.__lo")).when(F.col("a.__lo") == F.col("a.__hi"), F.col("a.__lo"))
+        found = materialize(found.withColumns({"__low": low, "__high": high}))
+        done = done.unionByName(found.where("__low IS NOT NULL").select(*done.columns))
+        rest = found.where("__low IS NULL")
+        bracket = rest.select(*by, F.col("a.__lo").alias("__lo"), F.col("a.__hi").alias("__hi"))
+        open_ = rest.select(*by, *[(F.col(r) - F.col("a.__before")).alias(r) for r in ("__r0", "__r1")], "__part")
+        size = rest.agg(F.max("a.__c")).first()[0]
+        if size is None:
+            return done.select(*keys, (F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__part")).alias(name))
+        within = F.col("__x").between(F.col("__lo"), F.col("__hi"))
+        inside = null_safe_join(inside, bracket, by).where(within).drop("__lo", "__hi")
+        if size <= most:
+            break
+        inside = materialize(inside)
+        shares = [i / (EDGES + 1) for i in range(1, EDGES + 1)]
+    values = null_safe_join(inside.groupBy(*by).agg(F.array_sort(F.collect_list("__x")).alias("__sorted")), open_, by)
+    ranked = values.select(*by, *[F.get("__sorted", F.col(r).cast("int")).alias(c) for r, c in (("__r0", "__low"), ("__r1", "__high"))], "__part")
+    picked = done.unionByName(ranked)
+    return picked.select(*keys, (F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__part")).alias(name))
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from harmattan.operators import anomaly, textvec
 from harmattan.plans.cleaning import DIRTY
 from harmattan.plans.registry import Tables, query
-from harmattan.session import materialize
 
 
 def _words(table, default):
@@ -142,19 +142,69 @@ def outlier_explanations(t: Tables):
     return anomaly.explain(anomaly.isolation_forest(_lines(t), _FEATURES, 0.02), _FEATURES)
 
 
+# A forest that SQL can state too: 20 complete trees of depth three, cuts and leaf sizes by rule.
+_TREES, _SPAN = 20, (50.0, 100_000.0, 0.1)
+
+
+def _cut(tree: int, node: int) -> float:
+    return _SPAN[(tree + node) % 3] * ((tree * 7 + node * 5) % 20 + 0.5) / 20
+
+
+def fixed_forest() -> pd.DataFrame:
+    rows = []
+    for tree in range(_TREES):
+        for node in range(15):
+            inner = node < 7
+            rows.append((tree, node, (tree + node) % 3 if inner else -1, _cut(tree, node) if inner else 0.0, 2 * node + 1 if inner else -1, 2 * node + 2 if inner else -1, 256 if not node else (tree * 3 + node) % 31 + 1, (node + 1).bit_length() - 1))
+    return pd.DataFrame(rows, columns=["tree", "node", "feature", "cut", "left", "right", "size", "depth"])
+
+
+def _walk(at: str, tree: str) -> str:
+    """The child of a node: on the right if the feature lies above the cut."""
+    x = f"CASE ({tree} + {at}) % 3 WHEN 0 THEN l_quantity WHEN 1 THEN l_extendedprice ELSE l_discount END"
+    span = f"CASE ({tree} + {at}) % 3 WHEN 0 THEN {_SPAN[0]}::DOUBLE WHEN 1 THEN {_SPAN[1]}::DOUBLE ELSE {_SPAN[2]}::DOUBLE END"
+    return f"2 * {at} + 1 + CAST(CAST({x} AS DOUBLE) > {span} * (({tree} * 7 + {at} * 5) % 20 + 0.5::DOUBLE) / 20 AS INT)"
+
+
+_PATH = "CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2 * (ln({n} - 1) + 0.5772156649015329::DOUBLE) - 2 * ({n} - 1) / {n}::DOUBLE END"
+_SCORED = f"""f AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, row_number() OVER () AS i FROM lineitem),
+ a AS (SELECT *, {_walk('0', 't')} AS n1 FROM f, unnest(range({_TREES})) AS u(t)), b AS (SELECT *, {_walk('n1', 't')} AS n2 FROM a), c AS (SELECT *, {_walk('n2', 't')} AS leaf FROM b),
+ d AS (SELECT *, (t * 3 + leaf) % 31 + 1 AS size FROM c), e AS (SELECT i, SUM(3 + {_PATH.format(n='size')}) AS total FROM d GROUP BY i),
+ s AS (SELECT f.*, round(pow(2, -total / {_TREES} / (SELECT {_PATH.format(n='256')})), 9) AS score FROM f JOIN e USING (i)),
+ scored AS (SELECT *, score > (SELECT quantile_cont(score, 0.98) FROM s) + 1e-9 AS is_outlier FROM s)"""
+
+
+def _fixed(t: Tables):
+    scores = anomaly.score_rows(anomaly.feature_matrix(_lines(t), _FEATURES), fixed_forest(), _FEATURES)
+    # Paths are sums in another order than in SQL.
+    return anomaly.flagged(scores.withColumn("score", F.round("score", 9)), 0.02)
+
+
+@query("outlier_fixed_forest", f"WITH {_SCORED} SELECT CAST(round(score * 1000000) AS BIGINT) AS score, is_outlier, COUNT(*) AS n FROM scored GROUP BY 1, 2")
+def outlier_fixed_forest(t: Tables):
+    """Rows by score and flag; line items have no key, so they are counted."""
+    return _fixed(t).groupBy(F.round(F.col("score") * 1_000_000).cast("bigint").alias("score"), "is_outlier").agg(F.count("*").alias("n"))
+
+
 @query(
     "outlier_summary",
-    "SELECT COUNT(*) AS n_rows, true AS flagged_is_top_share, true AS confidence_in_range FROM lineitem",
+    f"""WITH {_SCORED}, z AS (SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (is_outlier) AS n_outliers, AVG(score - 0.5) FILTER (is_outlier) AS margin FROM scored)
+SELECT n_rows, n_outliers, CASE WHEN n_outliers = 0 THEN 'low' WHEN n_outliers <= greatest(1, n_rows // 50) THEN 'medium' WHEN n_outliers <= greatest(2, n_rows // 20) THEN 'high' ELSE 'critical' END AS severity,
+ round(least(99.99, greatest(0.0, 50 + coalesce(margin, 0) * 20)), 2) AS confidence FROM z""",
 )
 def outlier_summary(t: Tables):
-    """The share of flagged rows follows from the exact quantile: never more than asked, and only ties make it less."""
-    scored = materialize(anomaly.isolation_forest(_lines(t), _FEATURES, 0.02))
-    out = anomaly.run_summary(scored)
-    edge = scored.agg(F.max(F.when(~F.col("is_outlier"), F.col("score"))).alias("edge"))
-    ties = scored.join(edge, F.col("score") == F.col("edge")).agg(F.count("*").alias("ties"))
-    share, n = F.col("n_outliers"), F.col("n_rows")
-    exact = (share <= F.ceil(n * 0.02)) & (share + F.col("ties") >= F.floor(n * 0.02))
-    return out.join(ties, how="cross").select("n_rows", exact.alias("flagged_is_top_share"), F.col("confidence").between(50, 99.99).alias("confidence_in_range"))
+    return anomaly.run_summary(_fixed(t))
+
+
+@query(
+    "outlier_fixed_explanations",
+    f"""WITH {_SCORED}, m AS (SELECT MEDIAN(l_quantity) AS q, MEDIAN(l_extendedprice) AS p, MEDIAN(l_discount) AS d FROM lineitem),
+ r AS (SELECT i, unnest([{{'c': 'l_quantity', 'r': l_quantity / q}}, {{'c': 'l_extendedprice', 'r': l_extendedprice / p}}, {{'c': 'l_discount', 'r': l_discount / d}}]) AS x FROM scored, m WHERE is_outlier)
+SELECT x.c AS "column", CASE WHEN x.r > 2.5 THEN 'above' ELSE 'below' END AS direction, CAST(round(x.r * 10) AS BIGINT) AS ratio, COUNT(*) AS n FROM r WHERE x.r > 2.5 OR x.r < 0.4 GROUP BY 1, 2, 3""",
+)
+def outlier_fixed_explanations(t: Tables):
+    told = anomaly.explain(_fixed(t), _FEATURES)
+    return told.groupBy("column", "direction", F.round(F.col("ratio") * 10).cast("bigint").alias("ratio")).agg(F.count("*").alias("n"))
 
 
 @query(

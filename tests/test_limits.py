@@ -112,8 +112,8 @@ def test_registered_forest(spark, tables):
     assert ((ratio > 2.45) | (ratio < 0.45)).all() and (told["direction"].eq("above") == (ratio > 1)).all()
 
 
-def test_quantile_bins_are_even(spark):
-    """Values in a narrow band and tiny values spread over the bins, so that no task sorts a whole group."""
+def test_quantiles_of_narrow_bands(spark):
+    """Values in a narrow band, and tiny and huge ones."""
     import numpy as np
 
     from harmattan.operators import keyed
@@ -124,9 +124,27 @@ def test_quantile_bins_are_even(spark):
         for p in (0.5, 0.98):
             got = {r["k"]: r["value"] for r in keyed.exact_quantile(df, ["k"], F.col("x"), p).collect()}
             assert got == {k: pytest.approx(np.quantile(g["x"], p), rel=1e-12, abs=1e-12 * scale) for k, g in x.groupby("k")}
-        edges = df.select(F.percentile_approx("x", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 504).alias("e"))
-        bins = df.distinct().join(edges, how="cross").groupBy(F.size(F.filter("e", lambda e: e <= F.col("x"))).alias("b")).count().toPandas()
-        assert len(bins) == 64 and bins["count"].max() < 4 * bins["count"].mean()
+
+
+def test_quantile_selects_in_rounds(spark, monkeypatch):
+    """Ten million distinct values: the rounds go on until no more than the bound is left to sort."""
+    from harmattan.operators import keyed
+
+    written = []
+    original = keyed.materialize
+
+    def spied(df):
+        out = original(df)
+        if out.columns[-1] == "__high":
+            written.append(out.where("__low IS NULL").agg(F.max("a.__c")).first()[0])
+        return out
+
+    monkeypatch.setattr(keyed, "materialize", spied)
+    df = spark.range(10_000_000).select(((F.col("id") * 7_919) % 10_000_000).cast("double").alias("x"))
+    assert keyed.exact_quantile(df, [], F.col("x"), 0.5).first()[0] == 4_999_999.5
+    assert len(written) == 1 and written[0] <= 10_000
+    assert keyed.exact_quantile(df.where("x < 400000"), [], F.col("x"), 0.9, accuracy=200, most=50).first()[0] == pytest.approx(359_999.1)
+    assert len(written) > 2 and written[1] > 50 >= (written[-1] or 0)
 
 
 def test_stream_cooldown_does_not_depend_on_batches(spark, tmp_path):
