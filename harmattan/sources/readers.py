@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from harmattan.functions.numbers import NUMBER
 from harmattan.operators.keyed import number_rows
+from harmattan.sources.lineage import detect_encodings
 
 _BYTES = [bytes([b]) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
 LATIN_1_BLOCK = b"".join(_BYTES).decode("latin-1")
@@ -73,12 +74,6 @@ def read_tables(spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv")
     return {name: spark.read.format(fmt).load(path) for name, path in paths.items()}
 
 
-def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """UTF-8 when the bytes are valid UTF-8, otherwise windows-1252."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("file"), F.when(F.is_valid_utf8(F.col("content")), "utf-8").otherwise("windows-1252").alias("encoding"))
-
-
 def first_lines(lines: DataFrame, n: int = 10) -> DataFrame:
     """First non-blank lines of each file; the rank filter limits rows before the shuffle."""
     window = W.partitionBy("file").orderBy("line_no")
@@ -118,17 +113,6 @@ def detect_header_rows(lines: DataFrame, delimiter: str = ",") -> DataFrame:
     return scored.groupBy("file").agg(best.alias("b")).select("file", F.col("b.line_no").alias("header_line"), F.round("b.score", 4).alias("score"))
 
 
-def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("file"), F.md5("content").alias("checksum"), F.col("modificationTime").alias("created_at"))
-
-
-def duplicate_files(checksums: DataFrame) -> DataFrame:
-    """Files whose content was met before, with the first file of that content."""
-    first = checksums.groupBy("checksum").agg(F.min("file").alias("same_as"), F.count("*").alias("n")).where("n > 1")
-    return checksums.join(first, "checksum").where(F.col("file") != F.col("same_as")).select("file", "checksum", "same_as")
-
-
 def export(df: DataFrame, path: str, fmt: str = "csv", metadata: bool = False, validation: bool = False) -> None:
     """Parallel write of cleaned rows; technical columns only on request."""
     keep = [c for c in df.columns if not c.startswith("_")]

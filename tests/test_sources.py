@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harmattan.operators import quality, relations
-from harmattan.sources import catalog, landing, readers
+from harmattan.sources import catalog, landing, lineage, readers
 from harmattan.sources.templates import TEMPLATES
 
 
@@ -18,7 +18,7 @@ def test_csv_with_header(spark, tmp_path):
 
 def test_csv_semicolon_windows_encoding(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes("nom;ville\nCafé;Ouagadougou\n".encode("cp1252"))
-    assert readers.detect_encodings(spark, str(tmp_path / "b.csv")).first()["encoding"] == "windows-1252"
+    assert lineage.detect_encodings(spark, str(tmp_path / "b.csv")).first()["encoding"] == "windows-1252"
     row = readers.read_csv(spark, str(tmp_path / "b.csv")).first()
     assert (row["nom"], row["ville"]) == ("Café", "Ouagadougou")
 
@@ -64,7 +64,7 @@ def test_tables_checksums_export(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text(body)
     tables = readers.read_tables(spark, {n: str(tmp_path / f"{n}.csv") for n in "xyz"})
     assert landing.stack(tables).count() == 3
-    copies = readers.duplicate_files(readers.file_checksums(spark, str(tmp_path / "*.csv"))).collect()
+    copies = lineage.duplicate_files(lineage.file_checksums(spark, str(tmp_path / "*.csv"))).collect()
     assert [r["file"][-5:] for r in copies] == ["y.csv"]
     readers.export(tables["x"].withColumn("_changes", F.array(F.lit("c"))), str(tmp_path / "out"), metadata=True)
     assert set(spark.read.csv(str(tmp_path / "out"), header=True).columns) == {"a", "_row_number", "_changes"}
@@ -155,3 +155,31 @@ def test_best_table_tokens(spark):
     scores = spark.createDataFrame([("Résumé 2026", 70.0), ("Ventes", 60.0), ("Autre", 66.0)], "table_name string, score double")
     row = catalog.best_table(scores).first()
     assert (row["table_name"], row["adjusted"], row["is_ambiguous"]) == ("Ventes", 72.0, True)
+
+
+def test_checksums_do_not_depend_on_splits(spark, tmp_path):
+    body = b"".join(b"%d;\xe9\r\n" % i for i in range(30_000))
+    for name, content in (("a", body), ("b", body), ("c", body[:-1]), ("d", body.replace(b"77;", b"78;", 1)), ("e", body + b"\n"), ("f", b"".join(reversed(body.splitlines(True))))):
+        (tmp_path / f"{name}.csv").write_bytes(content)
+    whole = {r["file"][-5:]: r["checksum"] for r in lineage.file_checksums(spark, f"{tmp_path}/*.csv").collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        split = {r["file"][-5:]: r["checksum"] for r in lineage.file_checksums(spark, f"{tmp_path}/*.csv").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert whole == split and len(set(whole.values())) == 5 and whole["a.csv"] == whole["b.csv"]
+    assert {r["encoding"] for r in lineage.detect_encodings(spark, f"{tmp_path}/*.csv").collect()} == {"windows-1252"}
+
+
+def test_derived_sources_are_found(spark):
+    base = spark.range(20_000).select("id", (F.col("id") * 3).cast("string").alias("x"))
+    sources = {
+        "base": base, "most": base.where("id % 20 <> 0").unionByName(spark.createDataFrame([(-1, "new")], base.schema)), "half": base.where("id < 10000").unionByName(base.selectExpr("id + 50000 AS id", "x").limit(10_000)),
+        "few": base.where("id < 5"), "other": base.selectExpr("id + 90000 AS id", "x"), "none": base.limit(0),
+    }
+    got = {(r["source"], r["parent"]): r["containment"] for r in lineage.row_containment(sources).collect()}
+    assert got == {("most", "base"): pytest.approx(19_000 / 19_001), ("base", "most"): 0.95, ("few", "base"): 1.0, ("few", "half"): 1.0}
+    copies = spark.createDataFrame([("f", "c", "e")], "file string, checksum string, same_as string")
+    found = lineage.row_containment({"few": sources["few"], "base": base})
+    assert lineage.source_alerts("f", copies, "few", found) == ["identical_file", "derived_source"]
+    assert lineage.source_alerts("e", copies, "base", found) == []
