@@ -47,7 +47,7 @@ LOWER[65:91] += 32
 SLICE = 1 << 22
 STEP = np.uint64(0xD1342543DE82EF95)
 #: Rows that a task holds back to add them up.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Lower bits of a hash that are dropped; the next one marks phrases of the greatest length.
 DROP = np.uint64(16)
 LONGEST = np.uint64(1) << DROP
