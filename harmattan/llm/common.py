@@ -40,15 +40,23 @@ def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, n_features: int, l2: float, steps: int = 200, rate: float = 0.3) -> tuple[np.ndarray, float]:
-    """L2 logistic regression on a sparse matrix in coordinate form, by Adam on the full batch."""
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, n_features: int, l2: float, steps: int = 200, rate: float = 0.3, block: int = 1 << 19) -> tuple[np.ndarray, float]:
+    """L2 logistic regression on a sparse matrix in coordinate form, by Adam on the full batch.
+
+    The entries are gone through in blocks, so that the work arrays stay small beside the matrix.
+    """
     n = len(y)
+    parts = [slice(lo, lo + block) for lo in range(0, len(rows), block)]
     w, bias = np.zeros(n_features), 0.0
     m, v, mb, vb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = np.bincount(rows, values * w[cols], n) + bias
+        z = np.full(n, bias)
+        for p in parts:
+            z += np.bincount(rows[p], values[p] * w[cols[p]], n)
         error = (sigmoid(z) - y) / n
-        g = np.bincount(cols, values * error[rows], n_features) + l2 * w
+        g = l2 * w
+        for p in parts:
+            g += np.bincount(cols[p], values[p] * error[rows[p]], n_features)
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb

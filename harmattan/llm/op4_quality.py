@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from harmattan.llm import common
-from harmattan.llm.kernel import BYTE_VALUES, Slice, Words, mix, prefix_hash, slices, span_hash, sums, windows, words_of
+from harmattan.llm.kernel import BYTE_VALUES, Slice, Words, column_buffers, mix, prefix_hash, slices, span_hash, sums, windows, words_of
 
 BITS = 16
 FEATURES = 3 << BITS  # word unigrams, word bigrams, character 4-grams
@@ -164,16 +164,18 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     y = got["y"].to_numpy().astype(float)
     if len(y) < 8 or y.min() == y.max():
         return NEUTRAL
-    feats = [np.frombuffer(x, "<i4") for x in got["f"].to_pylist()]
-    vals = [np.frombuffer(x, "<f4") for x in got["v"].to_pylist()]
+    # The sample as two flat arrays, without a copy for each row.
+    (feats, ends), (vals, _) = (column_buffers(got[c]) for c in ("f", "v"))
+    feats, vals, ends = feats.view("<i4"), vals.view("<f4"), ends // 4
+    del got
     held = np.arange(len(y)) % 4 == 3
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
-    fit = np.flatnonzero(~held)
-    at = np.repeat(np.arange(len(fit)), [len(feats[i]) for i in fit])
-    w, bias = common.fit_logistic(at, np.concatenate([feats[i] for i in fit]), np.concatenate([vals[i] for i in fit]).astype(float), y[fit], FEATURES, l2, steps=80, rate=0.05)
-    rest = np.flatnonzero(held) if held.any() else fit
-    z = np.array([np.dot(w[feats[i]], vals[i]) for i in rest]) + bias
+    chosen = np.repeat(~held, np.diff(ends))
+    at = np.repeat(np.cumsum(~held, dtype=np.int32) - 1, np.diff(ends))[chosen]
+    w, bias = common.fit_logistic(at, feats[chosen], vals[chosen], y[~held], FEATURES, l2, steps=80, rate=0.05)
+    rest = np.flatnonzero(held) if held.any() else np.arange(len(y))
+    z = np.array([np.dot(w[feats[a:b]], vals[a:b]) for a, b in zip(ends[rest], ends[rest + 1])]) + bias
     slope, offset = common.fit_platt(z, y[rest])
     return Model(w.astype(np.float32), bias, slope, offset)
 
