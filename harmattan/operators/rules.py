@@ -13,13 +13,14 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from harmattan.functions import text
 from harmattan.functions.nulls import data_columns, is_missing, missing_count
 from harmattan.functions.numbers import convert, numeric
 from harmattan.operators.keyed import exact_quantile, keep_first, most_frequent, value_counts
+from harmattan.session import materialize
 
 CHANGE = "struct<column:string,action:string,from:string,to:string>"
 MESSAGE = "struct<severity:string,code:string,column:string,message:string>"
@@ -129,8 +130,10 @@ def _cellwise(df: DataFrame, r: Rule, change: Callable[[Column], Column], action
 
 @rule("standardize")
 def _standardize(df: DataFrame, r: Rule) -> DataFrame:
+    """Text columns only; numbers and dates have no spelling to unify."""
     mode = r.params.get("mode", "trim_lower")
-    return _cellwise(df, r, lambda c: text.standardize(c, mode), f"standardize:{mode}")
+    columns = [c for c in r.targets(df) if df.schema[c].dataType.typeName() == "string"]
+    return rewrite(df, {c: text.standardize(F.col(c), mode) for c in columns}, f"standardize:{mode}")
 
 
 @rule("fill_value")
@@ -395,6 +398,26 @@ def clean_tables(tables: Mapping[str, DataFrame], rules: Sequence[Rule] | RuleSe
     return {name: apply_rules(df, rules) for name, df in tables.items()}
 
 
+def clean_tables_measured(tables: Mapping[str, DataFrame], rules: Sequence[Rule] | RuleSet) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The cleaned tables, written once, and one row of run metrics each.
+
+    Rows in and out and changed cells are observed on the way to the files, so no table is read for its metrics.
+    """
+    out, lines = {}, []
+    for name, df in tables.items():
+        before, after = Observation(), Observation()
+        cells = F.coalesce(F.sum(F.size("_changes")), F.lit(0)).cast("bigint")
+        missing = F.coalesce(F.sum(missing_count(data_columns(df))), F.lit(0)).cast("bigint")
+        cleaned = apply_rules(df.observe(before, F.count(F.lit(1)).alias("rows_in")), rules)
+        cleaned = cleaned.observe(after, F.count(F.lit(1)).alias("rows_out"), F.count_if(F.size("_changes") > 0).alias("rows_changed"), cells.alias("cells_changed"), missing.alias("missing_after"))
+        out[name] = materialize(cleaned)
+        seen = before.get | after.get
+        lines.append((name, seen["rows_in"], seen["rows_out"], seen["rows_in"] - seen["rows_out"], seen["rows_changed"], seen["cells_changed"], seen["missing_after"]))
+    schema = "sheet string, rows_in bigint, rows_out bigint, rows_removed bigint, rows_changed bigint, cells_changed bigint, missing_after bigint"
+    spark = next(iter(tables.values())).sparkSession
+    return out, spark.createDataFrame(lines, schema)
+
+
 # --- scores, gate, audit ---------------------------------------------------------------
 def with_quality_score(df: DataFrame) -> DataFrame:
     """Per-row completeness, 0-100 with two decimals."""
@@ -482,9 +505,12 @@ def cell_diff(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 
 def preview(raw: DataFrame, cleaned: DataFrame, n: int = 10) -> DataFrame:
-    """First rows before cleaning with their number of changes afterwards."""
+    """First rows before cleaning, each with its state, the row afterwards (``_after``, null if removed) and the list of its changes."""
     head = raw.orderBy("_row_number").limit(n)
-    return compare_before_after(head, cleaned)
+    shared = [c for c in data_columns(raw) if c in cleaned.columns]
+    after = cleaned.select("_row_number", F.struct(*shared).alias("_after"), "_changes")
+    # The head is small, so the cleaned rows are filtered by it instead of being shuffled.
+    return compare_before_after(head, cleaned).join(after, "_row_number", "left")
 
 
 def column_profile(df: DataFrame, top: int = 5) -> DataFrame:

@@ -321,12 +321,48 @@ def rules_cell_diff(t: Tables):
 
 @query(
     "rules_preview",
-    f"""{_DEFAULT_CTE} SELECT d._row_number, d.client, CASE WHEN c._row_number IS NULL THEN 'removed' WHEN c.client IS DISTINCT FROM d.client THEN 'changed' ELSE 'unchanged' END AS state
+    f"""{_DEFAULT_CTE} SELECT d._row_number, d.client, CASE WHEN c._row_number IS NULL THEN 'removed' WHEN {' OR '.join(f'c.{x} IS DISTINCT FROM d.{x}' for x in COLUMNS)} THEN 'changed' ELSE 'unchanged' END AS state, c.client AS client_after, c.montant AS montant_after,
+ CAST({' + '.join(f'CAST(c._row_number IS NOT NULL AND c.{x} IS DISTINCT FROM d.{x} AS INT)' for x in COLUMNS)} AS INT) AS n_changes
 FROM (SELECT * FROM dirty_orders ORDER BY _row_number LIMIT 10) d LEFT JOIN clean c USING (_row_number)""",
 )
 def rules_preview(t: Tables):
     out = rules.preview(t.dirty_orders, rules.apply_rules(t.dirty_orders, rules.DEFAULT_RULES))
-    return out.select("_row_number", "client", F.col("_state").alias("state"))
+    return out.select("_row_number", "client", F.col("_state").alias("state"), F.col("_after.client").alias("client_after"), F.col("_after.montant").alias("montant_after"), F.greatest(F.size("_changes"), F.lit(0)).alias("n_changes"))
+
+
+@query(
+    "rules_two_sheets",
+    f"""{_DEFAULT_CTE}, s AS (SELECT 'orders' AS sheet, (SELECT COUNT(*) FROM dirty_orders) AS rows_in, COUNT(*) AS rows_out, COUNT(*) FILTER ({' OR '.join(f'c.{x} IS DISTINCT FROM d.{x}' for x in COLUMNS)}) AS rows_changed,
+ SUM({' + '.join(f'CAST(c.{x} IS DISTINCT FROM d.{x} AS INT)' for x in COLUMNS)}) AS cells_changed, SUM({missing_sum([f'c.{x}' for x in COLUMNS])}) AS missing_after FROM clean c JOIN dirty_orders d USING (_row_number)
+ UNION ALL SELECT 'customers', COUNT(*), COUNT(*), COUNT(*) FILTER (c_custkey % 3 = 0), COUNT(*) FILTER (c_custkey % 3 = 0), 0 FROM customer)
+SELECT sheet, rows_in, rows_out, rows_in - rows_out AS rows_removed, rows_changed, CAST(cells_changed AS BIGINT) AS cells_changed, CAST(missing_after AS BIGINT) AS missing_after FROM s""",
+)
+def rules_two_sheets(t: Tables):
+    """One plan a sheet, with its run metrics."""
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" "), "c_name")).otherwise(F.col("c_name"))
+    customers = t.customer.select(F.col("c_custkey").alias("_row_number"), "c_custkey", name.alias("c_name"), "c_mktsegment")
+    return rules.clean_tables_measured({"orders": t.dirty_orders, "customers": customers}, rules.DEFAULT_RULES)[1]
+
+
+@query(
+    "rules_quality_gate",
+    f"""{DIRTY}, m AS (SELECT ROUND(SUM({missing_sum()}) / (COUNT(*) * 10.0), 4)::DOUBLE AS rate, ROUND(greatest(0, 100 - SUM({missing_sum()}) / (COUNT(*) * 10.0) * 100), 2)::DOUBLE AS score FROM dirty_orders)
+SELECT 'loose' AS gate, NULL AS refused FROM m UNION ALL SELECT 'score', CASE WHEN score < 99.5 THEN 'average quality score ' || score || ' is below 99.5' END FROM m
+UNION ALL SELECT 'missing', CASE WHEN rate > 0.01 THEN 'missing value rate ' || rate || ' is above 0.01' END FROM m""",
+)
+def rules_quality_gate(t: Tables):
+    gates = {"loose": {"min_quality_score": 1, "max_missing_value_rate": 0.99}, "score": {"min_quality_score": 99.5}, "missing": {"max_missing_value_rate": 0.01}}
+    rows = [(name, rules.evaluate_gate(t.dirty_orders, gate)) for name, gate in gates.items()]
+    return t.spark.createDataFrame(rows, "gate string, refused string")
+
+
+@rules.rule("keep_region_code")
+def keep_region_code(df, r: Rule):
+    """A rule of a user's own: only the digits of a column stay."""
+    return rules.rewrite(df, {c: F.regexp_replace(F.col(c), r"\D", "") for c in r.targets(df)}, "keep_region_code")
+
+
+cell_rule("rule_custom", "client", "regexp_replace(client, '[^0-9]', '', 'g')", Rule("keep_region_code", ("client",)))
 
 
 _AUDIT = (

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from harmattan.functions.nulls import data_columns
+
 
 def scan_period(df: DataFrame, column: str, start: str, end: str) -> DataFrame:
     """Rows whose date lies in [start, end]. Bounds are literals of the column's own type, so they reach the scan."""
@@ -28,6 +30,23 @@ def dataset(layers: Mapping[str, DataFrame], validated: bool = True, require: bo
     return layers["raw"]
 
 
+def describe_source(
+    df: DataFrame, name: str, source_type: str, status: str, description: str = "", cleaned: DataFrame | None = None, max_sample_rows: int = 5
+) -> DataFrame:
+    """One row about a source: name, type, status, description, row and column counts, columns, and sample rows as JSON.
+
+    Samples are the first rows of the cleaned table where there is one, else of the raw one.
+    """
+    columns = data_columns(df)
+    shown = df if cleaned is None else cleaned
+    head = shown.orderBy("_row_number").limit(max_sample_rows)
+    row = F.struct("_row_number", F.to_json(F.struct(*data_columns(shown)), {"ignoreNullFields": "false"}).alias("row"))
+    samples = head.agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["row"]).alias("sample_rows"))
+    facts = {"source_name": name, "source_type": source_type, "status": status, "description": description}
+    counted = df.agg(*[F.lit(v).alias(k) for k, v in facts.items()], F.count("*").alias("row_count"), F.lit(len(columns)).cast("bigint").alias("column_count"), F.array(*[F.lit(c) for c in columns]).alias("columns"))
+    return counted.join(samples, how="cross")  # one row each
+
+
 def expired(sources: DataFrame, now: Column) -> DataFrame:
     """Sources whose retention has run out."""
     return sources.where(F.date_add(F.col("created_at").cast("date"), F.col("retention_days")) <= now)
