@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from harmattan.functions.dates import parse_date
 from harmattan.functions.nulls import data_columns, stripped
 from harmattan.functions.numbers import to_double
-from harmattan.operators.keyed import value_counts
 
 CONFIRMED, SUGGESTED, AMBIGUITY_GAP = 88, 72, 6
 
@@ -74,8 +73,12 @@ DECISIVE = [
 IGNORED = ["suffix", "namestyle", "name style"]
 # Label words that pick the field inside a content family, first match wins, else the default.
 BY_CONTENT = {
-    "date": ([("date_commande", ["commande", "order", "purchase"]), ("date_livraison", ["livraison", "delivery", "ship"]), ("date_naissance", ["birth", "naissance", "dob"])], "date"),
-    "amount": ([("prix_unitaire", ["unit", "price", "prix"])], "montant_total"),
+    "date": (
+        [("date_commande", ["commande", "order", "purchase"]), ("date_livraison", ["livraison", "delivery", "ship"]), ("date_naissance", ["birth", "naissance", "dob"]), ("date_premier_achat", ["first purchase", "premier achat"])],
+        "date",
+    ),
+    "amount": ([("prix_unitaire", ["unit", "unitaire", "price"])], "montant_total"),
+    "person_name": ([("prenom", ["first", "prenom"]), ("nom", ["last", "surname", "nom"])], "client"),
     "quantity": ([], "quantite"),
     "identifier": ([("id_client", ["client"]), ("id_produit", ["product", "produit"]), ("id_facture", ["invoice", "facture"]), ("id_commande", ["commande", "order"])], "reference"),
     "email": ([], "email"),
@@ -123,25 +126,28 @@ def _alike(left: str, right: str) -> int:
 
 
 def content_profiles(df: DataFrame) -> dict[str, str | None]:
-    """Dominant kind of content per column.
+    """Dominant kind of content per column, in one aggregate over the rows; one row reaches the driver.
 
-    Cells are counted by (column, value) first, so each distinct value is parsed once; one
-    row per column reaches the driver.
+    Shares are of the filled cells; the median that tells quantities from amounts is approximate.
     """
-    columns = data_columns(df)
-    if not columns:
-        return {}
-    text = F.lower(stripped(F.col("value")))
-    cells = value_counts(df, columns).select("column", F.when(text != "", text).alias("text"), "n").where("text IS NOT NULL")
-    number = to_double(F.replace("text", F.lit(" "), F.lit("")))
-    date_shape = F.col("text").rlike(r"[/.-]|[a-zà-ÿ]{3,}|^\d{8}$")
-    tests = {k: F.col("text").rlike(p) for k, p in CONTENT_PATTERNS.items()}
-    tests |= {"date": date_shape & parse_date(F.col("text")).isNotNull(), "number": number.isNotNull()}
-    total = F.sum("n")
-    shares = [(F.sum(F.when(test, F.col("n")).otherwise(0)) / total).alias(k) for k, test in tests.items()]
-    rows = cells.groupBy("column").agg(*shares, F.percentile_approx(number, 0.5).alias("median")).collect()
-    found = {r["column"]: _profile(r) for r in rows}
-    return {c: found.get(c) for c in columns}
+    shares = content_shares(df).first()
+    return {c: _profile(shares[c]) if shares[c]["filled"] else None for c in data_columns(df)}
+
+
+def content_shares(df: DataFrame) -> DataFrame:
+    """One row with a struct per column: filled cells, the share of each kind of content among them, and the median number."""
+    described = []
+    for c in data_columns(df):
+        text = F.lower(stripped(F.col(c).cast("string")))
+        text = F.when(text != "", text)
+        number = to_double(F.replace(text, F.lit(" "), F.lit("")))
+        date_shape = text.rlike(r"[/.-]|[a-zà-ÿ]{3,}|^\d{8}$")
+        tests = {k: text.rlike(p) for k, p in CONTENT_PATTERNS.items()}
+        tests |= {"date": date_shape & parse_date(text).isNotNull(), "number": number.isNotNull()}
+        filled = F.count(text)
+        parts = [F.coalesce(F.count_if(test) / filled, F.lit(0.0)).alias(k) for k, test in tests.items()]
+        described.append(F.struct(filled.alias("filled"), *parts, F.percentile_approx(number, 0.5).alias("median")).alias(c))
+    return df.agg(*described)
 
 
 def _profile(share) -> str | None:
@@ -207,7 +213,7 @@ def _match(label: str, profile: str | None, domain) -> Match:
         choices, default = BY_CONTENT[profile]
         field = next((f for f, words in choices if any(w in label for w in words)), default)
         sure = profile in ("date", "phone", "email", "gender", "title")
-        best = max(best if ranked[0][1] == field else 0, CONFIRMED if sure else SUGGESTED)
+        best = max(best, CONFIRMED if sure else SUGGESTED + AMBIGUITY_GAP)
         return Match(field, best, best >= CONFIRMED, "content_matching")
     if best < SUGGESTED or (best < CONFIRMED and best - second < AMBIGUITY_GAP):
         return Match(None, best, False, "to_review")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,43 @@ class Relation:
     active: bool = True
 
 
+def column_sketches(tables: Mapping[str, DataFrame], lg_k: int = 11) -> DataFrame:
+    """sheet, column, sketch, n of every column: a theta sketch of its distinct values, and their estimated number.
+
+    One aggregate a table, combined before the shuffle; a sketch keeps at most about 2**lg_k hashes.
+    """
+    parts = []
+    for name, df in tables.items():
+        sketches = [F.struct(F.lit(c).alias("column"), F.theta_sketch_agg(F.col(c).cast("string"), lg_k).alias("sketch")) for c in data_columns(df)]
+        parts.append(df.agg(F.array(*sketches).alias("s")).select(F.lit(name).alias("sheet"), F.inline("s")))
+    return reduce(DataFrame.unionByName, parts).withColumn("n", F.theta_sketch_estimate("sketch"))
+
+
+def related_columns(tables: Mapping[str, DataFrame], least: float = 0.5, lg_k: int = 11) -> dict[str, list[str]]:
+    """Columns that may hold ``least`` of their values in a column of another table, or be held so, by their sketches.
+
+    The estimates of the common values and of a column's own give its containment. A pair is only left out where
+    this lies six standard errors under ``least``; where the samples are too small to tell (one column
+    has far fewer values than the other) it is kept, so a column of a few values keeps all columns it may lie in. Pairs of columns are as many as
+    the schema gives.
+    """
+    sketches = column_sketches(tables, lg_k)
+    a, b = (sketches.select(*[F.col(c).alias(f"{c}_{side}") for c in sketches.columns]) for side in "ab")
+    pairs = a.join(b, F.col("sheet_a") != F.col("sheet_b")).where("n_a > 0 AND n_b > 0")
+    common = F.theta_sketch_estimate(F.theta_intersection("sketch_a", "sketch_b"))
+    sampled = F.col("n_a") * F.least(F.lit(1.0), (1 << lg_k) / F.greatest("n_a", "n_b"))
+    close = common / F.col("n_a") >= least - 6 / F.sqrt(sampled)
+    kept = pairs.where((sampled < 64) | close).select(F.array(F.struct(F.col("sheet_a").alias("sheet"), F.col("column_a").alias("column")), F.struct(F.col("sheet_b").alias("sheet"), F.col("column_b").alias("column"))).alias("both"))
+    found = {(r["sheet"], r["column"]) for r in kept.select(F.inline("both")).distinct().collect()}
+    return {name: [c for c in data_columns(df) if (name, c) in found] for name, df in tables.items()}
+
+
+def pruned(tables: Mapping[str, DataFrame], least: float = 0.5) -> dict[str, DataFrame]:
+    """The tables with the columns of :func:`related_columns` alone; tables without any are left out, or emptied if all are."""
+    kept = {name: tables[name].select(*columns) for name, columns in related_columns(tables, least).items() if columns}
+    return kept or {name: df.limit(0) for name, df in tables.items()}
+
+
 def value_sets(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Distinct (sheet, column, value) of all tables in long form; column names keep their table."""
     out = None
@@ -51,9 +89,10 @@ def column_overlaps(values: DataFrame) -> DataFrame:
 def relate(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Candidate foreign keys with confidence and match ratio.
 
-    Value overlap leads, then cardinality, name likeness and numeric content.
+    Value overlap leads, then cardinality, name likeness and numeric content. All columns of all tables are
+    looked at; the values of those that their sketches rule out are not shuffled.
     """
-    values = value_sets(tables)
+    values = value_sets(pruned(tables, 0.5))
     sizes = values.groupBy("sheet", "column").agg(F.count("*").alias("n"), F.bool_or(to_double(F.col("value")).isNotNull()).alias("has_number"))
     overlap = column_overlaps(values)
     a = sizes.select(F.col("sheet").alias("from_sheet"), F.col("column").alias("from_column"), F.col("n").alias("n_from"), F.col("has_number").alias("num_from"))
@@ -88,8 +127,8 @@ def _name_bonus(left: Column, right: Column) -> Column:
 
 
 def set_relation(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Subset, superset or equality of value sets per column pair."""
-    values = value_sets(tables)
+    """Subset, superset or equality of value sets per column pair, over all columns of all tables."""
+    values = value_sets(pruned(tables, 1.0))
     sizes = values.groupBy("sheet", "column").agg(F.count("*").alias("n"))
     a = sizes.toDF("from_sheet", "from_column", "n_from")
     b = sizes.toDF("to_sheet", "to_column", "n_to")

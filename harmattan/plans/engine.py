@@ -263,12 +263,35 @@ def engine_diverging_amounts(t: Tables):
     return flagged.where(F.size("_alerts") > 0).agg(F.count("*").alias("n"))
 
 
+def _shares(c: str) -> str:
+    """Shares of the kinds of content among the filled cells of a column, from its text."""
+    x = f"lower(trim({c}))"
+    tests = {
+        "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "phone": r"^\+?[0-9][0-9\s().-]{6,}$", "gender": r"^(m|f|male|female|homme|femme|masculin|feminin|féminin)$",
+        "title": r"^(mr|mrs|ms|mme|mlle|m|dr|prof)$", "person_name": r"^[A-Za-zÀ-ÿ' -]{2,}$",
+    }
+    parts = ", ".join(f"COALESCE(ROUND(COUNT(*) FILTER (regexp_matches({x}, '{p.replace(chr(39), chr(39) * 2)}')) / NULLIF(COUNT(NULLIF({x}, '')), 0), 6), 0.0) AS {k}" for k, p in tests.items())
+    return f"SELECT '{c}' AS \"column\", COUNT(NULLIF({x}, '')) AS filled, {parts} FROM dirty_orders"
+
+
+_SHARES = f"{DIRTY}, shares AS (" + " UNION ALL ".join(_shares(c) for c in COLUMNS) + ")"
+
+
+@query("engine_content_shares", f"{_SHARES} SELECT * FROM shares")
+def engine_content_shares(t: Tables):
+    kinds = ("email", "phone", "gender", "title", "person_name")
+    shares = mapping.content_shares(t.dirty_orders)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)["filled"].alias("filled"), *[F.round(F.col(c)[k], 6).alias(k) for k in kinds]) for c in COLUMNS])
+    return shares.select(F.inline(rows))
+
+
 @query(
     "engine_column_mapping",
-    """SELECT * FROM (VALUES ('id_commande', 'id_commande'), ('client', 'client'), ('date_commande', 'date_commande'), ('quantite', 'quantite'), ('prix', 'prix_unitaire'), ('categorie', 'categorie'), ('email', 'email')) v("column", field)
-WHERE EXISTS (SELECT 1 FROM orders)""",
+    f"""{_SHARES} SELECT "column", CASE WHEN "column" IN ('id_commande', 'client', 'date_commande', 'quantite', 'categorie', 'email') THEN "column" WHEN "column" = 'prix' THEN 'prix_unitaire' WHEN "column" = 'montant' THEN 'montant_total'
+ WHEN email >= 0.7 THEN 'email' WHEN phone >= 0.7 THEN 'telephone' WHEN gender >= 0.7 THEN 'genre' WHEN title >= 0.7 THEN 'civilite' WHEN person_name >= 0.8 THEN 'client' END AS field,
+ CASE WHEN "column" IN ('id_commande', 'client', 'date_commande', 'quantite', 'categorie', 'email') THEN 'direct_rule' WHEN "column" IN ('prix', 'montant') THEN 'fuzzy_matching' WHEN person_name >= 0.8 THEN 'content_matching' ELSE 'to_review' END AS method FROM shares""",
 )
 def engine_column_mapping(t: Tables):
-    matches = mapping.map_columns(t.dirty_orders)
-    rows = [(c, m.field) for c, m in matches.items() if m.field and c not in ("montant", "statut", "notes")]
-    return t.spark.createDataFrame(rows, "column string, field string")
+    """All columns: by their label, by their content, or left to review."""
+    rows = [(c, m.field, m.method) for c, m in mapping.map_columns(t.dirty_orders).items()]
+    return t.spark.createDataFrame(rows, "column string, field string, method string")

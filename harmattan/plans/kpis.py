@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from harmattan.operators import dashboards, filters, kpi, metrics
 from harmattan.operators.kpi import KPI
-from harmattan.plans.cleaning import DIRTY
+from harmattan.plans.cleaning import COLUMNS, DIRTY
 from harmattan.plans.measures import _NUM
 from harmattan.plans.registry import Tables, query
 from harmattan.plans.views import ctes
@@ -432,15 +432,19 @@ def drill_breakdown(t: Tables):
 
 
 # --- classification and dashboards ---------------------------------------------------------------
-@query(
-    "column_classes",
-    f"""{DIRTY}, s AS (SELECT 'montant' AS "column", montant AS v FROM dirty_orders UNION ALL SELECT 'prix', prix FROM dirty_orders UNION ALL SELECT 'quantite', quantite FROM dirty_orders
- UNION ALL SELECT 'client', client FROM dirty_orders UNION ALL SELECT 'id_commande', id_commande FROM dirty_orders UNION ALL SELECT 'statut', statut FROM dirty_orders)
-SELECT "column", CASE "column" WHEN 'prix' THEN 'numeric' WHEN 'quantite' THEN 'numeric' WHEN 'id_commande' THEN 'id' ELSE 'categorical' END AS class,
- ROUND(1 - COUNT(v) / COUNT(*), 4) AS null_ratio, ROUND(COUNT(DISTINCT v) / COUNT(v), 4) AS unique_ratio FROM s GROUP BY 1""",
-)
+def _class_of(c: str) -> str:
+    """Share of cells that read as numbers, with a comma dropped or taken for a point; blanks may be half of the cells."""
+    compact = f"regexp_replace({c}, '[\\s  ]+', '', 'g')"
+    number = "'^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$'"
+    like = f"greatest(COUNT(*) FILTER (regexp_matches({compact}, {number})), COUNT(*) FILTER (regexp_matches(replace({compact}, ',', '.'), {number})), COUNT(*) FILTER (regexp_matches(replace({compact}, ',', ''), {number})))"
+    other = "id" if c == "id_commande" else "categorical"
+    kind = f"CASE WHEN COUNT({c}) > 0 AND {like} >= 0.9 * COUNT({c}) AND COUNT(*) FILTER (trim({c}) = '') <= 0.5 * COUNT({c}) THEN 'numeric' ELSE '{other}' END"
+    return f"SELECT '{c}' AS \"column\", {kind} AS class, ROUND(1 - COUNT({c}) / COUNT(*), 4) AS null_ratio, ROUND(COALESCE(COUNT(DISTINCT {c}) / NULLIF(COUNT({c}), 0), 0.0), 4) AS unique_ratio FROM dirty_orders"
+
+
+@query("column_classes", f"{DIRTY} " + " UNION ALL ".join(_class_of(c) for c in COLUMNS))
 def column_classes(t: Tables):
-    return dashboards.classify_columns(t.dirty_orders.select("montant", "prix", "quantite", "client", "id_commande", "statut"))
+    return dashboards.classify_columns(t.dirty_orders)
 
 
 @query(

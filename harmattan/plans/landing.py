@@ -417,12 +417,16 @@ def stack_tables(t: Tables):
 
 
 # --- relations ------------------------------------------------------------------------------
+#: The related tables with all their columns.
 SHEETS = {
     "region": ["r_regionkey", "r_name"],
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
-    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
 }
 RELATIONS = [
     Relation("nation", "n_regionkey", "region", "r_regionkey"),
@@ -436,7 +440,7 @@ _OVERLAP = f"""WITH {_SETS}, n AS (SELECT s, c, COUNT(*) AS n, BOOL_OR(regexp_ma
 
 
 def sheets_of(t: Tables):
-    return {name: t.read(name).select(*columns) for name, columns in SHEETS.items()}
+    return {name: t.read(name) for name in SHEETS}
 
 
 @query(
@@ -472,10 +476,11 @@ def relation_joined_view(t: Tables):
     "relation_join_statistics",
     """SELECT 'nation.n_regionkey -> region.r_regionkey' AS relation, COUNT(r_regionkey) AS matched, COUNT(*) - COUNT(r_regionkey) AS unmatched, 1::BIGINT AS fan_out FROM nation LEFT JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT 'orders.o_custkey -> customer.c_custkey', COUNT(c_custkey), COUNT(*) - COUNT(c_custkey), 1 FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'lineitem.l_partkey -> part.p_partkey', COUNT(p_partkey), COUNT(*) - COUNT(p_partkey), 1 FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
 UNION ALL SELECT 'orders.o_orderkey -> supplier.s_suppkey', COUNT(s_suppkey), COUNT(*) - COUNT(s_suppkey), 1 FROM orders LEFT JOIN supplier ON o_orderkey = s_suppkey""",
 )
 def relation_join_statistics(t: Tables):
-    links = [RELATIONS[0], RELATIONS[2], Relation("orders", "o_orderkey", "supplier", "s_suppkey")]
+    links = [RELATIONS[0], RELATIONS[2], Relation("lineitem", "l_partkey", "part", "p_partkey"), Relation("orders", "o_orderkey", "supplier", "s_suppkey")]
     return relations.join_statistics(sheets_of(t), links)
 
 

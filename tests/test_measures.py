@@ -257,3 +257,18 @@ def test_automatic_pass_raises_close_variants(spark):
     assert ("R16", "produit") not in report and report["R25", None]["check"] == "identical_file"
     pairs = {(r["canonical"].lower(), r["variant"].lower(), r["n_canonical"]) for r in result.variants.collect()}
     assert pairs == {("sonabel ouaga", "sonabell ouaga", 5), ("sonabel ouaga", "ouaga sonabel", 5), ("sonabell ouaga", "ouaga sonabel", 1)}
+
+
+def test_sketches_rule_out_unrelated_columns(spark):
+    """Foreign keys and partial overlaps stay, columns without common values go, tiny columns are never judged by a sample of none."""
+    from harmattan.operators import relations
+
+    big = spark.range(60_000).select(F.col("id").alias("k"), (F.col("id") * 3 + 1_000_000).alias("price"), (F.col("id") % 3000 + 7_000_000).alias("group"))
+    other = spark.range(30_000).select((F.col("id") * 2).alias("fk"), (F.col("id") + 5_000_000).alias("unique"), F.lit(None).cast("string").alias("none"))
+    tables = {"big": big, "other": other, "small": spark.createDataFrame([(3,), (59_999,)], "s long")}
+    assert relations.related_columns(tables) == {"big": ["k", "price", "group"], "other": ["fk", "unique"], "small": ["s"]}
+    tables.pop("small")
+    assert relations.related_columns(tables) == {"big": ["k"], "other": ["fk"]}
+    found = {(r["from_column"], r["to_column"]): r["match_ratio"] for r in relations.relate(tables).collect()}
+    assert found[("fk", "k")] == 1.0 and found[("k", "fk")] == 0.5
+    assert {(r["from_column"], r["to_column"], r["relation"]) for r in relations.set_relation(tables).collect()} == {("fk", "k", "subset"), ("k", "fk", "superset")}
