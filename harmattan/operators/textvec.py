@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from harmattan.functions.text import token_sorted
 from harmattan.operators.keyed import top_per_key
+from harmattan.session import materialize
 
 # Keyword lists of intents, query types and domains, tried in order.
 INTENTS = [
@@ -122,43 +123,123 @@ def hash_embedding(df: DataFrame, key: str, text: str, dim: int = 384) -> DataFr
     return sums.select(key, "dim", (F.col("w") / norm).alias("weight"))
 
 
+def centres_of(examples: DataFrame, cells: int, sample_rows: int) -> np.ndarray:
+    """Directions spread over a bounded sample: each the one farthest from those before."""
+    sample = examples.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toPandas()
+    if sample.empty:
+        return np.zeros((0, 0))
+    x, _ = _directions(sample["v"])
+    x = x[np.abs(x).sum(axis=1) > 0]
+    if not len(x):
+        return np.zeros((1, 1))
+    chosen = [0]
+    best = x @ x[0]
+    while len(chosen) < min(cells, len(x)) and best.min() < 1 - 1e-9:
+        chosen.append(int(best.argmin()))
+        best = np.maximum(best, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def _directions(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one (zero stays zero), and the lengths they had."""
+    x = np.stack([np.asarray(v, dtype=float) for v in vectors])
+    length = np.linalg.norm(x, axis=1)
+    return x / np.where(length > 0, length, 1.0)[:, None], length
+
+
+def _angles(vectors: pd.Series, centres: np.ndarray) -> np.ndarray:
+    x, _ = _directions(vectors)
+    if centres.shape[1] != x.shape[1]:
+        return np.full((len(x), len(centres)), np.pi)
+    return np.arccos(np.clip(x @ centres.T, -1.0, 1.0))
+
+
 def nearest(
-    queries: DataFrame, examples: DataFrame, vector: str, key: str, k: int = 5, minimum: float = 0.3, block_rows: int = 8192
+    queries: DataFrame, examples: DataFrame, vector: str, key: str, k: int = 5, minimum: float = 0.3, cells: int = 64, first: int = 2, block_rows: int = 8192,
+    sample_rows: int = 4096, compared: list[int] | None = None,
 ) -> DataFrame:
     """Best ``k`` examples by cosine for each query vector, above a minimum; exact.
 
-    Both sides are dealt by hash into blocks of about ``block_rows``; a task multiplies one block of
-    queries with one of examples and passes on only its own best per query. Neither side goes through the
-    driver, and a task's memory is bounded by two blocks whatever the sizes.
+    Examples lie in the cell of the centre with the smallest angle; a cell knows its radius. No example of a cell can be nearer
+    to a query than the angle to its centre less the radius. A query first visits the ``first`` cells with the best bound, and
+    then just those whose bound reaches its k-th similarity so far. An example is shuffled once a round, a query
+    once for each cell it visits (and each block of ``block_rows`` of a large cell, so that copies of one vector
+    are not one task). Centres come from a bounded sample; they and the radii, one row a cell, are all that passes the driver.
+    ``compared`` takes up the number of pairs each round compares.
     """
     id_type = examples.schema[key].dataType.simpleString()
-    n_queries, n_examples = (max(1, -(-side.count() // block_rows)) for side in (queries, examples))
-
-    def dealt(side: DataFrame, own: str, n: int, other: str, n_other: int) -> DataFrame:
-        rows = side.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-        return rows.withColumns({own: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))})
-
-    def matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack([np.asarray(v, dtype=float) for v in vectors])
-        return x, np.linalg.norm(x, axis=1)
 
-    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or held.empty:
+    def rows(side: DataFrame) -> DataFrame:
+        return side.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL AND id IS NOT NULL")
+
+    given, asked = rows(examples), rows(queries)
+    centres = centres_of(given, cells, sample_rows)
+    out = f"query_id {id_type}, example_id {id_type}, similarity double"
+    if not len(centres):
+        return examples.sparkSession.createDataFrame([], out + ", rank int")
+
+    def assign(parts):
+        for part in parts:
+            if len(part):
+                angle = _angles(part["v"], centres)
+                own = angle.argmin(axis=1)
+                zero = np.array([not np.any(v) for v in part["v"]])
+                yield pd.DataFrame({"id": part["id"], "v": part["v"], "cell": own, "angle": np.where(zero, np.pi, angle[np.arange(len(own)), own])})
+
+    held = materialize(given.mapInPandas(assign, f"id {id_type}, v array<double>, cell int, angle double"))
+    known = {r["cell"]: (r["radius"], r["n"]) for r in held.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}
+    full = np.array(sorted(known))
+    radius = np.array([known[c][0] for c in full])
+    blocks = {c: -(-known[c][1] // block_rows) for c in known}
+
+    def visits(side: DataFrame, later: bool) -> DataFrame:
+        """Queries with the cells of a round."""
+
+        def choose(parts):
+            for part in parts:
+                if not len(part):
+                    continue
+                # A margin for rounding; a bound too high costs a visit and no result.
+                bound = np.cos(np.maximum(_angles(part["v"], centres)[:, full] - radius - 1e-6, 0.0))
+                early = np.zeros(bound.shape, bool)
+                np.put_along_axis(early, np.argsort(-bound, axis=1, kind="stable")[:, :first], True, axis=1)
+                chosen = early & (bound >= minimum)
+                if later:
+                    chosen = ~early & (bound >= part["least"].to_numpy()[:, None])
+                at, cell = np.nonzero(chosen)
+                yield pd.DataFrame({"id": part["id"].to_numpy()[at], "v": part["v"].to_numpy()[at], "cell": full[cell]})
+
+        return side.mapInPandas(choose, f"id {id_type}, v array<double>, cell int")
+
+    sizes = F.create_map(*[F.lit(x) for c in known for x in (c, blocks[c])])
+
+    def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or x.empty:
             return pd.DataFrame({"query_id": [], "example_id": [], "similarity": []})
-        (q, q_norm), (x, x_norm) = matrix(asked["v"]), matrix(held["v"])
+        a, b = (np.stack([np.asarray(v, dtype=float) for v in side["v"]]) for side in (q, x))
+        a_length, b_length = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         found = []
-        for lo in range(0, len(q), 512):
-            scores = (q[lo : lo + 512] @ x.T) / (np.outer(q_norm[lo : lo + 512], x_norm) + 1e-8)
+        for lo in range(0, len(a), 512):
+            scores = (a[lo : lo + 512] @ b.T) / (np.outer(a_length[lo : lo + 512], b_length) + 1e-8)
             row, col = np.nonzero(scores >= minimum)
-            part = pd.DataFrame({"query_id": asked["id"].to_numpy()[lo + row], "example_id": held["id"].to_numpy()[col], "similarity": scores[row, col]})
+            part = pd.DataFrame({"query_id": q["id"].to_numpy()[lo + row], "example_id": x["id"].to_numpy()[col], "similarity": scores[row, col]})
             part = part[part["query_id"] != part["example_id"]]
             found.append(part.sort_values(["query_id", "similarity", "example_id"], ascending=[True, False, True]).groupby("query_id").head(k))
         return pd.concat(found)
 
-    left = dealt(queries, "a", n_queries, "b", n_examples).groupBy("a", "b")
-    right = dealt(examples, "b", n_examples, "a", n_queries).groupBy("a", "b")
-    out = left.cogroup(right).applyInPandas(best, f"query_id {id_type}, example_id {id_type}, similarity double")
-    return top_per_key(out, ["query_id"], [F.desc("similarity"), F.col("example_id")], k)
+    def compare(visiting: DataFrame) -> DataFrame:
+        if compared is not None:
+            counts = visiting.groupBy("cell").count().collect()
+            compared.append(sum(r["count"] * known[r["cell"]][1] for r in counts))
+        left = visiting.withColumn("block", F.explode(F.sequence(F.lit(0), sizes[F.col("cell")] - 1)))
+        right = held.select("id", "v", "cell", F.pmod(F.xxhash64("id"), sizes[F.col("cell")]).cast("int").alias("block"))
+        return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(best, out)
+
+    order = [F.desc("similarity"), F.col("example_id")]
+    early = materialize(top_per_key(compare(visits(asked, False)), ["query_id"], order, k).drop("rank"))
+    reached = early.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") == k, F.min("similarity")).alias("least"))
+    rest = asked.join(reached, "id", "left").withColumn("least", F.coalesce("least", F.lit(float(minimum))))
+    return top_per_key(early.unionByName(compare(visits(rest, True))), ["query_id"], order, k)
 
 
 # --- close spellings ----------------------------------------------------------------------------

@@ -272,3 +272,26 @@ def test_sketches_rule_out_unrelated_columns(spark):
     found = {(r["from_column"], r["to_column"]): r["match_ratio"] for r in relations.relate(tables).collect()}
     assert found[("fk", "k")] == 1.0 and found[("k", "fk")] == 0.5
     assert {(r["from_column"], r["to_column"], r["relation"]) for r in relations.set_relation(tables).collect()} == {("fk", "k", "subset"), ("k", "fk", "superset")}
+
+
+def test_nearest_is_exact_and_spares_pairs(spark):
+    """Clustered vectors, copies, zeros and ties: the result of all pairs from under half of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    heads = rng.normal(size=(12, 16))
+    x = np.concatenate([h + rng.normal(scale=0.1, size=(60, 16)) for h in heads] + [np.repeat(heads[:1], 200, axis=0), np.zeros((3, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None)], "i long, v array<double>").repartition(4)
+    compared: list[int] = []
+    got = textvec.nearest(df, df, "v", "i", k=4, minimum=0.2, cells=16, block_rows=64, compared=compared).collect()
+    norm = np.linalg.norm(x, axis=1)
+    cosine = (x @ x.T) / (np.outer(norm, norm) + 1e-8)
+    np.fill_diagonal(cosine, -1)
+    rows = {}
+    for r in got:
+        rows.setdefault(r["query_id"], {})[r["rank"]] = r["similarity"]
+    for i in range(len(x)):
+        want = sorted((s for s in cosine[i] if s >= 0.2), reverse=True)[:4]
+        assert [rows.get(i, {})[j + 1] for j in range(len(want))] == pytest.approx(want) and len(rows.get(i, {})) == len(want)
+    assert sum(compared) < len(x) ** 2 / 2
+    assert textvec.nearest(df, df.limit(0), "v", "i").isEmpty() and textvec.nearest(df.limit(0), df, "v", "i").isEmpty()
