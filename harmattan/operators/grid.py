@@ -144,35 +144,52 @@ def structure_confidence(cells: DataFrame) -> DataFrame:
     return df.select("sheet_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("confidence"), F.col("t").alias("n_subtables"), F.col("b").alias("n_blank_rows"))
 
 
-def sparse_pivots(cells: DataFrame, header_row: int = 0, n: int = 3, widest: int | None = 8) -> DataFrame:
-    """Adjacent numeric columns of which nearly every row fills exactly one; groups of up to ``widest`` columns, None for any width.
+def sparse_pivots(cells: DataFrame, header_row: int = 0, n: int = 3) -> DataFrame:
+    """Adjacent numeric columns, of any number, of which nearly every row fills exactly one, with the columns that describe them.
 
-    Rows are first counted by their pattern of filled columns, so candidates are tested
-    against patterns, not rows.
+    A row with filled columns p1 < p2 < ... fills exactly one of the columns s to e where, for one of them, the one
+    before lies left of s and the one after right of e: a rectangle of (s, e) for each filled cell. The corners
+    of all rectangles are added up per sheet, and two running sums over the square of its columns give the rows of every interval,
+    so rows and intervals never meet. Descriptive columns stand beside the group and are filled nearly everywhere.
     """
     data = cells.where(F.col("row_idx") > header_row)
-    per_column = data.groupBy("sheet_id", "col_idx").agg(
-        F.count("*").alias("rows"), F.count_if(filled()).alias("n"), F.count_if(filled() & is_digits(F.col("value"), ",.-")).alias("num")
-    )
-    numeric = per_column.where((F.col("n") > 0) & (F.col("num") / F.col("n") > 0.7)).groupBy("sheet_id").agg(F.array_sort(F.collect_list("col_idx")).alias("cols"))
-    always = per_column.where(F.col("n") / F.col("rows") >= 0.95).groupBy("sheet_id").agg(F.collect_set("col_idx").alias("always"))
-    sized = numeric.where(F.size("cols") >= 3).select("sheet_id", "cols", F.explode(F.sequence(F.lit(3), F.size("cols") if widest is None else F.least(F.size("cols"), F.lit(widest)))).alias("w"))
-    starts = sized.select("sheet_id", "cols", "w", F.explode(F.sequence(F.lit(1), F.size("cols") - F.col("w") + 1)).alias("s"))
-    groups = starts.select("sheet_id", "w", "s", F.slice("cols", F.col("s"), F.col("w")).alias("group"))
-    patterns = (
-        data.groupBy("sheet_id", "row_idx").agg(F.array_sort(F.collect_list(F.when(filled(), F.col("col_idx")))).alias("p"))
-        .groupBy("sheet_id", "p").agg(F.count("*").alias("n"))
-    )
-    hit = F.size(F.array_intersect("p", "group"))
-    tested = groups.join(patterns, "sheet_id").groupBy("sheet_id", "w", "s", "group").agg(
-        (F.sum(F.when(hit == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("single"), (1 - F.sum(hit * F.col("n")) / (F.sum("n") * F.first("w"))).alias("sparsity")
-    )
-    good = tested.where("single >= 0.9").join(always, "sheet_id", "left").select(
-        "sheet_id", "w", "s", F.array_except("group", F.coalesce("always", F.array().cast("array<bigint>"))).alias("value_cols"), "single", "sparsity"
-    ).where(F.size("value_cols") >= 2)
+    rows = data.groupBy("sheet_id", "row_idx").agg(F.collect_list(F.when(filled(), F.col("col_idx"))).alias("p"))
+    sheets = rows.groupBy("sheet_id").agg(F.count("*").alias("n_rows"))
+    per_column = data.groupBy("sheet_id", "col_idx").agg(F.count_if(filled()).alias("n"), F.count_if(filled() & is_digits(F.col("value"), ",.-")).alias("num"))
+    per_column = per_column.join(sheets, "sheet_id")
+    usable = (F.col("n") > 0) & (F.col("num") / F.col("n") > 0.7)
+    always = F.col("n") / F.col("n_rows") >= 0.95
+    columns = per_column.groupBy("sheet_id", "n_rows").agg(
+        F.array_sort(F.collect_list(F.when(usable, F.struct("col_idx", "n")))).alias("numeric"), F.array_sort(F.collect_list(F.when(always, F.col("col_idx")))).alias("always")
+    ).where(F.size("numeric") >= 3)
+    columns = columns.select("sheet_id", "n_rows", "always", F.transform("numeric", lambda x: x["col_idx"]).alias("cols"), F.transform("numeric", lambda x: x["n"]).alias("fills"))
+
+    places = F.array_compact(F.transform("cols", lambda c, i: F.when(F.array_contains("p", c), i + 1)))
+    marked = rows.join(columns.select("sheet_id", "cols"), "sheet_id").select("sheet_id", F.size("cols").alias("m"), places.alias("at"))
+
+    def corners(here: Column, k: Column) -> Column:
+        before = F.coalesce(F.get("at", k - 1), F.lit(0)) + 1
+        after = F.coalesce(F.get("at", k + 1), F.col("m") + 1)
+        four = ((before, here, 1), (here + 1, here, -1), (before, after, -1), (here + 1, after, 1))
+        return F.array(*[F.struct(s.alias("s"), e.alias("e"), F.lit(d).alias("d")) for s, e, d in four])
+
+    changes = marked.select("sheet_id", F.explode(F.flatten(F.transform("at", corners))).alias("c")).groupBy("sheet_id", F.col("c.s").alias("s"), F.col("c.e").alias("e")).agg(F.sum("c.d").alias("d"))
+    every = F.sequence(F.lit(1), F.size("cols"))
+    square = columns.select("sheet_id", F.explode(every).alias("s"), "cols").select("sheet_id", "s", F.explode(every).alias("e"))
+    along_s = W.partitionBy("sheet_id", "e").orderBy("s").rowsBetween(W.unboundedPreceding, W.currentRow)
+    along_e = W.partitionBy("sheet_id", "s").orderBy("e").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = square.join(changes, ["sheet_id", "s", "e"], "left").withColumn("d", F.sum(F.coalesce("d", F.lit(0))).over(along_s)).withColumn("single_rows", F.sum("d").over(along_e))
+    wide = counted.where("e - s >= 2").join(columns, "sheet_id").withColumns({"w": F.col("e") - F.col("s") + 1, "single": F.col("single_rows") / F.col("n_rows")}).where("single >= 0.9")
+    group, inside = F.slice("cols", F.col("s"), F.col("w")), F.slice("fills", F.col("s"), F.col("w"))
+    beside = F.filter("always", lambda c: (c == F.element_at("group", 1) - 1) | (c == F.element_at("group", -1) + 1))
+    good = wide.withColumns({"group": group, "sparsity": 1 - F.aggregate(inside, F.lit(0).cast("bigint"), lambda x, y: x + y) / (F.col("n_rows") * F.col("w"))})
+    good = good.select("sheet_id", "w", "s", F.array_except("group", "always").alias("value_cols"), F.array_except(beside, "group").alias("dimension_cols"), "single", "sparsity").where(F.size("value_cols") >= 2)
     unique = top_per_key(good, ["sheet_id", "value_cols"], [F.col("w"), F.col("s")], 1).drop("rank")
     best = top_per_key(unique, ["sheet_id"], [F.desc("single"), F.col("w"), F.col("s")], n)
-    return best.select("sheet_id", F.array_join("value_cols", ",").alias("value_cols"), F.round("single", 3).alias("single_value_ratio"), F.round("sparsity", 3).alias("sparsity_score"), "rank")
+    return best.select(
+        "sheet_id", F.array_join("value_cols", ",").alias("value_cols"), F.array_join("dimension_cols", ",").alias("dimension_cols"), F.round("single", 3).alias("single_value_ratio"),
+        F.round("sparsity", 3).alias("sparsity_score"), "rank",
+    )
 
 
 def crosstabs(cells: DataFrame, header_rows: int = 6) -> DataFrame:

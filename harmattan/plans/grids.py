@@ -80,9 +80,16 @@ def grid_structure_confidence(t: Tables):
 
 @query(
     "grid_sparse_pivots",
-    """WITH s AS (SELECT DISTINCT CAST(floor(o_orderkey / 40) AS BIGINT) AS sheet_id FROM orders)
-SELECT sheet_id, '1,2,3,4,5,6' AS value_cols, CASE sheet_id % 3 WHEN 1 THEN 1.0 ELSE ROUND(37 / 39, 3) END::DOUBLE AS single_value_ratio,
- CASE sheet_id % 3 WHEN 1 THEN ROUND(5 / 6, 3) ELSE ROUND(1 - 43 / (39 * 6), 3) END AS sparsity_score, 1 AS rank FROM s WHERE sheet_id % 3 > 0""",
+    f"""{CELLS}, d AS (SELECT sheet_id, row_idx, col_idx, {_FULL} AS f, regexp_matches(translate(value, ',.-', ''), '^[0-9]+$') AS dig FROM cells WHERE row_idx > 0),
+ z AS (SELECT sheet_id, COUNT(DISTINCT row_idx) AS n_rows FROM d GROUP BY 1), c AS (SELECT sheet_id, col_idx, COUNT(*) FILTER (f) AS n, COUNT(*) FILTER (f AND dig) AS num FROM d GROUP BY 1, 2),
+ m AS (SELECT sheet_id, list_sort(list(col_idx)) AS cols FROM c WHERE n > 0 AND num / n > 0.7 GROUP BY 1 HAVING COUNT(*) >= 3),
+ g AS (SELECT sheet_id, w, s, cols[s:s + w - 1] AS grp FROM (SELECT sheet_id, cols, w, unnest(range(1, len(cols) - w + 2)) AS s FROM (SELECT sheet_id, cols, unnest(range(3, len(cols) + 1)) AS w FROM m) q1) q2),
+ p AS (SELECT sheet_id, row_idx, coalesce(list(col_idx) FILTER (f), []) AS p FROM d GROUP BY 1, 2),
+ t AS (SELECT g.sheet_id AS sheet_id, w, s, grp, AVG(CAST(len(list_intersect(p, grp)) = 1 AS INT)) AS single, 1 - SUM(len(list_intersect(p, grp))) / (COUNT(*) * w) AS sparsity FROM g JOIN p USING (sheet_id) GROUP BY g.sheet_id, w, s, grp),
+ al AS (SELECT sheet_id, list_sort(list(col_idx)) AS a FROM c JOIN z USING (sheet_id) WHERE n / n_rows >= 0.95 GROUP BY 1),
+ k AS (SELECT t.*, [x FOR x IN grp IF NOT list_contains(coalesce(a, []), x)] AS vc, [x FOR x IN coalesce(a, []) IF NOT list_contains(grp, x) AND (x = grp[1] - 1 OR x = grp[len(grp)] + 1)] AS dims FROM t LEFT JOIN al USING (sheet_id) WHERE single >= 0.9),
+ u AS (SELECT * FROM k WHERE len(vc) >= 2 QUALIFY row_number() OVER (PARTITION BY sheet_id, vc ORDER BY w, s) = 1)
+SELECT sheet_id, array_to_string(vc, ',') AS value_cols, array_to_string(dims, ',') AS dimension_cols, ROUND(single, 3) AS single_value_ratio, ROUND(sparsity, 3) AS sparsity_score, CAST(row_number() OVER (PARTITION BY sheet_id ORDER BY single DESC, w, s) AS INT) AS rank FROM u QUALIFY rank <= 3""",
 )
 def grid_sparse_pivots(t: Tables):
     return grid.sparse_pivots(t.cells)

@@ -203,3 +203,46 @@ def test_conflict_index_is_bucketed_and_replayable(spark, tmp_path, monkeypatch)
     assert "part=c6" in " ".join(lines.inputFiles()) and "part=b5" not in " ".join(lines.inputFiles())
     assert "PartitionFilters: [bucket" in plan
     assert streams.index_lines(spark, f"{tmp_path}/index", 8).agg(F.sum("n")).first()[0] == 80
+
+
+def test_sparse_pivot_of_forty_columns(spark):
+    """A group of forty columns between two descriptive ones, and sheets with random gaps against a plain search."""
+    import random
+
+    from harmattan.operators import grid
+
+    rng = random.Random(2)
+    rows = []
+    for r in range(1, 61):
+        rows += [("wide", r, c, str(r)) for c in (0, 41)] + [("wide", r, c, "5" if c == r % 40 + 1 else None) for c in range(1, 41)]
+    for sheet in range(12):
+        width = rng.randint(3, 9)
+        for r in range(30):
+            one = rng.randrange(width)
+            rows += [(f"s{sheet}", r, c, str(rng.randrange(99)) if c == one or rng.random() < 0.01 or (c == 0 and sheet % 3 == 0) else rng.choice([None, " "])) for c in range(width)]
+    df = spark.createDataFrame(rows, "sheet_id string, row_idx long, col_idx long, value string")
+    got = {}
+    for r in grid.sparse_pivots(df).collect():
+        got.setdefault(r["sheet_id"], {})[r["rank"]] = (r["value_cols"], r["dimension_cols"], r["single_value_ratio"], r["sparsity_score"])
+    assert got["wide"][1] == (",".join(map(str, range(1, 41))), "0,41", 1.0, 0.975)
+    want = {}
+    for sheet in {r[0] for r in rows}:
+        data = {}
+        for _, r, c, v in (x for x in rows if x[0] == sheet and x[1] > 0):
+            data.setdefault(r, {})[c] = bool(v and v.strip())
+        cols = sorted({c for row in data.values() for c in row})
+        fill = {c: sum(row.get(c, False) for row in data.values()) for c in cols}
+        numeric, found = [c for c in cols if fill[c]], {}
+        always = [c for c in cols if fill[c] / len(data) >= 0.95]
+        for w in range(3, len(numeric) + 1):
+            for s in range(len(numeric) - w + 1):
+                group = numeric[s : s + w]
+                hits = [sum(row[c] for c in group) for row in data.values()]
+                single, values = hits.count(1) / len(data), tuple(c for c in group if c not in always)
+                if single >= 0.9 and len(values) >= 2:
+                    dims = [c for c in always if c not in group and c in (group[0] - 1, group[-1] + 1)]
+                    found.setdefault(values, (-single, w, s, dims, 1 - sum(hits) / (len(data) * w)))
+        best = sorted(found.items(), key=lambda x: x[1][:3])[:3]
+        if best:
+            want[sheet] = {i + 1: (",".join(map(str, v)), ",".join(map(str, f[3])), round(-f[0], 3), round(f[4], 3)) for i, (v, f) in enumerate(best)}
+    assert got == want and len(want) > 4
