@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from harmattan.functions.dates import parse_date
 from harmattan.functions.nulls import data_columns, is_conflict_missing, stripped
 from harmattan.functions.numbers import to_double
-from harmattan.operators.keyed import null_safe_join
+from harmattan.operators.keyed import null_safe_join, top_per_key
 from harmattan.operators.rules import MESSAGE
 from harmattan.sources.landing import row_digest
 
@@ -285,6 +285,49 @@ def detect_conflicts(df: DataFrame, payload: str | None = None) -> DataFrame:
     return found.withColumn("signature", signature)
 
 
+def conflict_rows(df: DataFrame, payload: str | None = None) -> DataFrame:
+    """code, field, _row_number, value: the rows behind every conflict of :func:`detect_conflicts`.
+
+    The value says what is wrong there: the first copy of a row, the business key, the broken or missing cell, the type.
+    """
+
+    def entries(rows: DataFrame, code: str, field: Column, value: Column) -> DataFrame:
+        return rows.select(F.lit(code).alias("code"), field.cast("string").alias("field"), "_row_number", value.cast("string").alias("value"))
+
+    none = F.lit(None)
+    out = entries(duplicate_rows(df), "DUPLICATE_RECORDS", none, F.col("duplicate_of"))
+    out = out.unionByName(entries(business_conflict_rows(df), "BUSINESS_CONFLICT", none, F.col("business_key")))
+    columns = data_columns(df)
+    gaps = F.array_compact(F.array(*[F.when(is_conflict_missing(F.col(c)), F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))) for c in columns]))
+    cells = df.select("_row_number", F.explode(gaps).alias("c"))
+    # At most one row a column on the other side.
+    cells = cells.join(missing_value_conflicts(df).select("field"), F.col("c.field") == F.col("field"), "left_semi")
+    out = out.unionByName(entries(cells, "MISSING_VALUES", F.col("c.field"), F.col("c.value")))
+    checks = {c: fmt for c in columns if df.schema[c].dataType.typeName() == "string" and (fmt := expected_format(c))}
+    if checks:
+        broken = F.array_compact(F.array(*[F.when(format_breach(c, fmt), F.struct(F.lit(c).alias("field"), F.col(c).alias("value"))) for c, fmt in checks.items()]))
+        out = out.unionByName(entries(df.select("_row_number", F.explode(broken).alias("c")), "FORMAT_INCONSISTENCY", F.col("c.field"), F.col("c.value")))
+    if payload:
+        parsed = df.select("_row_number", F.parse_json(payload).alias("__v"))
+        typed = parsed.sparkSession.sql("SELECT _row_number, key AS field, regexp_extract(schema_of_variant(value), '^[A-Z]+', 0) AS kind FROM {parsed}, LATERAL variant_explode(__v) WHERE key IS NOT NULL", parsed=parsed)
+        mixed = type_conflicts(df, payload).select("field")
+        out = out.unionByName(entries(typed.join(mixed, "field", "left_semi"), "DATA_TYPE_MISMATCH", F.col("field"), F.col("kind")))
+    return out
+
+
+def with_examples(conflicts: DataFrame, rows: DataFrame, n: int = 3) -> DataFrame:
+    """Conflicts with the first ``n`` of their rows: numbers in ``rows``, values in ``samples``.
+
+    ``rows`` comes from :func:`conflict_rows`; only n rows a conflict pass the rank filter.
+    """
+    first = top_per_key(rows, ["code", "field"], [F.col("_row_number")], n)
+    both = F.array_sort(F.collect_list(F.struct("_row_number", "value"))).alias("__e")
+    examples = first.groupBy("code", "field").agg(both).select(
+        "code", "field", F.transform("__e", lambda e: e["_row_number"]).alias("rows"), F.transform("__e", lambda e: e["value"]).alias("samples")
+    )
+    return null_safe_join(conflicts, examples, ["code", "field"], "left")
+
+
 def conflict_summary(conflicts: DataFrame) -> DataFrame:
     return conflicts.groupBy("code", "severity").agg(F.count("*").alias("n_conflicts"), F.sum("affected").alias("affected"))
 

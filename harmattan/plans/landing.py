@@ -250,7 +250,11 @@ def conflict_payload_types(t: Tables):
     return quality.payload_types(_payload(t), "payload")
 
 
-@query("conflict_type_mismatch", f"WITH {_PAYLOAD_SQL} SELECT 'montant' AS field, 3::BIGINT AS n_types, COUNT(*) AS n_values FROM p")
+_KINDS_SQL = f"""{_PAYLOAD_SQL}, kinds AS (SELECT p.k AS payload_of, f AS field, CASE json_type(json_extract(payload, '$.' || f)) WHEN 'NULL' THEN 'VOID' WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT' ELSE json_type(json_extract(payload, '$.' || f)) END AS kind
+ FROM p, (VALUES ('montant'), ('statut'), ('urgent')) AS v(f))"""
+
+
+@query("conflict_type_mismatch", f"WITH {_KINDS_SQL} SELECT field, COUNT(DISTINCT kind) AS n_types, COUNT(*) AS n_values FROM kinds GROUP BY 1 HAVING COUNT(DISTINCT kind) > 1")
 def conflict_type_mismatch(t: Tables):
     return quality.type_conflicts(_payload(t), "payload")
 
@@ -308,6 +312,29 @@ def conflict_detection(t: Tables):
     return quality.detect_conflicts(t.dirty_orders).drop("signature")
 
 
+_EXAMPLES_SQL = f"""{_DETECT_SQL}, {_KINDS_SQL}, typed AS (SELECT d._row_number, field, kind FROM dirty_orders d JOIN kinds k ON k.payload_of = d._row_number // 10),
+ mixed AS (SELECT field, COUNT(*) AS n FROM typed GROUP BY 1 HAVING COUNT(DISTINCT kind) > 1),
+ five AS (SELECT code, severity, field, affected FROM found UNION ALL SELECT 'DATA_TYPE_MISMATCH', 'medium', field, n FROM mixed),
+ y AS (SELECT *, {_KEY_SQL} AS k, {_ROW_SQL} AS body FROM dirty_orders),
+ behind AS (SELECT 'DUPLICATE_RECORDS' AS code, NULL AS field, _row_number, CAST(f AS VARCHAR) AS value FROM (SELECT _row_number, MIN(_row_number) OVER (PARTITION BY body) AS f FROM y) z WHERE _row_number > f
+  UNION ALL SELECT 'BUSINESS_CONFLICT', NULL, _row_number, k FROM y WHERE k IN (SELECT k FROM y WHERE k IS NOT NULL GROUP BY 1 HAVING COUNT(DISTINCT body) > 1)
+  {' '.join(f"UNION ALL SELECT 'MISSING_VALUES', '{c}', _row_number, {c} FROM y WHERE {_MISS.format(c=c)} AND '{c}' IN (SELECT field FROM m WHERE rate > 0.2)" for c in COLUMNS)}
+  UNION ALL SELECT 'FORMAT_INCONSISTENCY', 'email', _row_number, email FROM y WHERE {_EMAIL_BAD} UNION ALL SELECT 'FORMAT_INCONSISTENCY', 'date_commande', _row_number, date_commande FROM y WHERE {_DATE_BAD}
+  UNION ALL SELECT 'DATA_TYPE_MISMATCH', field, _row_number, kind FROM typed WHERE field IN (SELECT field FROM mixed)),
+ firsts AS (SELECT code, field, string_agg(CAST(_row_number AS VARCHAR), ',' ORDER BY _row_number) AS rows, string_agg(coalesce(value, '-'), ';' ORDER BY _row_number) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY code, field ORDER BY _row_number) AS r FROM behind) z WHERE r <= 3 GROUP BY 1, 2)
+SELECT five.code, five.severity, five.field, CAST(five.affected AS BIGINT) AS affected, rows, samples FROM five LEFT JOIN firsts ON five.code = firsts.code AND five.field IS NOT DISTINCT FROM firsts.field"""
+
+
+@query("conflict_examples", _EXAMPLES_SQL)
+def conflict_examples(t: Tables):
+    """All five kinds of conflict with the first rows behind each."""
+    payload = _payload(t).select(F.col("_row_number").alias("__k"), F.col("payload").alias("_payload"))
+    df = t.dirty_orders.join(payload, F.floor(F.col("_row_number") / 10).cast("bigint") == F.col("__k")).drop("__k")
+    out = quality.with_examples(quality.detect_conflicts(df, "_payload"), quality.conflict_rows(df, "_payload"))
+    samples = F.array_join(F.transform("samples", lambda v: F.coalesce(v, F.lit("-"))), ";")
+    return out.select("code", "severity", "field", "affected", F.array_join("rows", ",").alias("rows"), samples.alias("samples"))
+
+
 @query("conflict_summary", f"{_DETECT_SQL} SELECT code, severity, COUNT(*) AS n_conflicts, CAST(SUM(affected) AS BIGINT) AS affected FROM found GROUP BY 1, 2")
 def conflict_summary(t: Tables):
     return quality.conflict_summary(quality.detect_conflicts(t.dirty_orders))
