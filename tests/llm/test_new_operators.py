@@ -360,3 +360,32 @@ def test_everyday_formats(spark):
     titled, bare = made[0].split(" and ")
     assert titled == f"Mrs {bare}" and bare != real and bare.split(" ")[1] == real.split(" ")[1]
     assert made[1][4:] == made[2][3:] not in (bare, real)
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, a very long text, columns with clashing names, and empty tables."""
+    import corpus_pipeline
+    from harmattan.session import materialize
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("bdglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(900)]
+    prose = [" ".join(rng.choice(words) for _ in range(rng.randint(60, 120))) for _ in range(20)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(prose)]
+    rows += [(3, prose[3], "en", "s", 1), (30, prose[4], None, None, None), (31, None, "en", "s", 0), (32, "", None, "s", 0), (None, prose[5] + " tail", "en", None, 5), (33, " ".join(rng.choice(words) for _ in range(30_000)), "en", "s", 9), (34, prose[6] + " mail a.berg@site.org", "en", "s", 9)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, columns).withColumns({"set": F.lit(1), "n_entities": F.lit("x"), "component_id": F.lit(2), "starts": F.lit(3)})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (None, 0, 1), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, str(tmp_path)))
+        if name != "best-fit packing":
+            assert docs.columns == [*columns.replace(" long", "").replace(" string", "").split(", "), "set", "n_entities", "component_id", "starts"]
+        kept.append({r["doc_id"] for r in docs.select("doc_id").collect()})
+    whole = set(range(20)) | {None, 33, 34}
+    assert kept[0] == whole | {30} and kept[1] == whole - {34} | ({34} & kept[1]) and kept[2] == kept[3] == kept[4] == kept[1]
+    empty = spark.createDataFrame([], columns)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.isEmpty()
