@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns
 of ``documents``. Stages are written as Parquet to the shared folder and read again, so
 that a lost executor costs at most the stage that runs.
+
+Defined cases: null, empty and blank texts fail the base rules of the first stage and go; rows that repeat an id with
+the same text stay together or go together in every stage, and are packed once each; a row with a null id is linked with nothing,
+loses no passage and is packed under a null id; empty tables give an empty result; further columns travel with
+their rows up to packing, whatever their names. Without labels of both kinds the base rules alone decide.
 """
 
 from __future__ import annotations
