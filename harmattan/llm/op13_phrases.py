@@ -262,11 +262,13 @@ def spelt_counts(docs: DataFrame, job: Mining, wanted: Filter) -> DataFrame:
     """text, a: exact counts of all phrases in ``wanted`` that have ``min_count`` or more, and the words of each language."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def added(held: list[tuple[pa.Array, np.ndarray]]):
+    def added(held: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
         texts = pa.chunked_array([t for t, _ in held]).dictionary_encode().combine_chunks()
-        n = np.bincount(texts.indices.to_numpy(), np.concatenate([n for _, n in held]), len(texts.dictionary)).astype(np.int64)
+        return texts.dictionary, np.bincount(texts.indices.to_numpy(), np.concatenate([n for _, n in held]), len(texts.dictionary)).astype(np.int64)
+
+    def sent_on(texts: pa.Array, n: np.ndarray):
         for lo in range(0, len(n), 1 << 16):
-            yield pa.record_batch([texts.dictionary.slice(lo, 1 << 16).cast(pa.string()), pa.array(n[lo : lo + (1 << 16)])], ["text", "n"])
+            yield pa.record_batch([texts.slice(lo, 1 << 16).cast(pa.string()), pa.array(n[lo : lo + (1 << 16)])], ["text", "n"])
 
     def run(batches):
         held, size = [], 0
@@ -276,10 +278,14 @@ def spelt_counts(docs: DataFrame, job: Mining, wanted: Filter) -> DataFrame:
                     held.append((text, n))
                     size += len(n)
                     if size >= HELD:
-                        yield from added(held)
-                        held, size = [], 0
+                        held = [added(held)]
+                        size = len(held[0][1])
+                        # Few different phrases are kept to meet more of the same.
+                        if 4 * size >= 3 * HELD:
+                            yield from sent_on(*held[0])
+                            held, size = [], 0
         if held:
-            yield from added(held)
+            yield from sent_on(*added(held))
 
     counts = docs.mapInArrow(run, "text string, n long").groupBy("text").agg(F.sum("n").alias("a"))
     return counts.filter((F.col("a") >= job.min_count) | F.col("text").startswith("\t"))
