@@ -62,14 +62,14 @@ NUMBER_COLUMNS = (
     "montant_total", "stock_final", "prix_achat", "revenu_annuel", "montant_entree", "montant_sortie", "quantite", "prix_unitaire",
 )
 # Name parts that mark what a column is about, first match wins.
-SEMANTIC_KEYWORDS = {
-    "geo": ("country", "pays", "nation", "region", "territory", "state", "ville", "city", "geo", "geography", "geographie"),
-    "time": ("date", "month", "mois", "year", "annee", "quarter", "trimestre", "week", "semaine", "jour", "day"),
-    "category": ("categorie", "category", "famille", "type", "mode", "device"),
-    "product": ("product", "produit", "article", "item", "sku", "designation"),
-    "client": ("client", "customer", "account", "partner"),
-    "place": ("zone", "depot", "agence"),
-}
+SEMANTIC_KEYWORDS = [
+    ("geo", ("country", "pays", "nation", "region", "territory", "state", "ville", "city", "geo", "geography", "geographie")),
+    ("time", ("date", "month", "mois", "year", "annee", "quarter", "trimestre", "week", "semaine", "jour", "day")),
+    ("category", ("categorie", "category", "famille", "type", "mode", "device")),
+    ("product", ("product", "produit", "article", "item", "sku", "designation")),
+    ("client", ("client", "customer", "account", "partner")),
+    ("geo", ("region", "zone", "territory", "pays", "country", "city", "ville", "depot", "agence")),
+]
 
 
 # --- rankings -------------------------------------------------------------------------------
@@ -264,8 +264,7 @@ def classify_columns(df: DataFrame) -> DataFrame:
 
 def semantic_type(column: str) -> str:
     name = column.lower().replace("_", "").replace(" ", "")
-    found = next((k for k, words in SEMANTIC_KEYWORDS.items() if any(w in name for w in words)), "other")
-    return "geo" if found == "place" else found
+    return next((k for k, words in SEMANTIC_KEYWORDS if any(w in name for w in words)), "other")
 
 
 def suggest_metrics(classes: Mapping[str, str]) -> list[dict[str, str]]:
