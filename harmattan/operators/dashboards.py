@@ -173,7 +173,12 @@ def conflict_statistics(conflicts: DataFrame, resolutions: DataFrame, now: Colum
     ).withColumn("avg_resolution_time_minutes", F.coalesce(minutes, F.lit(0.0)))
 
 
-def notification_totals(events: DataFrame, user: str = "user_id") -> DataFrame:
+def notification_totals(events: DataFrame, user: str = "user_id", is_read: bool | None = None, kind: str | None = None, kind_column: str = "event_type") -> DataFrame:
+    """Unread and all notifications per user, of one read state or one type if asked for."""
+    if is_read is not None:
+        events = events.where(F.col("is_read") == F.lit(is_read))
+    if kind is not None:
+        events = events.where(F.col(kind_column) == kind)
     return events.groupBy(user).agg(F.count_if(~F.col("is_read")).alias("unread"), F.count("*").alias("total"))
 
 

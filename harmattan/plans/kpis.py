@@ -396,6 +396,12 @@ def notification_totals(t: Tables):
     return dashboards.notification_totals(_runs(t))
 
 
+@query("notification_unread_clicks", f"WITH {_RUNS_SQL} SELECT user_id, COUNT(*) AS unread, COUNT(*) AS total FROM runs JOIN events USING (event_id) WHERE NOT is_read AND event_type = 'click' GROUP BY 1")
+def notification_unread_clicks(t: Tables):
+    kinds = t.events.select("event_id", "event_type")
+    return dashboards.notification_totals(_runs(t).drop("event_type").join(kinds, "event_id"), is_read=False, kind="click")
+
+
 @query("activity_feed", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 100")
 def activity_feed(t: Tables):
     return dashboards.activity_feed(t.events, "ts").select("event_id", "event_type")

@@ -429,6 +429,15 @@ def reconcile_snapshots(t: Tables):
     return landing.reconciliation_counts(t.snapshot_a, t.snapshot_b)
 
 
+@query(
+    "reconcile_samples",
+    f"""{ctes('snapshot_a', 'snapshot_b')}, c AS (SELECT 'added' AS change, * FROM (SELECT * FROM snapshot_b EXCEPT ALL SELECT * FROM snapshot_a) x UNION ALL SELECT 'deleted', * FROM (SELECT * FROM snapshot_a EXCEPT ALL SELECT * FROM snapshot_b) x)
+SELECT *, CAST(row_number() OVER (PARTITION BY change ORDER BY o_orderkey, o_custkey, o_orderstatus, o_totalprice) AS INT) AS rank FROM (SELECT change, COUNT(*) AS times, o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM c GROUP BY ALL) g QUALIFY rank <= 10""",
+)
+def reconcile_samples(t: Tables):
+    return landing.reconciliation_samples(t.snapshot_a, t.snapshot_b)
+
+
 @query(
     "stack_tables",
     "SELECT 'nation' AS _sheet, n_name AS name, n_regionkey AS region, NULL::DOUBLE AS balance FROM nation UNION ALL SELECT 'supplier', s_name, NULL, s_acctbal FROM supplier UNION ALL SELECT 'customer', c_name, NULL, c_acctbal FROM customer",

@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from harmattan.functions.nulls import data_columns
+from harmattan.operators.keyed import top_per_key
+
 
 def row_fingerprint(columns: Sequence[str]) -> Column:
     """SHA-256 of the row as JSON with sorted keys and explicit nulls."""
@@ -119,6 +121,19 @@ def reconciliation_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def reconciliation_samples(before: DataFrame, after: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` added and the first ``n`` deleted rows, in the order of their columns, with how often they came or went."""
+    columns = data_columns(before)
+    row = F.struct(*[F.col(c) for c in columns])
+
+    def hashed(df: DataFrame, side: int) -> DataFrame:
+        return df.select(row_digest(columns).alias("_row_hash"), row.alias("row"), F.lit(side).alias("side"))
+
+    both = hashed(before, 0).unionByName(hashed(after, 1)).groupBy("_row_hash").agg(F.min("row").alias("row"), F.sum(2 * F.col("side") - 1).alias("surplus")).where("surplus <> 0")
+    changed = both.select(F.when(F.col("surplus") > 0, "added").otherwise("deleted").alias("change"), F.abs("surplus").alias("times"), "row.*")
+    return top_per_key(changed, ["change"], [F.col(c) for c in columns], n)
+
+
 def flatten_payload(df: DataFrame, payload: str, schema: str) -> DataFrame:
     """JSON payload fields as columns; existing columns win over payload fields of the same name."""
     parsed = df.withColumn("__p", F.from_json(payload, schema))
