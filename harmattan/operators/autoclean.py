@@ -372,6 +372,17 @@ def main_problems(result: AutoClean, n: int = 3) -> DataFrame:
     return alert_report(result).withColumn("__w", weight).orderBy("__w", F.desc("n_rows"), "rule", "column", "check").limit(n).drop("__w")
 
 
+def main_corrections(result: AutoClean, n: int = 3) -> DataFrame:
+    """First corrections of the pass, in the order of their rules."""
+    return correction_report(result).orderBy("rule", "column").limit(n)
+
+
+def row_impact(result: AutoClean) -> DataFrame:
+    """Rows before and after the pass, and the difference."""
+    after = result.frame.agg(F.count("*")).scalar()
+    return result.raw.agg(F.count("*").alias("initial"), after.alias("final"), (F.count("*") - after).alias("gap"))
+
+
 def foreign_currencies(df: DataFrame, column: str) -> DataFrame:
     """Currencies other than XOF met in an amount column."""
     found = parse_amount(F.col(column))["currency"]

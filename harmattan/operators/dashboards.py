@@ -198,6 +198,12 @@ def status_snapshot(latest: DataFrame) -> DataFrame:
     return latest.agg(F.count("*").alias("kpis"), *[F.count_if(F.col("status") == s).alias(s) for s in ("on_target", "warning", "critical")])
 
 
+def focus_items(latest: DataFrame, n: int = 4) -> DataFrame:
+    """The KPIs to show beside the counts: critical ones first, then those to be watched, by name."""
+    urgency = F.when(F.col("status") == "critical", 0).when(F.col("status") == "warning", 1).otherwise(2)
+    return latest.select("kpi", "status", urgency.alias("__u")).orderBy("__u", "kpi").limit(n).select("kpi", "status")
+
+
 def drill_breakdown(breakdown: DataFrame, dimension: str) -> DataFrame:
     return breakdown.where((F.col("dimension") == dimension) & F.col("member").isNotNull())
 

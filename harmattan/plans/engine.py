@@ -171,6 +171,16 @@ def engine_correction_report(t: Tables):
     return autoclean.correction_report(_cleaned(t))
 
 
+@query("engine_main_corrections", f"{_CORRECTIONS} SELECT rule, \"column\", n FROM corrections WHERE n > 0 ORDER BY rule, \"column\" LIMIT 3")
+def engine_main_corrections(t: Tables):
+    return autoclean.main_corrections(_cleaned(t))
+
+
+@query("engine_row_impact", f"{_EXPECTED} SELECT (SELECT COUNT(*) FROM e) AS initial, COUNT(*) AS final, (SELECT COUNT(*) FROM e) - COUNT(*) AS gap FROM clean")
+def engine_row_impact(t: Tables):
+    return autoclean.row_impact(_cleaned(t))
+
+
 _CLEAN_MISSING = " + ".join(
     f"CAST({c} AS INT)"
     for c in (

@@ -428,6 +428,16 @@ def status_snapshot(t: Tables):
     return dashboards.status_snapshot(latest_per_key(_runs(t), ["kpi"], [F.col("executed_at"), F.col("event_id")]))
 
 
+@query(
+    "status_focus_items",
+    f"WITH {_RUNS_SQL}, l AS (SELECT kpi, arg_max(status, ROW(executed_at, event_id)) AS status FROM runs GROUP BY kpi) SELECT kpi, status FROM l ORDER BY CASE status WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, kpi LIMIT 4",
+)
+def status_focus_items(t: Tables):
+    from harmattan.operators.keyed import latest_per_key
+
+    return dashboards.focus_items(latest_per_key(_runs(t), ["kpi"], [F.col("executed_at"), F.col("event_id")]))
+
+
 @query(
     "drill_breakdown",
     f"{DIRTY} SELECT COALESCE(categorie, 'Unknown') AS member, COALESCE(SUM({_NUM.format(c='quantite')}), 0) AS value FROM dirty_orders GROUP BY 1",
