@@ -271,19 +271,20 @@ def spelt_counts(docs: DataFrame, job: Mining, wanted: Filter) -> DataFrame:
             yield pa.record_batch([texts.slice(lo, 1 << 16).cast(pa.string()), pa.array(n[lo : lo + (1 << 16)])], ["text", "n"])
 
     def run(batches):
-        held, size = [], 0
+        held, size, room = [], 0, HELD // 2
         for b in batches:
             for s in slices(b.column(1), SLICE):
                 for _, text, n in count_slice(s, b.column(0).slice(s.lo, len(s)), job, sent.value, spelt=True):
                     held.append((text, n))
                     size += len(n)
-                    if size >= HELD:
+                    if size >= room:
                         held = [added(held)]
                         size = len(held[0][1])
-                        # Few different phrases are kept to meet more of the same.
-                        if 4 * size >= 3 * HELD:
+                        # Different phrases are kept to meet more of the same, as long as they are not too many.
+                        if size >= 3 * HELD // 2:
                             yield from sent_on(*held[0])
                             held, size = [], 0
+                        room = size + HELD // 2
         if held:
             yield from sent_on(*added(held))
 
