@@ -55,13 +55,12 @@ def presence_online(t: Tables):
 
 @query(
     "stream_alert_cooldown",
-    """WITH RECURSIVE h AS (SELECT DISTINCT event_type, ts FROM events WHERE value > 60),
- e AS (SELECT * FROM h WHERE time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE <= (SELECT MAX(ts) FROM h) - INTERVAL 1 HOUR),
+    """WITH RECURSIVE e AS (SELECT DISTINCT event_type, ts FROM events WHERE value > 60),
  g AS (SELECT event_type, MIN(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT g.event_type, (SELECT MIN(e.ts) FROM e WHERE e.event_type = g.event_type AND e.ts >= g.ts + INTERVAL 120 MINUTE) FROM g WHERE g.ts IS NOT NULL)
 SELECT event_type, CAST(epoch_us(ts) AS BIGINT) AS ts_us FROM g WHERE ts IS NOT NULL""",
 )
 def stream_alert_cooldown(t: Tables):
-    out = streams.run_alerts(_events(t).where("value > 60"), "event_type", "ts", 120)
+    out = streams.run_alerts(_events(t).where("value > 60"), "event_type", "ts", 120, ended=True)
     return out.select("event_type", F.unix_micros("ts").alias("ts_us"))
 
 

@@ -88,6 +88,10 @@ def online_users(events: DataFrame, event_time: str, user: str, now, seconds: in
     return seen.where(F.col("last_seen") >= now - F.make_interval(secs=F.lit(seconds)))
 
 
+#: Later than any event.
+END_OF_TIME = "9999-12-01 00:00:00"
+
+
 def closed_moments(events: DataFrame, key: str, event_time: str, lateness: str = "1 hour", window: str = "1 minute") -> DataFrame:
     """Distinct moments per key, of every short window of event time that the watermark has closed.
 
@@ -123,18 +127,34 @@ def alert_batches(path: str, key: str, event_time: str, minutes: float, mute_unt
     return handle
 
 
-def run_alerts(events: DataFrame, key: str, event_time: str, minutes: float, lateness: str = "1 hour", mute_until: object | None = None) -> DataFrame:
+def run_alerts(
+    events: DataFrame, key: str, event_time: str, minutes: float, lateness: str = "1 hour", mute_until: object | None = None, ended: bool = False
+) -> DataFrame:
     """Firing moments per alert that respect the cooldown since the last kept one, and a mute; event time rules.
 
-    Moments that the watermark has not passed at the end stay in the state of the stream and do not fire yet.
+    Moments that the watermark has not passed at the end stay in the state of the stream and do not fire yet, unless the input
+    has ``ended``: then the stream goes on from its checkpoint with one mark at the end of time, which closes every window.
     """
     spark = events.sparkSession
     base = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
-    closed = closed_moments(events, key, event_time, lateness)
-    handler = alert_batches(base, key, event_time, minutes, mute_until)
-    query = closed.writeStream.foreachBatch(handler).outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
     schema = f"`{key}` string, `{event_time}` timestamp"
+    moments = events.select(F.col(key).cast("string").alias(key), F.col(event_time).cast("timestamp").alias(event_time))
+    if ended:
+        spark.createDataFrame([], schema).write.parquet(f"{base}/end")
+        moments = moments.unionByName(spark.readStream.schema(schema).parquet(f"{base}/end"))
+    closed = closed_moments(moments, key, event_time, lateness)
+    handler = alert_batches(base, key, event_time, minutes, mute_until)
+
+    def run() -> None:
+        query = closed.writeStream.foreachBatch(handler).outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run()
+    if ended:
+        # The mark's own window stays open, so the mark never fires.
+        mark = spark.range(1).select(F.lit(None).cast("string").alias(key), F.lit(END_OF_TIME).cast("timestamp").alias(event_time))
+        mark.write.mode("append").parquet(f"{base}/end")
+        run()
     return spark.read.schema(schema).parquet(f"{base}/fired") if is_folder(spark, f"{base}/fired") else spark.createDataFrame([], schema)
 
 

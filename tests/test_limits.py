@@ -180,6 +180,27 @@ def test_stream_cooldown_does_not_depend_on_batches(spark, tmp_path):
         assert sorted(got, key=lambda r: (r[0] is None, r[0] or "", r[1])) == sorted(want, key=lambda r: (r[0] is None, r[0] or "", r[1])), name
 
 
+def test_stream_cooldown_fires_to_the_end_of_an_ended_input(spark, tmp_path):
+    """Moments that the watermark has not passed fire too once the input has ended, in one batch or several."""
+    start = dt.datetime(2024, 5, 1)
+    moments = [start + dt.timedelta(minutes=7 * i) for i in range(60)]
+    rows = [("a", t) for t in moments] + [("late", moments[-1]), (None, moments[-1]), ("a", None)]
+    want, last = [("late", moments[-1])], None
+    for t in moments:
+        if last is None or t - last >= dt.timedelta(minutes=30):
+            want.append(("a", t))
+            last = t
+    for name, n in (("whole", 1), ("cut", 4)):
+        for i in range(n):
+            part = rows[len(rows) * i // n : len(rows) * (i + 1) // n]
+            spark.createDataFrame(part, "k string, t timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/events.parquet/p{i}")
+        stream = spark.readStream.schema("k string, t timestamp_ntz").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/{name}/events.parquet")
+        out = streams.run_alerts(stream.withColumn("t", F.col("t").cast("timestamp")), "k", "t", 30, "1 hour", ended=True)
+        got = [(r["k"], r["t"]) for r in out.select("k", F.col("t").cast("timestamp_ntz").alias("t")).collect()]
+        assert sorted(r for r in got if r[0]) == sorted(want), name
+        assert [t for k, t in got if k is None] == [moments[-1]], name
+
+
 def test_conflict_index_is_bucketed_and_replayable(spark, tmp_path, monkeypatch):
     """Batches across a compaction find what one comparison finds; a batch reads its buckets alone and may run twice."""
     monkeypatch.setattr(streams, "COMPACT_EVERY", 3)
