@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +148,34 @@ def test_quantile_selects_in_rounds(spark, monkeypatch):
     assert len(written) > 2 and written[1] > 50 >= (written[-1] or 0)
 
 
+def test_quantile_leaves_rows_of_large_keys_where_they_are(spark, monkeypatch):
+    """Neither a round nor the last sort moves all rows of a key; small keys, null ones included, stand beside large ones."""
+    from harmattan.operators import keyed
+
+    plans = []
+    original = keyed.materialize
+
+    def spied(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return original(df)
+
+    monkeypatch.setattr(keyed, "materialize", spied)
+    key = F.when(F.col("id") % 10 < 8, "large").when(F.col("id") % 10 == 8, "small").when(F.col("id") < 1000, F.lit(None)).otherwise("empty")
+    df = spark.range(30_000).select(key.alias("k"), F.when(key.isNull() | (key != "empty"), F.pmod(F.xxhash64("id"), F.lit(9_973)).cast("double")).alias("x"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # Tables beyond any estimate of a small side.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for p in (0.3, 0.5):
+            got = {r["k"]: r["value"] for r in keyed.exact_quantile(df, ["k"], F.col("x"), p, accuracy=500, most=4_000).collect()}
+            assert got.pop("empty") is None
+            assert got == {k if isinstance(k, str) else None: pytest.approx(np.quantile(g["x"], p)) for k, g in df.where("x IS NOT NULL").toPandas().groupby("k", dropna=False)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    rounds = [plan for plan in plans if "percentile_approx" in plan]
+    assert rounds and all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan for plan in rounds)
+
+
 def test_stream_cooldown_does_not_depend_on_batches(spark, tmp_path):
     """The same events in one file, in files by time, and shuffled within the lateness; one key has nearly all of them."""
     import datetime as dt
