@@ -178,14 +178,18 @@ def isolation_forest(
         raise ValueError("features must not be empty")
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must lie in ]0, 0.5]")
-    matrix = feature_matrix(df, features, key)
+    return flagged(forest_scores(feature_matrix(df, features, key), features, seed, key, size), contamination)
+
+
+def forest_scores(matrix: DataFrame, features: Sequence[str], seed: int = 42, key: str = "_row_number", size: int = SUBSAMPLE) -> DataFrame:
+    """Scores of a forest fitted to the matrix itself."""
     n = matrix.count()
     if n < 2:
         raise ValueError("at least two rows are needed")
     trees, size = tree_count(n), min(size, n)
     forest = fit_forest(subsamples(matrix, key, n, trees, size, seed), features, key, size, seed)
     # Bounded: at most 200 trees of about 2 x 256 nodes each.
-    return flagged(score_rows(matrix, forest.toPandas(), features), contamination)
+    return score_rows(matrix, forest.toPandas(), features)
 
 
 def flagged(scores: DataFrame, contamination: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harmattan.operators import anomaly, textvec
@@ -174,8 +175,8 @@ _SCORED = f"""f AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice
  scored AS (SELECT *, score > (SELECT quantile_cont(score, 0.98) FROM s) + 1e-9 AS is_outlier FROM s)"""
 
 
-def _fixed(t: Tables):
-    scores = anomaly.score_rows(anomaly.feature_matrix(_lines(t), _FEATURES), fixed_forest(), _FEATURES)
+def _fixed(t: Tables, matrix: DataFrame | None = None):
+    scores = anomaly.score_rows(matrix or anomaly.feature_matrix(_lines(t), _FEATURES), fixed_forest(), _FEATURES)
     # Paths are sums in another order than in SQL.
     return anomaly.flagged(scores.withColumn("score", F.round("score", 9)), 0.02)
 
@@ -190,10 +191,21 @@ def outlier_fixed_forest(t: Tables):
     "outlier_summary",
     f"""WITH {_SCORED}, z AS (SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (is_outlier) AS n_outliers, AVG(score - 0.5) FILTER (is_outlier) AS margin FROM scored)
 SELECT n_rows, n_outliers, CASE WHEN n_outliers = 0 THEN 'low' WHEN n_outliers <= greatest(1, n_rows // 50) THEN 'medium' WHEN n_outliers <= greatest(2, n_rows // 20) THEN 'high' ELSE 'critical' END AS severity,
- round(least(99.99, greatest(0.0, 50 + coalesce(margin, 0) * 20)), 2) AS confidence FROM z""",
+ round(least(99.99, greatest(0.0, 50 + coalesce(margin, 0) * 20)), 2) AS confidence, true AS flagged_is_top_share, true AS confidence_in_range FROM z""",
 )
 def outlier_summary(t: Tables):
-    return anomaly.run_summary(_fixed(t))
+    """The summary of the fixed forest, and what SQL can say of the forest fitted to the rows.
+
+    The share of flagged rows follows from the exact quantile: never more than asked, and only ties make it less.
+    """
+    matrix = anomaly.feature_matrix(_lines(t), _FEATURES)
+    fitted = anomaly.flagged(anomaly.forest_scores(matrix, _FEATURES), 0.02)
+    edge = fitted.agg(F.max(F.when(~F.col("is_outlier"), F.col("score")))).scalar()
+    ties = fitted.agg(F.count_if(F.col("score") == edge)).scalar()
+    share, n = F.col("n_outliers"), F.col("n_rows")
+    exact = (share <= F.ceil(n * 0.02)) & (share + ties >= F.floor(n * 0.02))
+    checked = anomaly.run_summary(fitted).select(exact.alias("flagged_is_top_share"), F.col("confidence").between(50, 99.99).alias("confidence_in_range"))
+    return anomaly.run_summary(_fixed(t, matrix)).join(checked, how="cross")
 
 
 @query(

@@ -148,6 +148,33 @@ def test_quantile_selects_in_rounds(spark, monkeypatch):
     assert len(written) > 2 and written[1] > 50 >= (written[-1] or 0)
 
 
+def test_nearest_keeps_k_of_many_copies(spark):
+    """Of a block no more than k partners leave for a query, the smallest ids on ties; queries of a cell are cut into blocks as well."""
+    rng = np.random.default_rng(3)
+    scores = rng.integers(0, 4, (50, 300)).astype(float)
+    scores[rng.random(scores.shape) < 0.3] = -np.inf
+    scores[0] = -np.inf
+    row, col = textvec._best_columns(scores, 5)
+    for i in range(len(scores)):
+        want = [j for j in np.argsort(-scores[i], kind="stable")[:5] if scores[i, j] > -np.inf]
+        assert sorted(want) == col[row == i].tolist()
+    df = spark.range(300).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    got = textvec.nearest(df, df, "v", "id", k=3, block_rows=16).groupBy("query_id").agg(F.array_sort(F.collect_list("example_id")).alias("near")).collect()
+    assert {r["query_id"]: r["near"] for r in got} == {i: [j for j in range(4) if j != i][:3] for i in range(300)}
+
+
+def test_outlier_summary_fits_a_forest(tables, monkeypatch):
+    """The summary comes of a forest fitted to all rows too, not of the fixed one alone."""
+    from harmattan.plans.registry import QUERIES
+
+    fitted = []
+    original = anomaly.fit_forest
+    monkeypatch.setattr(anomaly, "fit_forest", lambda samples, *rest: fitted.append(samples.select("tree").distinct().count()) or original(samples, *rest))
+    row = QUERIES["outlier_summary"](tables).first().asDict()
+    assert fitted == [200] and row["n_rows"] == tables.lineitem.count()
+    assert row["flagged_is_top_share"] and row["confidence_in_range"]
+
+
 def test_quantile_leaves_rows_of_large_keys_where_they_are(spark, monkeypatch):
     """Neither a round nor the last sort moves all rows of a key; small keys, null ones included, stand beside large ones."""
     from harmattan.operators import keyed
