@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from harmattan.functions.dates import parse_date
 from harmattan.functions.nulls import is_missing, stripped
 from harmattan.functions.numbers import NUMBER
-from harmattan.operators.keyed import running_count, top_per_key
+from harmattan.operators.keyed import null_safe_join, running_count, top_per_key
 
 BLANK_SHARE = 0.6
 HEADER_FILL = 0.5
@@ -296,8 +296,10 @@ def classify_tables(cells: DataFrame, sample: int = 25) -> DataFrame:
     per_row = tagged.groupBy("sheet_id", "row_idx", "h").agg(
         F.count("v").alias("n"), F.count_if(words).alias("w"), F.max(F.length("v")).alias("longest"), F.count("*").alias("width"),
         F.count_if(data & is_number).alias("nums"), F.count_if(data & parse_date(F.col("v"), local_forms=False).isNotNull()).alias("dates"),
-        F.count_if(words & (F.length("v") <= 40)).alias("short"), F.count_distinct(F.lower("v")).alias("distinct"),
+        F.count_if(words & (F.length("v") <= 40)).alias("short"),
     )
+    # Different labels matter in the header alone; counted along with the rest, every cell would be a group of its own.
+    labels = tagged.where(F.col("row_idx") == F.col("h")).groupBy("sheet_id").agg(F.count_distinct(F.lower("v")).alias("hd"))
     in_data = (F.col("row_idx") > F.col("h")) & (F.col("row_idx") <= F.col("h") + sample) & (F.col("n") > 0)
     narrow = (F.col("n") <= 2) & (F.col("w") == F.col("n")) & (F.col("n") > 0)
     title = (F.col("row_idx") < 6) & (((F.col("n") == 1) & (F.col("longest") > 8)) | narrow)
@@ -306,8 +308,9 @@ def classify_tables(cells: DataFrame, sample: int = 25) -> DataFrame:
         F.count_if(F.col("n") > 0).alias("rows"), F.max("width").alias("width"), F.count_if(title).alias("titles"), F.count_if(in_data & narrow).alias("stories"),
         F.avg(F.when(in_data, F.col("n"))).alias("avg"), F.max(F.when(in_data, F.col("n"))).alias("hi"), F.min(F.when(in_data, F.col("n"))).alias("lo"),
         F.sum(F.when(in_data, F.col("n"))).alias("values"), F.sum("nums").alias("nums"), F.sum("dates").alias("dates"),
-        F.max(F.when(head, F.col("n"))).alias("hn"), F.max(F.when(head, F.col("short"))).alias("hs"), F.max(F.when(head, F.col("distinct"))).alias("hd"),
+        F.max(F.when(head, F.col("n"))).alias("hn"), F.max(F.when(head, F.col("short"))).alias("hs"),
     )
+    s = null_safe_join(s, labels, ["sheet_id"], "left")
     used = cells.where(filled()).select("sheet_id", "col_idx").distinct().groupBy("sheet_id").agg(F.count("*").alias("cols"))
     s = s.join(used, "sheet_id", "left").fillna(0)
     density, avg = F.col("hn") / F.col("width"), F.col("avg")

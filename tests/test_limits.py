@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from harmattan.operators import anomaly, kpi, metrics, pivot, quality, relations, textvec
+from harmattan.functions.bind import once
+from harmattan.operators import anomaly, autoclean, grid, kpi, metrics, pivot, quality, relations, textvec
 from harmattan.sources.landing import row_digest
 from harmattan.streaming import streams
 
@@ -323,3 +324,42 @@ def test_sparse_pivot_of_forty_columns(spark):
         if best:
             want[sheet] = {i + 1: (",".join(map(str, v)), ",".join(map(str, f[3])), round(-f[0], 3), round(f[4], 3)) for i, (v, f) in enumerate(best)}
     assert got == want and len(want) > 4
+
+
+def test_table_classes_group_no_single_cells(spark):
+    """Distinct labels are counted in the header row; no other cell is a group of its own."""
+    rows = [(s, r, c, (f"Label {c % 2}" if r == 0 else None if r == 2 else f"{r + c}")) for s in (1, 2) for r in range(5) for c in range(4)]
+    cells = spark.createDataFrame(rows, "sheet_id long, row_idx long, col_idx long, value string")
+    out = grid.classify_tables(cells)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    groups = [line.split("keys=[")[1].split("]")[0] for line in plan.splitlines() if "Aggregate(keys=[" in line]
+    assert any("row_idx" in g for g in groups) and not any("row_idx" in g and "lower(" in g for g in groups)
+    assert {r["sheet_id"] for r in out.collect()} == {1, 2}
+
+
+def test_a_bound_value_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    df = spark.range(50).select(once(counted(F.col("id").cast("string")), lambda x: F.when(x.rlike("^1"), x).when(x.rlike("^2"), F.upper(x)).otherwise(F.concat(x, x))).alias("v"))
+    assert [r.v for r in df.orderBy("v").limit(2).collect()] == ["00", "1"] and seen.value == 50
+
+
+def test_key_counts_join_the_written_rows_once(spark, monkeypatch):
+    """Counts and medians read the written rows; only the cleaned rows need the key counts."""
+    joined = []
+    real = autoclean.scale_medians
+
+    def medians(df, *rest):
+        joined.append("Join" in df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, *rest)
+
+    monkeypatch.setattr(autoclean, "scale_medians", medians)
+    df = spark.createDataFrame([(1, "a", "10"), (2, "a", "20"), (3, None, "30")], "_row_number long, id string, amount string")
+    out = autoclean.auto_clean(df, {"id": "id_commande", "amount": "montant_total"}).frame
+    assert joined == [False] and out.count() == 3
+    assert {r["_row_number"] for r in out.where("exists(_alerts, a -> a.check = 'shared_key')").collect()} == {1, 2}
