@@ -1,6 +1,7 @@
 """Sizes beyond former limits, and defects that no registered query shows."""
 
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -363,3 +364,24 @@ def test_key_counts_join_the_written_rows_once(spark, monkeypatch):
     out = autoclean.auto_clean(df, {"id": "id_commande", "amount": "montant_total"}).frame
     assert joined == [False] and out.count() == 3
     assert {r["_row_number"] for r in out.where("exists(_alerts, a -> a.check = 'shared_key')").collect()} == {1, 2}
+
+
+def test_hash_embedding_adds_up_within_rows(spark):
+    """No row for each character; texts of a key are added up, as are places past the kept table."""
+    texts = [(1, "aé😀b"), (1, "ab"), (2, None), (3, "x" * 40_000), (None, "c"), (4, "")]
+    out = textvec.hash_embedding(spark.createDataFrame(texts, "k int, t string"), "k", "t", 8)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for k, t in texts:
+        for i, ch in enumerate(t or ""):
+            want[k, i % 8] = want.get((k, i % 8), 0.0) + int(hashlib.md5(f"{ch}_{i}".encode()).hexdigest()[:8], 16) / 0xFFFFFFFF
+    norm = {k: sum(w * w for (x, _), w in want.items() if x == k) ** 0.5 for k, _ in want}
+    got = {(r["k"], r["dim"]): r["weight"] for r in out.collect()}
+    assert got == pytest.approx({(k, d): w / norm[k] for (k, d), w in want.items()})
+
+
+def test_char_weights_beyond_the_table():
+    code, at = np.array([97, 98, 99, 97, 97]), np.array([0, 1, 2, 900, 900])
+    small, large = textvec.CharWeights(2, 4), textvec.CharWeights()
+    for _ in range(2):
+        assert np.array_equal(small(code, at), large(code, at))
