@@ -27,6 +27,8 @@ from harmattan.llm.kernel import BYTE_VALUES, Slice, Words, column_buffers, mix,
 BITS = 16
 FEATURES = 3 << BITS  # word unigrams, word bigrams, character 4-grams
 SCALE = 30.0
+#: N-grams take some seventy bytes of work arrays for each byte of text, so slices are smaller than elsewhere.
+SLICE = 1 << 19
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -140,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     def counted(batches):
         for b in batches:
             label = b.column("y").to_numpy(zero_copy_only=False)
-            for s in slices(b.column("t")):
+            for s in slices(b.column("t"), SLICE):
                 w = words_of(s)
                 docs, feats, vals = [], [], []
                 for feature, first in features(s, w):
@@ -182,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
 
 def _verdicts(column: pa.Array, model: Model, rules: Rules) -> dict[str, np.ndarray]:
     parts: dict[str, list[np.ndarray]] = {}
-    for s in slices(column):
+    for s in slices(column, SLICE):
         w = words_of(s)
         out = base_counts(s, w)
         out["base_failed"] = (out["n_words"] < rules.min_words) | (100 * out["n_repeat_words"] > rules.max_repeat_percent * out["n_words"])

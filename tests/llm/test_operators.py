@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -547,3 +548,15 @@ def shingle_groups_fast(plain: dict) -> dict:
             done |= group
             out |= shingle_groups({j: plain[j] for j in group})
     return out
+
+
+def test_quality_works_on_small_slices(monkeypatch):
+    """Work arrays of the n-grams stay small however large the batch; the verdicts are those of one slice."""
+    texts = pa.array([f"word{i} " * 100 for i in range(4000)])
+    sizes, real = [], op4_quality.words_of
+    monkeypatch.setattr(op4_quality, "words_of", lambda s: sizes.append(len(s.data)) or real(s))
+    cut = op4_quality._verdicts(texts, op4_quality.NEUTRAL, op4_quality.Rules())
+    assert len(sizes) > 5 and max(sizes) <= 1 << 19
+    monkeypatch.setattr(op4_quality, "SLICE", 1 << 30)
+    whole = op4_quality._verdicts(texts, op4_quality.NEUTRAL, op4_quality.Rules())
+    assert all(np.array_equal(cut[k], whole[k]) for k in whole)
