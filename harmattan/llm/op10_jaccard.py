@@ -15,7 +15,8 @@ with. Keys held by one set only are streamed away; what is left makes candidates
 of a group: all members of a key are paired with one pivot, verified on a histogram sketch
 (distance at most H) and then on the sets, and linked ones are merged. Sets that have too few items in
 common with all others that are still apart leave; after some rounds with other pivots only pairs whose members are
-still apart are left, and these are all verified. So no link between components is lost, and a large group of copies costs
+still apart are left, and these are all verified: members outside a key's largest component with all others, as far as their
+sizes and parities allow a link. So no link between components is lost, and a large group of copies costs
 a few pairs for each member.
 
 Equal sets count as one throughout, by 64-bit digest. Tokens are 64-bit hashes of word n-grams.
@@ -28,6 +29,7 @@ document; rows with a null id are left out; an empty table gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ from harmattan.session import materialize
 
 SKETCH = 64
 EMPTY_BIT = 128
+PARITIES = [f"parity_{i}" for i in range(8)]
 
 
 @dataclass(frozen=True)
@@ -199,17 +202,26 @@ def candidate_keys(docs: DataFrame, n: int, scheme: Bands, id_col: str, text_col
     return materialize(kept)
 
 
+def parities(t: Sets) -> np.ndarray:
+    """A row of bits for each set: whether the items that fall on a bit are odd in number. Two sets differ in at least as many
+    items as their rows differ in bits."""
+    out = np.zeros((len(t.first) - 1, len(PARITIES)), np.uint64)
+    bit = (t.items >> np.uint64(32)) % np.uint64(64 * len(PARITIES))
+    np.bitwise_xor.at(out, (t.doc, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
 def _set_rows(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """set, items of one document of each wanted set; ``wanted`` has doc and set."""
+    """set, items of one document of each wanted set, and its parities; ``wanted`` has doc and set."""
 
     def run(batches):
         for b in batches:
             for s in slices(b.column(1)):
                 t = sets_of(s, n)
                 items = pa.ListArray.from_arrays(pa.array(t.first.astype(np.int32)), pa.array(t.items.view(np.int64)))
-                yield pa.record_batch([b.column(0).slice(s.lo, len(s)), items], ["set", "items"])
+                yield pa.record_batch([b.column(0).slice(s.lo, len(s)), items, *(pa.array(p) for p in parities(t).view(np.int64).T)], ["set", "items", *PARITIES])
 
-    return docs.join(wanted, "doc").select("set", "text").mapInArrow(run, "`set` long, items array<long>")
+    return docs.join(wanted, "doc").select("set", "text").mapInArrow(run, f"`set` long, items array<long>, {', '.join(f'{p} long' for p in PARITIES)}")
 
 
 def supported(sets: DataFrame, items: DataFrame, one_in: int, percent: int) -> DataFrame:
@@ -235,6 +247,24 @@ def _linked(common: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * common >= percent * (a + b - common)
 
 
+def apart_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """set, component, other, other_component of the members of a key in ``rows`` (key, set, component, n, alone, parities) that
+    are still apart and may be linked.
+
+    A key's largest component is met by the members outside of it, and its own members are not paired among each other; sizes,
+    common items and parities are compared before a pair is made.
+    """
+    main = rows.groupBy("key", "component").agg(F.count("*").alias("members")).groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"))
+    placed = rows.join(main, "key")
+    other = placed.select("key", *[F.col(c).alias(f"other_{c}") for c in rows.columns if c not in ("key", "set")], F.col("set").alias("other"))
+    once = (F.col("other_component") == F.col("main")) | (F.col("set") < F.col("other"))
+    may = _may_link(F.col("n"), F.col("alone"), F.col("other_n"), F.col("other_alone"), percent)
+    differ = reduce(Column.__add__, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"other_{p}"))) for p in PARITIES])
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("other_n"))
+    both = placed.filter("component <> main").join(other, "key").filter((F.col("component") != F.col("other_component")) & once & may & near)
+    return both.select("set", "component", "other", "other_component")
+
+
 def join(docs: DataFrame, n: int = 5, percent: int = 80, pivots: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, n_shingles and component_id (smallest id reachable by links) of each document."""
     scheme = bands(percent)
@@ -282,10 +312,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, pivots: int = 3, id_col
             pairs = open_.filter("component <> pivot_component").select(*ordered("set", "component", "pivot", "pivot_component"))
         else:
             # All pairs of members that are still apart.
-            extra = [c for c in ("n", "alone") if c in columns]
-            other = open_.select("key", F.col("set").alias("other"), F.col("component").alias("other_component"), *[F.col(c).alias(f"other_{c}") for c in extra])
-            may = _may_link(F.col("n"), F.col("alone"), F.col("other_n"), F.col("other_alone"), percent) if extra else F.lit(True)
-            pairs = open_.join(other, "key").filter(F.expr("`set` < other AND component <> other_component") & may).select(*ordered("set", "component", "other", "other_component"))
+            sized = open_ if "alone" in columns else open_.join(sketches.select("set", "n"), "set").withColumn("alone", F.lit(0))
+            sized = sized.select("key", "set", "component", "n", "alone").join(items.select("set", *PARITIES), "set")
+            pairs = apart_pairs(sized, percent).select(*ordered("set", "component", "other", "other_component"))
         merged = components(verified(pairs.distinct()), "component_a", "component_b")
         merges.append(merged)
         open_ = open_.select(*columns, "component").join(merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")

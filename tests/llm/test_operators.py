@@ -426,6 +426,37 @@ def test_jaccard_join_edges(spark):
     assert {r["doc"]: (r["n_shingles"], r["component_id"]) for r in op10_jaccard.join(df, pivots=1).collect()} == shingle_groups(rows)
 
 
+def test_jaccard_last_turn_pairs(spark):
+    """Under one key: 300 near copies already in one component, 12 sets apart from it, two of them linked with it and two with each other."""
+    rng = random.Random(9)
+    main = [rng.getrandbits(63) for _ in range(150)]
+    far = [rng.getrandbits(63) for _ in range(150)]
+
+    def edited(base: list, n: int) -> list:
+        kept = rng.sample(base, len(base) - n)
+        return kept + [rng.getrandbits(63) for _ in range(n)]
+
+    sets = {i: (0, edited(main, 6)) for i in range(300)}
+    sets |= {300 + i: (300 + i, edited(main, 60)) for i in range(8)}
+    sets |= {308 + i: (308 + i, edited(main, 4)) for i in range(2)}
+    sets |= {310 + i: (310 + i, edited(far, 4)) for i in range(2)}
+    bits = {}
+    for i, (_, items) in sets.items():
+        s = op10_jaccard.Sets(np.array(sorted(items), np.uint64), np.array([0, len(items)]), np.array([i], np.uint64))
+        bits[i] = op10_jaccard.parities(s).view(np.int64)[0].tolist()
+    names = ", ".join(f"{p} long" for p in op10_jaccard.PARITIES)
+    rows = spark.createDataFrame([(1, i, c, len(items), 0, *bits[i]) for i, (c, items) in sets.items()], f"key long, `set` long, component long, n long, alone long, {names}")
+    got = [frozenset((r["set"], r["other"])) for r in op10_jaccard.apart_pairs(rows, 80).collect()]
+    linked = set()
+    for a, (x, left) in sets.items():
+        for b, (y, right) in sets.items():
+            common = len(set(left) & set(right))
+            if a < b and x != y and 100 * common >= 80 * (len(left) + len(right) - common):
+                linked.add(frozenset((a, b)))
+    assert len(linked) == 2 * 300 + 2 and linked <= set(got)
+    assert len(got) == len(set(got)) <= len(linked) + 12  # of 3,666 pairs that are apart
+
+
 def test_surrogates(spark, corpus, plain, nothing):
     rows = [
         "Mr John Smith met Mrs Anna Berg. Anna Berg (Mrs Berg) lives.",
