@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from harmattan.functions.nulls import data_columns
 from harmattan.functions.numbers import to_double
 from harmattan.functions.text import edit_distance
+from harmattan.session import materialize
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,19 @@ def column_sketches(tables: Mapping[str, DataFrame], lg_k: int = 11) -> DataFram
     return reduce(DataFrame.unionByName, parts).withColumn("n", F.theta_sketch_estimate("sketch"))
 
 
+def _related(tables: Mapping[str, DataFrame], least: float, lg_k: int) -> dict[tuple[str, str], float]:
+    """The columns of :func:`related_columns` with their estimated numbers of distinct values."""
+    sketches = column_sketches(tables, lg_k)
+    a, b = (sketches.select(*[F.col(c).alias(f"{c}_{side}") for c in sketches.columns]) for side in "ab")
+    pairs = a.join(b, F.col("sheet_a") != F.col("sheet_b")).where("n_a > 0 AND n_b > 0")
+    common = F.theta_sketch_estimate(F.theta_intersection("sketch_a", "sketch_b"))
+    sampled = F.col("n_a") * F.least(F.lit(1.0), (1 << lg_k) / F.greatest("n_a", "n_b"))
+    close = common / F.col("n_a") >= least - 6 / F.sqrt(sampled)
+    both = [F.struct(*[F.col(f"{c}_{side}").alias(c) for c in ("sheet", "column", "n")]) for side in "ab"]
+    kept = pairs.where((sampled < 64) | close).select(F.inline(F.array(*both))).distinct()
+    return {(r["sheet"], r["column"]): r["n"] for r in kept.collect()}
+
+
 def related_columns(tables: Mapping[str, DataFrame], least: float = 0.5, lg_k: int = 11) -> dict[str, list[str]]:
     """Columns that may hold ``least`` of their values in a column of another table, or be held so, by their sketches.
 
@@ -43,43 +57,61 @@ def related_columns(tables: Mapping[str, DataFrame], least: float = 0.5, lg_k: i
     has far fewer values than the other) it is kept, so a column of a few values keeps all columns it may lie in. Pairs of columns are as many as
     the schema gives.
     """
-    sketches = column_sketches(tables, lg_k)
-    a, b = (sketches.select(*[F.col(c).alias(f"{c}_{side}") for c in sketches.columns]) for side in "ab")
-    pairs = a.join(b, F.col("sheet_a") != F.col("sheet_b")).where("n_a > 0 AND n_b > 0")
-    common = F.theta_sketch_estimate(F.theta_intersection("sketch_a", "sketch_b"))
-    sampled = F.col("n_a") * F.least(F.lit(1.0), (1 << lg_k) / F.greatest("n_a", "n_b"))
-    close = common / F.col("n_a") >= least - 6 / F.sqrt(sampled)
-    kept = pairs.where((sampled < 64) | close).select(F.array(F.struct(F.col("sheet_a").alias("sheet"), F.col("column_a").alias("column")), F.struct(F.col("sheet_b").alias("sheet"), F.col("column_b").alias("column"))).alias("both"))
-    found = {(r["sheet"], r["column"]) for r in kept.select(F.inline("both")).distinct().collect()}
+    found = _related(tables, least, lg_k)
     return {name: [c for c in data_columns(df) if (name, c) in found] for name, df in tables.items()}
 
 
-def pruned(tables: Mapping[str, DataFrame], least: float = 0.5) -> dict[str, DataFrame]:
-    """The tables with the columns of :func:`related_columns` alone; tables without any are left out, or emptied if all are."""
-    kept = {name: tables[name].select(*columns) for name, columns in related_columns(tables, least).items() if columns}
-    return kept or {name: df.limit(0) for name, df in tables.items()}
+def pruned_owners(tables: Mapping[str, DataFrame], least: float = 0.5, lg_k: int = 11) -> DataFrame:
+    """:func:`value_owners` of the columns of :func:`related_columns` alone."""
+    found = _related(tables, least, lg_k)
+    kept = {name: df.select(*columns) for name, df in tables.items() if (columns := [c for c in data_columns(df) if (name, c) in found])}
+    return value_owners(kept or {name: df.limit(0) for name, df in tables.items()}, {column for column, n in found.items() if n <= 1 << lg_k})
 
 
-def value_sets(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Distinct (sheet, column, value) of all tables in long form; column names keep their table."""
-    out = None
-    for name, df in tables.items():
-        columns = data_columns(df)
-        texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-        long = texts.unpivot([], columns, "column", "value").where("value IS NOT NULL").select(F.lit(name).alias("sheet"), "column", "value")
-        out = long if out is None else out.unionByName(long)
-    return out.distinct()
+def value_owners(tables: Mapping[str, DataFrame], few: Collection[tuple[str, str]] = ()) -> DataFrame:
+    """o (the columns of all tables that hold a value), n (number of distinct values that have just these) and has_number.
+
+    A value travels once from each task, with a bit for each column that holds it there; bits are combined before the shuffle and after it.
+    The columns in ``few``, known to hold a few thousand values at most, are first gathered into a set in each task, so their rows are
+    never listed. What is left is as small as the number of different sets of columns, and is written once.
+    """
+    columns = [(name, c) for name, df in tables.items() for c in data_columns(df)]
+    place = {column: divmod(i, 63) for i, column in enumerate(columns)}
+    words = [f"w{i}" for i in range((len(columns) + 62) // 63)]
 
+    def held(column: tuple[str, str], value: Column) -> Column:
+        word, bit = place[column]
+        return F.struct(value.cast("string").alias("value"), *[F.lit(1 << bit if i == word else 0).cast("long").alias(w) for i, w in enumerate(words)])
 
-def column_overlaps(values: DataFrame) -> DataFrame:
+    parts = []
+    for name, df in tables.items():
+        kinds = dict(df.dtypes)
+        many = [c for c in data_columns(df) if (name, c) not in few]
+        rest = [c for c in data_columns(df) if (name, c) in few]
+        if many:
+            parts.append(df.select(F.inline(F.array(*[held((name, c), F.col(c)) for c in many]))))
+        if rest:
+            # Fractions are told apart by their spelling, as 0.0 and -0.0 are two values here.
+            sets = df.agg(*[F.collect_set(F.col(c) if kinds[c] in ("int", "bigint", "date", "string") else F.col(c).cast("string")).alias(c) for c in rest])
+            parts.append(sets.select(F.inline(F.flatten(F.array(*[F.transform(c, partial(held, (name, c))) for c in rest])))))
+    values = reduce(DataFrame.unionByName, parts).where("value IS NOT NULL").groupBy("value").agg(*[F.bit_or(w).alias(w) for w in words])
+    kinds = values.groupBy(*words).agg(F.count("*").alias("n"), F.bool_or(to_double(F.col("value")).isNotNull()).alias("has_number"))
+    owners = [F.when(F.col(words[w]).bitwiseAND(F.lit(1 << bit)) != 0, F.struct(F.lit(sheet).alias("sheet"), F.lit(c).alias("column"))) for (sheet, c), (w, bit) in place.items()]
+    return materialize(kinds.select(F.array_compact(F.array(*owners)).alias("o"), "n", "has_number"))
+
+
+def column_sizes(owners: DataFrame) -> DataFrame:
+    """sheet, column, n (distinct values), has_number of every column that holds a value."""
+    return owners.select("n", "has_number", F.explode("o").alias("f")).groupBy("f.sheet", "f.column").agg(F.sum("n").alias("n"), F.bool_or("has_number").alias("has_number"))
+
+
+def column_overlaps(owners: DataFrame) -> DataFrame:
     """Shared distinct values for every ordered pair of columns of different sheets.
 
-    Values are gathered into the set of columns that hold them. The set is bounded by the
+    The set of columns that hold a value is bounded by the
     number of columns, so a value present everywhere costs no more than columns squared.
     """
-    owners = values.groupBy("value").agg(F.collect_set(F.struct("sheet", "column")).alias("o")).where(F.size("o") > 1)
-    pairs = owners.groupBy("o").agg(F.count("*").alias("n"))
-    left = pairs.select("o", "n", F.explode("o").alias("f"))
+    left = owners.where(F.size("o") > 1).select("o", "n", F.explode("o").alias("f"))
     both = left.select("n", "f", F.explode(F.filter("o", lambda x: x["sheet"] != F.col("f")["sheet"])).alias("t"))
     return both.groupBy(
         F.col("f.sheet").alias("from_sheet"), F.col("f.column").alias("from_column"), F.col("t.sheet").alias("to_sheet"), F.col("t.column").alias("to_column")
@@ -92,9 +124,8 @@ def relate(tables: Mapping[str, DataFrame]) -> DataFrame:
     Value overlap leads, then cardinality, name likeness and numeric content. All columns of all tables are
     looked at; the values of those that their sketches rule out are not shuffled.
     """
-    values = value_sets(pruned(tables, 0.5))
-    sizes = values.groupBy("sheet", "column").agg(F.count("*").alias("n"), F.bool_or(to_double(F.col("value")).isNotNull()).alias("has_number"))
-    overlap = column_overlaps(values)
+    owners = pruned_owners(tables, 0.5)
+    sizes, overlap = column_sizes(owners), column_overlaps(owners)
     a = sizes.select(F.col("sheet").alias("from_sheet"), F.col("column").alias("from_column"), F.col("n").alias("n_from"), F.col("has_number").alias("num_from"))
     b = sizes.select(F.col("sheet").alias("to_sheet"), F.col("column").alias("to_column"), F.col("n").alias("n_to"), F.col("has_number").alias("num_to"))
     pairs = overlap.join(a, ["from_sheet", "from_column"]).join(b, ["to_sheet", "to_column"])
@@ -128,11 +159,11 @@ def _name_bonus(left: Column, right: Column) -> Column:
 
 def set_relation(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Subset, superset or equality of value sets per column pair, over all columns of all tables."""
-    values = value_sets(pruned(tables, 1.0))
-    sizes = values.groupBy("sheet", "column").agg(F.count("*").alias("n"))
+    owners = pruned_owners(tables, 1.0)
+    sizes = column_sizes(owners).drop("has_number")
     a = sizes.toDF("from_sheet", "from_column", "n_from")
     b = sizes.toDF("to_sheet", "to_column", "n_to")
-    pairs = column_overlaps(values).join(a, ["from_sheet", "from_column"]).join(b, ["to_sheet", "to_column"])
+    pairs = column_overlaps(owners).join(a, ["from_sheet", "from_column"]).join(b, ["to_sheet", "to_column"])
     kind = (
         F.when((F.col("matched") == F.col("n_from")) & (F.col("matched") == F.col("n_to")), "equal")
         .when(F.col("matched") == F.col("n_from"), "subset").when(F.col("matched") == F.col("n_to"), "superset")

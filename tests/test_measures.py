@@ -274,6 +274,28 @@ def test_sketches_rule_out_unrelated_columns(spark):
     assert {(r["from_column"], r["to_column"], r["relation"]) for r in relations.set_relation(tables).collect()} == {("fk", "k", "subset"), ("k", "fk", "superset")}
 
 
+def test_value_owners_gather_values_once(spark):
+    """More columns than a word has bits, spellings of zero, nulls; small columns gathered as sets count the same."""
+    from harmattan.operators import relations
+
+    wide = spark.range(40).select(*[(F.col("id") % (i + 1)).alias(f"c{i}") for i in range(70)])
+    zeros = spark.createDataFrame([(0.0, "1"), (-0.0, None), (2.5, "x"), (None, "1")], "d double, t string")
+    tables = {"wide": wide, "zeros": zeros}
+    owned = {}
+    for name, df in tables.items():
+        for c in df.columns:
+            for r in df.select(F.col(c).cast("string")).distinct().collect():
+                if r[0] is not None:
+                    owned.setdefault(r[0], set()).add((name, c))
+    want = {}
+    for value, columns in owned.items():
+        want[frozenset(columns)] = want.get(frozenset(columns), 0) + 1
+    for few in ((), {("zeros", "d"), ("zeros", "t"), ("wide", "c5"), ("wide", "c69")}):
+        got = relations.value_owners(tables, few).collect()
+        assert {frozenset((o["sheet"], o["column"]) for o in r["o"]): r["n"] for r in got} == want
+        assert {r["has_number"] for r in got if ("zeros", "t") in {tuple(o) for o in r["o"]} and len(r["o"]) == 1} == {False}
+
+
 def test_nearest_is_exact_and_spares_pairs(spark):
     """Clustered vectors, copies, zeros and ties: the result of all pairs from under half of them."""
     import numpy as np
