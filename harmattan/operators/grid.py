@@ -203,10 +203,15 @@ def crosstabs(cells: DataFrame, header_rows: int = 6) -> DataFrame:
     header = marked.where("ok AND broken = 0 AND empty = 0").select("sheet_id", "row_idx")
     spans = header.groupBy("sheet_id").agg(F.max("row_idx").alias("last_header"), F.count("*").alias("n_headers")).where("n_headers >= 2")
     widths = rows.groupBy("sheet_id").agg(F.max("width").alias("total_cols"))
-    below = rows.join(spans, "sheet_id").where(F.col("row_idx") > F.col("last_header")).groupBy("sheet_id").agg(F.count("*").alias("n_data"), F.avg("n_filled").alias("avg_fill"))
+    # No header lies past the first rows, so all later ones are one place, and cells and rows are counted by place before they meet the headers.
+    place = F.least("row_idx", F.lit(header_rows)).alias("place")
+    lower = F.col("place") > F.col("last_header")
+    row_counts = rows.where("row_idx IS NOT NULL").groupBy("sheet_id", place).agg(F.count("*").alias("n"), F.sum("n_filled").alias("f"))
+    below = row_counts.join(spans, "sheet_id").where(lower).groupBy("sheet_id").agg(F.sum("n").alias("n_data"), (F.sum("f") / F.sum("n")).alias("avg_fill"))
     sheets = spans.join(below, "sheet_id").join(widths, "sheet_id")
     sheets = sheets.where("n_data >= 5 AND total_cols >= 4 AND avg_fill / total_cols <= 0.4 AND avg_fill <= 5")
-    fills = cells.join(sheets.select("sheet_id", "last_header"), "sheet_id").where(F.col("row_idx") > F.col("last_header")).groupBy("sheet_id", "col_idx").agg(F.avg(filled().cast("int")).alias("share"))
+    cell_counts = cells.where("row_idx IS NOT NULL").groupBy("sheet_id", "col_idx", place).agg(F.count("*").alias("n"), F.count_if(filled()).alias("f"))
+    fills = cell_counts.join(sheets.select("sheet_id", "last_header"), "sheet_id").where(lower).groupBy("sheet_id", "col_idx").agg((F.sum("f") / F.sum("n")).alias("share"))
     value_cols = fills.where("NOT (col_idx < 2 AND share > 0.9) AND share > 0 AND share < 0.5").select("sheet_id", "col_idx")
     labels = cells.join(header, ["sheet_id", "row_idx"])
     filled_label = F.last(F.when(filled(), stripped(F.col("value"))), ignorenulls=True).over(W.partitionBy("sheet_id", "row_idx").orderBy("col_idx"))

@@ -385,3 +385,21 @@ def test_char_weights_beyond_the_table():
     small, large = textvec.CharWeights(2, 4), textvec.CharWeights()
     for _ in range(2):
         assert np.array_equal(small(code, at), large(code, at))
+
+
+def test_crosstabs_count_by_place(spark):
+    """Rows below the headers, however far down, count alike; rows without a place count for the width alone; a sheet with one header row is none."""
+    cells = []
+    for sheet, head in ((1, 2), (2, 5), (3, 1)):
+        for row in range(40):
+            for col in range(6):
+                value = f"h{row}{'abcdef'[col]}" if row < head else ("p" if col == 0 else str(row) if col == 1 + row % 5 else None)
+                cells.append((sheet, row, col, value))
+    cells += [(1, None, col, "x") for col in range(8)]
+    df = spark.createDataFrame(cells, "sheet_id long, row_idx long, col_idx long, value string")
+    got = {r["sheet_id"]: r for r in grid.crosstabs(df).collect()}
+    assert {k: (r["n_headers"], r["n_data"], r["sparsity_ratio"]) for k, r in got.items()} == {1: (2, 38, 0.25), 2: (5, 35, 0.333)}
+    assert got[1]["paths"] == "; ".join(f"{c}=h0{'abcdef'[c]} | h1{'abcdef'[c]}" for c in range(1, 6))
+    # Cells and rows are counted by place before they meet the headers.
+    plan = grid.crosstabs(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "least(row_idx" in plan
