@@ -5,7 +5,10 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +269,57 @@ def test_border_failures_are_expanded(prose, sample_of, sample_count, bits, pass
     assert took == passes or passes is None and 1 <= took <= 4
 
 
+#: Memory pools that Arrow arrays may outlive a test in.
+POOLS = []
+
+
+class Caught:
+    """Stands for the texts of one task and keeps the function that a pass sends to it."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def mapInArrow(self, function, schema):
+        self.function = self.__dict__.get("function", function)
+        return self
+
+    def __getattr__(self, name):
+        return lambda *a: self
+
+
+@pytest.mark.parametrize("spelt", [False, True])
+def test_worker_memory_of_a_pass(spark, spelt):
+    """A task of many different phrases holds a bounded number of them, in small work arrays, and counts each occurrence."""
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"{i:05x}" for i in range(20_000)])
+    texts = [" ".join(vocabulary[rng.integers(0, len(vocabulary), 1000)]) for _ in range(1400)]
+    batch = pa.record_batch([pa.array(["aa"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    everything = op13_phrases.Filter(16, np.full(1 << 10, ~np.uint64(0)))
+    docs, job = Caught(spark), op13_phrases.Mining(filter_bits=16)
+    if spelt:
+        op13_phrases.spelt_counts(docs, job, everything)
+    else:
+        op13_phrases.frequent_hashes(docs, job, 64, 1, everything)
+    before = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(before)
+    POOLS.append(pool)
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        n = 0
+        for b in docs.function(iter([batch])):
+            if spelt:
+                n += sum(b.column(1).to_pylist())
+            else:
+                n += sum(int(op13_phrases._numbers(x[len(x) // 11 * 6 :], 5, len(x) // 11).sum()) for x in b.column(1).to_pylist())
+        held = (tracemalloc.get_traced_memory()[1] + pool.max_memory()) / 1e6
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(before)
+    assert n == 1400 * (1000 + 999 + 998 + (1000 if spelt else 0))
+    assert held < 120
+
+
 def test_scores_beyond_64_bits(spark):
     big = 3_000_000_000_007
     found = spark.createDataFrame([("en", 1, "a", big + 5), ("en", 1, "b", big + 9), ("en", 2, "a b", big)], "lang string, k int, phrase string, a long")
