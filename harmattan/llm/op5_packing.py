@@ -6,7 +6,7 @@ sequence that has room in every respect and that scores best: the smallest weigh
 would be left (``residual``), or the largest weighted dot product of need and rest (``dot``).
 If none has room a new sequence is opened.
 
-Documents are tokenized in Arrow batches; the pieces (five numbers each) are written to the shared
+Documents are tokenized in slices of an Arrow batch, each different run of a slice once; the pieces (five numbers each) are written to the shared
 folder, dealt by hash into groups of about ``group_size``, and each group is packed in one task. The number of
 groups grows with the number of pieces, so a task's memory does not; what is lost is at
 most one part-filled sequence for each group.
@@ -29,18 +29,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harmattan.llm.kernel import Slice, column_buffers, slices
 from harmattan.session import materialize
 
 END_OF_TEXT = "<|endoftext|>"
 END_ID = b"\0\0\0\0"
 #: A space next to other white space: there a cut before the space could differ from the whole text.
 _UNSAFE = re.compile(r"\s[ ]|[ ]\s")
+#: White space of one byte, and the bytes that begin a longer one.
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_LEAD = np.zeros(256, bool)
+_WIDE = {c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace()}
+_LEAD[[c[0] for c in _WIDE]] = True
+
+
+def white_bytes(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 belongs to a white space character."""
+    out = _WHITE[data]
+    at = np.flatnonzero(_LEAD[data])
+    if len(at):
+        padded = np.concatenate([data, np.zeros(2, np.uint8)])
+        for char in _WIDE:
+            hit = at[np.logical_and.reduce([padded[at + i] == b for i, b in enumerate(char)])]
+            for i in range(len(char)):
+                out[hit + i] = True
+    return out
+
+
+def binaries(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
 
 
 class ByteEncoder(dict):
     """Ids of a byte-level BPE whose pre-tokenizer ties a single space to the word after it.
 
-    The dictionary keeps the ids of runs that begin with a space. It is bounded: when full it
+    The texts of a slice are cut into runs before their single spaces, and its different runs are encoded as one text. Texts
+    with other white space next to a space, or with what may be a special token, are encoded each for itself.
+
+    The dictionary keeps the ids of runs that were encoded alone. It is bounded: when full it
     becomes the older generation, from which runs met again move back. The ids are those of the
     tokenizer file's ``encode(..., add_special_tokens=False)``.
     """
@@ -61,6 +88,8 @@ class ByteEncoder(dict):
         self.special = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.limit, self.older = limit, {}
+        self.sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(token) for token in ranks]
 
     def __missing__(self, run: str) -> bytes:
         ids = self.older.get(run)
@@ -83,6 +112,54 @@ class ByteEncoder(dict):
         first, *rest = text.split(" ")
         return self[first] + b"".join([self[r] for r in map(" ".__add__, rest)])
 
+    def encode_slice(self, s: Slice) -> list[memoryview]:
+        """Ids of each text of a slice, as bytes."""
+        data, starts = s.data, s.starts
+        own = starts[:-1][starts[:-1] < starts[1:]]
+        begins = data == 0x20
+        begins[own] = True
+        begin = np.flatnonzero(begins)
+        offsets = np.append(begin, len(data))
+        end = offsets[1:]
+        # A run may end in white space only with its text, and may not have any after its space.
+        closes = np.zeros(len(data) + 1, bool)
+        closes[starts[1:]] = True
+        white = white_bytes(data)
+        second = np.minimum(begin + 1, end - 1)
+        odd = begin[white[end - 1] & ~closes[end] | (data[begin] == 0x20) & (second > begin) & white[second]]
+        special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C)) if self.split is not None else odd[:0]
+        apart = np.zeros(len(s), bool)
+        apart[np.searchsorted(starts, np.concatenate([odd, special]), side="right") - 1] = True
+        text = np.searchsorted(starts, begin, side="right") - 1
+        runs = binaries(offsets, data)
+        if apart.any():
+            kept = ~apart[text]
+            runs, text = runs.filter(pa.array(kept)), text[kept]
+        offsets, data = self._ids_of(runs)
+        first = offsets[np.searchsorted(text, np.arange(len(s) + 1))]
+        ids = memoryview(data)
+        whole = s.data
+        return [memoryview(self.encode(whole[starts[i] : starts[i + 1]].tobytes().decode())) if apart[i] else ids[first[i] : first[i + 1]] for i in range(len(s))]
+
+    def _ids_of(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and bytes of the ids of each run. Runs that begin with a space and do not end in white space are encoded as one text."""
+        coded = runs.dictionary_encode()
+        data, offsets = column_buffers(coded.dictionary)
+        if not len(data):
+            return np.zeros(len(runs) + 1, np.int64), np.zeros(0, np.uint8)
+        together = (data[offsets[:-1]] == 0x20) & ~white_bytes(data)[offsets[1:] - 1]
+        sizes = np.diff(offsets)
+        ids = np.array(self.encoding.encode_ordinary(data[np.repeat(together, sizes)].tobytes().decode()), "<u4")
+        # Each of these runs ends with a token.
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes[together])) + 1
+        alone = [self[data[offsets[i] : offsets[i + 1]].tobytes().decode()] for i in np.flatnonzero(~together)]
+        lengths = np.concatenate([4 * np.diff(ends, prepend=0), np.array([len(x) for x in alone], np.int64)])
+        known = binaries(np.concatenate([[0], np.cumsum(lengths)]), np.frombuffer(ids.tobytes() + b"".join(alone), np.uint8))
+        place = np.empty(len(together), np.int64)
+        place[np.concatenate([np.flatnonzero(together), np.flatnonzero(~together)])] = np.arange(len(together))
+        data, offsets = column_buffers(known.take(pa.array(place[coded.indices.to_numpy()])))
+        return offsets, data
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable stand-ins by which byte-level vocabularies spell bytes."""
@@ -174,15 +251,14 @@ def tokenize(docs: DataFrame, path: str, size: int, id_col: str = "doc_id", text
         encoder = encoder_of(path)
         for b in batches:
             own, piece, start, length, crc = [], [], [], [], []
-            for lo in range(0, b.num_rows, 500):
-                for i, text in enumerate(b.column(1).slice(lo, 500).to_pylist(), lo):
-                    ids = memoryview(encoder.encode(text or "") + END_ID)
-                    for p, (s, n) in enumerate(cut(len(ids) // 4, size)):
+            for s in slices(b.column(1)):
+                for i, ids in enumerate(encoder.encode_slice(s), s.lo):
+                    for p, (at, n) in enumerate(pieces := cut(len(ids) // 4 + 1, size)):
                         own.append(i)
                         piece.append(p)
-                        start.append(s)
+                        start.append(at)
                         length.append(n)
-                        crc.append(zlib.crc32(ids[4 * s : 4 * (s + n)]))
+                        crc.append(zlib.crc32(END_ID if p == len(pieces) - 1 else b"", zlib.crc32(ids[4 * at : 4 * (at + n)])))
             if own:
                 yield pa.record_batch([b.column(0).take(pa.array(own)), *[pa.array(x, pa.int64()) for x in (piece, start, length, crc)]], [id_col, "piece", "start", "length", "ids_crc32"])
 

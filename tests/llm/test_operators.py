@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -218,6 +219,55 @@ def test_packing(spark, corpus, nothing):
     assert op5_packing.pack_documents(nothing, path).isEmpty()
 
 
+def test_runs_of_a_slice_are_encoded_once(monkeypatch):
+    """Odd texts beside plain ones keep their ids, and the tokenizer is not called for each word."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(5)
+    parts = [" ", " a", " b\u00e9", "c", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u2009", "\u2019", "\u3000", "\u6f22", "\U0001f642", "'s", "12", "<|", "<|endoftext|>", "."]
+    rows = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
+    rows += ["".join(rng.choices([" a", "b", " \u00e9,", "\n"], [6, 1, 2, 0.3], k=rng.randint(0, 12))) for _ in range(3000)] + [None, " ", "", " \n"]
+    rng.shuffle(rows)
+    encoder = op5_packing.ByteEncoder(path, limit=40)
+    for limit in (1 << 9, 1 << 21):
+        for s in op5_packing.slices(pa.array(rows, pa.string()), limit):
+            for i, ids in enumerate(encoder.encode_slice(s), s.lo):
+                assert bytes(ids) == np.array(tokenizer.encode(rows[i] or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+    class Counted:
+        calls = 0
+
+        def encode_ordinary(self, text):
+            self.calls += 1
+            return plain.encode_ordinary(text)
+
+    class Caught:
+        schema = {"doc_id": types.SimpleNamespace(dataType=types.SimpleNamespace(simpleString=lambda: "long"))}
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, function, schema):
+            self.function = function
+            return self
+
+        def withColumn(self, *a):
+            return self
+
+    plain, encoder.encoding, docs = encoder.encoding, Counted(), Caught()
+    monkeypatch.setattr(op5_packing, "encoder_of", lambda path: encoder)
+    monkeypatch.setattr(op5_packing.F, "col", lambda name: types.SimpleNamespace(cast=lambda kind: None))
+    op5_packing.tokenize(docs, path, 256)
+    words = [" ".join(f"{rng.choice('xyz')}{rng.randrange(10**6)}" for _ in range(200)) for _ in range(100)]
+    (out,) = docs.function(iter([pa.record_batch([pa.array(range(100)), pa.array(words)], ["doc_id", "text"])]))
+    assert encoder.encoding.calls <= 101  # the first word of each text, and all others at once
+    for i, n, crc in zip(*(out.column(c).to_pylist() for c in ("doc_id", "length", "ids_crc32"))):
+        ids = np.array(tokenizer.encode(words[i], add_special_tokens=False).ids + [0], "<u4")
+        assert n <= 256 and any(zlib.crc32(ids[at : at + n].tobytes()) == crc for at in (0, *range(len(ids) % 256, len(ids), 256)))
+
+
 @pytest.mark.parametrize("rule", ["residual", "dot"])
 def test_vector_fit(rule):
     lengths = np.random.default_rng(4).integers(1, 101, 600)
