@@ -380,6 +380,44 @@ def test_hash_embedding_adds_up_within_rows(spark):
     assert got == pytest.approx({(k, d): w / norm[k] for (k, d), w in want.items()})
 
 
+def shuffled_rows(df):
+    """Rows that the exchanges of a frame wrote, once it has run."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        inner = {"AdaptiveSparkPlanExec": "executedPlan", "ShuffleQueryStageExec": "plan", "BroadcastQueryStageExec": "plan", "ResultQueryStageExec": "plan"}.get(kind)
+        children = node.children()
+        todo += [getattr(node, inner)()] if inner else [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_hash_embedding_shuffles_no_single_sums(spark):
+    """A row of its own key is finished where it is read; rows of one key meet as one row of sums a text at most."""
+    alone = spark.range(400).select(F.col("id").cast("int").alias("k"), F.repeat(F.lit("ab"), 200).alias("t"))
+    out = textvec.hash_embedding(alone, "k", "t")
+    assert out.count() == 400 * 384 and shuffled_rows(out) <= 4 * 400
+    paired = textvec.hash_embedding(alone.withColumn("k", F.col("k") % 200), "k", "t")
+    assert paired.count() == 200 * 384 and 400 <= shuffled_rows(paired) <= 5 * 400
+
+
+def test_hash_embedding_adds_up_keys_across_blocks(spark):
+    """Keys that repeat within a block, across blocks and partitions, null keys and keys of equal bits; each (key, dim) once."""
+    texts = [(None if i % 11 == 0 else i % 17 if i % 3 else 100 + i, None if i % 13 == 0 else "aé😀b"[: i % 5] * (i % 7)) for i in range(240)]
+    want = {}
+    for k, t in texts:
+        for i, ch in enumerate(t or ""):
+            want[k, i % 8] = want.get((k, i % 8), 0.0) + int(hashlib.md5(f"{ch}_{i}".encode()).hexdigest()[:8], 16) / 0xFFFFFFFF
+    norm = {k: sum(w * w for (other, _), w in want.items() if other == k) ** 0.5 for k, _ in want}
+    df = spark.createDataFrame(texts, "k int, t string").repartition(5)
+    for limits in ({}, {"rows": 2, "block_rows": 5, "words": 1}):
+        got = textvec.hash_embedding(df, "k", "t", 8, **limits).collect()
+        assert len(got) == len(want) and all(r["weight"] == pytest.approx(want[r["k"], r["dim"]] / norm[r["k"]], rel=1e-12) for r in got)
+
+
 def test_char_weights_beyond_the_table():
     code, at = np.array([97, 98, 99, 97, 97]), np.array([0, 1, 2, 900, 900])
     small, large = textvec.CharWeights(2, 4), textvec.CharWeights()
